@@ -135,7 +135,7 @@ def walk(classes: DataFrame, levels: int, threshold: float, trees: int | None =
 
 
 def differing(a0, a1, b0, b1) -> np.ndarray:
-    return np.bitwise_count(a0 ^ b0) + np.bitwise_count(a1 ^ b1)
+    return np.bitwise_count((a0 ^ b0).view(np.uint64)) + np.bitwise_count((a1 ^ b1).view(np.uint64))  # of signed numbers it would count the absolute value's
 
 
 def sketch_limit(threshold: float) -> int:
