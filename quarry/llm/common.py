@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 MASK = (1 << 64) - 1
@@ -43,19 +43,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, kept for words met before; `trim` bounds its memory."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-    def trim(self, most: int = 600_000) -> None:
-        if len(self) > most:
-            self.clear()
+_rng = np.random.Generator(np.random.PCG64(977))
+_BYTES = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xD1342543DE82EF95
+_PART = 1 << 20
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(name: str, base: int, n: int) -> np.ndarray:
+    if name not in _powers or len(_powers[name]) < n:
+        _powers[name] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 14) - 1, base, np.uint64)], dtype=np.uint64)
+    return _powers[name][:n]
+
+
+def _hash_part(text: bytes) -> np.ndarray:
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.r_[False, ~_SPACE[raw], False]
+    bounds = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = bounds[::2], bounds[1::2]
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTES[raw] * _power("up", _BASE, len(raw)), dtype=np.uint64, out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power("down", pow(_BASE, -1, 1 << 64), len(raw) + 1)[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a text, in order.
+
+    A word's hash is a polynomial of its bytes, taken from prefix sums of the text: no loop over words. Long texts go in
+    parts that end between words, so memory stays bounded.
+    """
+    if len(text) <= _PART:
+        return _hash_part(text)
+    parts, at, space = [], 0, re.compile(rb"[\x20\x09-\x0D]")
+    while at < len(text):
+        found = space.search(text, at + _PART)
+        end = found.start() if found else len(text)
+        parts.append(_hash_part(text[at:end]))
+        at = end
+    return np.concatenate(parts)
 
 
 def texts(column) -> list[bytes]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, texts, words_of
+from .common import mix, texts, word_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.6
 BLOCK_WORDS = 400_000
@@ -69,8 +69,8 @@ def tile(runs: list[tuple[int, int, int]], n_item: int, min_match: int) -> list[
 class Items:
     """A block of benchmark items with its seeds, by seed length."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], min_match: int, hashes: WordHashes):
-        self.items = [(item_id, hashes.of(w), min(min_match, len(w))) for item_id, text in rows if (w := words_of(text.lower()))]
+    def __init__(self, rows: list[tuple[int, bytes]], min_match: int):
+        self.items = [(item_id, h, min(min_match, len(h))) for item_id, text in rows if len(h := word_hashes(text.lower()))]
         seeds = defaultdict(list)
         for n, (_, h, k) in enumerate(self.items):
             seeds[k] += [(int(s), n, i) for i, s in enumerate(window_hashes(h, k))]
@@ -130,14 +130,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
         block = spark.sparkContext.broadcast(rows)
 
         def run(batches, block=block):
-            hashes = WordHashes()
-            items = Items(block.value, min_match, hashes)
+            items = Items(block.value, min_match)
             names, kinds = ["doc_id", "item_id", "item_words", "covered_words", "coverage", "n_tiles", "longest_tile"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
             for batch in batches:
                 hits = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                    hits += [(doc_id, *x) for x in items.found(hashes.of(words_of(text.lower())), coverage)]
-                    hashes.trim()
+                    hits += [(doc_id, *x) for x in items.found(word_hashes(text.lower()), coverage)]
                 columns = list(zip(*hits, strict=True)) if hits else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -155,13 +153,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
         block = spark.sparkContext.broadcast(rows)
 
         def run(batches, block=block):
-            hashes = WordHashes()
-            items = Items(block.value, min_match, hashes)
+            items = Items(block.value, min_match)
             for batch in batches:
-                keep = []
-                for text in texts(batch.column(at)):
-                    keep.append(not items.found(hashes.of(words_of(text.lower())), coverage))
-                    hashes.trim()
+                keep = [not items.found(word_hashes(text.lower()), coverage) for text in texts(batch.column(at))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         out = out.mapInArrow(run, schema)

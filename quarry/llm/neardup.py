@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, stored, texts, words_of
+from .common import mix, stored, texts, word_hashes
 from .graph import components
 
 T = 128
@@ -38,11 +38,11 @@ C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, s0 long, s1 long, mins binary"
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
-    """The sorted distinct hashes of the k-word shingles."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The sorted distinct hashes of the k-word shingles, A-Z lower-cased."""
+    h = word_hashes(text.lower())
+    if not len(h):
+        return h
     n = len(h) - k + 1
     if n < 1:
         n, k = 1, len(h)
@@ -63,13 +63,11 @@ def minwise(values: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        hashes = WordHashes()
         names = ["doc_id", "n_shingles", "h1", "h2", "s0", "s1", "mins"]
         for batch in batches:
             sizes, h1, h2, sketches, mins = [], [], [], [], []
             for text in texts(batch.column(1)):
-                values = shingle_set(words_of(text.lower()), hashes, k)
-                hashes.trim()
+                values = shingle_set(text, k)
                 sizes.append(len(values))
                 h1.append(int(values.sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(np.bitwise_xor.reduce(mix(values ^ C2), initial=np.uint64(0)).view(np.int64)))
@@ -195,10 +193,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Data
     percent = round(100 * threshold)
 
     def sets(batches):
-        hashes = WordHashes()
         for batch in batches:
-            out = [shingle_set(words_of(t.lower()), hashes, k).tobytes() for t in texts(batch.column(1))]
-            hashes.trim()
+            out = [shingle_set(t, k).tobytes() for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "values"])
 
     found = stored(rows.mapInArrow(sets, "id long, values binary").groupBy("id").agg(F.first("values").alias("values")), "sets")

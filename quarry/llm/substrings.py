@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, stored, texts, words_of
+from .common import mix, stored, texts, word_hashes, words_of
 
 WINDOW, K = 50, 16
 BASE = 0x9E3779B97F4A7C15
@@ -79,15 +79,13 @@ def document_edges(docs: DataFrame, window: int, k: int) -> DataFrame:
     most = (1 << PLACE) - 1
 
     def run(batches):
-        hashes = WordHashes()
         names = ["doc_id", "lo", "hi", "vertex", "content"]
         for batch in batches:
             parts = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 if doc_id is None:
                     continue
-                h = hashes.of(words_of(text))
-                hashes.trim()
+                h = word_hashes(text)
                 for a in range(0, max(1, len(h)), most - window):
                     if (found := edges_of(h[a : a + most], window, k)) is not None:
                         lo, hi, vertex, content = found
@@ -104,12 +102,10 @@ def open_windows(docs: DataFrame, spans: DataFrame, window: int, k: int) -> Data
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(listed, "doc_id").select("doc_id", "text", "spans.lo", "spans.hi", "spans.vertex")
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             parts = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
             for doc_id, text, lo, hi, vertex in zip(batch.column(0).to_pylist(), texts(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                h = hashes.of(words_of(text))
-                hashes.trim()
+                h = word_hashes(text)
                 n = np.array(hi) - np.array(lo) + 1
                 at = np.repeat(np.array(lo), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 for part, x in zip(parts, (np.full(len(at), doc_id, np.int64), at.astype(np.int32), np.repeat(np.array(vertex, np.int64), n), _long(Prefix(h).runs(at, at + window))), strict=True):
