@@ -1,3 +1,69 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import licences, urls
+
+WORD = r"[^\x20\x09-\x0D]+"
+LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_COPIES = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER},'{WORD}') AS ws FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(ws)>1 THEN list_distinct(list_transform(range(1,len(ws)), lambda i: ws[i]||' '||ws[i+1])) ELSE ws END AS sh FROM w),
+ e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+ p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON a.x=b.x AND a.doc_id<b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100*count(*)>=80*(a.n+b.n-count(*))),
+ u AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.j FROM r JOIN u ON u.i=r.b)
+ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c AS component_id, s.doc_id=c AS kept FROM s JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1) USING (doc_id)"""
+
+SAID = "</s>[INST] ok [/INST]"
+ESCAPED = r"length({0})+len(regexp_extract_all({0},'\\|<s>|</s>|<<SYS>>|<</SYS>>|\[/?(?:INST|ROLE)\]'))"
+CHAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-1,0,'user','{SAID}'),(-1,1,'assistant','{SAID}')) v),
+ g AS (SELECT *, CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20+{ESCAPED.format('role')} END + {ESCAPED.format('text')} AS n FROM c),
+ o AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM g)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10),'' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role='assistant'),0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text,'' ORDER BY turn, role, text) FILTER (role='assistant'),'')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars, count(*) FILTER (role='assistant') AS n_examples, coalesce(sum(upto) FILTER (role='assistant'),0)::BIGINT AS example_chars FROM o GROUP BY 1"""
+
+REPEATS = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text,''),'{WORD}') AS ws FROM documents),
+ win AS (SELECT doc_id, unnest(x) AS h, generate_subscripts(x,1) AS s FROM (SELECT doc_id, list_transform(range(1,len(ws)-48), lambda s: md5(array_to_string(ws[s:s+49],' '))) AS x FROM w WHERE len(ws)>=50)),
+ m AS (SELECT h, min(doc_id) AS d FROM win GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id, s+k AS p FROM (SELECT win.doc_id, s FROM win JOIN m USING (h) WHERE d<win.doc_id), (SELECT unnest(range(0,50)) AS k)),
+ each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws,1) AS p FROM w),
+ kept AS (SELECT doc_id, count(*) AS n, string_agg(word,' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws)-coalesce(n,0))::BIGINT AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+def _urls() -> str:
+    sites = ",".join(f"('{h}','{p}','{v}')" for h, p, v in urls.SITE_RULES)
+    patterns = ",".join(f"('{urls.pattern_regex(p)}','{v}')" for p, v in urls.PATTERN_RULES)
+    return f"""WITH u AS (SELECT page_id, coalesce(url,'') AS url, instr(coalesce(url,''),'://') AS k FROM pages),
+ x AS (SELECT page_id, url, CASE WHEN k>0 THEN translate(regexp_extract(substr(url,k+3),'^[^/?#]*'),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN k>0 THEN regexp_extract(substr(url,k+3),'^[^/?#]*([^?#]*)',1) ELSE '' END AS path FROM u),
+ site AS (SELECT page_id, url, arg_max(concat(h,p),length(h)+length(p)) AS rule, arg_max(v,length(h)+length(p)) AS verdict FROM x JOIN (VALUES {sites}) r(h,p,v) ON (host=h OR ends_with(host,'.'||h)) AND starts_with(path,p) GROUP BY 1,2),
+ pat AS (SELECT page_id, url, bool_or(v='block') AND NOT bool_or(v='allow') AS blocked FROM x JOIN (VALUES {patterns}) r(re,v) ON regexp_matches(lower(url),re) GROUP BY 1,2)
+ SELECT x.page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM x LEFT JOIN site USING (page_id, url) LEFT JOIN pat USING (page_id, url)"""
+
+
+def _licences() -> str:
+    rows = ",".join(f"('{name}','{term}',{n})" for name, term, n in licences.template_terms())
+    low = "translate({0},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    term = licences.TERM.replace("\\", "\\")
+    return f"""WITH tt(licence,term,tf) AS (VALUES {rows}), d AS (SELECT doc_id, source||'/'||lang||'/'||doc_id||'.txt' AS path, source||'/'||lang AS directory, source, coalesce(text,'') AS text FROM documents),
+ df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({low.format('text')},'{term}')) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY 1),
+ idf AS (SELECT term, ln((1.0+(SELECT count(*) FROM d))/(1+coalesce(n,0)))+1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term)),
+ tw AS (SELECT licence, term, tf*idf/sqrt(sum((tf*idf)*(tf*idf)) OVER (PARTITION BY licence)) AS weight FROM tt JOIN idf USING (term)),
+ l AS (SELECT DISTINCT doc_id, len(regexp_split_to_array(text,'[ \\t-\\r]+')) AS nw, unnest(string_split(text,chr(10))) AS line FROM d WHERE regexp_matches(text,'{licences.LICENCE_WORDS}')),
+ c AS (SELECT doc_id, nw, line, term, count(*) AS tf FROM (SELECT doc_id, nw, line, unnest(regexp_extract_all({low.format('line')},'{term}')) AS term FROM l WHERE regexp_matches(line,'{licences.LICENCE_WORDS}')) GROUP BY 1,2,3,4),
+ v AS (SELECT c.*, tf*coalesce(idf,ln(1.0+(SELECT count(*) FROM d))+1) AS w FROM c LEFT JOIN idf USING (term)),
+ s AS (SELECT v.doc_id, v.nw, v.line, licence, sum(w*weight) AS dot FROM v JOIN tw USING (term) GROUP BY 1,2,3,4),
+ k AS (SELECT s.doc_id, s.nw, licence, round(dot/norm,6) AS cosine FROM s JOIN (SELECT doc_id, line, sqrt(sum(w*w)) AS norm FROM v GROUP BY 1,2) n ON n.doc_id=s.doc_id AND n.line=s.line WHERE round(dot/norm,6)>={licences.LEAST}),
+ own AS (SELECT doc_id, nw, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS r FROM k) WHERE r=1),
+ given AS (SELECT directory, licence AS gl, cosine AS gc FROM (SELECT d.directory, own.*, row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, doc_id) AS r FROM own JOIN d USING (doc_id) WHERE nw<={licences.FILE_WORDS}) WHERE r=1)
+ SELECT d.doc_id, path, coalesce(licence,gl) AS licence, coalesce(cosine,gc) AS cosine, CASE WHEN licence IS NOT NULL THEN 'own' WHEN gl IS NOT NULL THEN 'inherited' ELSE 'none' END AS found FROM d LEFT JOIN own USING (doc_id) LEFT JOIN given USING (directory)"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_license_scans": _licences(),
+    "op5_minhash_near_dedup": NEAR_COPIES,
+    "op6_chat_formatting": CHAT,
+    "op8_substring_dedup": REPEATS,
+    "op9_url_filters": _urls(),
+}
