@@ -306,7 +306,7 @@ def b8_verified_negatives(spark, sf_dir):
 PAIRSET_SQL = "SELECT DISTINCT {id} AS id, substr(t,i,2) AS b FROM (SELECT {id}, t, unnest(range(1,length(t))) AS i FROM (SELECT {id}, regexp_replace(lower(text),'\\s+','','g') AS t FROM {table}))"
 
 
-@registered(f"WITH x AS ({PAIRSET_SQL.format(id='doc_id', table='documents')}), y AS ({PAIRSET_SQL.format(id='item_id', table='benchmark')}), nx AS (SELECT id, count(*) AS n FROM x GROUP BY 1), ny AS (SELECT id, count(*) AS n FROM y GROUP BY 1), j AS (SELECT doc_id, doc_id%(SELECT count(*) FROM benchmark) AS item FROM documents), k AS (SELECT doc_id, count(*) AS both FROM j JOIN x ON x.id=j.doc_id JOIN y ON y.id=j.item AND x.b=y.b GROUP BY 1) SELECT j.doc_id, round(coalesce(both::DOUBLE/(nx.n+ny.n-both),0),6) AS overlap FROM j LEFT JOIN k USING (doc_id) LEFT JOIN nx ON nx.id=j.doc_id LEFT JOIN ny ON ny.id=j.item")
+@registered(f"WITH x AS ({PAIRSET_SQL.format(id='doc_id', table='documents')}), y AS ({PAIRSET_SQL.format(id='item_id', table='benchmark')}), nx AS (SELECT id, count(*) AS n FROM x GROUP BY 1), ny AS (SELECT id, count(*) AS n FROM y GROUP BY 1), j AS (SELECT doc_id, doc_id%(SELECT count(*) FROM benchmark) AS item FROM documents), k AS (SELECT doc_id, count(*) AS shared FROM j JOIN x ON x.id=j.doc_id JOIN y ON y.id=j.item AND x.b=y.b GROUP BY 1) SELECT j.doc_id, round(coalesce(shared::DOUBLE/(nx.n+ny.n-shared),0),6) AS overlap FROM j LEFT JOIN k USING (doc_id) LEFT JOIN nx ON nx.id=j.doc_id LEFT JOIN ny ON ny.id=j.item")
 def b9_lexical_overlap(spark, sf_dir):
     items = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("question"))
     n = items.agg(F.count("*").alias("n"))
@@ -338,11 +338,11 @@ def b11_locate_section(spark, sf_dir):
 def _section_hits(labels):
     """Six hits per question and two arms around its span, by fixed arithmetic."""
     rows = labels.withColumn("rank", F.explode(F.expr("sequence(1, 6)"))).withColumn("arm", F.explode(F.expr("array('A1', 'A3')")))
-    start = F.expr("span_start + (rank * 97 + CASE arm WHEN 'A1' THEN 0 ELSE 41 END) % 600 - 300")
+    start = F.expr("span_start + (rank * 997 + CASE arm WHEN 'A1' THEN 500 ELSE 2410 END) % 6000 - 3000")
     return rows.select("question_id", "arm", "rank", "document_key", F.greatest(start, F.lit(0)).alias("start_offset"), (F.greatest(start, F.lit(0)) + 20).alias("end_offset"))
 
 
-SECTION_HITS_SQL = "sh AS (SELECT question_id, arm, rank, greatest(0,o) AS a, greatest(0,o)+20 AS b FROM (SELECT question_id, arm, rank, span_start+(rank*97+CASE arm WHEN 'A1' THEN 0 ELSE 41 END)%600-300 AS o FROM labels2, (SELECT unnest(range(1,7)) AS rank), (VALUES ('A1'),('A3')) v(arm))), sr AS (SELECT question_id, arm, coalesce(min(rank) FILTER (a<s_end AND s_start<b),0)::BIGINT AS section_rank, coalesce(min(rank) FILTER (a>s_start AND a<s_end),0)::BIGINT AS body_rank FROM sh JOIN bounds USING (question_id) WHERE s_start IS NOT NULL GROUP BY 1,2)"
+SECTION_HITS_SQL = "sh AS (SELECT question_id, arm, rank, greatest(0,o) AS a, greatest(0,o)+20 AS b FROM (SELECT question_id, arm, rank, span_start+(rank*997+CASE arm WHEN 'A1' THEN 500 ELSE 2410 END)%6000-3000 AS o FROM labels2, (SELECT unnest(range(1,7)) AS rank), (VALUES ('A1'),('A3')) v(arm))), sr AS (SELECT question_id, arm, coalesce(min(rank) FILTER (a<s_end AND s_start<b),0)::BIGINT AS section_rank, coalesce(min(rank) FILTER (a>s_start AND a<s_end),0)::BIGINT AS body_rank FROM sh JOIN bounds USING (question_id) WHERE s_start IS NOT NULL GROUP BY 1,2)"
 
 
 def _section_ranks(spark, sf_dir):
