@@ -32,7 +32,7 @@ def fold_ascii(c: Column | str) -> Column:
 def ngrams(c: Column | str, n: int) -> Column:
     """All runs of n characters, in order; built from the list of characters, so long texts cost in proportion to their length."""
     t = F.coalesce(col(c), F.lit(""))
-    chars = F.split(t, "(?!^)(?!$)")
+    chars = F.split(t, "")  # one element for each code point
     size = F.greatest(F.size(chars) - (n - 1), F.lit(0))
     out = F.slice(chars, 1, size)
     for k in range(1, n):

@@ -396,10 +396,18 @@ def _hybrid(spark, sf_dir):
     return rows, asked.withColumn("query", F.regexp_extract("body", f"([{fx.HAN}]{{2,}})", 1)).drop("body")
 
 
-@registered()
+HYBRID_SQL = f"""WITH {fx.CHUNKS}, rows AS (SELECT c.* EXCLUDE (body), coalesce(translate(lower(d.text),'{fx.LATIN}','{fx.HAN}'),'') AS body FROM chunks c LEFT JOIN documents d ON d.doc_id=c.row_id),
+ lines AS (SELECT * FROM rows), q AS (SELECT row_id AS query_id, regexp_extract(body,'[{fx.HAN}]{{2,}}') AS query, space, vec FROM rows WHERE row_id%100=0), t AS ({BIGRAMS_SQL}), qt AS ({Q_TERMS_SQL}), {BIGRAM_HITS_SQL},
+ found AS (SELECT query_id, row_id, score, 'keyword' AS channel FROM bh UNION ALL SELECT query_id, row_id, list_inner_product(r.vec,q.vec), CASE q.space WHEN 'documentText' THEN 'text' ELSE 'image' END FROM rows r JOIN q USING (space)),
+ recalled AS (SELECT f.*, r.document_id, r.chunk_id, r.relative_path, r.page_number, r.start_offset, row_number() OVER (PARTITION BY query_id, channel ORDER BY {TIES}) AS place FROM found f JOIN rows r USING (row_id)),
+ fused AS (SELECT query_id, document_id, chunk_id, any_value(relative_path) AS relative_path, any_value(page_number) AS page_number, any_value(start_offset) AS start_offset, coalesce(0.5/(60+min(place) FILTER (channel='text')),0)+coalesce(0.3/(60+min(place) FILTER (channel='keyword')),0)+coalesce(0.49/(60+min(place) FILTER (channel='image')),0) AS score, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM recalled WHERE place<=50 GROUP BY 1,2,3)
+ SELECT query_id, rank, document_id, chunk_id, round(score,6) AS score, channels FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,12) DESC, relative_path, page_number NULLS LAST, start_offset, document_id, chunk_id) AS rank FROM fused) WHERE rank<=10"""
+
+
+@registered(HYBRID_SQL)
 def r9_hybrid_search(spark, sf_dir):
     rows, asked = _hybrid(spark, sf_dir)
-    return search.hybrid_search(rows, index.build_postings(rows), asked).select("query_id", "rank", "document_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"))
+    return search.hybrid_search(rows, index.build_postings(rows), asked).select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"))
 
 
 @registered(f"WITH {fx.HITS}, o AS (SELECT arm, question_id, concat(document_key,chunk_index) AS c, score, row_number() OVER (PARTITION BY arm, question_id ORDER BY score DESC, document_key, page_number NULLS LAST, start_offset, rank) AS slot FROM hits), j AS (SELECT a.c AS ca, b.c AS cb, a.score AS sa, b.score AS sb FROM (SELECT * FROM o WHERE arm='A1' AND slot<=5) a JOIN (SELECT * FROM o WHERE arm='A3' AND slot<=5) b USING (question_id, slot)) SELECT count(*) AS positions, count(*) FILTER (ca=cb) AS agreed, round(max(abs(sa-sb)),6) AS max_slot_delta, round(count(*) FILTER (ca=cb)::DOUBLE/count(*),6) AS agreement FROM j")

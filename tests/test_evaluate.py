@@ -54,3 +54,10 @@ def test_negatives(spark):
     chunks = spark.createDataFrame([("手机号 here",)], "body string")
     rows = spark.createDataFrame([(0, "甲的手机号"), (1, "乙的报价"), (2, "乙的报价"), (3, "无")], "position int, question string")
     assert [r["question"] for r in bench.verified_negatives(rows, chunks).collect()] == ["乙的报价"]
+
+
+def test_ngrams_keep_code_points(spark):
+    from quarry.functions.text import char_bigrams, ngrams
+
+    row = spark.createDataFrame([("a🙂b",), ("x",), ("",), (None,)], "t string").select(ngrams("t", 2).alias("n"), char_bigrams("t").alias("c")).collect()
+    assert [r["n"] for r in row] == [["a🙂", "🙂b"], [], [], []] and row[0]["c"] == ["a🙂", "🙂b"]
