@@ -267,7 +267,7 @@ def _han_markdown(spark, sf_dir):
     """Sections of documents with a Han heading per line, and their lines as chunks at matching places."""
     rows = fx.lines(spark, sf_dir, han=True)
     heading = F.concat(F.lit("## 标题标题"), F.col("row_id").cast("string"))
-    body = F.regexp_replace(F.substring("body", 1, 100), " ", "，")
+    body = F.regexp_replace("body", " ", "，")
     part = F.concat(heading, F.lit("\n"), body, F.lit("\n"))
     docs = rows.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", part.alias("p")))), lambda x: x["p"]), "").alias("text"))
     return docs.select(F.concat("document_id", F.lit(".md")).alias("document_key"), "text")
