@@ -15,6 +15,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     stars in a number of rounds that grows with the logarithm of the longest path. Nothing is collected.
     """
     now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    now_state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = None
     for _ in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -22,8 +24,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         after = stored(small, "links")
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = after
-        if same:
+        state, now = now_state(after), after
+        if state == before:
             break
+        before = state
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))

@@ -5,8 +5,11 @@ exact copies take part once. A class has `T` minwise values and a 128-bit sketch
 several independent trees a class walks down from the root: a node picks one of the T values, and with
 probability 1 / threshold - 1 a second, and the class goes to the child of that value. Nodes few classes reach
 are compared exhaustively by sketch; in the others all are compared with the node's least member. What the
-sketches let through is confirmed on full sets. Classes of large nodes that are still apart are branched further
-or, once that is cheap, compared across components only; nothing is capped.
+sketches let through is confirmed on full sets, the least candidate of each class first: most groups are then joined.
+Where members of a node are still apart, only pairs across components are looked at, and of those only pairs that may
+reach the threshold given how many shingles of each no other of these sets has (own shingles are never shared, so a
+class with too many of them has no link at all). Nodes where that is still much work are branched further first;
+nothing is capped.
 
 The depth grows with the logarithm of the number of classes; the number of trees is the smallest with which a pair
 at the threshold meets with probability `recall`.
@@ -30,6 +33,7 @@ from .graph import components
 
 T = 128
 LEAF = 24
+NEAREST = 3
 BROADCAST_IDS = 20_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _rng.integers(1, 1 << 63, T, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,50 +170,74 @@ def compare(rows: DataFrame, limit: int) -> DataFrame:
     def out(node, ids, s0, s1, n, p, p0, p1):
         pairs = []
         small = n <= LEAF
+        near = []
         for k in range(1, LEAF):
             same = np.flatnonzero((node[k:] == node[:-k]) & small[k:]) if len(node) > k else np.empty(0, np.int64)
             if not len(same):
                 break
-            close = same[differing(s0[same], s1[same], s0[same + k], s1[same + k]) <= limit]
-            pairs.append((ids[close], ids[close + k]))
+            bits = differing(s0[same], s1[same], s0[same + k], s1[same + k])
+            near.append(np.stack([same + k, same, bits])[:, bits <= limit])
+        kept = np.empty((3, 0), np.int64) if not near else np.concatenate(near, axis=1).astype(np.int64)
+        kept = kept[:, np.lexsort((kept[2], kept[0]))]
+        close_by = np.arange(kept.shape[1]) - np.searchsorted(kept[0], kept[0], "left")
+        pairs.append((ids[kept[0]], ids[kept[1]]) if not (close_by >= NEAREST).any() else (ids[kept[0, close_by < NEAREST]], ids[kept[1, close_by < NEAREST]]))
+        more = np.isin(node, node[kept[0, close_by >= NEAREST]])  # not all close pairs of these nodes go out: their members do
         large = np.flatnonzero(~small)
         close = large[(differing(s0[large], s1[large], p0[large], p1[large]) <= limit) & (ids[large] != p[large])]
         pairs.append((p[close], ids[close]))
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         none = pa.nulls(len(a), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(large), pa.int64()), pa.array(ids[large]), pa.array(node[large]), pa.array(s0[large]), pa.array(s1[large])], names)
+        open_ = np.flatnonzero(~small | more)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(open_), pa.int64()), pa.array(ids[open_]), pa.array(node[open_]), pa.array(s0[open_]), pa.array(s1[open_])], names)
 
     return counted.mapInArrow(run, "a long, b long, node long, s0 long, s1 long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = stored(ids, "ids")
-    few = ids.count() <= BROADCAST_IDS
+def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, values) of the documents of a stored table of ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    percent = round(100 * threshold)
+    rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
-            out = [shingle_set(t, k).tobytes() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "values"])
+            sets = [shingle_set(t, k).view(np.int64) for t in texts(batch.column(1))]
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["id", "values"])
 
-    found = stored(rows.mapInArrow(sets, "id long, values binary").groupBy("id").agg(F.first("values").alias("values")), "sets")
+    return stored(rows.mapInArrow(run, "id long, values array<bigint>").groupBy("id").agg(F.first("values").alias("values")), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    percent = round(100 * threshold)
 
     def check(batches):
         for batch in batches:
+            x, y = batch.column(2), batch.column(3)
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for i in range(len(batch)):
+                u, v = (c[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (x, y))
+                both = len(np.intersect1d(u, v, assume_unique=True)) if 100 * min(len(u), len(v)) >= percent * max(len(u), len(v)) else 0
+                keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(found.select(F.col("id").alias("a"), F.col("values").alias("x")), "a")
-    return left.join(found.select(F.col("id").alias("b"), F.col("values").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("values").alias("x")), "a")
+    return stored(left.join(sets.select(F.col("id").alias("b"), F.col("values").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "confirmed")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, n, own): the size of each set, and how many of its shingles no other of these sets has."""
+    single = sets.select("id", F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return sets.select("id", F.size("values").cast("long").alias("n")).join(single.groupBy("id").agg(F.count("*").alias("own")), "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def can_reach(a: str, b: str, percent: int):
+    """Whether two sets may reach the threshold: what they share leaves out what is their own, what they span holds it."""
+    c = lambda t, f: F.col(f"{t}.{f}")
+    shared = F.least(c(a, "n") - c(a, "own"), c(b, "n") - c(b, "own"))
+    spanned = F.greatest(c(a, "n") + c(b, "own"), c(b, "n") + c(a, "own"))
+    return 100 * shared >= percent * spanned
 
 
 def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-6) -> DataFrame:
@@ -217,50 +245,61 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: flo
     signed = stored(signatures(docs, k), "signatures")
     grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "s0", "s1", "mins")).alias("m"))
     classes = stored(grouped.select(F.col("m.doc_id").alias("id"), "h1", "h2", "n_shingles", "m.s0", "m.s1", "m.mins"), "classes")
-    limit, n = sketch_limit(threshold), classes.count()
+    limit, n, percent = sketch_limit(threshold), classes.count(), round(100 * threshold)
     depth, trees = plan_trees(n, threshold, recall)
-
     level = stored(compare(walk(classes, depth, threshold, trees), limit), "level")
-    links = None
-    comps = None
-
-    def join_up(confirmed):
-        nonlocal links, comps
-        links = confirmed if links is None else links.unionByName(confirmed)
-        comps = stored(components(links), "components")
+    close = lambda x, y: F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))) + F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) <= limit
 
     def apart(pairs):
         """Pairs whose ends lie in different components."""
-        if comps is None:
-            return pairs
         a, b = comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), comps.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    for step in range(5):
-        pairs = stored(level.where("a is not null").select("a", "b").distinct(), "pairs")
-        first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first") if step == 0 else stored(apart(pairs), "first")
-        join_up(stored(confirm(first, docs, k, threshold), "confirmed"))
-        if step == 0:
-            rest = stored(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
-            if rest.limit(1).count():
-                join_up(stored(confirm(rest, docs, k, threshold), "confirmed"))
-        large = level.where("a is null").select("node", F.col("b").alias("id"), "s0", "s1")
-        placed = large.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # First each class with its least candidate only: that joins most groups, and leaves few pairs to confirm between them.
+    pairs = stored(level.where("a is not null").select("a", "b").distinct(), "pairs")
+    first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    ids = lambda p: stored(p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct(), "ids")
+    links = confirm(first, full_sets(ids(first), docs, k), threshold)
+    comps = stored(components(links), "components")
+    for step in range(6):
+        rest = stored(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
+        members = level.where("a is null").select("node", F.col("b").alias("id"), "s0", "s1").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
         by = Window.partitionBy("node")
-        open_ = stored(placed.withColumn("many", F.min("component").over(by) != F.max("component").over(by)).where("many").drop("many"), "open")
-        per = open_.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("work"))
-        work = per.agg(F.sum("work")).first()[0] or 0
-        if not work:
+        mixed = lambda rows: rows.withColumn("many", F.min("component").over(by) != F.max("component").over(by)).where("many").drop("many")  # noqa: B023, E731
+        open_ = stored(mixed(members), "open")
+        wanted = stored(ids(rest).union(open_.select("id")).distinct(), "ids")
+        if wanted.isEmpty():
             break
-        if work <= max(2_000_000, 40 * n) or step == 4:
-            x, y = open_.alias("x"), open_.alias("y")
-            cross = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") < F.col("y.component")) & (F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) <= limit))
-            last = stored(apart(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()), "last")
-            if last.limit(1).count():
-                join_up(stored(confirm(last, docs, k, threshold), "confirmed"))
+        sets = full_sets(wanted, docs, k)
+        own = stored(own_shingles(sets), "own")
+        # A set b that can be near a has at most (n - own) / threshold - own shingles: a needs such a member in its node.
+        shortest = F.min("n").over(by)
+        reached = percent * (shortest + F.col("own")) <= 100 * (F.col("n") - F.col("own"))
+        small_enough = lambda rows: rows.withColumn("may", reached).where("may").drop("may")  # noqa: B023, E731
+        open_ = stored(mixed(small_enough(open_.join(own, "id"))), "open")
+        per = open_.groupBy("node", "component").agg(F.count("*").alias("m")).groupBy("node").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("work"))
+        work = per.agg(F.sum("work")).first()[0] or 0
+        settled = work <= 50_000_000 + 500 * n or step == 5
+        found = rest.join(own.select(F.col("id").alias("a"), F.struct("n", "own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.struct("n", "own").alias("y")), "b").where(can_reach("x", "y", percent)).select("a", "b")
+        confirmed = confirm(stored(found, "found"), sets, threshold)
+        if settled and work:
+            listed = open_.join(open_.groupBy("id").agg(F.collect_set("node").alias("nodes")), "id").join(sets, "id")
+            listed = stored(listed, "listed")
+            x, y = listed.alias("x"), listed.alias("y")
+            once = F.array_min(F.array_intersect("x.nodes", "y.nodes")) == F.col("x.node")  # a pair that shares several nodes is met in the least
+            both = F.size(F.array_intersect("x.values", "y.values"))
+            linked = 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)  # the cheap tests before it leave few pairs to this one
+            cross = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") < F.col("y.component")) & close("x", "y") & can_reach("x", "y", percent) & once & linked)
+            confirmed = stored(confirmed.unionByName(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))), "confirmed")
+        if not confirmed.isEmpty():
+            links = links.unionByName(confirmed)
+            comps = stored(components(links), "components")
+        if settled:
             break
         deeper = open_.select("node", "id").join(classes.select("id", "s0", "s1", "mins"), "id").select("id", "s0", "s1", "mins", "node")
         level = stored(compare(walk(deeper, 2, threshold), limit), "level")
+        pairs = stored(level.where("a is not null").select("a", "b").distinct(), "pairs")
+        first = found
 
     of_class = classes.select("h1", "h2", "n_shingles", "id").join(comps, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"))
     named = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")
