@@ -119,13 +119,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     """(doc_id, lo, hi): the windows starting in lo..hi also start in a document of smaller id."""
     edges = stored(document_edges(docs, window, k), "edges")
     vertices = edges.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("content") != F.max("content")).alias("branches")).where("least < most").select("vertex", "least", "branches")
+    vertices = stored(vertices, "vertices")  # a plain table on both sides lets Spark split a hot vertex
     repeated = stored(edges.join(vertices, "vertex"), "repeated")
     settled = repeated.where("not branches and doc_id > least").select("doc_id", "lo", "hi")
     branching = repeated.where("branches").select("doc_id", "lo", "hi", "vertex", "content")
-    held = branching.groupBy("vertex", "content").agg(F.min("doc_id").alias("least"))
+    held = stored(branching.groupBy("vertex", "content").agg(F.min("doc_id").alias("least")), "held")
     judged = stored(branching.join(held, ["vertex", "content"]), "judged")
     windows = stored(open_windows(docs, judged.where("doc_id = least").select("doc_id", "lo", "hi", "vertex").distinct(), window, k), "windows")
     first = windows.groupBy("vertex", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("vertex", "content", "least")
+    first = stored(first, "first")
     single = windows.join(first, ["vertex", "content"]).where("doc_id > least").select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return settled.unionByName(judged.where("doc_id > least").select("doc_id", "lo", "hi")).unionByName(single)
 
