@@ -1,10 +1,11 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
 A header is a line that holds a licence word. Its terms `[a-z0-9]+(\\.[0-9]+)*` (A-Z lower-cased) are weighed by
-tf * idf with idf = ln((1 + N) / (1 + df)) + 1, where N and df count all documents; a term that no template has
-counts with df 0 (only the templates' terms, a fixed vocabulary, are counted). The best template with a cosine
-of at least `least` is the file's own licence. A file without one takes that of the licence file in its nearest
-ancestor directory. A licence file is one of at most `file_words` words that has a licence of its own.
+tf * idf with idf = 1 - ln(df / N + RARE), where N and df count all documents, for every term of a header or a
+template: a score depends on the shares of the terms, not on the size of the corpus. The template (one of several
+forms of a licence) with the best cosine of at least `least` is the file's own licence. A file without one takes
+that of the licence file in its nearest ancestor directory. A licence file is one of at most `file_words` words that
+has a licence of its own.
 
 All steps are DataFrame functions. Edge cases: null or empty text has no licence of its own; ties go to the
 template first by name; several licence files in a directory: the highest cosine, then the lowest id; null path
@@ -21,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 TEMPLATES = {
     "agpl-3.0": "Licensed under the GNU Affero General Public License, version 3",
     "all-rights-reserved": "Copyright. All rights reserved",
@@ -35,46 +38,68 @@ TEMPLATES = {
     "mit": "Released under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
 }
+CREATIVE = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+#: Other forms that headers have. The SQL knows TEMPLATES only.
+FORMS = [
+    ("all-rights-reserved", "All rights reserved"), ("mit", "MIT License"), ("mit", "The MIT License (MIT)"),
+    ("apache-2.0", "Apache License 2.0"), ("apache-2.0", "Apache License Version 2.0, January 2004"), ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License)"),
+    ("bsd-2-clause", "BSD 2-Clause License"), ("bsd-3-clause", "BSD 3-Clause License"),
+    ("mpl-2.0", "Mozilla Public License Version 2.0"), ("mpl-2.0", "Licensed under the Mozilla Public License 2.0"), ("cc0-1.0", "CC0 1.0 Universal public domain dedication"), ("cc0-1.0", "Licensed under CC0 1.0"),
+    *[(f"{short}-{v if '.' in v else v + '.0'}", f"{form} {name} General Public License, version {v}") for short, name, versions in (("gpl", "GNU", "123"), ("lgpl", "GNU Lesser", ("2.1", "3")), ("agpl", "GNU Affero", "3")) for v in versions for form in ("", "Licensed under the", "under the terms of the")],
+    *[(f"cc-{short}-4.0", form) for short, name in CREATIVE.items() for form in (f"Licensed under CC {short} 4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License", f"Creative Commons {name} 4.0 International Public License")],
+]
 LICENCE_WORDS = r"(?i)licen[sc]e|copyright|rights reserved|public domain|redistribut"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST, FILE_WORDS = 0.6, 30
+RARE = 1e-4
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
 
 
+def counts(text: str) -> list[tuple[str, int]]:
+    return sorted(Counter(re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))).items())
+
+
 def template_terms() -> list[tuple[str, str, int]]:
-    """(licence, term, tf) of all templates."""
-    return [(name, term, n) for name, text in TEMPLATES.items() for term, n in sorted(Counter(re.findall(TERM, text.lower())).items())]
+    """(licence, term, tf) of TEMPLATES, for the SQL."""
+    return [(name, term, n) for name, text in TEMPLATES.items() for term, n in counts(text)]
 
 
-def term_weights(docs: DataFrame) -> tuple[DataFrame, float]:
-    """idf of the templates' terms over all documents, and of any other term."""
-    vocabulary = sorted({t for _, t, _ in template_terms()})
-    present = F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*[F.lit(t) for t in vocabulary]))
-    counted = {r["term"]: r["n"] for r in docs.select(F.explode(present).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    n = docs.count()
-    rows = [(t, math.log((1 + n) / (1 + counted.get(t, 0))) + 1) for t in vocabulary]
-    return docs.sparkSession.createDataFrame(rows, "term string, idf double"), math.log(1 + n) + 1
+def term_weights(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, idf) of the wanted terms, from their share of all documents."""
+    n = max(docs.count(), 1)
+    df = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return wanted.join(df, "term", "left").select("term", (1 - F.log(F.coalesce("df", F.lit(0)) / F.lit(n) + F.lit(RARE))).alias("idf"))
+
+
+def weighed_templates(weights: DataFrame) -> DataFrame:
+    """(form, licence, term, weight) of all templates, each of length 1."""
+    spark = weights.sparkSession
+    rows = [(i, licence, term, n) for i, (licence, text) in enumerate([*TEMPLATES.items(), *FORMS]) for term, n in counts(text)]
+    vocabulary = spark.createDataFrame([(t,) for t in sorted({r[2] for r in rows})], "term string")
+    idf = {r["term"]: r["idf"] for r in weights.join(F.broadcast(vocabulary), "term").collect()}
+    norms = Counter()
+    for i, _, term, n in rows:
+        norms[i] += (n * idf[term]) ** 2
+    return spark.createDataFrame([(i, licence, term, n * idf[term] / math.sqrt(norms[i])) for i, licence, term, n in rows], "form int, licence string, term string, weight double")
 
 
 def own_licences(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, licence, cosine, n_words) of the documents that have a header like a template."""
     spark = docs.sparkSession
-    weights, other = term_weights(docs)
-    idf = {r["term"]: r["idf"] for r in weights.collect()}
-    norms = Counter()
-    for name, term, n in template_terms():
-        norms[name] += (n * idf[term]) ** 2
-    templates = spark.createDataFrame([(name, term, n * idf[term] / math.sqrt(norms[name])) for name, term, n in template_terms()], "licence string, term string, weight double")
-    lines = docs.where(F.col("text").rlike(LICENCE_WORDS)).select("doc_id", F.size(F.split("text", "[ \\t-\\r]+")).alias("n_words"), F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x.rlike(LICENCE_WORDS)))).alias("line"))
-    counted = lines.select("doc_id", "n_words", "line", F.explode(terms(F.col("line"))).alias("term")).groupBy("doc_id", "n_words", "line", "term").agg(F.count("*").alias("tf"))
-    weighed = counted.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norm = weighed.groupBy("doc_id", "n_words", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = weighed.join(F.broadcast(templates), "term").groupBy("doc_id", "n_words", "line", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dot.join(norm, ["doc_id", "n_words", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
+    lines = docs.where(F.col("text").rlike(LICENCE_WORDS)).select("doc_id", F.size(F.split("text", "[ \\t-\\r]+")).alias("n_words"), F.xxhash64("text").alias("text_id"), F.posexplode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x.rlike(LICENCE_WORDS)))).alias("part", "line"))
+    key = ["doc_id", "n_words", "text_id", "part"]
+    counted = stored(lines.select(*key, F.explode(terms(F.col("line"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf")), "licence-terms")
+    of_templates = spark.createDataFrame([(t,) for t in sorted({t for text in [*TEMPLATES.values(), *(x for _, x in FORMS)] for t, _ in counts(text)})], "term string")
+    weights = stored(term_weights(docs, counted.select("term").union(of_templates).distinct()), "licence-weights")
+    templates = weighed_templates(weights)
+    weighed = counted.join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = weighed.join(F.broadcast(templates), "term").groupBy(*key, "form", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cosine = dot.join(norm, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
     best = F.min_by(F.struct("licence", "cosine", "n_words"), F.struct(-F.col("cosine"), "licence"))
     return cosine.groupBy("doc_id").agg(best.alias("best")).select("doc_id", "best.*")
 

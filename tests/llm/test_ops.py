@@ -180,6 +180,16 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("times", [1, 30])
+def test_licence_scores_do_not_depend_on_corpus_size(spark, times):
+    lines = ["All rights reserved.", "Licensed under CC BY-NC 4.0.", "Copyright notice kept here, all rights reserved."]
+    texts = [*lines, *["here is a notice kept"] * 97, *["the plain words"] * 100]
+    rows = spark.createDataFrame([(i + len(texts) * k, t) for k in range(times) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: (r["licence"], r["cosine"]) for r in licences.own_licences(rows).collect()}
+    assert len(got) == 3 * times and got[0] == ("all-rights-reserved", 1.0) and got[1] == ("cc-by-nc-4.0", 1.0)
+    assert got[2] == ("all-rights-reserved", pytest.approx(0.968, abs=2e-3))
+
+
 # --- near copies
 
 
