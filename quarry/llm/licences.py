@@ -1,11 +1,13 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-A header is a line that holds a licence word. Its terms `[a-z0-9]+(\\.[0-9]+)*` (A-Z lower-cased) are weighed by
+A document that holds a licence word is compared as a whole with the full licence texts (licence_texts; a cosine of
+WHOLE) and with the short forms, and line by line with the short forms. A header is a line that holds a licence word. Its terms `[a-z0-9]+(\\.[0-9]+)*` (A-Z lower-cased) are weighed by
 tf * idf with idf = 1 - ln(df / N + RARE), where N and df count all documents, for every term of a header or a
-template: a score depends on the shares of the terms, not on the size of the corpus. The template (one of several
+document that may be a licence file: a score depends on the shares of the terms, not on the size of the corpus. The template (one of several
 forms of a licence) with the best cosine of at least `least` is the file's own licence. A file without one takes
-that of the licence file in its nearest ancestor directory. A licence file is one of at most `file_words` words that
-has a licence of its own.
+that of the licence file in its nearest ancestor directory. A licence file is one that as a whole is like a template,
+of any length, or one named like LICENSE or COPYING that has a licence of its own. What a full text says goes before
+what its lines say (the GPL names other licences).
 
 All steps are DataFrame functions. Edge cases: null or empty text has no licence of its own; ties go to the
 template first by name; several licence files in a directory: the highest cosine, then the lowest id; null path
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +54,9 @@ FORMS = [
 LICENCE_WORDS = r"(?i)licen[sc]e|copyright|rights reserved|public domain|redistribut"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEAST, FILE_WORDS = 0.6, 30
-RARE = 1e-4
+LEAST, FILE_WORDS = 0.6, 30  # FILE_WORDS is the SQL's
+RARE, WHOLE = 1e-4, 0.9
+NAME = r"(?i)(?:^|/)(?:un)?(?:licen[sc]e|copying)(?:[-_.](?:txt|md|rst|html?|mit|apache|bsd|isc|[al]?gpl|lesser|mpl|cc0?|by|nc|nd|sa|v?[0-9]+))*$"
 
 
 def terms(text: Column) -> Column:
@@ -68,6 +72,12 @@ def template_terms() -> list[tuple[str, str, int]]:
     return [(name, term, n) for name, text in TEMPLATES.items() for term, n in counts(text)]
 
 
+def templates() -> list[tuple[str, str, bool]]:
+    """(licence, text, whether it is the full text) of all templates."""
+    full = sorted((f for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [(name, text, False) for name, text in [*TEMPLATES.items(), *FORMS]] + [(f.name.removesuffix(".txt"), f.read_text("utf-8"), True) for f in full]
+
+
 def term_weights(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(term, idf) of the wanted terms, from their share of all documents."""
     n = max(docs.count(), 1)
@@ -75,36 +85,36 @@ def term_weights(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(df, "term", "left").select("term", (1 - F.log(F.coalesce("df", F.lit(0)) / F.lit(n) + F.lit(RARE))).alias("idf"))
 
 
-def weighed_templates(weights: DataFrame) -> DataFrame:
-    """(form, licence, term, weight) of all templates, each of length 1."""
+def weighed_templates(weights: DataFrame, rows: list[tuple[int, str, bool, str, int]]) -> DataFrame:
+    """(form, licence, full, term, weight) of all templates, each of length 1."""
     spark = weights.sparkSession
-    rows = [(i, licence, term, n) for i, (licence, text) in enumerate([*TEMPLATES.items(), *FORMS]) for term, n in counts(text)]
-    vocabulary = spark.createDataFrame([(t,) for t in sorted({r[2] for r in rows})], "term string")
+    vocabulary = spark.createDataFrame([(t,) for t in sorted({r[3] for r in rows})], "term string")
     idf = {r["term"]: r["idf"] for r in weights.join(F.broadcast(vocabulary), "term").collect()}
     norms = Counter()
-    for i, _, term, n in rows:
+    for i, _, _, term, n in rows:
         norms[i] += (n * idf[term]) ** 2
-    return spark.createDataFrame([(i, licence, term, n * idf[term] / math.sqrt(norms[i])) for i, licence, term, n in rows], "form int, licence string, term string, weight double")
+    return spark.createDataFrame([(i, licence, full, term, n * idf[term] / math.sqrt(norms[i])) for i, licence, full, term, n in rows], "form int, licence string, full boolean, term string, weight double")
 
 
 def own_licences(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, licence, cosine, n_words) of the documents that have a header like a template."""
-    spark = docs.sparkSession
-    lines = docs.where(F.col("text").rlike(LICENCE_WORDS)).select("doc_id", F.size(F.split("text", "[ \\t-\\r]+")).alias("n_words"), F.xxhash64("text").alias("text_id"), F.posexplode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x.rlike(LICENCE_WORDS)))).alias("part", "line"))
-    key = ["doc_id", "n_words", "text_id", "part"]
-    counted = stored(lines.select(*key, F.explode(terms(F.col("line"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf")), "licence-terms")
-    of_templates = spark.createDataFrame([(t,) for t in sorted({t for text in [*TEMPLATES.values(), *(x for _, x in FORMS)] for t, _ in counts(text)})], "term string")
+    """(doc_id, licence, cosine, whole) of the documents that as a whole, or in a header, are like a template."""
+    forms = [(i, licence, full, term, n) for i, (licence, text, full) in enumerate(templates()) for term, n in counts(text)]
+    headers = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x.rlike(LICENCE_WORDS)))
+    parts = docs.where(F.col("text").rlike(LICENCE_WORDS)).select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.concat(F.array("text"), headers)).alias("part", "body"))  # part 0 is the whole
+    key = ["doc_id", "text_id", "part"]
+    counted = stored(parts.select(*key, F.explode(terms(F.col("body"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf")), "licence-terms")
+    of_templates = docs.sparkSession.createDataFrame([(t,) for t in sorted({f[3] for f in forms})], "term string")
     weights = stored(term_weights(docs, counted.select("term").union(of_templates).distinct()), "licence-weights")
-    templates = weighed_templates(weights)
     weighed = counted.join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = weighed.join(F.broadcast(templates), "term").groupBy(*key, "form", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dot.join(norm, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
-    best = F.min_by(F.struct("licence", "cosine", "n_words"), F.struct(-F.col("cosine"), "licence"))
-    return cosine.groupBy("doc_id").agg(best.alias("best")).select("doc_id", "best.*")
+    of_forms = F.broadcast(weighed_templates(weights, forms))
+    dot = weighed.join(of_forms, "term").where("part = 0 or not full").groupBy(*key, "form", "licence", "full").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cosine = dot.join(norm, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where((F.col("cosine") >= least) & (~F.col("full") | (F.col("cosine") >= WHOLE)))
+    best = F.min_by(F.struct("licence", "cosine"), F.struct(~F.col("full"), -F.col("cosine"), "licence"))
+    return cosine.groupBy("doc_id").agg(best.alias("best"), F.max(F.col("part") == 0).alias("whole")).select("doc_id", "best.*", "whole")
 
 
-def scan_licences(files: DataFrame, least: float = LEAST, file_words: int = FILE_WORDS) -> DataFrame:
+def scan_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, path, licence, cosine, found) of every row of files (doc_id, path, text); found is own, inherited or none."""
     rows = files.select(F.col("doc_id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string"))
     own = own_licences(rows, least)
@@ -112,7 +122,7 @@ def scan_licences(files: DataFrame, least: float = LEAST, file_words: int = FILE
     placed = rows.select("doc_id", "path", directory.alias("directory"))
     with_own = placed.join(own, "doc_id", "left")
     of_directory = (
-        with_own.where((F.col("n_words") <= file_words) & F.col("directory").isNotNull())
+        with_own.where((F.col("whole") | F.col("path").rlike(NAME) & F.col("licence").isNotNull()) & F.col("directory").isNotNull())
         .groupBy(F.col("directory").alias("ancestor")).agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "doc_id")).alias("given"))
     )
     parts = F.split("directory", "/")

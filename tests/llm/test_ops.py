@@ -190,6 +190,22 @@ def test_licence_scores_do_not_depend_on_corpus_size(spark, times):
     assert got[2] == ("all-rights-reserved", pytest.approx(0.968, abs=2e-3))
 
 
+def test_licence_files_of_any_length(spark):
+    full = {name: text for name, text, whole in licences.templates() if whole}
+    assert {"mit", "apache-2.0", "gpl-2.0", "gpl-3.0", "agpl-3.0", "mpl-2.0"} <= set(full)
+    mit = full["mit"].replace("<year> <owner>", "2021 Jane Roe and Richard Doe")
+    rows = [
+        (1, "m/doc_1", mit), (2, "m/src/x.py", "code " * 40), (3, "g/COPYING", full["gpl-3.0"]), (4, "g/a/b.c", "int main"), (5, "f/COPYING.txt", full["agpl-3.0"]),
+        (6, "n/LICENSE.md", "Creative Commons Attribution-NonCommercial 4.0 International Public License\n" + "terms of use " * 60), (7, "n/a/b", "text"),
+        (8, "p/story.txt", "prose " * 90 + "\nReleased under the MIT License."), (9, "p/other.txt", "prose"),
+    ]
+    got = {r["doc_id"]: (r["licence"], r["found"]) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("mit", "own"), 2: ("mit", "inherited"), 3: ("gpl-3.0", "own"), 4: ("gpl-3.0", "inherited"), 5: ("agpl-3.0", "own"),
+        6: ("cc-by-nc-4.0", "own"), 7: ("cc-by-nc-4.0", "inherited"), 8: ("mit", "own"), 9: (None, "none"),
+    }
+
+
 # --- near copies
 
 
