@@ -8,11 +8,12 @@ are compared exhaustively by sketch; in the others all are compared with the nod
 sketches let through is confirmed on full sets, the least candidate of each class first: most groups are then joined.
 Where members of a node are still apart, only pairs across components are looked at, and of those only pairs that may
 reach the threshold given how many shingles of each no other of these sets has (own shingles are never shared, so a
-class with too many of them has no link at all). Nodes where that is still much work are branched further first;
-nothing is capped.
+class with too many of them has no link at all). Where that is still much work, the
+same sets are joined on their rarest shingles instead (a prefix filter, exact at the threshold); nothing is capped.
 
 The depth grows with the logarithm of the number of classes; the number of trees is the smallest with which a pair
-at the threshold meets with probability `recall`.
+at the threshold meets with probability `recall`; over the chance of its T minwise values it misses more often (7e-6
+at a million classes, computed).
 
 Edge cases: fewer words than k make the whole sequence one shingle; no words or null text make an empty set,
 linked with nothing; rows of one doc_id count as one document in the graph; a null doc_id is linked with nothing
@@ -34,6 +35,7 @@ from .graph import components
 T = 128
 LEAF = 24
 NEAREST = 3
+WORK, WORK_EACH = 50_000_000, 500
 BROADCAST_IDS = 20_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _rng.integers(1, 1 << 63, T, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,10 +115,9 @@ def _signs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def walk(classes: DataFrame, levels: int, threshold: float, trees: int | None = None) -> DataFrame:
-    """(node, id, s0, s1) after so many levels, from the roots of the trees or from the nodes that classes has."""
+def walk(classes: DataFrame, levels: int, threshold: float, trees: int) -> DataFrame:
+    """(node, id, s0, s1) after so many levels from the roots of the trees."""
     second = 1 / threshold - 1
-    columns = ["id", "s0", "s1", "mins"] + ([] if trees else ["node"])
 
     def run(batches):
         for whole in batches:
@@ -126,14 +127,14 @@ def walk(classes: DataFrame, levels: int, threshold: float, trees: int | None =
                 if not n:
                     continue
                 mins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(n, T)
-                owner = np.repeat(np.arange(n), trees or 1)
-                nodes = mix(np.tile(np.arange(1, (trees or 0) + 1, dtype=np.uint64), n) * C2) if trees else batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+                owner = np.repeat(np.arange(n), trees)
+                nodes = mix(np.tile(np.arange(1, trees + 1, dtype=np.uint64), n) * C2)
                 for _ in range(levels):
                     nodes, owner = branch(nodes, mins, owner, second)
                 pick = [batch.column(c).to_numpy(zero_copy_only=False)[owner] for c in range(3)]
                 yield pa.RecordBatch.from_arrays([_signs(nodes), *map(pa.array, pick)], ["node", "id", "s0", "s1"])
 
-    return classes.select(*columns).mapInArrow(run, "node long, id long, s0 long, s1 long")
+    return classes.select("id", "s0", "s1", "mins").mapInArrow(run, "node long, id long, s0 long, s1 long")
 
 
 def differing(a0, a1, b0, b1) -> np.ndarray:
@@ -240,6 +241,19 @@ def can_reach(a: str, b: str, percent: int):
     return 100 * shared >= percent * spanned
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members (id, component, n, own) across components that may reach the threshold: of the shingles of a set in one
+    order, rarest first, two such sets share one of the first n - ceil(n * threshold) + 1."""
+    each = sets.join(members.select("id"), "id", "left_semi").select("id", F.size("values").alias("size"), F.explode("values").alias("value"))
+    shared = each.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(shared, "value", "left").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("c", F.lit(1)), "value")))
+    first = ranked.where(F.col("c").isNotNull() & (F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100 - 1e-9) + 1)).select("id", "value")
+    first = stored(first.join(members, "id"), "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.component") < F.col("y.component")) & can_reach("x", "y", percent))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     signed = stored(signatures(docs, k), "signatures")
@@ -261,28 +275,28 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: flo
     ids = lambda p: stored(p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct(), "ids")
     links = confirm(first, full_sets(ids(first), docs, k), threshold)
     comps = stored(components(links), "components")
-    for step in range(6):
-        rest = stored(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
-        members = level.where("a is null").select("node", F.col("b").alias("id"), "s0", "s1").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        by = Window.partitionBy("node")
-        mixed = lambda rows: rows.withColumn("many", F.min("component").over(by) != F.max("component").over(by)).where("many").drop("many")  # noqa: B023, E731
-        open_ = stored(mixed(members), "open")
-        wanted = stored(ids(rest).union(open_.select("id")).distinct(), "ids")
-        if wanted.isEmpty():
-            break
+    rest = stored(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
+    members = level.where("a is null").select("node", F.col("b").alias("id"), "s0", "s1").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by = Window.partitionBy("node")
+    mixed = lambda rows: rows.withColumn("many", F.min("component").over(by) != F.max("component").over(by)).where("many").drop("many")
+    open_ = stored(mixed(members), "open")
+    wanted = stored(ids(rest).union(open_.select("id")).distinct(), "ids")
+    if not wanted.isEmpty():
         sets = full_sets(wanted, docs, k)
         own = stored(own_shingles(sets), "own")
         # A set b that can be near a has at most (n - own) / threshold - own shingles: a needs such a member in its node.
         shortest = F.min("n").over(by)
         reached = percent * (shortest + F.col("own")) <= 100 * (F.col("n") - F.col("own"))
-        small_enough = lambda rows: rows.withColumn("may", reached).where("may").drop("may")  # noqa: B023, E731
+        small_enough = lambda rows: rows.withColumn("may", reached).where("may").drop("may")
         open_ = stored(mixed(small_enough(open_.join(own, "id"))), "open")
         per = open_.groupBy("node", "component").agg(F.count("*").alias("m")).groupBy("node").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("work"))
         work = per.agg(F.sum("work")).first()[0] or 0
-        settled = work <= 50_000_000 + 500 * n or step == 5
         found = rest.join(own.select(F.col("id").alias("a"), F.struct("n", "own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.struct("n", "own").alias("y")), "b").where(can_reach("x", "y", percent)).select("a", "b")
         confirmed = confirm(stored(found, "found"), sets, threshold)
-        if settled and work:
+        if work > WORK + WORK_EACH * n:
+            met = prefix_pairs(open_.select("id", "component", "n", "own").distinct(), sets, percent)
+            confirmed = stored(confirmed.unionByName(confirm(stored(met, "met"), sets, threshold)), "confirmed")
+        elif work:
             listed = open_.join(open_.groupBy("id").agg(F.collect_set("node").alias("nodes")), "id").join(sets, "id")
             listed = stored(listed, "listed")
             x, y = listed.alias("x"), listed.alias("y")
@@ -294,12 +308,6 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: flo
         if not confirmed.isEmpty():
             links = links.unionByName(confirmed)
             comps = stored(components(links), "components")
-        if settled:
-            break
-        deeper = open_.select("node", "id").join(classes.select("id", "s0", "s1", "mins"), "id").select("id", "s0", "s1", "mins", "node")
-        level = stored(compare(walk(deeper, 2, threshold), limit), "level")
-        pairs = stored(level.where("a is not null").select("a", "b").distinct(), "pairs")
-        first = found
 
     of_class = classes.select("h1", "h2", "n_shingles", "id").join(comps, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"))
     named = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")

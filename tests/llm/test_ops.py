@@ -238,6 +238,28 @@ def test_near_copies(spark, docs, k):
     assert got == brute_components(corpus(), k)
 
 
+def test_near_copies_where_nodes_are_much_work(spark, monkeypatch):
+    """Many texts that share boilerplate and are not linked: what the walk leaves open is settled, pair for pair."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    shared, rows = rng.choices(vocabulary, k=100), []
+    for i in range(80):
+        w = shared + rng.choices(vocabulary, k=16)
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([*w[:-6], *rng.choices(vocabulary, k=6)])), (3 * i + 2, " ".join([*rng.choices(vocabulary, k=8), *w[8:-5], *rng.choices(vocabulary, k=5)]))]
+    documents = spark.createDataFrame(rows, DOCS)
+    sets = spark.createDataFrame([(i, sorted({zlib.crc32(" ".join(w[j : j + 2]).encode()) for j in range(len(w) - 1)})) for i, t in rows for w in [t.split()]], "id long, values array<bigint>")
+    values = {r["id"]: set(r["values"]) for r in sets.collect()}
+    near = {(a, b) for a in values for b in values if a < b and 100 * len(values[a] & values[b]) >= 80 * len(values[a] | values[b])}
+    members = neardup.own_shingles(sets).withColumn("component", F.col("id"))
+    met = {(r["a"], r["b"]) for r in neardup.prefix_pairs(members, sets, 80).collect()}
+    assert near and near <= met
+    answer = lambda: {r["doc_id"]: r["component_id"] for r in neardup.near_copies(documents, k=2).collect()}
+    want = answer()
+    monkeypatch.setattr(neardup, "WORK", -1)
+    monkeypatch.setattr(neardup, "WORK_EACH", 0)
+    assert answer() == want
+
+
 def test_near_copies_of_one_large_group(spark):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
