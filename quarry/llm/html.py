@@ -2,7 +2,8 @@
 
 A page becomes a tree of its block elements (inline elements only pass their text on). Every paragraph gives
 points for its length and commas to its parent, half of them to its grandparent, discounted by the share of
-its text inside links. The container with the most points wins; siblings that look like text join it.
+its text inside links. The container with the most points wins. Its nearest article or main, or the whole page where it
+has none, gives the text: all that lies beside the container, except what is mostly links.
 Elements that are never article text (scripts, menus, forms, adverts, comments and the like, by element name
 or by words of class, id and role) are left out at every step.
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "noembed", "object"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "head", "dialog", "menu", "fieldset", "figcaption"} | RAW
-BLOCKS = {"html", "body", "div", "p", "article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "blockquote", "pre", "figure", "address", "details", "summary", "hr", "center", "caption"} | (DROPPED - RAW)
+DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "head", "dialog", "menu", "fieldset"} | RAW
+BLOCKS = {"html", "body", "div", "p", "article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "hr", "center", "caption"} | (DROPPED - RAW)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"hr"}
 CLOSED_BY_BLOCK = {"p"}
 UNLIKELY = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "comment-list", "commentlist", "respond", "replies", "cookie", "cookies", "consent", "gdpr", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "alert", "popup", "modal", "promo", "promoted", "related", "share", "sharing", "sidebar", "side", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "pagination", "complementary", "contentinfo", "search", "skip"}
@@ -146,44 +148,45 @@ def score(root: Node) -> Node | None:
     return best
 
 
-def _blocks(node: Node, out: list[str], top: bool = True) -> None:
-    """Block texts in page order, without what is left out and lists of links."""
-    todo = [(node, iter(node.kids), [])]
+def _blocks(up: list[Node]) -> list[str]:
+    """Block texts in page order of the last of up, without what is left out and lists of links, and beside the first of up (the container) without what is mostly links."""
+    top, way, above = up[-1], set(up), set(up[1:])
+    out: list[str] = []
+
+    def put(node: Node, run: list[tuple[str, bool]]) -> None:
+        if node in above:
+            linked, chars = (sum(len(x.strip()) for x, is_link in run if is_link or not links) for links in (True, False))
+            if linked > 0.5 * chars:
+                run.clear()
+        out.append(unescape("".join(x[0] for x in run)))
+        run.clear()
+
+    todo = [(top, iter(top.kids), [])]
     while todo:
         here, kids, run = todo[-1]
         for kid in kids:
             if isinstance(kid, Node):
-                if run:
-                    out.append(unescape("".join(run)))
-                    run.clear()
-                if not kid.dropped and not (kid.links >= 3 and kid.linked > 0.66 * max(1, kid.chars) and kid.tag in ("ul", "ol", "div", "table", "section", "dl")):
+                put(here, run)
+                links = kid.links >= 3 and kid.linked > 0.66 * max(1, kid.chars) and kid.tag in ("ul", "ol", "div", "table", "section", "dl") or here in above and kid.tag not in HEADINGS and kid.linked > 0.5 * kid.chars
+                if not kid.dropped and (kid in way or not links):
                     todo.append((kid, iter(kid.kids), []))
                     break
             else:
-                run.append(kid[0])
+                run.append(kid)
         else:
-            if run:
-                out.append(unescape("".join(run)))
+            put(here, run)
             todo.pop()
+    return out
 
 
 def main_text(html: str) -> str:
     """The page's article: blocks joined by an empty line."""
     root = parse(html)
     best = score(root)
-    chosen = [root] if best is None else [best]
-    if best is not None and best.parent is not None:
-        least = max(10.0, 0.2 * best.points)
-        chosen = []
-        for kid in best.parent.kids:
-            if not isinstance(kid, Node) or kid.dropped:
-                continue
-            plain = kid.chars and kid.linked / kid.chars < 0.25
-            if kid is best or kid.points >= least or kid.tag in ("p", "pre", "blockquote") and plain and kid.chars > 80:
-                chosen.append(kid)
-    out: list[str] = []
-    for node in chosen:
-        _blocks(node, out)
+    up = [root] if best is None else [best]
+    while up[-1].parent is not None and up[-1].tag not in ("article", "main"):
+        up.append(up[-1].parent)
+    out = _blocks(up)
     return "\n\n".join(x for x in (" ".join(t.split()) for t in out) if x)
 
 

@@ -165,6 +165,14 @@ def test_html(spark):
     assert html.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_html_keeps_divided_articles(frame):
+    long = "".join(f"<p>Paragraph {i}, of some length, with commas, and more, and more, and more of it.</p>" for i in range(12))
+    inner = f"<h1><a>Head</a></h1>Bare text.<section>{long}</section><h2>Next</h2><section><p>Short part.</p></section><ul><li>Item</li></ul><table><tr><td>Cell</td></tr></table><figure><figcaption>Caption</figcaption></figure><ul><li><a>L1</a></li><li><a>L2</a></li><li><a>L3</a></li></ul><div class=ad>Buy</div><p>End.</p>"
+    got = html.main_text(f"<body><nav>Menu</nav><div><a>Home</a> <a>About</a></div>{frame.format(inner)}<footer>foot</footer></body>").split("\n\n")
+    assert got[:2] == ["Head", "Bare text."] and got[14:] == ["Next", "Short part.", "Item", "Cell", "Caption", "End."] and len(got) == 20
+
+
 # --- licences
 
 
