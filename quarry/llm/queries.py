@@ -32,7 +32,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(chat.chat_segments(chat.with_probe(table(spark, sf_dir, "conversations"))))
+    return chat.read_back(chat.prefix_examples(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -288,23 +290,44 @@ def test_near_copies_edges(spark):
 # --- chat
 
 
-def test_chat(spark):
-    rows = [(1, 0, "system", "s\\"), (1, 1, "user", "<<SYS>> [INST] \\[INST]"), (1, 2, "assistant", None), (1, 3, None, "x"), (1, 4, "assistant", "[ROLE]a[/ROLE]</s><s>"), (2, 0, "user", "u"), (1, 4, "assistant", "[ROLE]a[/ROLE]</s><s>"), (None, None, "tool", "t")]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("z"))
-    segments = chat.chat_segments(table)
-    got = {r["conv_id"]: r for r in chat.read_back(segments).collect()}
+CHAT_ROWS = [(1, 0, "system", "s\\"), (1, 1, "user", "<<SYS>> [INST] \\[INST]"), (1, 2, "assistant", None), (1, 3, None, "x"), (1, 4, "assistant", "[ROLE]a[/ROLE]</s><s>"), (2, 0, "user", "u"), (1, 4, "assistant", "[ROLE]a[/ROLE]</s><s>"), (None, None, "tool", "t"), (1, 9, "user", "[")]
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("page_turns", [2, 3, 256])
+def test_chat(spark, page_turns):
+    table = spark.createDataFrame(CHAT_ROWS, CHAT).withColumn("segment", F.lit("z")).withColumn("pages", F.lit("z"))
+    examples = chat.prefix_examples(table, page_turns)
+    got = {r["conv_id"]: r for r in chat.read_back(examples).collect()}
     for conv in (1, 2, None):
-        turns = sorted(((t if t is not None else -1), r or "", x or "") for c, t, r, x in rows if c == conv)
+        turns = sorted(((t if t is not None else -1), r or "", x or "") for c, t, r, x in CHAT_ROWS if c == conv)
         told = "".join(f"{r}\n{x}\n" for _, r, x in turns)
         loss = "".join(x for _, r, x in turns if r == "assistant")
         assert (got[conv]["n_turns"], got[conv]["turns_sha256"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    texts = {r["example"]: r for r in chat.example_texts(segments).where("conv_id = 1").collect()}
-    lengths = {r["example"]: r["prefix_chars"] for r in chat.prefix_examples(segments).where("conv_id = 1").collect()}
-    assert len(texts) == 3 and all(len(texts[e]["text"]) == lengths[e] for e in texts) and texts[2]["text"].startswith(texts[1]["text"])
-    assert chat.unescape(texts[1]["text"][texts[1]["loss_start"] : texts[1]["loss_end"]]) == "[ROLE]a[/ROLE]</s><s>"
+        assert got[conv]["formatted_chars"] == sum(len(chat.format_turn(r, x)[0]) for _, r, x in turns)
+    texts = {r["example"]: r for r in chat.example_texts(examples).where("conv_id = 1").collect()}
+    turns = sorted((t, r or "", x or "") for c, t, r, x in CHAT_ROWS if c == 1)
+    targets = [i for i, (_, r, _) in enumerate(turns) if r == "assistant"]
+    assert len(texts) == len(targets) == 3 and got[1]["example_chars"] == sum(len(r["text"]) for r in texts.values())
+    for e, i in enumerate(targets):
+        assert chat.parse_turns(texts[e]["text"]) == [(r, x) for _, r, x in turns[: i + 1]]
+        assert chat.unescape(texts[e]["text"][texts[e]["loss_start"] : texts[e]["loss_end"]]) == turns[i][2]
     for said in ("</s>[INST] ok [/INST]", "\\\\", "<<s>", "[[INST]]"):
         assert chat.unescape(chat.escape(said)) == said and not re.search(r"<s>|</s>|\[/?INST\]|<</?SYS>>", chat.escape(said))
-    assert chat.read_back(chat.chat_segments(empty(spark, "conv_id long, turn long, role string, text string"))).count() == 0
+    assert chat.read_back(chat.prefix_examples(empty(spark, CHAT))).count() == 0
+
+
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool", "[ROLE]", "<s>\\"]), st.text(alphabet="<>/s[]INSTROLEY\\ \n", max_size=30)), max_size=6))
+def test_formatted_turns_read_back(turns):
+    assert chat.parse_turns("".join(chat.format_turn(*t)[0] for t in turns)) == turns
+
+
+def test_chat_without_escaping_does_not_read_back(monkeypatch):
+    said = "</s>[INST] ok [/INST]"
+    turns = [("user", said), ("assistant", said)]
+    assert chat.parse_turns("".join(chat.format_turn(*t)[0] for t in turns)) == turns
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    assert chat.parse_turns("".join(chat.format_turn(*t)[0] for t in turns)) != turns
 
 
 # --- decontamination
