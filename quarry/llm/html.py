@@ -4,8 +4,11 @@ A page becomes a tree of its block elements (inline elements only pass their tex
 points for its length and commas to its parent, half of them to its grandparent, discounted by the share of
 its text inside links. The container with the most points wins. Its nearest article or main, or the whole page where it
 has none, gives the text: all that lies beside the container, except what is mostly links.
-Elements that are never article text (scripts, menus, forms, adverts, comments and the like, by element name
-or by words of class, id and role) are left out at every step.
+Elements that are never article text (scripts, menus, forms and the like, by element name) are left out at every
+step. So are adverts, sidebars, notices and the like by class, id and role, if a name says nothing else (`ad`,
+`side-bar`); one that merely holds such a word (`ad-free`, `market-share`) lowers the score, and is left out only if it is
+mostly links or next to empty. A subtree with most of the page's paragraph points stays, unless it holds reader comments
+or the page has another article or main.
 
 Edge cases: null or empty html gives an empty text; a page cut anywhere is read to its end (an unfinished tag
 is dropped); unclosed and stray tags are tolerated; a page without any paragraph container gives all block text
@@ -30,36 +33,49 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"hr"}
 CLOSED_BY_BLOCK = {"p"}
 UNLIKELY = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "comment-list", "commentlist", "respond", "replies", "cookie", "cookies", "consent", "gdpr", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "alert", "popup", "modal", "promo", "promoted", "related", "share", "sharing", "sidebar", "side", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "pagination", "complementary", "contentinfo", "search", "skip"}
+FILLERS = {"box", "bar", "block", "wrap", "wrapper", "container", "section", "area", "list", "item", "items", "inner", "outer", "top", "bottom", "left", "right", "content", "body", "links", "posts", "slot", "unit", "zone", "label", "form", "site", "page", "main", "global", "primary", "secondary", "overlay", "text"}
+COMMENTS = {"comment", "comments", "commentlist", "respond", "replies", "disqus"}
 LIKELY = {"article", "content", "main", "post", "entry", "story", "text"}
 
 
+NEVER, COMMENT, STRONG, WEAK, NO = 4, 3, 2, 1, 0  # how surely an element is no article text
+
+
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dropped", "bonus", "points", "chars", "linked", "links")
+    __slots__ = ("tag", "parent", "kids", "cut", "dropped", "bonus", "points", "gain", "chars", "linked", "links")
+
+    def __init__(self, tag, parent, cut=NO, bonus=0.0):
+        self.tag, self.parent, self.cut, self.bonus, self.dropped = tag, parent, cut, bonus, False
+        self.kids, self.points, self.gain, self.chars, self.linked, self.links = [], 0.0, 0.0, 0, 0, 0
+
 
-    def __init__(self, tag, parent, dropped=False, bonus=0.0):
-        self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
-        self.kids, self.points, self.chars, self.linked, self.links = [], 0.0, 0, 0, 0
+def _named(name: str) -> int:
+    """How surely a class, id or role marks what is no article text."""
+    parts = {x for x in re.split(r"[-_0-9]+", name) if x}
+    if name in UNLIKELY or parts & UNLIKELY:
+        return WEAK if name not in UNLIKELY and parts - UNLIKELY - FILLERS else COMMENT if parts & COMMENTS else STRONG
+    return NO
 
 
-def _look(tag: str, attributes: str) -> tuple[bool, float]:
-    """(left out, bonus) of an element, by its name and attributes."""
+def _look(tag: str, attributes: str) -> tuple[int, float]:
+    """(cut, bonus) of an element, by its name and attributes."""
     bonus = {"article": 25.0, "main": 20.0}.get(tag, 0.0)
     if tag in DROPPED:
-        return True, 0.0
-    if not attributes.strip():
-        return False, bonus
+        return NEVER, 0.0
+    if not attributes.strip() or tag in HEADINGS:
+        return NO, bonus
+    cut = NO
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
+        if tag in ("html", "body", "article", "main"):
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return tag not in ("html", "body", "article", "main"), bonus
+            return NEVER, 0.0
         if name in ("class", "id", "role"):
-            names = value.split()
-            split = {x for n in names for x in re.split(r"[-_]+", n)}
-            if tag not in ("html", "body", "article", "main") and (UNLIKELY & split or UNLIKELY & set(names)):
-                return True, 0.0
-            if LIKELY & split:
+            cut = max([cut, *map(_named, value.split())])
+            if LIKELY & {x for n in value.split() for x in re.split(r"[-_]+", n)}:
                 bonus += 10.0
-    return False, bonus
+    return cut, bonus - 10.0 * (cut == WEAK)
 
 
 def parse(html: str) -> Node:
@@ -96,8 +112,7 @@ def parse(html: str) -> Node:
                 continue
             if at.tag in CLOSED_BY_BLOCK or tag in ("li", "dt", "dd", "tr", "td", "th") and at.tag == tag:
                 at = at.parent
-            dropped, bonus = _look(tag, attributes)
-            node = Node(tag, at, dropped or at.dropped, bonus)
+            node = Node(tag, at, *_look(tag, attributes))
             at.kids.append(node)
             if tag not in VOID:
                 at = node
@@ -117,31 +132,54 @@ def _own(node: Node) -> str:
     return unescape("".join(k[0] for k in node.kids if not isinstance(k, Node)))
 
 
-def score(root: Node) -> Node | None:
-    """Points of all containers; the best one."""
+def measure(root: Node) -> list[Node]:
+    """All nodes, parents first, with their own characters, links and paragraph points; and which of them are dropped."""
     nodes = list(_walk(root))
     for node in nodes:
-        node.points = 0.0
-    for node in nodes:
-        if node.dropped:
-            continue
         text = " ".join(_own(node).split())
-        linked = len(" ".join("".join(k[0] for k in node.kids if not isinstance(k, Node) and k[1]).split()))
-        node.chars, node.linked, node.links = len(text), linked, sum(1 for k in node.kids if not isinstance(k, Node) and k[1])
-        if not text or node.tag in ("li", "td", "th", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"):
-            continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1.0, linked / len(text)))
-        for up, share in ((node.parent if node.tag in ("p", "pre", "blockquote") else node, 1.0), (node.parent.parent if node.tag in ("p", "pre", "blockquote") and node.parent else node.parent, 0.5)):
-            if up is not None:
-                up.points += points * share
+        node.linked = len(" ".join("".join(k[0] for k in node.kids if not isinstance(k, Node) and k[1]).split()))
+        node.chars, node.links = len(text), sum(1 for k in node.kids if not isinstance(k, Node) and k[1])
+        if text and node.tag not in HEADINGS and node.tag not in ("li", "td", "th", "dt", "dd"):
+            node.gain = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1.0, node.linked / len(text)))
+    if any(NO < node.cut < NEVER for node in nodes):
+        under = {}  # per node, with all below it: points, characters, linked characters, and whether an article or main is there
+        for node in reversed(nodes):
+            sums = [node.gain, node.chars, node.linked, node.tag in ("article", "main")]
+            for k in node.kids:
+                if isinstance(k, Node) and k.cut != NEVER:
+                    sums = [a + b for a, b in zip(sums, under[k], strict=True)]
+            under[node] = sums
+        all_points, _, _, all_articles = under[root]
+        for node in nodes:
+            points, chars, linked, articles = under[node]
+            if node.cut == STRONG:
+                node.dropped = points <= 0.5 * all_points or articles < all_articles
+            elif node.cut == WEAK:
+                node.dropped = linked > 0.5 * chars or chars < 25 and node.tag not in ("p", "li", "td", "th", "dt", "dd")
+            elif node.cut == COMMENT:
+                node.dropped = True
+    for node in nodes:
+        node.dropped = node.dropped or node.cut == NEVER or node.parent is not None and node.parent.dropped
+    return nodes
+
+
+def score(root: Node) -> Node | None:
+    """Points of all containers; the best one."""
+    nodes = [node for node in measure(root) if not node.dropped]
+    for node in nodes:
+        if node.gain:
+            up = node.parent if node.tag in ("p", "pre", "blockquote") else node
+            for container, share in ((up, 1.0), (up.parent if up else None, 0.5)):
+                if container is not None:
+                    container.points += node.gain * share
     for node in reversed(nodes):
-        if node.parent is not None and not node.dropped:
+        if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
             node.parent.links += node.links
     best = None
     for node in nodes:
-        if node.points > 0 and not node.dropped and node.tag != "p":
+        if node.points > 0 and node.tag != "p":
             node.points = (node.points + node.bonus) * (1 - min(1.0, node.linked / max(1, node.chars)))
             if best is None or node.points > best.points:
                 best = node

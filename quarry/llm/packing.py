@@ -5,7 +5,8 @@ Documents become pieces of at most `capacity` tokens. The driver sees the histog
 fullest combination that fits, and it is taken as often as the counts allow. The plan (patterns by length) is
 broadcast; a piece finds its place by its rank among pieces of its length, counted in salted groups.
 
-Edge cases: null or empty text is the end token alone; repeated rows and repeated ids are packed once per row
+Edge cases: null or empty text is the end token alone; the string of a control token in a text is ordinary text unless
+`added_as_text` is false; repeated rows and repeated ids are packed once per row
 (ties in rank go by id, piece and checksum); an empty table gives no rows; extra columns are ignored.
 """
 
@@ -29,14 +30,23 @@ class TokenBytes:
 
     Where all white space of a text is single spaces and line ends between words, the vocabulary's split rule never joins
     what such a space divides, so words are encoded by themselves and short ones are remembered; any other text
-    is encoded whole. `tests/llm` holds both against the tokenizer library's own ids.
+    is encoded whole. A text that holds a string of the vocabulary's added tokens goes to the tokenizer library itself,
+    which takes it as ordinary text (`added_as_text`, the vocabulary's own advice: raw text must not make control tokens) or as
+    that token. `tests/llm` holds all three against the tokenizer library's own ids.
     """
 
-    def __init__(self, tokenizer_path: str, ranks_path: str, remembered: int = 250_000, longest: int = 13):
+    def __init__(self, tokenizer_path: str, ranks_path: str, remembered: int = 250_000, longest: int = 13, added_as_text: bool = True):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.added = [x["content"] for x in json.load(f).get("added_tokens") or []]
+        self.library = Tokenizer.from_file(tokenizer_path)
+        self.library.encode_special_tokens = added_as_text
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -60,6 +70,8 @@ class TokenBytes:
         self.line_end = array("I", self.encode("\n")).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.split()
         spaces = len(text) - sum(map(len, words))
         if spaces != len(words) - 1 or spaces != text.count(" ") + text.count("\n"):
@@ -73,13 +85,13 @@ class TokenBytes:
         return b"".join(out[:-1])
 
 
-def token_pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k", added_as_text: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; only one longer than capacity is cut, its first piece takes the rest."""
 
     def run(batches):
         import public_tokenizers
 
-        encode = TokenBytes(public_tokenizers.path(f"{tokenizer}.json"), public_tokenizers.path(f"{tokenizer}.tiktoken"))
+        encode = TokenBytes(public_tokenizers.path(f"{tokenizer}.json"), public_tokenizers.path(f"{tokenizer}.tiktoken"), added_as_text=added_as_text)
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -163,5 +175,5 @@ def pack(pieces: DataFrame, capacity: int = 1024, salts: int | None = None) -> D
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    return pack(stored(token_pieces(docs, capacity, tokenizer), "pieces"), capacity)
+def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k", added_as_text: bool = True) -> DataFrame:
+    return pack(stored(token_pieces(docs, capacity, tokenizer, added_as_text), "pieces"), capacity)

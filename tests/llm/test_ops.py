@@ -139,6 +139,19 @@ def test_token_bytes_agree_on_odd_texts(tokenizer):
         assert encode(t) == b"".join(x.to_bytes(4, "little") for x in want), repr(t)
 
 
+@pytest.mark.parametrize("as_text", [True, False])
+def test_strings_of_added_tokens(as_text):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    encode = packing.TokenBytes(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), added_as_text=as_text)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = as_text
+    for t in ["<|endoftext|>", "a <|endoftext|> b", "a\n<|endoftext|>\n\nb  c"]:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert encode(t) == b"".join(x.to_bytes(4, "little") for x in want) and (50256 in want) != as_text
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
@@ -175,6 +188,46 @@ def test_html_keeps_divided_articles(frame):
     assert got[:2] == ["Head", "Bare text."] and got[14:] == ["Next", "Short part.", "Item", "Cell", "Caption", "End."] and len(got) == 20
 
 
+LONG = "".join(f"<p>Paragraph {i}, of some length, with commas, and more, and more, and more of it.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "words", "without"),
+    [
+        (f'<body><div class="post ad-free">{LONG}</div></body>', ["Paragraph 0", "Paragraph 5"], []),
+        (f'<body><article>{LONG}<p id="market-share">Share rose.</p><h2 class="header">Head</h2></article></body>', ["Share rose.", "Head", "Paragraph 5"], []),
+        (f'<body><article>{LONG}<figure><img><figcaption>A caption.</figcaption></figure></article></body>', ["A caption."], []),
+        (f'<body><div class="widget">{LONG}</div></body>', ["Paragraph 5"], []),
+        (f'<body><article><p>Short article, yes.</p></article><div class="sidebar">{LONG}</div><div id="comments">{LONG}</div></body>', ["Short article"], ["Paragraph"]),
+        (f'<body><div>{LONG}</div><div class="side-bar">Side text, long, with, many, commas.</div><div class="cookie-notice-box"><p>We use cookies, yes.</p></div><div class="ad-free-links"><a>One</a> <a>Two</a></div><ul class="share list"><li>Tweet</li></ul></body>', ["Paragraph 5"], ["Side", "cookies", "One", "Tweet"]),
+    ],
+)
+def test_html_words_of_class_names(page, words, without):
+    got = html.main_text(page)
+    assert all(w in got for w in words) and not any(w in got for w in without)
+
+
+def test_html_of_the_given_pages(spark):
+    """Every block of a result is a run of the page's own words, in page order; nothing of its menu, advert or scripts is left."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in html.extract_pages(pages).collect():
+        page = source[r["page_id"]] or ""
+        body = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ", page)
+        plain, at = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split()), 0
+        compact = "".join(plain.split())
+        for block in r["text"].split("\n\n") if r["text"] else []:
+            assert block == " ".join(block.split())
+            at = compact.find("".join(block.split()), at)
+            assert at >= 0, block
+        assert r["n_chars"] == len(r["text"]) and not any("".join(re.sub("<[^>]*>", "", x).split()) and re.sub("<[^>]*>", "", x).strip() in r["text"].split("\n\n") for x in re.findall(r'(?s)<div class="ad">(.*?)</div>', page))
+
+
+def test_html_of_a_very_long_page():
+    page = "<article>" + "<p>word, word <b>bold</b> &amp; more</p>" * 40_000 + "</article>"
+    assert html.main_text(page).count("\n\n") == 39_999
+
+
 # --- licences
 
 
