@@ -4,7 +4,11 @@ Items are a stated query set: they come to the driver in blocks of bounded size
 all documents. Per document, hashes of `min_match` words are joined with those of the items by a running
 Karp-Rabin hash; seeds of one diagonal make maximal matches, the longest unmarked match becomes a tile, what it
 cuts is shortened and considered again, until no match of `min_match` words is left. An item is found in a
-document if tiles cover at least `coverage` of its words, in whatever order its parts stand.
+document if tiles cover at least `coverage` of its words, in whatever order its parts stand. Items whose seeds in a
+document could not cover so much are passed over first.
+
+Where words repeat so much that the seeds of a document make more than `LISTED` pairs, the same tiles are found length
+by length instead, from the longest that both still hold free: memory then grows with the two texts, not their product.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Edge cases: null or empty texts and items match nothing;
 an item of fewer than `min_match` words is one seed as a whole; repeated documents are judged row by row,
@@ -21,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, texts, word_hashes
+from .common import Prefix, mix, texts, word_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.6
 BLOCK_WORDS = 400_000
+LISTED = 2_000_000
 FOUND = "doc_id long, item_id long, item_words int, covered_words int, coverage double, n_tiles int, longest_tile int"
 KR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,11 +71,65 @@ def tile(runs: list[tuple[int, int, int]], n_item: int, min_match: int) -> list[
     return tiles
 
 
+def _free_runs(free: np.ndarray, prefix: Prefix, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the runs of so many words of which none is marked."""
+    upto = np.r_[0, np.cumsum(free)]
+    start = np.flatnonzero(upto[length:] - upto[:-length] == length) if length <= len(free) else np.empty(0, np.int64)
+    return start, prefix.runs(start, start + length)
+
+
+def tiles_by_length(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """The tiles that `tile` makes of all maximal matches of two texts (word hashes), without listing the matches."""
+    free = np.ones(len(item), bool), np.ones(len(doc), bool)
+    prefix = Prefix(item), Prefix(doc)
+    tiles, most = [], min(len(item), len(doc))
+
+    def shared(length):
+        (i, hi), (j, hj) = (_free_runs(f, p, length) for f, p in zip(free, prefix, strict=True))
+        own = np.unique(hi)
+        if not len(own) or not len(hj):
+            return i[:0], hi[:0], j[:0], hj[:0]
+        both = own[np.minimum(np.searchsorted(own, hj), len(own) - 1)] == hj
+        j, hj = j[both], hj[both]
+        met = np.isin(hi, hj)
+        return i[met], hi[met], j, hj
+
+    while most >= min_match:
+        low, high = min_match - 1, most  # the longest length at which both share a free run lies in (low, high], or is none
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(shared(middle)[0]) else (low, middle - 1)
+        if low < min_match:
+            break
+        i, hi, j, hj = shared(low)
+        order = np.argsort(hj, kind="stable")
+        j, hj = j[order], hj[order]
+        at = {}  # where to go on among the document's runs of one hash: a run once marked stays so
+        for start, value in zip(i.tolist(), hi, strict=True):
+            if free[0][start : start + low].all():
+                k, end = at.get(value) or (int(np.searchsorted(hj, value, "left")), int(np.searchsorted(hj, value, "right")))
+                while k < end and not (free[1][j[k]] and free[1][j[k] + low - 1] and free[1][j[k] : j[k] + low].all()):
+                    k += 1
+                at[value] = (k, end)
+                if k < end:
+                    tiles.append((start, int(j[k]), low))
+                    free[0][start : start + low] = False
+                    free[1][j[k] : j[k] + low] = False
+        most = low - 1
+    return tiles
+
+
+def _counters(times: np.ndarray) -> np.ndarray:
+    """0, 1, .. up to each of times, one after the other."""
+    return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
 class Items:
     """A block of benchmark items with its seeds, by seed length."""
 
     def __init__(self, rows: list[tuple[int, bytes]], min_match: int):
         self.items = [(item_id, h, min(min_match, len(h))) for item_id, text in rows if len(h := word_hashes(text.lower()))]
+        self.sizes = np.array([len(h) for _, h, _ in self.items], np.int64)
         seeds = defaultdict(list)
         for n, (_, h, k) in enumerate(self.items):
             seeds[k] += [(int(s), n, i) for i, s in enumerate(window_hashes(h, k))]
@@ -88,26 +147,45 @@ class Items:
         for k, (keys, places, gate) in self.by_length.items():
             windows = window_hashes(h, k)
             at = np.flatnonzero(gate[(windows >> np.uint64(44)).astype(np.int64)])
+            low = np.searchsorted(keys, windows[at], "left")
+            met = keys[np.minimum(low, len(keys) - 1)] == windows[at]
+            at, low = at[met], low[met]
             if not len(at):
                 continue
-            low, high = np.searchsorted(keys, windows[at], "left"), np.searchsorted(keys, windows[at], "right")
-            times = high - low
-            if not times.any():
-                continue
-            j = np.repeat(at, times)
-            rows = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            # The items' side of the seeds: each key met once, with all its places; then what items they could cover enough of.
+            first, which = np.unique(low, return_inverse=True)
+            times = np.searchsorted(keys, keys[first], "right") - first
+            rows = np.repeat(first, times) + _counters(times)
             n, i = places[rows, 0], places[rows, 1]
-            order = np.lexsort((i, j - i, n))
-            n, i, j = n[order], i[order], j[order]
-            fresh = np.r_[True, (n[1:] != n[:-1]) | (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)]
-            starts = np.flatnonzero(fresh)
-            lengths = np.diff(np.r_[starts, len(n)]) + k - 1
-            matches = defaultdict(list)
-            for s, length in zip(starts.tolist(), lengths.tolist(), strict=True):
-                matches[int(n[s])].append((int(i[s]), int(j[s]), length))
-            for which, runs in matches.items():
-                item_id, words, _ = self.items[which]
-                tiles = tile(runs, len(words), k)
+            order = np.lexsort((i, n))
+            sorted_n, sorted_i = n[order], i[order]
+            ends = np.r_[sorted_n[1:] != sorted_n[:-1], True]
+            covers = np.where(ends, k, np.minimum(np.r_[sorted_i[1:], 0] - sorted_i, k))
+            upto = np.cumsum(covers)[ends]
+            some, most = sorted_n[ends], np.diff(np.r_[0, upto])
+            some = some[most >= coverage * self.sizes[some]]
+            wanted = np.isin(n, some)
+            if not len(some):
+                continue
+            times = np.add.reduceat(wanted, np.cumsum(times) - times, dtype=np.int64)
+            n, i = n[wanted], i[wanted]
+            if times[which].sum() > LISTED:
+                found = {int(x): tiles_by_length(self.items[x][1], h, k) for x in some.tolist()}
+            else:
+                j = np.repeat(at, times[which])
+                rows = np.repeat((np.cumsum(times) - times)[which], times[which]) + _counters(times[which])
+                n, i = n[rows], i[rows]
+                order = np.lexsort((i, j - i, n))
+                n, i, j = n[order], i[order], j[order]
+                fresh = np.r_[True, (n[1:] != n[:-1]) | (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)]
+                starts = np.flatnonzero(fresh)
+                lengths = np.diff(np.r_[starts, len(n)]) + k - 1
+                matches = defaultdict(list)
+                for s, length in zip(starts.tolist(), lengths.tolist(), strict=True):
+                    matches[int(n[s])].append((int(i[s]), int(j[s]), length))
+                found = {x: tile(runs, len(self.items[x][1]), k) for x, runs in matches.items()}
+            for x, tiles in found.items():
+                item_id, words, _ = self.items[x]
                 covered = sum(t[2] for t in tiles)
                 if covered >= coverage * len(words):
                     out.append((item_id, len(words), covered, covered / len(words), len(tiles), max(t[2] for t in tiles)))

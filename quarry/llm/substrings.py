@@ -25,28 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stored, texts, word_hashes, words_of
+from .common import Prefix, stored, texts, word_hashes, words_of
 
 WINDOW, K = 50, 16
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
 PLACE = 24
 EDGES = "doc_id long, lo int, hi int, vertex long, content long"
 
 
-class Prefix:
-    """Hashes of any run of words: sums of word hash times power of BASE, shifted to the run's start."""
-
-    def __init__(self, h: np.ndarray):
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.r_[np.uint64(1), np.full(len(h), BASE, np.uint64)], dtype=np.uint64)
-            self.back = np.cumprod(np.r_[np.uint64(1), np.full(len(h), BASE_INV, np.uint64)], dtype=np.uint64)
-            self.sums = np.r_[np.uint64(0), np.cumsum(h * power[:-1], dtype=np.uint64)]
-
-    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-
-
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     size = 1
     while 2 * size <= w:

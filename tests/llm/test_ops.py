@@ -410,6 +410,47 @@ def test_tiles_are_greedy_and_disjoint():
     assert len(covered) == len(set(covered))
 
 
+def brute_tiles(a, b, least):
+    """Greedy string tiling by its definition: the longest free match again and again, ties by place."""
+    tiles, ua, ub = [], set(), set()
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in ua and j + n not in ub:
+                    n += 1
+                if n > best[2]:
+                    best = (i, j, n)
+        if best[2] < least:
+            return tiles
+        tiles.append(best)
+        ua |= set(range(best[0], best[0] + best[2]))
+        ub |= set(range(best[1], best[1] + best[2]))
+
+
+def test_tiling_against_brute_force(monkeypatch):
+    rng = random.Random(12)
+    for n in range(60):
+        letters = "ab" if n % 2 else "abcdefg"
+        a, b = ([rng.choice(letters) for _ in range(rng.randint(1, 28))] for _ in range(2))
+        if n % 3:
+            b = b + a[len(a) // 2 :] + a[: len(a) // 2]
+        want = brute_tiles(a, b, min(3, len(a)))
+        hashes = [decontaminate.word_hashes(" ".join(x).encode()) for x in (a, b)]
+        assert sorted(decontaminate.tiles_by_length(*hashes, min(3, len(a)))) == sorted(want), (a, b)
+        covered = sum(t[2] for t in want)
+        for listed in (0, 10**9):
+            monkeypatch.setattr(decontaminate, "LISTED", listed)
+            got = decontaminate.Items([(7, " ".join(a).encode())], 3).found(hashes[1], 0.6)
+            assert got == ([(7, len(a), covered, covered / len(a), len(want), max(t[2] for t in want))] if covered >= 0.6 * len(a) else [])
+
+
+def test_very_long_texts_of_one_word():
+    items = decontaminate.Items([(1, b"same " * 2000), (2, b"same other " * 900)], 5)
+    assert items.found(decontaminate.word_hashes(b"same " * 1_000_000), 0.6) == [(1, 2000, 2000, 1.0, 1, 2000)]
+
+
 # --- substrings
 
 
