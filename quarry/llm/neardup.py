@@ -16,7 +16,7 @@ at the threshold meets with probability `recall`; over the chance of its T minwi
 at a million classes, computed).
 
 Edge cases: fewer words than k make the whole sequence one shingle; no words or null text make an empty set,
-linked with nothing; rows of one doc_id count as one document in the graph; a null doc_id is linked with nothing
+linked with nothing; rows of one doc_id are one document, linked if any of its texts is (n_shingles is the row's own); a null doc_id is linked with nothing
 and has a null component; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -148,55 +148,67 @@ def sketch_limit(threshold: float) -> int:
 
 
 def compare(rows: DataFrame, limit: int) -> DataFrame:
-    """Candidates (a, b) of nodes, and as (null, id, node, s0, s1) the members of nodes above LEAF."""
-    by = Window.partitionBy("node")
-    counted = rows.withColumn("n", F.count("*").over(by)).withColumn("first", F.min(F.struct("id", "s0", "s1")).over(by)).where("n > 1").select("node", "id", "s0", "s1", "n", F.col("first.id").alias("p"), F.col("first.s0").alias("p0"), F.col("first.s1").alias("p1"))
+    """Candidates (a, b) of nodes, and as (null, id, node, s0, s1) the members of nodes above LEAF.
+
+    Members of a large node need its least member only, so its rows are dealt like any join's and may be split; only nodes
+    of at most LEAF rows are brought together.
+    """
+    rows = stored(rows, "reached")
+    shared = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = stored(rows.join(shared, "node"), "met")
+    large = met.where(F.col("n") > LEAF)
+    least = large.groupBy("node").agg(F.min(F.struct("id", "s0", "s1")).alias("p"))
     names = ["a", "b", "node", "s0", "s1"]
+    schema = "a long, b long, node long, s0 long, s1 long"
 
-    def run(batches):
+    def candidates(a, b):
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], names)
+
+    def members(node, ids, s0, s1):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(node), pa.array(s0), pa.array(s1)], names)
+
+    def of_large(batches):
+        for batch in batches:
+            node, ids, s0, s1, p, p0, p1 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            close = np.flatnonzero((differing(s0, s1, p0, p1) <= limit) & (ids != p))
+            yield candidates(p[close], ids[close])
+            yield members(node, ids, s0, s1)
+
+    def of_small(batches):
         held = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            node, ids, s0, s1, n, p, p0, p1 = now
-            if not len(node):
-                continue
-            start = int(np.flatnonzero(node == node[-1])[0]) if n[-1] <= LEAF else len(node)  # the last small node may go on in the next batch
-            held = [x[start:] for x in now]
-            node, ids, s0, s1, n, p, p0, p1 = (x[:start] for x in now)
-            yield from out(node, ids, s0, s1, n, p, p0, p1)
-        if held is not None and len(held[0]):
+            if len(now[0]):
+                start = int(np.flatnonzero(now[0] == now[0][-1])[0])  # the last node may go on in the next batch
+                held = [x[start:] for x in now]
+                yield from out(*(x[:start] for x in now))
+        if held is not None:
             yield from out(*held)
 
-    def out(node, ids, s0, s1, n, p, p0, p1):
-        pairs = []
-        small = n <= LEAF
-        near = []
+    def out(node, ids, s0, s1):
+        near = [np.empty((3, 0), np.int64)]
         for k in range(1, LEAF):
-            same = np.flatnonzero((node[k:] == node[:-k]) & small[k:]) if len(node) > k else np.empty(0, np.int64)
+            same = np.flatnonzero(node[k:] == node[:-k]) if len(node) > k else np.empty(0, np.int64)
             if not len(same):
                 break
             bits = differing(s0[same], s1[same], s0[same + k], s1[same + k])
-            near.append(np.stack([same + k, same, bits])[:, bits <= limit])
-        kept = np.empty((3, 0), np.int64) if not near else np.concatenate(near, axis=1).astype(np.int64)
+            near.append(np.stack([same + k, same, bits])[:, bits <= limit].astype(np.int64))
+        kept = np.concatenate(near, axis=1)
         kept = kept[:, np.lexsort((kept[2], kept[0]))]
         close_by = np.arange(kept.shape[1]) - np.searchsorted(kept[0], kept[0], "left")
-        pairs.append((ids[kept[0]], ids[kept[1]]) if not (close_by >= NEAREST).any() else (ids[kept[0, close_by < NEAREST]], ids[kept[1, close_by < NEAREST]]))
-        more = np.isin(node, node[kept[0, close_by >= NEAREST]])  # not all close pairs of these nodes go out: their members do
-        large = np.flatnonzero(~small)
-        close = large[(differing(s0[large], s1[large], p0[large], p1[large]) <= limit) & (ids[large] != p[large])]
-        pairs.append((p[close], ids[close]))
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        none = pa.nulls(len(a), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], names)
-        open_ = np.flatnonzero(~small | more)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(open_), pa.int64()), pa.array(ids[open_]), pa.array(node[open_]), pa.array(s0[open_]), pa.array(s1[open_])], names)
+        yield candidates(ids[kept[0, close_by < NEAREST]], ids[kept[1, close_by < NEAREST]])
+        more = np.flatnonzero(np.isin(node, node[kept[0, close_by >= NEAREST]]))  # not all close pairs of these nodes go out: their members do
+        yield members(node[more], ids[more], s0[more], s1[more])
 
-    return counted.mapInArrow(run, "a long, b long, node long, s0 long, s1 long")
+    small = met.where(F.col("n") <= LEAF).select("node", "id", "s0", "s1").repartition("node").sortWithinPartitions("node")
+    seen = large.join(stored(least, "least"), "node").select("node", "id", "s0", "s1", F.col("p.id").alias("p_id"), F.col("p.s0").alias("p0"), F.col("p.s1").alias("p1"))
+    return seen.mapInArrow(of_large, schema).unionByName(small.mapInArrow(of_small, schema))
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(id, values) of the documents of a stored table of ids."""
+    """(id, form, values) of the documents of a stored table of ids; rows of one id with different sets stay apart by form."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
@@ -204,9 +216,10 @@ def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, k).view(np.int64) for t in texts(batch.column(1))]
             offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["id", "values"])
+            forms = pa.array([int(x.sum()) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), forms, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["id", "form", "values"])
 
-    return stored(rows.mapInArrow(run, "id long, values array<bigint>").groupBy("id").agg(F.first("values").alias("values")), "sets")
+    return stored(rows.mapInArrow(run, "id long, form long, values array<bigint>").where(F.size("values") > 0).groupBy("id", "form").agg(F.first("values").alias("values")), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -224,13 +237,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("values").alias("x")), "a")
-    return stored(left.join(sets.select(F.col("id").alias("b"), F.col("values").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "confirmed")
+    return stored(left.join(sets.select(F.col("id").alias("b"), F.col("values").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "confirmed")
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
-    """(id, n, own): the size of each set, and how many of its shingles no other of these sets has."""
-    single = sets.select("id", F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    return sets.select("id", F.size("values").cast("long").alias("n")).join(single.groupBy("id").agg(F.count("*").alias("own")), "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    """(id, form, n, own): the size of each set, and how many of its shingles no other of these sets has."""
+    single = sets.select("id", "form", F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct("id", "form")).alias("of")).where("c = 1")
+    return sets.select("id", "form", F.size("values").cast("long").alias("n")).join(single.groupBy("of.id", "of.form").agg(F.count("*").alias("own")), ["id", "form"], "left").select("id", "form", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def can_reach(a: str, b: str, percent: int):
@@ -242,18 +255,33 @@ def can_reach(a: str, b: str, percent: int):
 
 
 def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of members (id, component, n, own) across components that may reach the threshold: of the shingles of a set in one
-    order, rarest first, two such sets share one of the first n - ceil(n * threshold) + 1."""
-    each = sets.join(members.select("id"), "id", "left_semi").select("id", F.size("values").alias("size"), F.explode("values").alias("value"))
+    """The pairs (a, b) of members (id, form, component, n, own) across components that may reach the threshold: of the shingles of a set in
+    one order, rarest first, two such sets share one of the first n - ceil(n * threshold) + 1."""
+    each = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "form", F.size("values").alias("size"), F.explode("values").alias("value"))
     shared = each.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = each.join(shared, "value", "left").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("c", F.lit(1)), "value")))
-    first = ranked.where(F.col("c").isNotNull() & (F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100 - 1e-9) + 1)).select("id", "value")
-    first = stored(first.join(members, "id"), "prefixes")
+    ranked = each.join(shared, "value", "left").withColumn("rank", F.row_number().over(Window.partitionBy("id", "form").orderBy(F.coalesce("c", F.lit(1)), "value")))
+    first = ranked.where(F.col("c").isNotNull() & (F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100 - 1e-9) + 1)).select("id", "form", "value")
+    first = stored(first.join(members, ["id", "form"]), "prefixes")
     x, y = first.alias("x"), first.alias("y")
     met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.component") < F.col("y.component")) & can_reach("x", "y", percent))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links (a, b) between classes that rows of one doc_id with different texts belong to."""
+    key = ["h1", "h2", "n_shingles"]
+    rows = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.struct(*key).alias("form"))
+    several = rows.groupBy("doc_id").agg(F.min("form").alias("least"), F.max("form").alias("most")).where("least <> most").select("doc_id")
+    of = rows.join(several, "doc_id").distinct().select("doc_id", "form.*").join(classes.select(*key, "id"), key)
+    return of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+
+
+def across(members: DataFrame) -> DataFrame:
+    """The members (node, component, ..) of nodes that hold more than one component; the nodes' extremes are joined back, so a hot node may be split."""
+    ends = members.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("node")
+    return members.join(ends, "node", "left_semi")
+
+
 def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     signed = stored(signatures(docs, k), "signatures")
@@ -270,41 +298,33 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: flo
         return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     # First each class with its least candidate only: that joins most groups, and leaves few pairs to confirm between them.
-    pairs = stored(level.where("a is not null").select("a", "b").distinct(), "pairs")
+    pairs = stored(level.where("a <> b").select("a", "b").distinct(), "pairs")
     first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     ids = lambda p: stored(p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct(), "ids")
-    links = confirm(first, full_sets(ids(first), docs, k), threshold)
+    links = confirm(first, full_sets(ids(first), docs, k), threshold).unionByName(same_document(signed, classes))
     comps = stored(components(links), "components")
     rest = stored(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
     members = level.where("a is null").select("node", F.col("b").alias("id"), "s0", "s1").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    by = Window.partitionBy("node")
-    mixed = lambda rows: rows.withColumn("many", F.min("component").over(by) != F.max("component").over(by)).where("many").drop("many")
-    open_ = stored(mixed(members), "open")
+    open_ = stored(across(stored(members, "members")), "open")
     wanted = stored(ids(rest).union(open_.select("id")).distinct(), "ids")
     if not wanted.isEmpty():
         sets = full_sets(wanted, docs, k)
         own = stored(own_shingles(sets), "own")
         # A set b that can be near a has at most (n - own) / threshold - own shingles: a needs such a member in its node.
-        shortest = F.min("n").over(by)
-        reached = percent * (shortest + F.col("own")) <= 100 * (F.col("n") - F.col("own"))
-        small_enough = lambda rows: rows.withColumn("may", reached).where("may").drop("may")
-        open_ = stored(mixed(small_enough(open_.join(own, "id"))), "open")
+        sized = stored(open_.join(own, "id"), "sized")
+        shortest = sized.groupBy("node").agg(F.min("n").alias("shortest"))
+        reached = percent * (F.col("shortest") + F.col("own")) <= 100 * (F.col("n") - F.col("own"))
+        open_ = stored(across(stored(sized.join(shortest, "node").where(reached).drop("shortest"), "members")), "open")
         per = open_.groupBy("node", "component").agg(F.count("*").alias("m")).groupBy("node").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("work"))
         work = per.agg(F.sum("work")).first()[0] or 0
-        found = rest.join(own.select(F.col("id").alias("a"), F.struct("n", "own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.struct("n", "own").alias("y")), "b").where(can_reach("x", "y", percent)).select("a", "b")
-        confirmed = confirm(stored(found, "found"), sets, threshold)
+        ends = [own.select(F.col("id").alias(c), F.struct("n", "own").alias(of)) for c, of in (("a", "x"), ("b", "y"))]
+        found = rest.join(ends[0], "a").join(ends[1], "b").where(can_reach("x", "y", percent)).select("a", "b").distinct()
         if work > WORK + WORK_EACH * n:
-            met = prefix_pairs(open_.select("id", "component", "n", "own").distinct(), sets, percent)
-            confirmed = stored(confirmed.unionByName(confirm(stored(met, "met"), sets, threshold)), "confirmed")
-        elif work:
-            listed = open_.join(open_.groupBy("id").agg(F.collect_set("node").alias("nodes")), "id").join(sets, "id")
-            listed = stored(listed, "listed")
-            x, y = listed.alias("x"), listed.alias("y")
-            once = F.array_min(F.array_intersect("x.nodes", "y.nodes")) == F.col("x.node")  # a pair that shares several nodes is met in the least
-            both = F.size(F.array_intersect("x.values", "y.values"))
-            linked = 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)  # the cheap tests before it leave few pairs to this one
-            cross = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") < F.col("y.component")) & close("x", "y") & can_reach("x", "y", percent) & once & linked)
-            confirmed = stored(confirmed.unionByName(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))), "confirmed")
+            met = prefix_pairs(open_.select("id", "form", "component", "n", "own").distinct(), sets, percent)
+        else:  # ids and sketches meet in the node; a pair that shares several nodes is one candidate
+            x, y = open_.alias("x"), open_.alias("y")
+            met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") < F.col("y.component")) & close("x", "y") & can_reach("x", "y", percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        confirmed = confirm(stored(found.unionByName(met).distinct(), "found"), sets, threshold)
         if not confirmed.isEmpty():
             links = links.unionByName(confirmed)
             comps = stored(components(links), "components")

@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, and on nulls, empty tables, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -313,6 +314,7 @@ def test_near_copies_where_nodes_are_much_work(spark, monkeypatch):
     sets = spark.createDataFrame([(i, sorted({zlib.crc32(" ".join(w[j : j + 2]).encode()) for j in range(len(w) - 1)})) for i, t in rows for w in [t.split()]], "id long, values array<bigint>")
     values = {r["id"]: set(r["values"]) for r in sets.collect()}
     near = {(a, b) for a in values for b in values if a < b and 100 * len(values[a] & values[b]) >= 80 * len(values[a] | values[b])}
+    sets = sets.withColumn("form", F.col("id"))
     members = neardup.own_shingles(sets).withColumn("component", F.col("id"))
     met = {(r["a"], r["b"]) for r in neardup.prefix_pairs(members, sets, 80).collect()}
     assert near and near <= met
@@ -323,6 +325,32 @@ def test_near_copies_where_nodes_are_much_work(spark, monkeypatch):
     assert answer() == want
 
 
+@pytest.mark.parametrize("work", [-1, 10**12])
+def test_near_copies_of_deep_walks_and_large_nodes(spark, monkeypatch, work):
+    """Depth two and nodes of a few members already large: the links are those of brute force, whichever way open nodes are settled."""
+    rng = random.Random(17)
+    vocabulary = [f"u{i}" for i in range(2000)]
+    shared, rows = rng.choices(vocabulary, k=90), []
+    for i in range(70):
+        w = shared + rng.choices(vocabulary, k=rng.choice([8, 20, 30]))
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([*w[:-5], *rng.choices(vocabulary, k=5)])), (3 * i + 2, " ".join(rng.choices(vocabulary, k=4) + w[4:]))]
+    depth = 2
+    trees = math.ceil(math.log(1e-6) / math.log(1 - neardup.meet_probability(0.8, depth)))
+    monkeypatch.setattr(neardup, "plan_trees", lambda n, threshold, recall: (depth, trees))
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    monkeypatch.setattr(neardup, "WORK", work)
+    monkeypatch.setattr(neardup, "WORK_EACH", 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_copies(spark.createDataFrame(rows, DOCS), 2).collect()}
+    assert got == brute_components(rows, 2)
+
+
+def test_texts_of_one_document_are_one(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = spark.createDataFrame([(5, a), (5, b), (2, a), (7, b + " more"), (9, "other words"), (5, None)], DOCS)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_copies(rows, 2).collect())
+    assert [x for x in got if x[0] != 5] == [(2, 2, True), (7, 2, False), (9, 9, True)] and {x[1] for x in got if x[0] == 5} >= {2}
+
+
 def test_near_copies_of_one_large_group(spark):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
