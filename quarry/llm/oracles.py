@@ -43,21 +43,28 @@ def _urls() -> str:
 
 
 def _licences() -> str:
-    rows = ",".join(f"('{name}','{term}',{n})" for name, term, n in licences.template_terms())
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    forms = ",".join(f"({i},'{licence}',{quoted(text)},{full})" for i, (licence, text, full) in enumerate(licences.templates()))
     low = "translate({0},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
-    term = licences.TERM.replace("\\", "\\")
-    return f"""WITH tt(licence,term,tf) AS (VALUES {rows}), d AS (SELECT doc_id, source||'/'||lang||'/'||doc_id||'.txt' AS path, source||'/'||lang AS directory, source, coalesce(text,'') AS text FROM documents),
- df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({low.format('text')},'{term}')) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY 1),
- idf AS (SELECT term, ln((1.0+(SELECT count(*) FROM d))/(1+coalesce(n,0)))+1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term)),
- tw AS (SELECT licence, term, tf*idf/sqrt(sum((tf*idf)*(tf*idf)) OVER (PARTITION BY licence)) AS weight FROM tt JOIN idf USING (term)),
- l AS (SELECT DISTINCT doc_id, len(regexp_split_to_array(text,'[ \\t-\\r]+')) AS nw, unnest(string_split(text,chr(10))) AS line FROM d WHERE regexp_matches(text,'{licences.LICENCE_WORDS}')),
- c AS (SELECT doc_id, nw, line, term, count(*) AS tf FROM (SELECT doc_id, nw, line, unnest(regexp_extract_all({low.format('line')},'{term}')) AS term FROM l WHERE regexp_matches(line,'{licences.LICENCE_WORDS}')) GROUP BY 1,2,3,4),
- v AS (SELECT c.*, tf*coalesce(idf,ln(1.0+(SELECT count(*) FROM d))+1) AS w FROM c LEFT JOIN idf USING (term)),
- s AS (SELECT v.doc_id, v.nw, v.line, licence, sum(w*weight) AS dot FROM v JOIN tw USING (term) GROUP BY 1,2,3,4),
- k AS (SELECT s.doc_id, s.nw, licence, round(dot/norm,6) AS cosine FROM s JOIN (SELECT doc_id, line, sqrt(sum(w*w)) AS norm FROM v GROUP BY 1,2) n ON n.doc_id=s.doc_id AND n.line=s.line WHERE round(dot/norm,6)>={licences.LEAST}),
- own AS (SELECT doc_id, nw, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS r FROM k) WHERE r=1),
- given AS (SELECT directory, licence AS gl, cosine AS gc FROM (SELECT d.directory, own.*, row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, doc_id) AS r FROM own JOIN d USING (doc_id) WHERE nw<={licences.FILE_WORDS}) WHERE r=1)
- SELECT d.doc_id, path, coalesce(licence,gl) AS licence, coalesce(cosine,gc) AS cosine, CASE WHEN licence IS NOT NULL THEN 'own' WHEN gl IS NOT NULL THEN 'inherited' ELSE 'none' END AS found FROM d LEFT JOIN own USING (doc_id) LEFT JOIN given USING (directory)"""
+    found = lambda x: f"unnest(regexp_extract_all({low.format(x)},'{licences.TERM}'))"
+    return f"""WITH f(form,licence,body,full_text) AS (VALUES {forms}),
+ d AS (SELECT doc_id, source||'/'||lang||'/'||doc_id||'.txt' AS path, source||'/'||lang AS directory, coalesce(text,'') AS text FROM documents),
+ df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, {found('text')} AS term FROM d) GROUP BY 1),
+ ft AS (SELECT form, licence, full_text, term, count(*) AS tf FROM (SELECT form, licence, full_text, {found('body')} AS term FROM f) GROUP BY 1,2,3,4),
+ p AS (SELECT doc_id, 0 AS part, text AS body FROM d WHERE regexp_matches(text,'{licences.LICENCE_WORDS}') UNION ALL
+  SELECT doc_id, 1, regexp_extract(text,'{licences.HEAD}+') FROM d WHERE regexp_matches(text,'{licences.LICENCE_WORDS}') UNION ALL
+  SELECT doc_id, 1+row_number() OVER (PARTITION BY doc_id ORDER BY body), body FROM (SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(text,'{licences.RUN}+'), string_split(text,chr(10)))) AS body FROM d WHERE regexp_matches(text,'{licences.LICENCE_WORDS}')) WHERE regexp_matches(body,'{licences.LICENCE_WORDS}')),
+ c AS (SELECT doc_id, part, term, count(*) AS tf FROM (SELECT doc_id, part, {found('body')} AS term FROM p) GROUP BY 1,2,3),
+ idf AS (SELECT term, 1-ln(coalesce(n,0)::DOUBLE/(SELECT count(*) FROM d)+{licences.RARE}) AS idf FROM (SELECT term FROM c UNION SELECT term FROM ft) LEFT JOIN df USING (term)),
+ tw AS (SELECT form, licence, full_text, term, tf*idf/sqrt(sum((tf*idf)*(tf*idf)) OVER (PARTITION BY form)) AS weight FROM ft JOIN idf USING (term)),
+ v AS (SELECT doc_id, part, term, tf*idf AS w FROM c JOIN idf USING (term)),
+ s AS (SELECT doc_id, part, form, licence, full_text, sum(w*weight) AS dot FROM v JOIN tw USING (term) WHERE part<2 OR NOT full_text GROUP BY 1,2,3,4,5),
+ k AS (SELECT s.doc_id, licence, round(dot/norm,6) AS cosine, CASE WHEN full_text THEN 0 ELSE 2 END AS rank, part=0 AS whole FROM s JOIN (SELECT doc_id, part, sqrt(sum(w*w)) AS norm FROM v GROUP BY 1,2) USING (doc_id, part) WHERE round(dot/norm,6)>=CASE WHEN full_text THEN {licences.WHOLE} ELSE {licences.LEAST} END
+  UNION ALL SELECT doc_id, {low.format(f"regexp_extract(text,'{licences.SPDX}',1)")}, 1.0, 1, false FROM d WHERE regexp_matches(text,'{licences.SPDX}')),
+ own AS (SELECT doc_id, licence, cosine, bool_or(whole) OVER (PARTITION BY doc_id) AS whole, row_number() OVER (PARTITION BY doc_id ORDER BY rank, cosine DESC, licence) AS r FROM k),
+ given AS (SELECT directory AS gd, licence AS gl, cosine AS gc, row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, doc_id) AS gr FROM own JOIN d USING (doc_id) WHERE r=1 AND (whole OR regexp_matches(path,'{licences.NAME}'))),
+ near AS (SELECT doc_id, gl, gc, row_number() OVER (PARTITION BY doc_id ORDER BY length(gd) DESC) AS n FROM d JOIN given ON gr=1 AND (directory=gd OR starts_with(directory, gd||'/') OR gd=''))
+ SELECT d.doc_id, path, coalesce(licence,gl) AS licence, coalesce(cosine,gc) AS cosine, CASE WHEN licence IS NOT NULL THEN 'own' WHEN gl IS NOT NULL THEN 'inherited' ELSE 'none' END AS found FROM d LEFT JOIN (SELECT * FROM own WHERE r=1) USING (doc_id) LEFT JOIN (SELECT * FROM near WHERE n=1) USING (doc_id)"""
 
 
 ORACLES: dict[str, str] = {

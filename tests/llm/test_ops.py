@@ -270,6 +270,33 @@ def test_licence_files_of_any_length(spark):
     }
 
 
+def test_licence_headers_tags_and_ties(spark):
+    full = {name: text for name, text, whole in licences.templates() if whole}
+    gpl = """# This program is free software: you can redistribute it and/or modify
+#  it under the terms of the GNU General Public License as published by
+#  the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+    apache = """/*
+ * Copyright 2020 Somebody
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ */
+"""
+    code = "\n".join(f"value_{i} = compute({i})" for i in range(300))
+    comment = "".join(f"// {x}\n" for x in full["mit"].replace("<year> <owner>", "2021 Jane Roe").split("\n"))
+    rows = [
+        (1, "a/x.py", gpl + code), (2, "a/y.java", apache + code), (3, "a/z.c", "// SPDX-License-Identifier: MIT\n" + code), (4, "a/w.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */\n" + code), (5, "a/v.js", comment + code),
+        (6, "t/LICENSE", "Licensed under CC0 1.0"), (7, "t/COPYING", "Released under the MIT License"), (8, "t/u/v/file", code), (9, "s/LICENSE", full["bsd-3-clause"]), (10, "s/COPYING", full["gpl-2.0"]), (11, "s/file", code), (None, "q/LICENSE", full["mit"]), (12, "q/file", code), (13, "r/file", "// SPDX-License-Identifier:\n"),
+        (14, "big/file", ("a line on the licence terms\n" * 60_000)), (15, "big/other", "licence " * 200_000),
+    ]
+    got = {r["doc_id"]: (r["licence"], r["found"], r["cosine"]) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i][0] for i in range(1, 6)] == ["gpl-3.0", "apache-2.0", "mit", "gpl-2.0", "mit"] and all(got[i][1] == "own" for i in range(1, 6))
+    assert got[6][2] == got[7][2] == 1.0 and got[8] == ("cc0-1.0", "inherited", 1.0)  # a tie: the lowest id
+    assert got[9][0] == "bsd-3-clause" and got[10][0] == "gpl-2.0" and got[11][0] == max((got[i][2], -i, got[i][0]) for i in (9, 10))[2]
+    assert got[12][1] == "none" and got[13][1] == got[14][1] == got[15][1] == "none"
+
+
 # --- near copies
 
 
