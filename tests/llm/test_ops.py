@@ -625,6 +625,31 @@ def test_learned_spans_and_redaction(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_unnamed_secrets_are_found_by_format(spark):
+    """Labels come from named secrets; what is measured are the unnamed ones, which no rule sees."""
+    rng = random.Random(21)
+    text = lambda letters, n: "".join(rng.choices(letters, k=n))
+    rows = []
+    for i in range(600):
+        key, ssn = text("0123456789abcdef", 40), f"{text('123456789', 3)}-{text('0123456789', 2)}-{text('0123456789', 4)}"
+        rows.append((i, [f"my token = {key} keep", f"the value {key} was used", f"ssn {ssn} on file", f"then {ssn} came up", f"order 20{text('0123456789', 10)} shipped", f"see {text('abcdefghijklmnop', 20)}-{text('0123456789', 2)} for more"][i % 6]))
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    caught = lambda k, kind: sum(kind in found[i] for i in range(k, 600, 6))
+    assert caught(1, "secret") >= 90 and caught(3, "number") >= 90
+    assert caught(4, ":") + caught(5, ":") <= 10
+    figures = pii.held_out(docs)
+    assert {"secret", "number"} <= set(figures) and all(f["precision"] >= 0.9 and f["recall"] >= 0.8 for f in figures.values())
+
+
+def test_ties_in_score(spark, monkeypatch):
+    """Overlapping candidates of one score: the earlier, then the longer span stays."""
+    monkeypatch.setattr(pii.Boosted, "column", lambda self, candidate: F.lit(1.0))
+    monkeypatch.setattr(pii, "fit", lambda rows, precision=0.9: (pii.Boosted(), {kind: 0.0 for kind in pii.ADDED}, {}))
+    got = pii.find_pii(spark.createDataFrame([(1, "a 1234567-abcdefghijklmnop b"), (2, "x" * 1_000_000 + "1")], DOCS)).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {1: "secret:2:26", 2: "secret:0:1000001"}
+
+
 # --- pipeline
 
 
