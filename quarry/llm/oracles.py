@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import licences, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,13 +34,20 @@ REPEATS = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text,''),'{W
  SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws)-coalesce(n,0))::BIGINT AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
+def _pattern(line: str) -> str:
+    """The regular expression of a pattern rule, character by character."""
+    body = line.removeprefix("@@").lower()
+    start = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?" if body.startswith("||") else ""
+    return start + "".join({"^": "(?:[^a-z0-9]|^|$)", "*": ".*"}.get(c) or re.escape(c) for c in body.removeprefix("||"))
+
+
 def _urls() -> str:
     sites = ",".join(f"('{h}','{p}','{v}')" for h, p, v in urls.SITE_RULES)
-    patterns = ",".join(f"('{urls.pattern_regex(p)}','{v}')" for p, v in urls.PATTERN_RULES)
+    patterns = ",".join(f"('{_pattern(p)}','{'allow' if p.startswith('@@') else 'block'}')" for p in urls.PATTERN_RULES)
     return f"""WITH u AS (SELECT page_id, coalesce(url,'') AS url, instr(coalesce(url,''),'://') AS k FROM pages),
  x AS (SELECT page_id, url, CASE WHEN k>0 THEN translate(regexp_extract(substr(url,k+3),'^[^/?#]*'),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN k>0 THEN regexp_extract(substr(url,k+3),'^[^/?#]*([^?#]*)',1) ELSE '' END AS path FROM u),
  site AS (SELECT page_id, url, arg_max(concat(h,p),length(h)+length(p)) AS rule, arg_max(v,length(h)+length(p)) AS verdict FROM x JOIN (VALUES {sites}) r(h,p,v) ON (host=h OR ends_with(host,'.'||h)) AND starts_with(path,p) GROUP BY 1,2),
- pat AS (SELECT page_id, url, bool_or(v='block') AND NOT bool_or(v='allow') AS blocked FROM x JOIN (VALUES {patterns}) r(re,v) ON regexp_matches(lower(url),re) GROUP BY 1,2)
+ pat AS (SELECT page_id, url, bool_or(v='block') AND NOT bool_or(v='allow') AS blocked FROM x JOIN (VALUES {patterns}) r(re,v) ON regexp_matches(lower(url),re,'s') GROUP BY 1,2)
  SELECT x.page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM x LEFT JOIN site USING (page_id, url) LEFT JOIN pat USING (page_id, url)"""
 
 

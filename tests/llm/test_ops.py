@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, html, licences, neardup, packing, pii, quality, substrings, urls
+from quarry.llm import chat, decontaminate, html, licences, neardup, oracles, packing, pii, quality, substrings, urls
 
 DOCS = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -560,7 +560,26 @@ def test_urls(spark):
         6: ("", "", None, "allow"), 7: ("", "", None, "allow"), 8: ("free-bets.net", "/x", None, "block"), 9: ("x.net", "/casinos", None, "allow"), 10: ("x.net", "", None, "allow"), 11: ("notexample.org", "", None, "allow"), 12: ("z.org", "/casino", "org/", "allow"),
     }
     assert urls.filter_urls(table).count() == 13 and urls.filter_urls(table.limit(0)).count() == 0
-    assert urls.pattern_tokens("^free-bets^") == ["free", "bets"] and urls.pattern_tokens("ab*cd^ef") == []
+    lines = spark.createDataFrame([("^free-bets^",), ("ab*cd^ef",), ("@@||Site.net^",), ("! note",), ("",), (None,)], "value string")
+    assert [(r["verdict"], r["tokens"]) for r in urls.pattern_rules(lines).collect()] == [("block", ["free", "bets"]), ("block", []), ("allow", ["site", "net"])]
+    assert len(urls.PATTERN_RULES) > 150
+
+
+@pytest.mark.parametrize("few", [10**9, 0])
+def test_url_index_against_all_rules(spark, monkeypatch, tmp_path, few):
+    """The indexed rules decide as trying every rule on every url does, also where rules have no token and are too many to broadcast."""
+    monkeypatch.setattr(urls, "BROADCAST_RULES", few)
+    rng = random.Random(31)
+    part = lambda: "".join(rng.choices(["ab", "cd", "x1", "-", ".", "/", "ef", "?", "ünï", "A"], k=rng.randint(2, 7)))
+    rows = [(i, f"http://{part()}.net/{part()}") for i in range(150)] + [(150, "http://a.net/" + "x1/" * 300_000 + "ef-cd")]
+    lines = sorted({"".join(rng.choices(["^", "*", "ab", "cd", "x1", "-", "/", "ef", "@@", "||"], weights=[4, 2, 3, 3, 3, 1, 1, 3, 0, 0], k=rng.randint(2, 5))) for _ in range(50)})
+    lines = [f"{rng.choice(['', '', '@@'])}{rng.choice(['', '', '||'])}{x}" for x in lines] + ["^ef-cd^"]
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    tried = [(re.compile(oracles._pattern(x)), x.startswith("@@")) for x in lines]
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.read_rules(spark, str(tmp_path / "rules.txt"))).collect()}
+    for i, url in rows:
+        fits = [ok for r, ok in tried if r.search(url.lower())]
+        assert got[i] == ("block" if False in fits and True not in fits else "allow"), url[:80]
 
 
 # --- personal data
