@@ -147,6 +147,12 @@ def sketch_limit(threshold: float) -> int:
     return math.ceil(T * p + 4.5 * math.sqrt(T * p * (1 - p)))
 
 
+def attach(rows: DataFrame, per_node: DataFrame) -> DataFrame:
+    """rows joined with a table of one row per node: broadcast while that is small, else dealt in a way that lets Spark split a hot node."""
+    per_node = stored(per_node, "nodes")
+    return rows.join(F.broadcast(per_node) if per_node.count() <= BROADCAST_IDS else per_node.hint("merge"), "node")
+
+
 def compare(rows: DataFrame, limit: int) -> DataFrame:
     """Candidates (a, b) of nodes, and as (null, id, node, s0, s1) the members of nodes above LEAF.
 
@@ -154,8 +160,7 @@ def compare(rows: DataFrame, limit: int) -> DataFrame:
     of at most LEAF rows are brought together.
     """
     rows = stored(rows, "reached")
-    shared = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    met = stored(rows.join(shared, "node"), "met")
+    met = stored(attach(rows, rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")), "met")
     large = met.where(F.col("n") > LEAF)
     least = large.groupBy("node").agg(F.min(F.struct("id", "s0", "s1")).alias("p"))
     names = ["a", "b", "node", "s0", "s1"]
@@ -203,7 +208,7 @@ def compare(rows: DataFrame, limit: int) -> DataFrame:
         yield members(node[more], ids[more], s0[more], s1[more])
 
     small = met.where(F.col("n") <= LEAF).select("node", "id", "s0", "s1").repartition("node").sortWithinPartitions("node")
-    seen = large.join(stored(least, "least"), "node").select("node", "id", "s0", "s1", F.col("p.id").alias("p_id"), F.col("p.s0").alias("p0"), F.col("p.s1").alias("p1"))
+    seen = attach(large, least).select("node", "id", "s0", "s1", F.col("p.id").alias("p_id"), F.col("p.s0").alias("p0"), F.col("p.s1").alias("p1"))
     return seen.mapInArrow(of_large, schema).unionByName(small.mapInArrow(of_small, schema))
 
 
@@ -246,6 +251,13 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return sets.select("id", "form", F.size("values").cast("long").alias("n")).join(single.groupBy("of.id", "of.form").agg(F.count("*").alias("own")), ["id", "form"], "left").select("id", "form", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
 
+def common_shingles(sets: DataFrame) -> DataFrame:
+    """(id, form, common): the shingles that some other of these sets has too; two sets share nothing else."""
+    each = sets.select("id", "form", F.explode("values").alias("value"))
+    several = each.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
+    return each.join(several, "value").groupBy("id", "form").agg(F.collect_list("value").alias("common"))
+
+
 def can_reach(a: str, b: str, percent: int):
     """Whether two sets may reach the threshold: what they share leaves out what is their own, what they span holds it."""
     c = lambda t, f: F.col(f"{t}.{f}")
@@ -279,7 +291,7 @@ def same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
 def across(members: DataFrame) -> DataFrame:
     """The members (node, component, ..) of nodes that hold more than one component; the nodes' extremes are joined back, so a hot node may be split."""
     ends = members.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("node")
-    return members.join(ends, "node", "left_semi")
+    return attach(members, ends)
 
 
 def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-6) -> DataFrame:
@@ -314,17 +326,24 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: flo
         sized = stored(open_.join(own, "id"), "sized")
         shortest = sized.groupBy("node").agg(F.min("n").alias("shortest"))
         reached = percent * (F.col("shortest") + F.col("own")) <= 100 * (F.col("n") - F.col("own"))
-        open_ = stored(across(stored(sized.join(shortest, "node").where(reached).drop("shortest"), "members")), "open")
+        open_ = stored(across(stored(attach(sized, shortest).where(reached).drop("shortest"), "members")), "open")
         per = open_.groupBy("node", "component").agg(F.count("*").alias("m")).groupBy("node").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("work"))
         work = per.agg(F.sum("work")).first()[0] or 0
         ends = [own.select(F.col("id").alias(c), F.struct("n", "own").alias(of)) for c, of in (("a", "x"), ("b", "y"))]
         found = rest.join(ends[0], "a").join(ends[1], "b").where(can_reach("x", "y", percent)).select("a", "b").distinct()
         if work > WORK + WORK_EACH * n:
             met = prefix_pairs(open_.select("id", "form", "component", "n", "own").distinct(), sets, percent)
-        else:  # ids and sketches meet in the node; a pair that shares several nodes is one candidate
-            x, y = open_.alias("x"), open_.alias("y")
-            met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") < F.col("y.component")) & close("x", "y") & can_reach("x", "y", percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        confirmed = confirm(stored(found.unionByName(met).distinct(), "found"), sets, threshold)
+        elif work:
+            common = common_shingles(sets.join(open_.select("id").distinct(), "id", "left_semi"))
+            nodes = open_.groupBy("id", "form").agg(F.collect_set("node").alias("nodes"))
+            listed = stored(open_.join(nodes.join(common, ["id", "form"]), ["id", "form"]), "listed")
+            x, y = listed.alias("x"), listed.alias("y")
+            once = F.array_min(F.array_intersect("x.nodes", "y.nodes")) == F.col("x.node")  # a pair that shares several nodes is met in the least
+            both = F.size(F.array_intersect("x.common", "y.common"))
+            linked = 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)  # the cheap tests before it leave few pairs to this one
+            cross = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") < F.col("y.component")) & close("x", "y") & can_reach("x", "y", percent) & once & linked)
+            met = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        confirmed = confirm(stored(found.unionByName(met).distinct() if work else found, "found"), sets, threshold)
         if not confirmed.isEmpty():
             links = links.unionByName(confirmed)
             comps = stored(components(links), "components")
