@@ -1,15 +1,18 @@
 """Substring dedup by De Bruijn compaction.
 
-Each window of `window` words belongs to its k-mer of least hash, wherever the window stands. Windows in a row that share it make
-an edge: the k-mer is its vertex, all words of those windows its content. A vertex found in two or more
-documents is repeated. If all its edges have one content it does not branch, and the whole path of windows is
-settled at once: every document but the least that holds it loses it. Where a vertex branches, each content is
-settled the same way, and the least holder of each is taken apart into windows, at its source coordinates in
-the text, which are compared one by one; no other document needs to be, as a window's least holder is also
-the least holder of the edge it lies in.
+Each window of `window` words belongs to its k-mer of least hash, wherever the window stands. Windows in a row that share it
+are an edge of the graph: the k-mer is where it hangs, all words of those windows its content. Only edges at k-mers of two
+or more documents can repeat. Edges that repeat are joined to their successors; where every occurrence of one is followed by
+the other, and every occurrence of the other preceded by it, the path does not branch, and pointer doubling through stored
+joins contracts such paths to their heads. A whole path has one least document, and all others lose it at once.
 
-Removed is each word covered by a window that also starts in a document of smaller id. Vertices, contents and
-windows are compared by 64-bit hash together with that of their vertex, 128 bits in all.
+Where different contents hang at one k-mer they may share some windows: the least holder of each such content is taken
+apart into windows, at its source coordinates, which are compared one by one; no other document needs to be, as a
+window's least holder is also the least holder of the edge it lies in.
+
+Nothing is removed on hashes of words alone: each span carries a 128-bit digest of the words at its coordinates in the least
+document, and is removed if the words at its own coordinates have that digest. Removed is each word covered by a window
+that also starts in a document of smaller id.
 
 Edge cases: null text has no words; texts shorter than a window lose nothing; repeats inside one document and
 rows of one doc_id are not copies of each other; a null doc_id neither loses words nor makes others lose any;
@@ -29,7 +32,7 @@ from .common import Prefix, stored, texts, word_hashes, words_of
 
 WINDOW, K = 50, 16
 PLACE = 24
-EDGES = "doc_id long, lo int, hi int, vertex long, content long"
+EDGES = "doc_id long, lo int, hi int, vertex long, content long, next_vertex long, next_content long"
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -60,13 +63,14 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def document_edges(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """All edges of all documents. A text of 2**PLACE words or more is taken in overlapping parts."""
+    """All edges of all documents, with the edge that follows. A text of 2**PLACE words or more is taken in overlapping parts."""
     most = (1 << PLACE) - 1
+    names = ["doc_id", "lo", "hi", "vertex", "content"]
 
     def run(batches):
-        names = ["doc_id", "lo", "hi", "vertex", "content"]
         for batch in batches:
-            parts = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+            parts = [[np.empty(0, kind)] for kind in (np.int64, np.int32, np.int32, np.int64, np.int64)]
+            last = [np.empty(0, bool)]
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 if doc_id is None:
                     continue
@@ -76,45 +80,95 @@ def document_edges(docs: DataFrame, window: int, k: int) -> DataFrame:
                         lo, hi, vertex, content = found
                         for part, x in zip(parts, (np.full(len(lo), doc_id, np.int64), (lo + a).astype(np.int32), (hi + a).astype(np.int32), _long(vertex), _long(content)), strict=True):
                             part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names)
+                        last.append(np.arange(len(lo)) == len(lo) - 1)
+            columns, ends = [np.concatenate(x) for x in parts], np.concatenate(last)
+            following = [pa.array(np.r_[c[1:], 0][: len(c)], mask=ends) for c in columns[3:]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *following], [*names, "next_vertex", "next_content"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, EDGES)
 
 
-def open_windows(docs: DataFrame, spans: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc_id, at, vertex, content) of each window in spans (doc_id, lo, hi, vertex), read at its place in the text."""
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "vertex")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(listed, "doc_id").select("doc_id", "text", "spans.lo", "spans.hi", "spans.vertex")
+class Words:
+    """The words of a text and the digests of runs of them."""
+
+    def __init__(self, text: bytes):
+        self.words = words_of(text)
+        self.joined = b" ".join(self.words)
+        self.end = np.cumsum([len(w) + 1 for w in self.words]).tolist()
+
+    def digest(self, lo: int, hi: int) -> bytes | None:
+        """Of the words lo to hi, hi excluded; null where the text ends before."""
+        return hashlib.blake2b(self.joined[self.end[lo - 1] if lo else 0 : self.end[hi - 1] - 1], digest_size=16).digest() if hi <= len(self.words) else None
+
+
+def read_sources(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """(doc_id, at, vertex, content, digest) of spans (doc_id, lo, hi, vertex, content), read at their places in the texts: one row and digest for a
+    span of a content, one for each window of a span without."""
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "vertex", "content")).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(listed, "doc_id").select("doc_id", "text", *[f"spans.{x}" for x in ("lo", "hi", "vertex", "content")])
+    names, kinds = ["doc_id", "at", "vertex", "content", "digest"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches):
         for batch in batches:
-            parts = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
-            for doc_id, text, lo, hi, vertex in zip(batch.column(0).to_pylist(), texts(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                h = word_hashes(text)
-                n = np.array(hi) - np.array(lo) + 1
-                at = np.repeat(np.array(lo), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for part, x in zip(parts, (np.full(len(at), doc_id, np.int64), at.astype(np.int32), np.repeat(np.array(vertex, np.int64), n), _long(Prefix(h).runs(at, at + window))), strict=True):
-                    part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["doc_id", "at", "vertex", "content"])
-
-    return rows.mapInArrow(run, "doc_id long, at int, vertex long, content long")
+            out = [[] for _ in names]
+            for doc_id, text, *of in zip(batch.column(0).to_pylist(), texts(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+                words = Words(text)
+                for lo, hi, vertex, content in zip(*of, strict=True):
+                    for a, b in [(lo, hi + 1)] if content is not None else [(at, at + 1) for at in range(lo, hi + 1)]:
+                        for column, x in zip(out, (doc_id, a, vertex, content, words.digest(a, b + window - 1)), strict=True):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names)
+
+    return rows.mapInArrow(run, "doc_id long, at int, vertex long, content long, digest binary").where("digest is not null")
+
+
+KEY, NEXT = ["vertex", "content"], ["next_vertex", "next_content"]
+
+
+def compacted(held: DataFrame) -> DataFrame:
+    """(vertex, content, least, windows) of the heads of nonbranching paths of repeated edges; windows counts those of the whole path.
+
+    held has for each edge its occurrences n, those that have a successor, and the least and the largest successor. An edge follows another on an unbranched
+    path if it always follows, and has no more occurrences: so no path is a cycle.
+    """
+    edges = held.where("least < most")
+    after = edges.where((F.col("n_next") == F.col("n")) & (F.col("first_next") == F.col("last_next"))).select(*[F.col(c).alias(f"of_{c}") for c in KEY], F.col("n").alias("of_n"), F.col("windows").alias("offset"), "first_next.*")
+    links = after.join(edges.select(*[F.col(c).alias(x) for c, x in zip(KEY, NEXT, strict=True)], "n"), NEXT).where("of_n = n")
+    # Each edge but a head points to one before it on its path, and how many windows lie between their starts.
+    back = stored(links.select(*[F.col(x).alias(c) for c, x in zip(KEY, NEXT, strict=True)], F.col("of_vertex").alias("to_vertex"), F.col("of_content").alias("to_content"), "offset"), "pointers")
+    while True:
+        far = back.select(F.col("vertex").alias("to_vertex"), F.col("content").alias("to_content"), F.col("to_vertex").alias("v"), F.col("to_content").alias("c"), F.col("offset").alias("more"))
+        joined = back.join(far, ["to_vertex", "to_content"], "left")
+        back = stored(joined.select(*KEY, F.coalesce("v", "to_vertex").alias("to_vertex"), F.coalesce("c", "to_content").alias("to_content"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), F.col("v").isNotNull().alias("moved")), "pointers")
+        if back.where("moved").isEmpty():
+            break
+    ends = back.join(edges.select(*KEY, "windows"), KEY).groupBy(F.col("to_vertex").alias("vertex"), F.col("to_content").alias("content")).agg(F.max(F.col("offset") + F.col("windows")).alias("whole"))
+    return edges.join(back, KEY, "left_anti").join(ends, KEY, "left").select(*KEY, "least", F.coalesce("whole", "windows").alias("windows"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc_id, lo, hi): the windows starting in lo..hi also start in a document of smaller id."""
+    """(doc_id, lo, hi, digest): the windows starting in lo..hi also start in a document of smaller id, if the words they cover have the digest."""
     edges = stored(document_edges(docs, window, k), "edges")
-    vertices = edges.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("content") != F.max("content")).alias("branches")).where("least < most").select("vertex", "least", "branches")
+    vertices = edges.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("content") != F.max("content")).alias("branches")).where("least < most").select("vertex", "branches")
     vertices = stored(vertices, "vertices")  # a plain table on both sides lets Spark split a hot vertex
     repeated = stored(edges.join(vertices, "vertex"), "repeated")
-    settled = repeated.where("not branches and doc_id > least").select("doc_id", "lo", "hi")
-    branching = repeated.where("branches").select("doc_id", "lo", "hi", "vertex", "content")
-    held = stored(branching.groupBy("vertex", "content").agg(F.min("doc_id").alias("least")), "held")
-    judged = stored(branching.join(held, ["vertex", "content"]), "judged")
-    windows = stored(open_windows(docs, judged.where("doc_id = least").select("doc_id", "lo", "hi", "vertex").distinct(), window, k), "windows")
-    first = windows.groupBy("vertex", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("vertex", "content", "least")
-    first = stored(first, "first")
-    single = windows.join(first, ["vertex", "content"]).where("doc_id > least").select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return settled.unionByName(judged.where("doc_id > least").select("doc_id", "lo", "hi")).unionByName(single)
+    following = F.when(F.col("next_vertex").isNotNull(), F.struct(*NEXT))
+    held = repeated.groupBy(*KEY).agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("hi") - F.col("lo") + 1).cast("long").alias("windows"), F.count("*").alias("n"), F.count("next_vertex").alias("n_next"),
+        F.min(following).alias("first_next"), F.max(following).alias("last_next"), F.min(F.struct("doc_id", "lo", "hi")).alias("first"), F.first("branches").alias("branches"),
+    )
+    held = stored(held, "held")
+    heads = stored(compacted(held), "heads")
+    paths = stored(repeated.join(heads, KEY).select("doc_id", "lo", (F.col("lo") + F.col("windows") - 1).cast("int").alias("hi"), *KEY, "least"), "paths")
+    sources = paths.where("doc_id = least").groupBy(*KEY).agg(F.min(F.struct("doc_id", "lo", "hi")).alias("first")).select("first.*", *KEY)
+    apart = held.where("branches").select("first.*", "vertex", F.lit(None).cast("long").alias("content"))
+    read = stored(read_sources(docs, sources.unionByName(apart), window), "sources")
+    of_paths = read.where("content is not null").groupBy(*KEY).agg(F.min(F.struct("doc_id", "at", "digest"))["digest"].alias("digest"))
+    whole = paths.where("doc_id > least").join(stored(of_paths, "digests"), KEY).select("doc_id", "lo", "hi", "digest")
+    windows = read.where("content is null")
+    first = stored(windows.groupBy("vertex", "digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("vertex", "digest", "least"), "first")
+    single = windows.join(first, ["vertex", "digest"]).where("doc_id > least").select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"), "digest")
+    return whole.unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -128,21 +182,26 @@ def repeat_report(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
 
 
 def _cleaned(docs: DataFrame, window: int, k: int, field: str, column) -> DataFrame:
-    spans = repeated_spans(docs, window, k).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(spans, "doc_id", "left").select("doc_id", "text", "spans.lo", "spans.hi")
+    spans = repeated_spans(docs, window, k).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "digest")).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(spans, "doc_id", "left").select("doc_id", "text", "spans.lo", "spans.hi", "spans.digest")
 
     def run(batches):
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, lo, hi in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = words_of(text)
-                n = len(words)
-                if lo:
+            for text, *of in zip(texts(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                if of[0]:
+                    read = Words(text)
+                    words, n = read.words, len(read.words)
                     steps = np.zeros(n + 1, np.int32)
-                    np.add.at(steps, np.array(lo), 1)
-                    np.add.at(steps, np.array(hi) + window, -1)
+                    for lo, hi, digest in zip(*of, strict=True):
+                        if read.digest(lo, hi + window) == digest:
+                            steps[lo] += 1
+                            steps[hi + window] -= 1
                     keep = np.cumsum(steps[:-1]) == 0
                     words = [w for w, k_ in zip(words, keep.tolist(), strict=True) if k_]
+                else:
+                    words = words_of(text)
+                    n = len(words)
                 counts.append(n)
                 removed.append(n - len(words))
                 kept.append(b" ".join(words))

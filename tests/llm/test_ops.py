@@ -537,6 +537,29 @@ def test_substrings_branching(spark):
     assert got == brute_removed(rows, 20)
 
 
+def test_paths_are_compacted(spark):
+    """Copies of one long passage make one path whose head stands for all its edges; a repeat inside a document is a branch."""
+    rng = random.Random(14)
+    passage = [f"s{i}" for i in range(700)]
+    other = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(other(30) + passage + other(30))) for i in range(4)] + [(4, "loop " * 300), (5, "loop " * 400), (6, " ".join(passage[:300] + other(40) + passage[300:]))]
+    documents = spark.createDataFrame(rows[:4], DOCS)
+    spans = substrings.repeated_spans(documents).collect()
+    for i in (1, 2, 3):
+        of = [r for r in spans if r["doc_id"] == i]
+        assert len({at for r in of for at in range(r["lo"], r["hi"] + 1)}) == 651 and max(r["hi"] - r["lo"] for r in of) > 500
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.repeat_report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_removed(rows, 50)
+
+
+def test_words_decide_not_hashes(spark, monkeypatch):
+    """Where the hashes of all words collide, nothing is removed that is not the same words."""
+    monkeypatch.setattr(substrings, "read_sources", lambda docs, spans, window, f=substrings.read_sources: f(docs.withColumn("text", F.concat("text", F.lit(" x"))).withColumn("text", F.when(F.col("doc_id") == 1, F.regexp_replace("text", "q7 ", "other ")).otherwise(F.col("text"))), spans, window))
+    text = " ".join(f"q{i}" for i in range(80))
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.repeat_report(spark.createDataFrame([(1, text), (2, text)], DOCS)).collect()}
+    assert got == {1: 0, 2: 0}  # the source's words at the coordinates are others than the edges said
+
+
 def test_substrings_edges(spark):
     text = " ".join(f"x{i}" for i in range(60))
     rows = spark.createDataFrame([(None, text), (2, text), (2, text), (3, text), (4, None)], DOCS).withColumn("spans", F.lit(0))
