@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
+PARTS = 64
 
 
 def wilson(successes: Column, total: Column, z: float = Z95) -> Column:
@@ -25,19 +28,38 @@ def chance_of_hit(pool: Column, relevant: Column, cut: int) -> Column:
     return F.when((relevant <= 0) | (draws <= 0), 0.0).when(relevant >= pool, 1.0).otherwise(1 - miss)
 
 
-def poisson_binomial_tail(probabilities: Column, observed: Column) -> Column:
-    """P(X >= observed) for independent trials of unequal probability (an array); no trials: 1."""
-    start = F.array(F.lit(1.0))
+def poisson_binomial_tail(trials: DataFrame, observed: DataFrame) -> DataFrame:
+    """observed (arm, hits, ..) with p_value = P(X >= hits) for the independent trials (arm, chance) of the arm; no trials: 1.
 
-    def step(acc, p):
-        q = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
-        stay, move = F.concat(acc, F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), acc)
-        return F.zip_with(stay, move, lambda a, b: a * (1 - q) + b * q)
+    Equal chances are counted first and make a binomial each. Their distributions are convolved in PARTS groups an arm, then across these, so no
+    task sees the single trials of an arm; what it sees is as long as the distribution itself.
+    """
 
-    exact = F.aggregate(probabilities, start, step)
-    return F.when(F.size(probabilities) == 0, 1.0).when(observed <= 0, 1.0).when(observed > F.size(probabilities), 0.0).otherwise(F.aggregate(F.slice(exact, observed + 1, F.size(exact)), F.lit(0.0), lambda a, x: a + x))
+    def convolved(parts) -> np.ndarray:
+        out = np.ones(1)
+        for part in sorted(parts, key=len):
+            out = np.convolve(out, part)
+        return out
 
+    def of_counts(key, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"arm": [key[0]], "p": [convolved(binomial(p, int(n)) for p, n in zip(group["chance"], group["n"], strict=True))]})
 
-def upper_median(values: Column) -> Column:
-    """Of an array: element n // 2 (0-based) in ascending order."""
-    return F.element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+    def of_parts(key, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"arm": [key[0]], "p": [convolved(np.asarray(p) for p in group["p"])]})
+
+    counted = trials.groupBy("arm", F.least(F.greatest("chance", F.lit(0.0)), F.lit(1.0)).alias("chance")).agg(F.count("*").alias("n"))
+    schema = "arm string, p array<double>"
+    parts = counted.groupBy("arm", F.pmod(F.xxhash64("chance"), F.lit(PARTS))).applyInPandas(of_counts, schema)
+    whole = parts.groupBy("arm").applyInPandas(of_parts, schema)
+    tail = F.aggregate(F.slice("p", F.col("hits") + 1, F.size("p")), F.lit(0.0), lambda a, x: a + x)
+    value = F.when(F.col("p").isNull() | (F.col("hits") <= 0), 1.0).when(F.col("hits") >= F.size("p"), 0.0).otherwise(tail)
+    return observed.join(whole, "arm", "left").withColumn("p_value", value).drop("p")
+
+
+def binomial(p: float, n: int) -> np.ndarray:
+    """P(X = 0..n) of n trials of probability p, by repeated squaring of the one-trial distribution."""
+    out, base = np.ones(1), np.array([1 - p, p])
+    while n:
+        out, n = (np.convolve(out, base) if n & 1 else out), n >> 1
+        base = np.convolve(base, base) if n else base
+    return out

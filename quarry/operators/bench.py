@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import chance_of_hit, poisson_binomial_tail, upper_median, wilson
+from ..functions.stats import chance_of_hit, wilson
 from ..functions.text import HAN, char_bigrams, jaccard, utf16_length
+from .evaluate import null_test
 
 # Limits, marks and wordings of the benchmark.
 MAX_QUESTION_CHARS = 110
@@ -141,13 +142,20 @@ def lexical_overlap(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def assign_split(questions: DataFrame, ratio: float = 0.67, seed: int = 42) -> DataFrame:
-    """Add split and id to questions (question, answerable): the first floor(ratio * n) answerable ones by seeded hash are dev; every third negative is holdout."""
-    key = F.sha2(F.concat(F.lit(f"{seed}|"), "question"), 256)
-    by = Window.partitionBy("answerable")
-    rows = questions.withColumn("_r", F.row_number().over(by.orderBy(key, "question"))).withColumn("_n", F.count("*").over(by)).withColumn("_a", F.max(F.when(F.col("answerable"), F.col("_n"))).over(Window.partitionBy(F.lit(1))))
+    """Add split and id to questions (question, answerable): the first floor(ratio * n) answerable ones by seeded hash are dev; every third negative is holdout.
+
+    Ranks are taken in 4096 ranges of the hash and shifted by the counts of the ranges before.
+    """
+    rows = questions.withColumn("_k", F.sha2(F.concat(F.lit(f"{seed}|"), "question"), 256)).withColumn("_b", F.substr("_k", F.lit(1), F.lit(3)))
+    counts = rows.groupBy("answerable", "_b").agg(F.count("*").alias("_c"))
+    of = Window.partitionBy("answerable")
+    before = counts.select("answerable", "_b", F.coalesce(F.sum("_c").over(of.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(of).alias("_n"))
+    answerable = counts.agg(F.coalesce(F.sum(F.when(F.col("answerable"), F.col("_c"))), F.lit(0)).alias("_a"))
+    rows = rows.join(F.broadcast(before), ["answerable", "_b"]).crossJoin(F.broadcast(answerable))
+    rows = rows.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("answerable", "_b").orderBy("_k", "question")))
     dev = F.when(F.col("answerable"), F.col("_r") <= F.floor(F.lit(ratio) * F.col("_n"))).otherwise((F.col("_r") - 1) % 3 != 0)
-    number = F.when(F.col("answerable"), F.col("_r")).otherwise(F.coalesce("_a", F.lit(0)) + F.col("_r"))
-    return rows.withColumn("split", F.when(dev, "dev").otherwise("holdout")).withColumn("id", F.format_string("w5-%03d", number)).drop("_r", "_n", "_a")
+    number = F.when(F.col("answerable"), F.col("_r")).otherwise(F.col("_a") + F.col("_r"))
+    return rows.withColumn("split", F.when(dev, "dev").otherwise("holdout")).withColumn("id", F.format_string("w5-%03d", number)).select(*questions.columns, "split", "id")
 
 
 def locate_section(labels: DataFrame, sections: DataFrame) -> DataFrame:
@@ -182,9 +190,9 @@ def section_summary(ranks: DataFrame, cut: int = 5) -> DataFrame:
 
 def section_lengths(bounds: DataFrame) -> DataFrame:
     """One row: n, least, upper median, ninetieth (element floor(0.9 n)) and longest section."""
-    lengths = F.sort_array(F.collect_list(F.col("s_end") - F.col("s_start")))
-    one = bounds.where("resolved").agg(lengths.alias("_l"))
-    return one.select(F.size("_l").alias("n"), F.element_at("_l", 1).alias("length_min"), upper_median(F.col("_l")).alias("length_p50"), F.element_at("_l", (F.floor(F.size("_l") * 0.9) + 1).cast("int")).alias("length_p90"), F.element_at("_l", -1).alias("length_max"))
+    of = bounds.where("resolved").select((F.col("s_end") - F.col("s_start")).alias("l"))
+    at = lambda share: F.expr(f"percentile_disc({share}) within group (order by l desc)")  # noqa: E731  counted from above, so halves fall to the upper side
+    return of.agg(F.count("*").cast("int").alias("n"), F.min("l").alias("length_min"), at(0.5).alias("length_p50"), at(0.1).alias("length_p90"), F.max("l").alias("length_max"))
 
 
 def section_chance(bounds: DataFrame, index: DataFrame, body_ranks: DataFrame, cut: int = 5) -> DataFrame:
@@ -194,8 +202,7 @@ def section_chance(bounds: DataFrame, index: DataFrame, body_ranks: DataFrame, c
     inside = bounds.where("resolved").join(text.select("document_key", "start_offset"), "document_key").where((F.col("start_offset") > F.col("s_start")) & (F.col("start_offset") < F.col("s_end"))).groupBy("question_id").agg(F.count("*").alias("relevant"))
     chances = bounds.where("resolved").select("question_id").join(inside, "question_id", "left").crossJoin(F.broadcast(pool)).withColumn("chance", chance_of_hit(F.col("pool"), F.coalesce("relevant", F.lit(0)), cut))
     rows = body_ranks.join(chances, "question_id").withColumn("hit", ((F.col("body_rank") > 0) & (F.col("body_rank") <= cut)).cast("int"))
-    per = rows.groupBy("arm").agg(F.count("*").alias("n"), F.sum("hit").cast("int").alias("hits"), F.avg("chance").alias("mean_chance"), F.sort_array(F.collect_list("chance")).alias("_p"))
-    return per.withColumn("p_value", poisson_binomial_tail(F.col("_p"), F.col("hits"))).drop("_p")
+    return null_test(rows)
 
 
 def wrong_section_examples(hits: DataFrame, bounds: DataFrame, index: DataFrame, arm: str = "A1", cut: int = 5) -> DataFrame:

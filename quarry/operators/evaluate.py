@@ -7,11 +7,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chance_of_hit, poisson_binomial_tail, wilson
 from ..functions.text import HAN, slashes
+from .blocks import matrix, products
 from .query import ARMS
 
 TEXT_MODALITIES = ("text", "table", "code")
@@ -167,8 +169,8 @@ def chance_shuffle(hits: DataFrame, cut: int = 5, draws: int | None = None) -> D
 
 def null_test(chances: DataFrame) -> DataFrame:
     """Per arm of (arm, chance, hit): trials, hits, mean chance and P(X >= hits)."""
-    per = chances.groupBy("arm").agg(F.count("*").alias("n"), F.sum("hit").cast("int").alias("hits"), F.avg("chance").alias("mean_chance"), F.sort_array(F.collect_list("chance")).alias("_p"))
-    return per.withColumn("p_value", poisson_binomial_tail(F.col("_p"), F.col("hits"))).drop("_p")
+    per = chances.groupBy("arm").agg(F.count("*").alias("n"), F.sum("hit").cast("int").alias("hits"), F.avg("chance").alias("mean_chance"))
+    return poisson_binomial_tail(chances, per)
 
 
 def arm_summary(records: DataFrame) -> DataFrame:
@@ -184,8 +186,7 @@ def arm_summary(records: DataFrame) -> DataFrame:
 
 def unanswerable_axis(records: DataFrame) -> DataFrame:
     """Per arm over unanswerable rows (top_score, returned): count, abstained, and top score max, lower-order median, min."""
-    scores = F.sort_array(F.collect_list("top_score"), asc=False)
-    return records.where("class = 'unanswerable'").groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("returned") == 0).alias("abstained"), F.max("top_score").alias("top_max"), F.element_at(scores, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("top_median"), F.min("top_score").alias("top_min"))
+    return records.where("class = 'unanswerable'").groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("returned") == 0).alias("abstained"), F.max("top_score").alias("top_max"), F.expr("percentile_disc(0.5) within group (order by top_score)").alias("top_median"), F.min("top_score").alias("top_min"))
 
 
 def corpus_stats(index: DataFrame, postings: DataFrame) -> DataFrame:
@@ -230,30 +231,20 @@ def neighborhood_coverage(labels: DataFrame, index: DataFrame) -> DataFrame:
     return per.select("question_id", "claimed", "found", (F.col("claimed") == F.col("found")).alias("exists_all"), F.contains("_text", F.substring("_e", 1, 24)).alias("evidence_found"), F.coalesce(reach <= 2, F.lit(False)).alias("some_window"), F.coalesce(reach <= 1, F.lit(False)).alias("every_window"))
 
 
-def _gold_ranks(queries: DataFrame, pool: DataFrame, block: int = 2_000) -> DataFrame:
-    """(query, rank): 1 + pool members above the query's gold (or equal with a lower position), its `skip` left out. Queries in stated blocks."""
-    n = queries.count()
-    blocks, out = max(1, -(-n // block)), None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "vec", "gold", "gold_vec", "skip").collect()
-        q, g = np.array([r["vec"] for r in rows], np.float64), np.array([r["gold_vec"] for r in rows], np.float64)
-        sent = queries.sparkSession.sparkContext.broadcast((np.array([r["query"] for r in rows]), q, np.array([r["gold"] for r in rows]), np.array([-1 if r["skip"] is None else r["skip"] for r in rows]), np.array([float(a @ b) for a, b in zip(q, g, strict=True)])))
-
-        def run(batches, sent=sent):
-            ids, q, gold, skip, target = sent.value
-            above = np.zeros(len(ids), np.int64)
-            for batch in batches:
-                if len(ids):
-                    m, at = np.stack(batch["vec"].to_numpy()).astype(np.float64), batch["position"].to_numpy()
-                    s = np.array([[float(x @ y) for y in q] for x in m]) if len(m) * len(ids) < 64 else m @ q.T
-                    near = np.abs(s - target) <= 1e-12
-                    wins = (s > target) & ~near | near & (at[:, None] < gold)
-                    above += (wins & (at[:, None] != gold) & (at[:, None] != skip)).sum(axis=0)
-            yield pd.DataFrame({"query": ids, "above": above})
-
-        part = pool.select("position", "vec").mapInPandas(run, "query long, above long")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("query").agg((F.sum("above") + 1).alias("rank"))
+def _gold_ranks(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query, rank): 1 + pool members above the query's gold (or equal with a lower position), its `skip` left out; block by block."""
+    rows = pool.select(F.lit("").alias("space"), F.col("position").cast("long").alias("position"), "vec")
+    asked = queries.select(F.lit("").alias("space"), F.col("query").cast("long").alias("query"), "vec", F.col("gold").cast("long").alias("gold"), "gold_vec", F.coalesce("skip", F.lit(-1)).cast("long").alias("skip"))
+
+    def score(rows: dict, asked: dict) -> pa.RecordBatch:
+        q = matrix(asked["vec"])
+        target, s = (q * matrix(asked["gold_vec"])).sum(axis=1), matrix(rows["vec"]) @ q.T
+        at, gold, skip = rows["position"].to_numpy()[:, None], asked["gold"].to_numpy(), asked["skip"].to_numpy()
+        near = np.abs(s - target) <= 1e-12
+        wins = ((s > target) & ~near | near & (at < gold)) & (at != gold) & (at != skip)
+        return pa.RecordBatch.from_arrays([asked["query"], pa.array(wins.sum(axis=0))], ["query", "above"])
+
+    return products(rows, asked, score, "query long, above long").groupBy("query").agg((F.sum("above") + 1).alias("rank"))
 
 
 def rank_summary(ranks: DataFrame, chance_pool: int) -> DataFrame:

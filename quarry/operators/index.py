@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ IMAGE = "struct<format:string,width:int,height:int,colorMode:string,orientation:
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """Distinct (term, chunk_rowid) of chunks (row_id, body)."""
-    return chunks.select(F.explode(han_bigrams(F.coalesce("body", F.lit("")))).alias("term"), F.col("row_id").alias("chunk_rowid")).distinct()
+    """Distinct (term, chunk_rowid) of chunks (row_id, body) with a row for each row_id; terms are distinct in a row, so nothing is shuffled."""
+    return chunks.select(F.explode(han_bigrams(F.coalesce("body", F.lit("")))).alias("term"), F.col("row_id").alias("chunk_rowid"))
 
 
 def replaced_documents(index: DataFrame, batch: DataFrame) -> DataFrame:
@@ -92,11 +93,20 @@ def index_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count("*").alias("documents"), n("written"), n("reused"), n("failed"), F.coalesce(F.sum(F.when(F.col("outcome") == "written", F.col("chunks"))), F.lit(0)).alias("chunks_written"))
 
 
-def index_progress(outcomes: DataFrame) -> DataFrame:
-    """Running counts after each file of a run, by path."""
-    w = Window.partitionBy("run_id").orderBy("relative_path").rowsBetween(Window.unboundedPreceding, 0)
-    n = lambda k: F.sum((F.col("outcome") == k).cast("int")).over(w).alias(k)
-    return outcomes.select("run_id", "relative_path", F.count("*").over(w).alias("processed"), n("written"), n("reused"), n("failed"))
+def index_progress(outcomes: DataFrame, ranges: int = 256) -> DataFrame:
+    """Running counts after each file of a run, by path. A run is counted in ranges of paths, shifted by the counts of the ranges before; their
+    bounds are at most `ranges` paths, chosen by hash."""
+    share = max(1, outcomes.count() // ranges)
+    bounds = sorted(r[0] for r in outcomes.where(F.col("relative_path").isNotNull() & (F.pmod(F.xxhash64("relative_path"), F.lit(share)) == 0)).select("relative_path").distinct().orderBy(F.xxhash64("relative_path")).limit(ranges).collect())
+    given = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<string>")
+    flags = {"processed": F.lit(1), **{k: (F.col("outcome") == k).cast("int") for k in ("written", "reused", "failed")}}
+    rows = outcomes.select("run_id", "relative_path", F.size(F.filter(given, lambda b: b <= F.coalesce("relative_path", F.lit("")))).alias("_range"), *[f.alias(k) for k, f in flags.items()])
+    of = Window.partitionBy("run_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("run_id", "_range").agg(*[F.sum(k).alias(f"_{k}") for k in flags])
+    before = sums.select(F.col("run_id").alias("_run"), F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_{k}").over(of), F.lit(0)).alias(f"_{k}") for k in flags])
+    within = Window.partitionBy("run_id", "_range").orderBy("relative_path").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(F.broadcast(before), F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_at")))
+    return joined.select("run_id", "relative_path", *[(F.col(f"_{k}") + F.sum(k).over(within)).alias(k) for k in flags])
 
 
 def index_stats(index: DataFrame, postings: DataFrame) -> DataFrame:
@@ -110,6 +120,12 @@ def document_chunks(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("document_id").distinct(), "document_id", "left_semi").withColumn("position", F.row_number().over(by))
 
 
+def _utc(moment: str) -> Column:
+    """The moment of an ISO date or time; without an offset it is taken as UTC, whatever the session's zone."""
+    when = datetime.fromisoformat(moment)
+    return F.timestamp_micros(F.lit(int((when if when.tzinfo else when.replace(tzinfo=timezone.utc)).timestamp() * 1_000_000)))
+
+
 def storage_filter(extensions: Iterable[str] | None = None, path_prefix: str | None = None, modified_after: str | None = None, modality: str | None = None) -> Column:
     """AND of the given conditions; an empty set of extensions passes nothing, None is no condition."""
     out = F.lit(True)
@@ -120,7 +136,7 @@ def storage_filter(extensions: Iterable[str] | None = None, path_prefix: str | N
         prefix, path = path_prefix.replace("\\", "/").rstrip("/"), slashes("relative_path")
         out = out & ((path == prefix) | path.startswith(prefix + "/"))
     if modified_after is not None:
-        out = out & F.coalesce(F.col("modified_at") > F.lit(modified_after).cast("timestamp"), F.lit(False))
+        out = out & F.coalesce(F.col("modified_at") > _utc(modified_after), F.lit(False))
     if modality is not None:
         out = out & (F.col("modality") == modality)
     return out

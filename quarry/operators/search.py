@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_ascii, ngrams
+from ..sources.staged import stored
 from .query import keyword_plan
 from .vectors import cosine_topk, tie_order
 
 WEIGHTS = {"text": 0.5, "keyword": 0.3, "image": 0.49}
 SHOWN = ["row_id", "document_id", "chunk_id", "relative_path", "page_number", "start_offset"]
-BROADCAST_QUERIES = 20_000
+BROADCAST_QUERIES, FEW_QUERIES = 20_000, 200
 
 
 def small(df: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
@@ -47,10 +48,17 @@ def trigram_search(index: DataFrame, queries: DataFrame, k: int = 50, where: Col
     rows = (index.where(where) if where is not None else index).select(*SHOWN, F.lower("body").alias("_b"))
     grams = lambda c: F.array_distinct(ngrams(c, 3))
     asked = queries.where(F.char_length("query") >= 3).select("query_id", F.lower("query").alias("_q"))
-    each = small(asked.select("query_id", F.explode(grams(F.col("_q"))).alias("gram")))
-    posted = rows.where(F.char_length("_b") >= 3).select("row_id", F.explode(grams(F.col("_b"))).alias("gram")).join(small(asked.select(F.explode(grams(F.col("_q"))).alias("gram")).distinct()), "gram", "left_semi")
+    if asked.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        # Few questions: a body is looked through for each distinct text of theirs, without its trigrams.
+        texts = F.broadcast(asked.groupBy(F.lit(1)).agg(F.collect_set("_q").alias("_all")).select("_all"))
+        held = rows.crossJoin(texts).select("row_id", "_b", F.explode(F.filter("_all", lambda q: F.contains(F.col("_b"), q))).alias("_q")).select("row_id", "_q")
+        matched = held.join(F.broadcast(asked), "_q").drop("_q").join(rows.drop("_b"), "row_id")
+        return _first_rows(matched, k)
+    wanted = asked.select("query_id", F.explode(grams(F.col("_q"))).alias("gram"))
+    # Counts of the asked trigrams; those that no question asks for are dropped before anything is shuffled.
+    posted = rows.where(F.char_length("_b") >= 3).select("row_id", F.explode(grams(F.col("_b"))).alias("gram")).join(small(wanted.select("gram").distinct()), "gram", "left_semi")
     counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = each.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     candidates = posted.join(small(rarest), "gram").select("query_id", "row_id")
     matched = candidates.join(asked, "query_id").join(rows, "row_id").where(F.contains("_b", "_q")).drop("_b", "_q")
     return _first_rows(matched, k)
@@ -76,9 +84,12 @@ def merge_max(*lists: DataFrame) -> DataFrame:
 
 def keyword_topk(index: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 50, where: Column | None = None) -> DataFrame:
     """Each query (query_id, query; probes may be given) by its path: terms and probes, substring, or short text."""
-    planned = keyword_plan(queries.where(F.coalesce("query", F.lit("")) != ""))
+    planned = stored(keyword_plan(queries.where(F.coalesce("query", F.lit("")) != "")), "keyword-plan")
     by = lambda p: planned.where(F.col("path") == p)
-    lists = [bigram_search(postings, index, by("bigram"), k, where), trigram_search(index, by("trigram"), k, where), like_search(index, by("like"), k, where)]
+    paths = {r["path"] for r in planned.select("path").distinct().collect()}  # of three; a path that no query takes is not planned
+    lists = [bigram_search(postings, index, by("bigram"), k, where)]
+    lists += [trigram_search(index, by("trigram"), k, where)] if "trigram" in paths else []
+    lists += [like_search(index, by("like"), k, where)] if "like" in paths else []
     if "probes" in queries.columns:
         probes = by("bigram").select("query_id", F.explode("probes").alias("query")).distinct()
         numbered = probes.withColumn("_id", F.xxhash64("query_id", "query"))

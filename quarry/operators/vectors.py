@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import all_finite, doubles, dot, norm
+from .blocks import matrix, products
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -98,75 +98,45 @@ def tie_order(score: str | None = "score", row_id: str | None = "row_id") -> lis
     return [*order, F.asc("relative_path"), F.asc_nulls_last("page_number"), F.asc("start_offset"), *([F.asc(row_id)] if row_id else [])]
 
 
-QUERY_BLOCK = 2_000
-
-
 def cosine_topk(index: DataFrame, queries: DataFrame, k: int = 50, where: Column | None = None) -> DataFrame:
     """Exact top k per query inside its space: (query_id, row_id, order columns, score, rank).
 
-    Queries are a stated set: they come to the driver in blocks of QUERY_BLOCK and each block meets all index
-    partitions as one matrix product. A partition hands on its k best per query by the full order, so ties at the cut
-    are settled exactly; the ranks are then taken over all partitions.
+    Blocks of queries meet blocks of rows as matrix products. A block hands on its k best per query by the full order, so
+    ties at the cut are settled exactly; the ranks are then taken over all blocks.
     """
-    columns = ["row_id", "space", "relative_path", "page_number", "start_offset", "vec"]
-    base = (index.where(where) if where is not None else index).select(*columns)
-    schema = "query_id long, row_id long, relative_path string, page_number int, start_offset long, score double"
-    n = queries.count()
-    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "space", "vec").collect()
-        if not rows and out is not None:
-            continue
-        ids = {s: np.array([r["query_id"] for r in rows if r["space"] == s], np.int64) for s in {r["space"] for r in rows}}
-        mats = {s: np.array([r["vec"] for r in rows if r["space"] == s], np.float32).astype(np.float64) for s in ids}
-        sent = index.sparkSession.sparkContext.broadcast((ids, mats))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, mats = sent.value
-            best: dict = {}
-            for batch in batches:
-                for space, part in batch.groupby("space"):
-                    if space not in mats:
-                        continue
-                    part = part.reset_index(drop=True)
-                    scores = np.stack(part["vec"].to_numpy()).astype(np.float64) @ mats[space].T
-                    page = part["page_number"].astype("float64").fillna(np.inf).to_numpy()
-                    tail = np.lexsort((part["row_id"].to_numpy(), part["start_offset"].to_numpy(), page, part["relative_path"].to_numpy().astype(str)))
-                    for j, query in enumerate(ids[space].tolist()):
-                        order = tail[np.argsort(-scores[tail, j], kind="stable")][:k]
-                        kept = part.loc[order, ["row_id", "relative_path", "page_number", "start_offset"]].assign(score=scores[order, j])
-                        if query in best:
-                            kept = pd.concat([best[query], kept]).sort_values(["score", "relative_path", "page_number", "start_offset", "row_id"], ascending=[False, True, True, True, True], na_position="last", kind="stable").head(k)
-                        best[query] = kept
-            for query, kept in best.items():
-                yield kept.assign(query_id=query, page_number=kept["page_number"].astype("Int32"))[["query_id", "row_id", "relative_path", "page_number", "start_offset", "score"]]
-
-        part = base.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
+    rows = (index.where(where) if where is not None else index).select("space", "row_id", "relative_path", "page_number", "start_offset", "vec")
+
+    def score(rows: dict, asked: dict) -> pa.RecordBatch:
+        scores = matrix(rows["vec"]) @ matrix(asked["vec"]).T
+        page = rows["page_number"].cast(pa.float64()).fill_null(np.inf).to_numpy(zero_copy_only=False)
+        tail = np.lexsort((rows["row_id"].to_numpy(), rows["start_offset"].to_numpy(), page, np.array(rows["relative_path"].to_pylist())))
+        scores = scores[tail]
+        kept, of = [], []
+        for j in range(scores.shape[1]):
+            s = scores[:, j]
+            least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+            near = np.flatnonzero(s >= least)
+            kept.append(near[np.argsort(-s[near], kind="stable")][:k])
+            of.append(np.full(len(kept[-1]), j))
+        at, of = np.concatenate(kept), np.concatenate(of)
+        shown = [rows[c].take(pa.array(tail[at])) for c in ("row_id", "relative_path", "page_number", "start_offset")]
+        return pa.RecordBatch.from_arrays([asked["query_id"].take(pa.array(of)), *shown, pa.array(scores[at, of])], ["query_id", "row_id", "relative_path", "page_number", "start_offset", "score"])
+
+    asked = queries.select("space", F.col("query_id").cast("long").alias("query_id"), "vec")
+    out = products(rows, asked, score, "query_id long, row_id long, relative_path string, page_number int, start_offset long, score double")
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*tie_order())))
     return ranked.where(F.col("rank") <= k)
 
 
-def nearest_other(vectors: DataFrame, block: int = 4096) -> DataFrame:
-    """(vec_id, self_cosine, other_cosine): each vector against all others, block by block of a stated query set."""
-    n = vectors.count()
-    blocks, out = max(1, -(-n // block)), None
-    for b in range(blocks):
-        rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "vec").collect()
-        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), np.array([r["vec"] for r in rows], np.float64)))
-
-        def run(batches, sent=sent):
-            ids, m = sent.value
-            if not len(ids):
-                return
-            self_, other = np.full(len(ids), -np.inf), np.full(len(ids), -np.inf)
-            for batch in batches:
-                s = np.stack(batch["vec"].to_numpy()).astype(np.float64) @ m.T
-                same = batch["vec_id"].to_numpy()[:, None] == ids[None, :]
-                self_ = np.maximum(self_, np.where(same, s, -np.inf).max(axis=0))
-                other = np.maximum(other, np.where(same, -np.inf, s).max(axis=0))
-            yield pd.DataFrame({"vec_id": ids, "self_cosine": self_, "other_cosine": other})
-
-        part = vectors.select("vec_id", "vec").mapInPandas(run, "vec_id long, self_cosine double, other_cosine double")
-        out = part if out is None else out.unionByName(part)
+def nearest_other(vectors: DataFrame) -> DataFrame:
+    """(vec_id, self_cosine, other_cosine): each vector against all others, block by block."""
+    rows = vectors.select(F.lit("").alias("space"), F.col("vec_id").cast("long").alias("vec_id"), "vec")
+
+    def score(rows: dict, asked: dict) -> pa.RecordBatch:
+        s = matrix(rows["vec"]) @ matrix(asked["vec"]).T
+        same = rows["vec_id"].to_numpy()[:, None] == asked["vec_id"].to_numpy()[None, :]
+        best = [np.where(mask, s, -np.inf).max(axis=0) for mask in (same, ~same)]
+        return pa.RecordBatch.from_arrays([asked["vec_id"], *map(pa.array, best)], ["vec_id", "self_cosine", "other_cosine"])
+
+    out = products(rows, rows, score, "vec_id long, self_cosine double, other_cosine double")
     return out.groupBy("vec_id").agg(F.max("self_cosine").alias("self_cosine"), F.max("other_cosine").alias("other_cosine"))

@@ -150,7 +150,12 @@ def e15_chance_shuffle(spark, sf_dir):
     return longs(rounded(evaluate.chance_shuffle(marked).select("question_id", "arm", "observed", "chance"), "chance"), "observed")
 
 
-@registered()
+TAIL_SQL = f"""WITH RECURSIVE {fx.HITS}, {fx.CHUNKS}, {fx.QUESTIONS}, {CLASS_SQL}, {CHANCE_SQL}, per AS (SELECT arm, count(*) AS n, (count(*) FILTER (class IN ('hit','hit_via_neighbor')))::INT AS hits, avg(chance) AS mean_chance, list(chance) AS ps FROM scored JOIN chances USING (question_id) GROUP BY 1),
+ r AS (SELECT arm, n, 0::BIGINT AS k, [1.0::DOUBLE] AS d, ps FROM per UNION ALL SELECT arm, n, k+1, list_transform(range(1,len(d)+2), lambda i: coalesce(d[i],0)*(1-ps[k+1])+CASE WHEN i>1 THEN d[i-1]*ps[k+1] ELSE 0 END), ps FROM r WHERE k<n)
+ SELECT arm, per.n, hits, round(mean_chance,6) AS mean_chance, round(CASE WHEN hits<=0 THEN 1 ELSE list_sum(d[hits+1:]) END,6) AS p_value FROM per JOIN r USING (arm) WHERE k=per.n"""
+
+
+@registered(TAIL_SQL)
 def e16_poisson_binomial_tail(spark, sf_dir):
     chances = _records(spark, sf_dir).select("question_id", "arm", F.col("hit_at_cut").alias("hit")).join(_chance(spark, sf_dir).select("question_id", "chance"), "question_id")
     return rounded(evaluate.null_test(chances), "mean_chance", "p_value")

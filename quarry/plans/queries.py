@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, index, ingest, query, search, vectors
+from ..sources import staged
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,7 +260,6 @@ def m9_document_chunks(spark, sf_dir):
 
 @registered(f"WITH {fx.CHUNKS} SELECT row_id FROM chunks WHERE extension='.txt' AND relative_path LIKE 'p1/%' AND modified_at>TIMESTAMP '2024-01-03' AND modality='text'")
 def m10_storage_filter(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return fx.chunks(spark, sf_dir).where(index.storage_filter([".TXT"], "p1\\", "2024-01-03", "text")).select("row_id")
 
 
@@ -322,6 +322,16 @@ def r1_cosine_topk(spark, sf_dir):
     return longs(_topk(spark, sf_dir, 10).select("query_id", "row_id", F.round("score", 5).alias("score"), "rank"), "rank")
 
 
+FILTER_SQL = "extension='.txt' AND modality='text' AND modified_at>TIMESTAMP '2024-01-03'"
+
+
+@registered(f"WITH {fx.CHUNKS}, topk AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {TIES}) AS rank FROM (SELECT q.row_id AS query_id, c.row_id, c.relative_path, c.page_number, c.start_offset, list_inner_product(c.vec,q.vec) AS score FROM chunks c JOIN chunks q ON c.space=q.space WHERE q.row_id%100=0 AND c.{FILTER_SQL.replace(' AND ', ' AND c.')})) SELECT query_id, row_id, round(score,5) AS score, rank FROM topk WHERE rank<=10")
+def r1_cosine_topk_filtered(spark, sf_dir):
+    """The filter holds before the cut."""
+    found = _topk(spark, sf_dir, 10, index.storage_filter([".TXT"], None, "2024-01-03", "text"))
+    return longs(found.select("query_id", "row_id", F.round("score", 5).alias("score"), "rank"), "rank")
+
+
 BIGRAM_HITS_SQL = f"bh AS (SELECT query_id, chunk_rowid AS row_id, count(*)::DOUBLE/n AS score FROM t JOIN qt USING (term) JOIN (SELECT query_id, count(*) AS n FROM qt GROUP BY 1) USING (query_id) GROUP BY 1,2,n)"
 RANKED_BIGRAMS_SQL = f"WITH {fx.lines_sql(True)}, {items_sql(True)}, t AS ({BIGRAMS_SQL}), qt AS ({Q_TERMS_SQL}), {BIGRAM_HITS_SQL}, ranked AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {TIES}) AS rank FROM bh JOIN lines USING (row_id))"
 
@@ -333,19 +343,19 @@ def r2_bigram_search(spark, sf_dir):
     return longs(found.select("query_id", "row_id", F.round("score", 6).alias("score"), "rank"), "rank")
 
 
-PHRASES_SQL = "q AS (SELECT item_id AS query_id, regexp_extract(text,'^\\S+ \\S+') AS query FROM benchmark)"
-
-
-def _phrases(spark, sf_dir):
-    return fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("query"))
+FIRST_SQL = f"SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY relative_path, page_number NULLS LAST, start_offset, row_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) AS r FROM m) WHERE r<=50"
 
 
-FIRST_SQL = f"SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY relative_path, page_number NULLS LAST, start_offset, row_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) AS r FROM m) WHERE r<=50"
+@registered(f"{RANKED_BIGRAMS_SQL.replace('JOIN lines USING (row_id)', 'JOIN lines USING (row_id) WHERE page_number=2')} SELECT query_id, row_id, round(score,6) AS score, rank FROM ranked WHERE rank<=50")
+def r2_bigram_search_filtered(spark, sf_dir):
+    rows = fx.lines(spark, sf_dir, han=True)
+    found = search.bigram_search(index.build_postings(rows), rows, query.keyword_plan(_queries(spark, sf_dir, True)), where=F.col("page_number") == 2)
+    return longs(found.select("query_id", "row_id", F.round("score", 6).alias("score"), "rank"), "rank")
 
 
-@registered(f"WITH {fx.lines_sql()}, {PHRASES_SQL}, m AS (SELECT q.query_id, lines.* FROM lines JOIN q ON contains(lower(body),lower(query)) WHERE length(query)>=3) {FIRST_SQL}")
+@registered(f"WITH {fx.lines_sql()}, {items_sql(False)}, m AS (SELECT q.query_id, lines.* FROM lines JOIN q ON contains(lower(body),lower(query)) WHERE length(query)>=3) {FIRST_SQL}")
 def r3_trigram_search(spark, sf_dir):
-    return longs(search.trigram_search(fx.lines(spark, sf_dir), _phrases(spark, sf_dir)).select("query_id", "row_id", "rank"), "rank")
+    return longs(search.trigram_search(fx.lines(spark, sf_dir), _queries(spark, sf_dir, False)).select("query_id", "row_id", "rank"), "rank")
 
 
 @registered(f"WITH {fx.lines_sql()}, q AS (SELECT label AS query_id, min(chr((97+label%26)::INT)||chr((97+label*7%26)::INT)) AS query FROM embeddings GROUP BY 1), m AS (SELECT q.query_id::BIGINT AS query_id, lines.* FROM lines JOIN q ON contains(lower(body),query)) {FIRST_SQL}")
@@ -368,6 +378,23 @@ def r6_keyword_topk(spark, sf_dir):
     return longs(found.select("query_id", "row_id", F.round("score", 6).alias("score"), "rank"), "rank")
 
 
+PROBED_SQL = f"""{RANKED_BIGRAMS_SQL}, pr AS (SELECT query_id, unnest([substr(query,1,12), substr(query,5,9)]) AS probe FROM q),
+ pm AS (SELECT DISTINCT query_id, probe, lines.* FROM pr JOIN lines ON contains(lower(body),lower(probe)) WHERE length(probe)>=3 AND page_number=2),
+ ph AS (SELECT DISTINCT query_id, row_id, 1.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, probe ORDER BY row_id) AS r FROM pm) WHERE r<=20),
+ b20 AS (SELECT query_id, row_id, score FROM (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {TIES}) AS r FROM bh JOIN lines USING (row_id) WHERE page_number=2) WHERE r<=20),
+ u AS (SELECT query_id, row_id, max(score) AS score FROM (SELECT * FROM ph UNION ALL SELECT * FROM b20) GROUP BY 1,2)
+ SELECT query_id, row_id, round(score,6) AS score, rank FROM (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {TIES}) AS rank FROM u JOIN lines USING (row_id)) WHERE rank<=20"""
+
+
+@registered(PROBED_SQL)
+def r6_keyword_topk_probes(spark, sf_dir):
+    """Two probes a question beside its terms, and a filter before every cut."""
+    rows = fx.lines(spark, sf_dir, han=True)
+    asked = _queries(spark, sf_dir, True).withColumn("probes", F.array(F.substr("query", F.lit(1), F.lit(12)), F.substr("query", F.lit(5), F.lit(9))))
+    found = search.keyword_topk(rows, index.build_postings(rows), asked, 20, F.col("page_number") == 2)
+    return longs(found.select("query_id", "row_id", F.round("score", 6).alias("score"), "rank"), "rank")
+
+
 FUSED_SQL = "fused AS (SELECT question_id AS query_id, document_key, chunk_index, coalesce(0.5/(60+min(rank) FILTER (arm='A1')),0)+coalesce(0.3/(60+min(rank) FILTER (arm='A0')),0)+coalesce(0.49/(60+min(rank) FILTER (arm='A3')),0) AS score, string_agg(DISTINCT CASE arm WHEN 'A1' THEN 'text' WHEN 'A0' THEN 'keyword' ELSE 'image' END, ',' ORDER BY CASE arm WHEN 'A1' THEN 'text' WHEN 'A0' THEN 'keyword' ELSE 'image' END) AS channels, any_value(page_number) AS page_number FROM hits GROUP BY 1,2,3)"
 
 
@@ -406,8 +433,8 @@ HYBRID_SQL = f"""WITH {fx.CHUNKS}, rows AS (SELECT c.* EXCLUDE (body), coalesce(
 
 @registered(HYBRID_SQL)
 def r9_hybrid_search(spark, sf_dir):
-    rows, asked = _hybrid(spark, sf_dir)
-    return search.hybrid_search(rows, index.build_postings(rows), asked).select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"))
+    rows, asked = (staged.stored(df, "hybrid") for df in _hybrid(spark, sf_dir))
+    return search.hybrid_search(rows, staged.stored(index.build_postings(rows), "postings"), asked).select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"))
 
 
 @registered(f"WITH {fx.HITS}, o AS (SELECT arm, question_id, concat(document_key,chunk_index) AS c, score, row_number() OVER (PARTITION BY arm, question_id ORDER BY score DESC, document_key, page_number NULLS LAST, start_offset, rank) AS slot FROM hits), j AS (SELECT a.c AS ca, b.c AS cb, a.score AS sa, b.score AS sb FROM (SELECT * FROM o WHERE arm='A1' AND slot<=5) a JOIN (SELECT * FROM o WHERE arm='A3' AND slot<=5) b USING (question_id, slot)) SELECT count(*) AS positions, count(*) FILTER (ca=cb) AS agreed, round(max(abs(sa-sb)),6) AS max_slot_delta, round(count(*) FILTER (ca=cb)::DOUBLE/count(*),6) AS agreement FROM j")
