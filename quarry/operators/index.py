@@ -14,9 +14,9 @@ RECIPE = ("content_hash", "parser_name", "parser_version", "chunker_version")
 IMAGE = "struct<format:string,width:int,height:int,colorMode:string,orientation:int>"
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """Distinct (term, chunk_rowid) of chunks (row_id, body) with a row for each row_id; terms are distinct in a row, so nothing is shuffled."""
-    return chunks.select(F.explode(han_bigrams(F.coalesce("body", F.lit("")))).alias("term"), F.col("row_id").alias("chunk_rowid"))
+def build_postings(chunks: DataFrame, *also: str) -> DataFrame:
+    """Distinct (term, chunk_rowid), and the columns `also`, of chunks (row_id, body) with a row for each row_id; terms are distinct in a row, so nothing is shuffled."""
+    return chunks.select(F.explode(han_bigrams(F.coalesce("body", F.lit("")))).alias("term"), F.col("row_id").alias("chunk_rowid"), *also)
 
 
 def replaced_documents(index: DataFrame, batch: DataFrame) -> DataFrame:

@@ -1,34 +1,85 @@
-"""The persisted index: versioned Parquet folders behind a pointer, so readers never see half a document."""
+"""The persisted index: Parquet folders by bucket of documents, behind a pointer, so readers never see half a document.
+
+A version writes the buckets it touches only; its pointer names for every bucket of every table the version that holds it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = ("chunks", "postings", "generations")
+BUCKETS = 64
+POINTER = "version long, buckets long, held map<string,long>, schemas map<string,string>"
+
+
+def bucket_of(document_id: str | Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int")
+
+
+def _filesystem(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _pointers(spark: SparkSession, root: str, last: int = 1) -> list:
+    """The last pointers, newest first."""
+    fs, folder = _filesystem(spark, f"{root}/current")
+    return spark.read.schema(POINTER).json(f"{root}/current").orderBy(F.desc("version")).limit(last).collect() if fs.exists(folder) else []
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
     """The newest version whose pointer is written."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{root}/current")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    return spark.read.json(f"{root}/current").agg(F.max("version")).first()[0]
+    found = _pointers(spark, root)
+    return found[0]["version"] if found else None
 
 
-def write_index(spark: SparkSession, root: str, chunks: DataFrame, postings: DataFrame, generations: DataFrame) -> int:
-    """Write a new version of all tables, then its pointer; returns the version."""
-    version = (current_version(spark, root) or 0) + 1
-    chunks.write.mode("overwrite").partitionBy("space").parquet(f"{root}/v{version}/chunks")
-    postings.write.mode("overwrite").parquet(f"{root}/v{version}/postings")
-    generations.write.mode("overwrite").parquet(f"{root}/v{version}/generations")
-    spark.range(1).select(F.lit(version).alias("version")).write.mode("append").json(f"{root}/current")
+def write_index(spark: SparkSession, root: str, chunks: DataFrame, postings: DataFrame, generations: DataFrame, touched: list[int] | None = None, buckets: int = BUCKETS) -> int:
+    """Write a new version, then its pointer; returns the version. All tables have a `bucket` column; touched names the buckets that are written anew, with all
+    their rows (default: all)."""
+    old = _pointers(spark, root)
+    version = (old[0]["version"] if old else 0) + 1
+    replaced = set(range(buckets) if touched is None else touched)
+    held = {k: v for k, v in (old[0]["held"] if old else {}).items() if int(k.split("/")[1]) not in replaced}
+    schemas = {}
+    for name, df in zip(TABLES, (chunks, postings, generations), strict=True):
+        schemas[name] = df.drop("bucket").schema.json()
+        path = f"{root}/v{version}/{name}"
+        df.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        fs, folder = _filesystem(spark, path)
+        names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+        held |= {f"{name}/{n.removeprefix('bucket=')}": version for n in names if n.startswith("bucket=")}
+    spark.createDataFrame([(version, buckets, held, schemas)], POINTER).coalesce(1).write.mode("append").json(f"{root}/current")
     return version
 
 
-def read_index(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame] | None:
-    """The tables of a version, the current one by default; None before the first."""
-    version = version or current_version(spark, root)
-    return None if version is None else {t: spark.read.parquet(f"{root}/v{version}/{t}") for t in TABLES}
+def read_index(spark: SparkSession, root: str, buckets: list[int] | None = None) -> dict[str, DataFrame] | None:
+    """The tables of the current version, or of some of its buckets; None before the first."""
+    found = _pointers(spark, root)
+    if not found:
+        return None
+    tables = {}
+    for name in TABLES:
+        places = [(int(k.split("/")[1]), f"{root}/v{v}/{k.split('/')[0]}/bucket={k.split('/')[1]}") for k, v in sorted(found[0]["held"].items()) if k.startswith(f"{name}/")]
+        wanted = [path for b, path in places if buckets is None or b in set(buckets)]
+        schema = StructType.fromJson(json.loads(found[0]["schemas"][name]))
+        tables[name] = spark.read.schema(schema).parquet(*wanted) if wanted else spark.createDataFrame([], schema)
+    return tables
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete the bucket folders that none of the last `keep` versions holds; returns their number."""
+    pointers = _pointers(spark, root, keep)
+    used = {(k, v) for p in pointers for k, v in p["held"].items()}
+    gone = 0
+    for version in range(1, (pointers[0]["version"] if pointers else 0) + 1):
+        for name in TABLES:
+            fs, folder = _filesystem(spark, f"{root}/v{version}/{name}")
+            for status in fs.listStatus(folder) if fs.exists(folder) else []:
+                bucket = status.getPath().getName().removeprefix("bucket=")
+                if status.isDirectory() and (f"{name}/{bucket}", version) not in used:
+                    gone += bool(fs.delete(status.getPath(), True))
+    return gone

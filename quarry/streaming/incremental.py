@@ -6,50 +6,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import chunking, index
+from ..operators import chunking, index, ingest
 from ..sources import store
 
-INCOMING = "relative_path string, text string, content_hash string, parser_name string, parser_version string"
+INCOMING = "relative_path string, text string, content_hash string, parser_name string, parser_version string, modified_at timestamp"
 MODEL = "text-chunks"
 
 
 def chunk_rows(files: DataFrame) -> DataFrame:
-    """Index rows of changed files (relative_path, text, content_hash, parser_name, parser_version)."""
-    document = F.coalesce("content_hash", F.sha2("relative_path", 256))
-    pages = files.select(document.alias("document_id"), F.lit(0).alias("ordinal"), F.lit(None).cast("int").alias("page_number"), "text")
+    """Index rows of files (document_id, relative_path, text, content_hash, parser_name, parser_version); document_id is unique."""
+    pages = files.select("document_id", F.lit(0).alias("ordinal"), F.lit(None).cast("int").alias("page_number"), "text")
     chunks = chunking.with_chunk_index(chunking.chunk_pages(pages).where("failure is null")).withColumn("position", F.col("chunk_index"))
     named = chunking.with_chunk_ids(chunks)
-    meta = files.select(document.alias("document_id"), "relative_path", F.col("relative_path").alias("document_key"), "content_hash", "parser_name", "parser_version")
+    meta = files.select("document_id", "relative_path", F.col("relative_path").alias("document_key"), "content_hash", "parser_name", "parser_version")
     return named.join(meta, "document_id").select(
         F.xxhash64("document_id", "chunk_id").alias("row_id"), "document_id", "chunk_id", F.lit("documentText").alias("space"), "relative_path", "document_key", "page_number", "chunk_index", "start_offset", "end_offset",
         F.col("text").alias("body"), "content_hash", "parser_name", "parser_version", F.lit(chunking.chunker_version()).alias("chunker_version"), F.lit(MODEL).alias("model_id"), F.lit(0).alias("dim"),
     )
 
 
+def latest_files(files: DataFrame) -> DataFrame:
+    """The last version of each path (by modified_at, then hash), with document_id and whether it repeats the content of an earlier path of the batch."""
+    names = [c.split()[0] for c in INCOMING.split(", ")][1:]
+    last = files.groupBy("relative_path").agg(F.max_by(F.struct(*names), F.struct("modified_at", "content_hash")).alias("f")).select("relative_path", "f.*")
+    return ingest.mark_duplicate_content(last).withColumn("document_id", F.coalesce("content_hash", F.sha2("relative_path", 256)))
+
+
 def apply_batch(spark: SparkSession, files: DataFrame, index_dir: str) -> None:
-    """One batch: reuse what is unchanged, chunk the rest, replace it in the index. Running it twice changes nothing."""
-    latest = files.groupBy("relative_path").agg(F.max_by(F.struct("text", "content_hash", "parser_name", "parser_version"), "content_hash").alias("f")).select("relative_path", "f.*")
-    latest = latest.withColumn("document_id", F.coalesce("content_hash", F.sha2("relative_path", 256))).withColumn("has_text", F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("has_image", F.lit(False))
-    tables = store.read_index(spark, index_dir)
-    if tables is None:
-        changed = latest
-    else:
-        changed = index.plan_reuse(latest, tables["generations"], MODEL, MODEL, chunking.chunker_version(), text_dim=0).where("action = 'index'").drop("action")
-    batch = chunk_rows(changed).persist()
+    """One batch: reuse what is unchanged, chunk the rest, replace it in the buckets it touches. Running it twice changes nothing.
+
+    A file of the same content as an earlier path of the batch, or as a document of the index, is not indexed again; what its path held before goes.
+    """
+    latest = latest_files(files).persist()
+    held = [latest]
     try:
-        if batch.isEmpty():
+        asked = latest.where("not is_duplicate").withColumn("has_text", F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("has_image", F.lit(False))
+        tables = store.read_index(spark, index_dir)
+        if tables:
+            asked = index.plan_reuse(asked, tables["generations"], MODEL, MODEL, chunking.chunker_version(), text_dim=0).where("action = 'index'").drop("action")
+        changed = asked.persist()
+        batch = chunk_rows(changed).withColumn("bucket", store.bucket_of("document_id")).persist()
+        held += [changed, batch]
+        victims = None
+        if tables:
+            # What a path held before goes, also where it now repeats another document; a changed document that keeps its id is replaced.
+            own = tables["chunks"].select("document_id", "document_key").distinct()
+            other = own.join(latest.select(F.col("relative_path").alias("document_key"), F.col("document_id").alias("_now")), "document_key").where("document_id <> _now").select("document_id")
+            victims = other.unionByName(own.join(changed.select("document_id"), "document_id", "left_semi").select("document_id")).distinct().persist()
+            held.append(victims)
+        ids = batch.select("document_id") if victims is None else batch.select("document_id").union(victims)
+        touched = [r[0] for r in ids.select(store.bucket_of("document_id")).distinct().collect()]  # at most BUCKETS numbers
+        if not touched:
             return
         generations = index.generations_from_batch(batch).where("not conflict").drop("conflict")
-        if tables is None:
-            store.write_index(spark, index_dir, batch, index.build_postings(batch), generations)
-        else:
-            victims = index.replaced_documents(tables["chunks"], batch)
-            chunks, _ = index.replace_documents(tables["chunks"], batch)
-            postings = index.delete_postings(tables["postings"], tables["chunks"], victims).unionByName(index.build_postings(batch))
-            (old,) = index.delete_documents(victims, tables["generations"])
-            store.write_index(spark, index_dir, chunks, postings, index.upsert_generations(old, generations))
+        chunks = batch
+        if tables:
+            old = store.read_index(spark, index_dir, touched)
+            kept, kept_generations = index.delete_documents(victims, old["chunks"], old["generations"])
+            chunks = kept.withColumn("bucket", store.bucket_of("document_id")).select(*batch.columns).unionByName(batch)
+            generations = index.upsert_generations(kept_generations, generations)
+        store.write_index(spark, index_dir, chunks, index.build_postings(chunks, "bucket"), generations.withColumn("bucket", store.bucket_of("document_id")), touched)
     finally:
-        batch.unpersist()
+        for df in held:
+            df.unpersist()
 
 
 def incremental_index_stream(spark: SparkSession, in_dir: str, index_dir: str, checkpoint: str) -> StreamingQuery:

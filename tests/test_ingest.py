@@ -63,18 +63,34 @@ def test_run_label(spark):
 
 
 def test_stream_reuses_and_replaces(spark, tmp_path):
+    from datetime import datetime
+
     from quarry.streaming import incremental
 
-    def put(n, rows):
-        spark.createDataFrame(rows, incremental.INCOMING).write.mode("append").parquet(str(tmp_path / "in"))
-        incremental.incremental_index_stream(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination()
-        return store.read_index(spark, str(tmp_path / "index"))
-
-    first = put(1, [("a.txt", "one two", "h1", "p", "1"), ("b.txt", "离线检索", "h2", "p", "1")])
-    assert first["chunks"].count() == 2 and first["postings"].count() == 3
-    version = store.current_version(spark, str(tmp_path / "index"))
-    put(2, [("a.txt", "one two", "h1", "p", "1")])
-    assert store.current_version(spark, str(tmp_path / "index")) == version
-    last = put(3, [("b.txt", "new text", "h3", "p", "1")])
-    assert {r["body"] for r in last["chunks"].collect()} == {"one two", "new text"} and last["postings"].count() == 0
-    assert {r["content_hash"] for r in last["generations"].collect()} == {"h1", "h3"}
+    root = str(tmp_path / "index")
+
+    def put(*rows):
+        rows = [(*r[:3], "p", "1", datetime(2024, 1, r[3] if len(r) > 3 else 1)) for r in rows]
+        spark.createDataFrame(rows, incremental.INCOMING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        incremental.incremental_index_stream(spark, str(tmp_path / "in"), root, str(tmp_path / "cp")).awaitTermination()
+        return store.read_index(spark, root)
+
+    def paths(tables):
+        return sorted((r["relative_path"], r["body"]) for r in tables["chunks"].collect())
+
+    first = put(("a.txt", "one two", "h1"), ("b.txt", "离线检索", "h2"), ("c.txt", "one two", "h1"))
+    assert paths(first) == [("a.txt", "one two"), ("b.txt", "离线检索")] and first["postings"].count() == 3  # c repeats a
+    assert first["chunks"].count() == first["chunks"].select("row_id").distinct().count()
+    version = store.current_version(spark, root)
+    put(("a.txt", "one two", "h1"))
+    assert store.current_version(spark, root) == version
+    last = put(("b.txt", "new text", "h3", 3), ("b.txt", "older text", "h9", 2))
+    assert paths(last) == [("a.txt", "one two"), ("b.txt", "new text")]
+    assert {r["content_hash"] for r in last["generations"].collect()} == {"h1", "h3"} and last["postings"].count() == 0
+    held = store._pointers(spark, root, 2)
+    kept = [k for k, v in held[0]["held"].items() if v == 1]
+    assert any(k.startswith("chunks/") for k in kept)  # a's bucket was not written again
+    moved = put(("b.txt", "one two", "h1", 4))
+    assert paths(moved) == [("a.txt", "one two")]  # b now repeats a document of the index
+    before = moved["chunks"].count()
+    assert store.vacuum(spark, root, keep=1) > 0 and store.read_index(spark, root)["chunks"].count() == before

@@ -1,5 +1,4 @@
-import itertools
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,9 +119,34 @@ def test_requests(spark):
     assert got[0]["clean_prefix"] == "a/b" and got[0]["extensions"] == [".pdf"]
 
 
-def test_plans_have_no_cartesian_product(spark):
-    rows = rows_of(spark, [{"body": "abc def"}])
-    q = spark.createDataFrame([(0, "abc")], "query_id long, query string")
-    plan = search.trigram_search(rows, q)._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan
-    assert list(itertools.islice(plan.splitlines(), 1))
+@pytest.mark.parametrize("few", [200, 0])
+def test_substrings_of_few_and_many_questions(spark, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW_QUERIES", few)
+    rows = rows_of(spark, [{"row_id": i, "body": b} for i, b in enumerate(["abc def", "ABC", "xabcx defg", "none", "", "def"])])
+    q = spark.createDataFrame([(0, "abc"), (1, "DEF"), (2, "abc def"), (3, "ab"), (4, "zzz"), (5, "abc")], "query_id long, query string")
+    found = search.trigram_search(rows, q)
+    assert sorted((r["query_id"], r["row_id"]) for r in found.collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (1, 5), (2, 0), (5, 0), (5, 1), (5, 2)]
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_vector_products_block_by_block(spark, monkeypatch, few):
+    """Blocks of a few rows, broadcast or dealt: the same as one matrix product; no window over one group and nothing collected."""
+    from quarry.operators import blocks, evaluate
+
+    monkeypatch.setattr(blocks, "BROADCAST_QUERIES", few)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 5)).round(2)
+    v[40] = v[3]
+    table = spark.createDataFrame([(i, f"p{i % 4}", [float(x) for x in r]) for i, r in enumerate(v)], "row_id long, relative_path string, vec array<double>").select("row_id", "relative_path", F.lit("s").alias("space"), F.lit(None).cast("int").alias("page_number"), F.lit(0).cast("long").alias("start_offset"), "vec").repartition(3)
+    s = v @ v.T
+    got = vectors.cosine_topk(table, table.select(F.col("row_id").alias("query_id"), "space", "vec"), 6)
+    want = {(q, i, k + 1) for q in range(60) for k, i in enumerate(sorted(range(60), key=lambda i: (-s[i, q], f"p{i % 4}", i))[:6])}
+    assert {(r["query_id"], r["row_id"], r["rank"]) for r in got.collect()} == want
+    other = {r["vec_id"]: r["other_cosine"] for r in vectors.nearest_other(table.select(F.col("row_id").alias("vec_id"), "vec")).collect()}
+    assert all(abs(other[q] - max(s[i, q] for i in range(60) if i != q)) < 1e-9 for q in range(60))
+    pairs = table.select(F.col("row_id").alias("i"), F.col("vec").alias("image_vec"), F.reverse("vec").alias("caption_vec"))
+    c = v @ v[:, ::-1].T
+    ranks = {r["query"]: r["rank"] for r in evaluate.cross_modal_ranks(pairs).collect()}
+    assert ranks == {i: 1 + sum(j != i and (c[i, j] > c[i, i] + 1e-12 or abs(c[i, j] - c[i, i]) <= 1e-12 and j < i) for j in range(60)) for i in range(60)}
