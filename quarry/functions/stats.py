@@ -28,8 +28,9 @@ def chance_of_hit(pool: Column, relevant: Column, cut: int) -> Column:
     return F.when((relevant <= 0) | (draws <= 0), 0.0).when(relevant >= pool, 1.0).otherwise(1 - miss)
 
 
-def poisson_binomial_tail(trials: DataFrame, observed: DataFrame) -> DataFrame:
-    """observed (arm, hits, ..) with p_value = P(X >= hits) for the independent trials (arm, chance) of the arm; no trials: 1.
+def poisson_binomial_tail(trials: DataFrame, observed: DataFrame, tails: dict[str, str] | None = None) -> DataFrame:
+    """observed (arm, hits, ..) with p_value = P(X >= hits) for the independent trials (arm, chance) of the arm; no trials: 1. tails names other
+    columns of counts and those that get their P.
 
     Equal chances are counted first and make a binomial each. Their distributions are convolved in PARTS groups an arm, then across these, so no
     task sees the single trials of an arm; what it sees is as long as the distribution itself.
@@ -51,9 +52,13 @@ def poisson_binomial_tail(trials: DataFrame, observed: DataFrame) -> DataFrame:
     schema = "arm string, p array<double>"
     parts = counted.groupBy("arm", F.pmod(F.xxhash64("chance"), F.lit(PARTS))).applyInPandas(of_counts, schema)
     whole = parts.groupBy("arm").applyInPandas(of_parts, schema)
-    tail = F.aggregate(F.slice("p", F.col("hits") + 1, F.size("p")), F.lit(0.0), lambda a, x: a + x)
-    value = F.when(F.col("p").isNull() | (F.col("hits") <= 0), 1.0).when(F.col("hits") >= F.size("p"), 0.0).otherwise(tail)
-    return observed.join(whole, "arm", "left").withColumn("p_value", value).drop("p")
+
+    def value(hits: str) -> Column:
+        tail = F.aggregate(F.slice("p", F.col(hits) + 1, F.size("p")), F.lit(0.0), lambda a, x: a + x)
+        return F.when(F.col("p").isNull() | (F.col(hits) <= 0), 1.0).when(F.col(hits) >= F.size("p"), 0.0).otherwise(tail)
+
+    tails = tails or {"hits": "p_value"}
+    return observed.join(whole, "arm", "left").withColumns({name: value(hits) for hits, name in tails.items()}).drop("p")
 
 
 def binomial(p: float, n: int) -> np.ndarray:

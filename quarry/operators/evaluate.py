@@ -174,14 +174,16 @@ def null_test(chances: DataFrame) -> DataFrame:
 
 
 def arm_summary(records: DataFrame) -> DataFrame:
-    """Per arm without unanswerable rows: rates with intervals, mean chance, counts by class and by flag."""
+    """Per arm without unanswerable rows: rates with intervals, mean chance, P of as many hits by chance (by document, span and neighbour), counts by class and by flag."""
     rows = records.where("class <> 'unanswerable'")
     rate = lambda c: F.avg(c)
     main = rows.groupBy("arm").agg(F.count("*").alias("n"), F.sum("hit_at_cut").alias("hits"), rate("doc_hit_at_cut").alias("doc_rate"), rate("span_hit_at_cut").alias("span_rate"), rate("neighbor_hit_at_cut").alias("bridge_rate"), F.avg("chance").alias("mean_chance"))
     counted = lambda df, name: df.groupBy("arm", "k").agg(F.count("*").alias("c")).groupBy("arm").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "k", F.col("c").cast("string")))), ";").alias(name))
     classes, flags = counted(rows.select("arm", F.col("class").alias("k")), "classes"), counted(rows.select("arm", F.explode("flags").alias("k")), "flags")
     ci = wilson(F.col("hits"), F.col("n"))
-    return main.join(classes, "arm").join(flags, "arm", "left").withColumn("ci_low", ci["low"]).withColumn("ci_high", ci["high"])
+    sums = rows.groupBy("arm").agg(*[F.sum(f"{x}_hit_at_cut").cast("int").alias(f"_{x}") for x in ("doc", "span", "neighbor")])
+    nulls = poisson_binomial_tail(rows, sums, {"_doc": "p_doc", "_span": "p_span", "_neighbor": "p_bridge"}).select("arm", "p_doc", "p_span", "p_bridge")
+    return main.join(classes, "arm").join(flags, "arm", "left").join(nulls, "arm").withColumn("ci_low", ci["low"]).withColumn("ci_high", ci["high"])
 
 
 def unanswerable_axis(records: DataFrame) -> DataFrame:

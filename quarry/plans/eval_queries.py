@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
-from ..operators import bench, evaluate, ingest
+from ..operators import bench, evaluate, index, ingest
 from . import fixtures as fx
-from .queries import longs, registered, rounded, wilson_sql
+from .queries import BIGRAMS_SQL, longs, registered, rounded, wilson_sql
 
 MATCH_SQL = "(t=document_key OR ends_with(t,'/'||document_key) OR ends_with(t,'/'||file_name))"
 
@@ -126,11 +126,26 @@ def _chance(spark, sf_dir):
 CHANCE_SQL = f"pools AS (SELECT space, count(*) AS pool FROM chunks GROUP BY 1), rel AS (SELECT q.question_id, count(DISTINCT c.row_id) AS relevant FROM (SELECT question_id, space, unnest(targets) AS t FROM questions) q JOIN chunks c ON c.space=q.space AND {MATCH_SQL} GROUP BY 1), chances AS (SELECT question_id, pool, coalesce(relevant,0) AS relevant, CASE WHEN coalesce(relevant,0)=0 THEN 0 WHEN relevant>=pool THEN 1 ELSE 1-list_product(list_transform(range(0,least(5,pool)), lambda i: greatest(0,(pool-relevant-i)::DOUBLE/(pool-i)))) END AS chance FROM questions JOIN pools USING (space) LEFT JOIN rel USING (question_id))"
 
 
-@registered(f"WITH {fx.CHUNKS}, {fx.QUESTIONS}, {CHANCE_SQL} SELECT q.question_id, concat_ws(',', CASE WHEN relevant>=pool THEN 'free_label' END, CASE WHEN kind<>'span' THEN 'no_span_label' END, CASE WHEN printed_text THEN 'printed_text_only' END) AS flags FROM questions q JOIN chances c USING (question_id)")
-def e12_failure_flags(spark, sf_dir):
+FLAGS_SQL = """flagged AS (SELECT q.question_id, postings, concat_ws(',', CASE WHEN relevant>=pool THEN 'free_label' END, CASE WHEN NOT postings AND q.question_id%3=0 THEN 'keyword_bigram_dead' END, CASE WHEN q.question_id%3=0 AND q.question_id%2=1 THEN 'clip_vocab_gap' END,
+ CASE WHEN q.question_id%23=0 THEN 'empty_evidence_text' END, CASE WHEN kind<>'span' THEN 'no_span_label' END, CASE WHEN printed_text THEN 'printed_text_only' END) AS flags FROM questions q JOIN chances c USING (question_id), (VALUES (true),(false)) p(postings))"""
+
+
+def _flagged(spark, sf_dir, posting_rows: int):
+    """Every third question has Han characters, every second of all is glossed."""
     kinds = _locations(spark, sf_dir).groupBy("question_id").agg(F.count_if(F.col("kind") == "span").alias("n_spans"))
-    rows = fx.questions(spark, sf_dir).join(_chance(spark, sf_dir), "question_id").join(kinds, "question_id", "left").fillna(0, ["n_spans"]).withColumn("question", F.col("target")).withColumn("glossed", F.lit(False))
-    return evaluate.failure_flags(rows, posting_rows=1).select("question_id", F.array_join("flags", ",").alias("flags"))
+    rows = fx.questions(spark, sf_dir).join(_chance(spark, sf_dir), "question_id").join(kinds, "question_id", "left").fillna(0, ["n_spans"])
+    rows = rows.withColumn("question", F.when(F.col("question_id") % 3 == 0, F.concat("target", F.lit("离线检索"))).otherwise(F.col("target"))).withColumn("glossed", F.col("question_id") % 2 == 0)
+    return evaluate.failure_flags(rows.withColumn("evidence_text", F.when(F.col("question_id") % 23 == 0, " ").otherwise(F.col("evidence_text"))), posting_rows)
+
+
+@registered(f"WITH {fx.CHUNKS}, {fx.QUESTIONS}, {CHANCE_SQL}, {FLAGS_SQL} SELECT question_id, postings, flags FROM flagged")
+def e12_failure_flags(spark, sf_dir):
+    """Against an index with keyword postings (Han lines) and one without (the lines as they are)."""
+    out = []
+    for han in (True, False):
+        some = index.build_postings(fx.lines(spark, sf_dir, han)).limit(1).count()
+        out.append(_flagged(spark, sf_dir, some).select("question_id", F.lit(some > 0).alias("postings"), F.array_join("flags", ",").alias("flags")))
+    return out[0].unionByName(out[1])
 
 
 @registered("SELECT vec_id, (w<=0 OR w/61<0.5/65) AS blocked FROM (SELECT vec_id, (vec_id%100)/100.0::DOUBLE AS w FROM embeddings)")
@@ -161,10 +176,24 @@ def e16_poisson_binomial_tail(spark, sf_dir):
     return rounded(evaluate.null_test(chances), "mean_chance", "p_value")
 
 
-@registered(f"WITH {fx.HITS}, {fx.CHUNKS}, {fx.QUESTIONS}, {CLASS_SQL}, {CHANCE_SQL}, r AS (SELECT s.*, chance FROM scored s JOIN chances USING (question_id) WHERE class<>'unanswerable'), k AS (SELECT arm, string_agg(concat(class,'=',c),';' ORDER BY concat(class,'=',c)) AS classes FROM (SELECT arm, class, count(*) AS c FROM r GROUP BY 1,2) GROUP BY 1), m AS (SELECT arm, count(*) AS n, count(*) FILTER (class IN ('hit','hit_via_neighbor'))::BIGINT AS hits, round(avg((ok AND doc_rank BETWEEN 1 AND 5)::INT),6) AS doc_rate, round(avg(chance),6) AS mean_chance FROM r GROUP BY 1) SELECT arm, n, hits, doc_rate, mean_chance, classes, {wilson_sql('hits', 'n')} FROM m JOIN k USING (arm)")
+ARM_SQL = f"""WITH RECURSIVE {fx.HITS}, {fx.CHUNKS}, {fx.QUESTIONS}, {CLASS_SQL}, {CHANCE_SQL}, {FLAGS_SQL},
+ flat AS (SELECT s.*, chance, ok AND doc_rank BETWEEN 1 AND 5 AS d5, ok AND span_rank BETWEEN 1 AND 5 AS s5, ok AND neighbor_rank BETWEEN 1 AND 5 AS n5, kind<>'span' OR class='hit' AND NOT (span_rank BETWEEN 1 AND 5) AND NOT (neighbor_rank BETWEEN 1 AND 5) AS by_doc FROM scored s JOIN chances USING (question_id) WHERE class<>'unanswerable'),
+ one AS (SELECT *, CASE WHEN by_doc THEN d5 ELSE s5 END AS span_hit, CASE WHEN by_doc THEN d5 ELSE n5 END AS near_hit FROM flat),
+ per AS (SELECT arm, count(*) AS n, count(*) FILTER (d5)::INT AS doc_hits, count(*) FILTER (span_hit)::INT AS span_hits, count(*) FILTER (near_hit)::INT AS hits, avg(chance) AS mean_chance, list(chance) AS ps FROM one GROUP BY 1),
+ r AS (SELECT arm, n, 0::BIGINT AS k, [1.0::DOUBLE] AS d, ps FROM per UNION ALL SELECT arm, n, k+1, list_transform(range(1,len(d)+2), lambda i: coalesce(d[i],0)*(1-ps[k+1])+CASE WHEN i>1 THEN d[i-1]*ps[k+1] ELSE 0 END), ps FROM r WHERE k<n),
+ classes AS (SELECT arm, string_agg(concat(class,'=',c),';' ORDER BY concat(class,'=',c)) AS classes FROM (SELECT arm, class, count(*) AS c FROM one GROUP BY 1,2) GROUP BY 1),
+ flags AS (SELECT arm, string_agg(concat(flag,'=',c),';' ORDER BY concat(flag,'=',c)) AS flags FROM (SELECT arm, flag, count(*) AS c FROM (SELECT arm, unnest(string_split(flags,',')) AS flag FROM one JOIN flagged USING (question_id) WHERE NOT postings AND flags<>'') GROUP BY 1,2) GROUP BY 1)
+ SELECT arm, per.n, hits::BIGINT AS hits, round(doc_hits/per.n,6) AS doc_rate, round(span_hits/per.n,6) AS span_rate, round(hits/per.n,6) AS bridge_rate, round(mean_chance,6) AS mean_chance, classes, flags, {wilson_sql('hits', 'per.n')},
+ round(CASE WHEN doc_hits<=0 THEN 1 ELSE list_sum(d[doc_hits+1:]) END,6) AS p_doc, round(CASE WHEN span_hits<=0 THEN 1 ELSE list_sum(d[span_hits+1:]) END,6) AS p_span, round(CASE WHEN hits<=0 THEN 1 ELSE list_sum(d[hits+1:]) END,6) AS p_bridge
+ FROM per JOIN r USING (arm) JOIN classes USING (arm) LEFT JOIN flags USING (arm) WHERE k=per.n"""
+
+
+@registered(ARM_SQL)
 def e17_arm_summary(spark, sf_dir):
-    records = _records(spark, sf_dir).join(_chance(spark, sf_dir).select("question_id", "chance"), "question_id").withColumn("flags", F.array().cast("array<string>"))
-    return rounded(evaluate.arm_summary(records).select("arm", "n", "hits", "doc_rate", "mean_chance", "classes", "ci_low", "ci_high"), "doc_rate", "mean_chance", "ci_low", "ci_high")
+    flags = _flagged(spark, sf_dir, 0).select("question_id", "flags")
+    records = _records(spark, sf_dir).join(_chance(spark, sf_dir).select("question_id", "chance"), "question_id").join(flags, "question_id")
+    one = evaluate.arm_summary(records)
+    return rounded(longs(one, "hits"), "doc_rate", "span_rate", "bridge_rate", "mean_chance", "ci_low", "ci_high", "p_doc", "p_span", "p_bridge")
 
 
 @registered(f"WITH {fx.HITS}, {fx.QUESTIONS}, p AS (SELECT question_id, arm, max(score) AS s, count(*) AS c FROM hits JOIN questions USING (question_id) WHERE NOT answerable GROUP BY 1,2) SELECT arm, count(*) AS n, count(*) FILTER (c=0) AS abstained, max(s) AS top_max, list_reverse_sort(list(s))[count(*)//2+1] AS top_median, min(s) AS top_min FROM p GROUP BY 1")
@@ -174,9 +203,9 @@ def e18_unanswerable_axis(spark, sf_dir):
     return evaluate.unanswerable_axis(rows)
 
 
-@registered(f"WITH {fx.CHUNKS} SELECT space, count(*) AS chunks, count(DISTINCT document_id) AS documents, count(*) FILTER (body<>'') AS with_body, (SELECT count(*) FROM documents) AS posting_rows FROM chunks GROUP BY 1")
+@registered(f"WITH {fx.CHUNKS}, {fx.lines_sql(True)}, t AS ({BIGRAMS_SQL}) SELECT space, count(*) AS chunks, count(DISTINCT document_id) AS documents, count(*) FILTER (body<>'') AS with_body, (SELECT count(*) FROM t) AS posting_rows FROM chunks GROUP BY 1")
 def e19_corpus_stats(spark, sf_dir):
-    return evaluate.corpus_stats(fx.chunks(spark, sf_dir), fx.table(spark, sf_dir, "documents"))
+    return evaluate.corpus_stats(fx.chunks(spark, sf_dir), index.build_postings(fx.lines(spark, sf_dir, han=True)))
 
 
 OUTCOME_SQL = f"{RANKS_SQL}, outcomes AS (SELECT question_id, CASE WHEN b AND f THEN 'both' WHEN b THEN 'base_only' WHEN f THEN 'fused_only' ELSE 'neither' END AS outcome FROM (SELECT question_id, bool_or(arm='A1' AND doc_rank BETWEEN 1 AND 5) AS b, bool_or(arm='A3' AND doc_rank BETWEEN 1 AND 5) AS f FROM ranks GROUP BY 1))"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import search, vectors
+from ..sources import staged
+
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丞丢两严丧"
 EXTENSION = "CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' ELSE '.docx' END"
 
@@ -57,27 +60,53 @@ CHUNKS = """chunks AS (SELECT vec_id AS row_id, concat('d',vec_id//5) AS documen
  concat('body ',vec_id) AS body, CASE WHEN vec_id%11=0 THEN 'image' ELSE 'text' END AS modality, TIMESTAMP '2024-01-01' + to_hours(vec_id) AS modified_at, concat('h',vec_id//5) AS content_hash, embedding::DOUBLE[] AS vec FROM embeddings)"""
 
 
+_found: dict[tuple[str, str], DataFrame] = {}
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten hits for every vector as a question and each of three arms, by fixed arithmetic."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id")
-    n = e.agg(F.count("*").alias("n"))
-    rows = e.crossJoin(F.broadcast(n)).withColumn("_a", F.explode(F.expr("array(struct(0 as no, 'A0' as arm), struct(1 as no, 'A1' as arm), struct(2 as no, 'A3' as arm))"))).withColumn("rank", F.explode(F.expr("sequence(1, 10)"))).withColumn("h", F.expr("(vec_id * 7 + rank * 13 + _a.no * 5) % n"))
+    """Ten hits for every vector as a question (itself left out) and each of three arms, from stored results of searches: A1 by whole
+    vectors, A0 (in the keyword's place) by their first half, A3 the fusion of both."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _found:
+        _found[key] = staged.stored(_searched(spark, sf_dir), "hits")
     h = F.col("h")
     doc = F.floor(h / 5).cast("string")
-    return rows.select(
-        F.col("vec_id").alias("question_id"), "_a.arm", "rank", F.concat(F.lit("k/"), doc, F.lit(".txt")).alias("document_key"), F.concat(doc, F.lit(".txt")).alias("file_name"), (h % 5).cast("int").alias("chunk_index"), F.when(h % 7 > 0, (h % 3 + 1).cast("int")).alias("page_number"),
-        (h % 5 * 10).alias("start_offset"), (h % 5 * 10 + 10).alias("end_offset"), (1.0 / (F.col("rank") + h % 4)).cast("double").alias("score"), F.expr("CASE h % 3 WHEN 0 THEN array('text') WHEN 1 THEN array('keyword') ELSE array('keyword', 'text') END").alias("channels"),
+    return _found[key].select(
+        "question_id", "arm", "rank", F.concat(F.lit("k/"), doc, F.lit(".txt")).alias("document_key"), F.concat(doc, F.lit(".txt")).alias("file_name"), (h % 5).cast("int").alias("chunk_index"), F.when(h % 7 > 0, (h % 3 + 1).cast("int")).alias("page_number"),
+        (h % 5 * 10).alias("start_offset"), (h % 5 * 10 + 10).alias("end_offset"), "score", "channels",
     )
 
 
-HITS = """hits AS (SELECT vec_id AS question_id, arm, rank, concat('k/',h//5,'.txt') AS document_key, concat(h//5,'.txt') AS file_name, h%5 AS chunk_index, CASE WHEN h%7>0 THEN h%3+1 END AS page_number, h%5*10 AS start_offset, h%5*10+10 AS end_offset, 1.0::DOUBLE/(rank+h%4) AS score, CASE h%3 WHEN 0 THEN 'text' WHEN 1 THEN 'keyword' ELSE 'keyword,text' END AS channels
- FROM (SELECT vec_id, arm, rank, (vec_id*7+rank*13+no*5)%n AS h FROM embeddings, (SELECT count(*) AS n FROM embeddings), (VALUES (0,'A0'),(1,'A1'),(2,'A3')) a(no,arm), (SELECT unnest(range(1,11)) AS rank)))"""
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir).where("space = 'documentText'")
+    asked = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.lit("documentText").alias("space"), F.col("embedding").alias("vec"))
+
+    def ranked(found: DataFrame, arm: str, digits: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("score", digits)), "h"))
+        return found.withColumn("rank", place).where("rank <= 10").withColumn("arm", F.lit(arm))
+
+    def by_vectors(arm: str, channel: str, part) -> DataFrame:
+        found = vectors.cosine_topk(rows.withColumn("vec", part("vec")), asked.withColumn("vec", part("vec")), 31).where("query_id <> row_id")
+        return ranked(found.select(F.col("query_id").alias("question_id"), F.col("row_id").alias("h"), F.round("score", 6).alias("score"), F.array(F.lit(channel)).alias("channels")), arm, 6)
+
+    both = by_vectors("A1", "text", F.col).unionByName(by_vectors("A0", "keyword", lambda c: F.slice(c, 1, 32)))
+    shown = rows.select(F.col("row_id").alias("h"), *[c for c in search.SHOWN if c != "row_id"])
+    listed = both.join(shown, "h").select(F.col("question_id").alias("query_id"), F.col("channels")[0].alias("channel"), "rank", F.col("h").alias("row_id"), *search.SHOWN[1:])
+    fused = search.rrf_fuse(listed).select(F.col("query_id").alias("question_id"), F.col("row_id").alias("h"), "score", "channels")
+    return both.unionByName(ranked(fused, "A3", 12)).select("question_id", "arm", "rank", "h", "score", "channels")
+
+
+HITS = """sims AS (SELECT q.vec_id AS question_id, c.vec_id AS h, round(list_inner_product(c.embedding::DOUBLE[],q.embedding::DOUBLE[]),6) AS s1, round(list_inner_product(c.embedding[1:32]::DOUBLE[],q.embedding[1:32]::DOUBLE[]),6) AS s0 FROM embeddings c, embeddings q WHERE c.vec_id%11<>0 AND c.vec_id<>q.vec_id),
+ singly AS (SELECT *, row_number() OVER (PARTITION BY question_id, arm ORDER BY score DESC, h) AS rank FROM (SELECT question_id, h, s1 AS score, 'A1' AS arm, 'text' AS channels FROM sims UNION ALL SELECT question_id, h, s0, 'A0', 'keyword' FROM sims)),
+ fusing AS (SELECT question_id, h, 0.0+coalesce(0.5/(60+min(rank) FILTER (arm='A1')),0)+coalesce(0.3/(60+min(rank) FILTER (arm='A0')),0) AS score, string_agg(channels, ',' ORDER BY channels) AS channels FROM singly WHERE rank<=10 GROUP BY 1,2),
+ hits AS (SELECT question_id, arm, rank, concat('k/',h//5,'.txt') AS document_key, concat(h//5,'.txt') AS file_name, h%5 AS chunk_index, CASE WHEN h%7>0 THEN h%3+1 END AS page_number, h%5*10 AS start_offset, h%5*10+10 AS end_offset, score, channels
+ FROM (SELECT question_id, arm, rank, h, score, channels FROM singly UNION ALL SELECT question_id, 'A3', row_number() OVER (PARTITION BY question_id ORDER BY round(score,12) DESC, h), h, score, channels FROM fusing) WHERE rank<=10)"""
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label for every vector as a question: its gold chunk, location, modality and flags, by fixed arithmetic."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id")
-    rows = e.crossJoin(F.broadcast(e.agg(F.count("*").alias("n")))).withColumn("g", F.expr("(vec_id * 7 + 13 * (1 + vec_id % 12) + 5 * (vec_id % 3)) % n"))
+    """A label for every vector as a question: its gold chunk is the next one of its class; location, modality and flags by its number."""
+    same = Window.partitionBy("label")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(F.lead("vec_id").over(same.orderBy("vec_id")), F.min("vec_id").over(same)).alias("g"))
     g, v = F.col("g"), F.col("vec_id")
     key = F.concat(F.lit("k/"), F.floor(g / 5).cast("string"), F.lit(".txt"))
     page = F.when((v % 4 > 0) & (g % 7 > 0), (g % 3 + 1).cast("string")).otherwise("null")
@@ -93,7 +122,7 @@ QUESTIONS = """questions AS (SELECT vec_id AS question_id, CASE WHEN vec_id%3=0
  CASE WHEN vec_id%19>0 THEN CASE WHEN vec_id%10=0 THEN key WHEN vec_id%10=1 THEN concat(key,'#title') ELSE concat(key,'#page=',page,';textUnit=utf16CodeUnit;start=',g%5*10,';end=',g%5*10+10) END END AS location,
  CASE WHEN vec_id%19=0 THEN 'none' WHEN vec_id%10=0 THEN 'file' WHEN vec_id%10=1 THEN 'metadata' ELSE 'span' END AS kind, CASE WHEN page<>'null' THEN page::INT END AS gold_page, g%5*10 AS span_start, g%5*10+10 AS span_end,
  CASE WHEN vec_id%9=0 THEN 'image' ELSE 'text' END AS modality, vec_id%13>0 AS answerable, vec_id%17=0 AS printed_text, g, concat('body ',g) AS evidence_text, CASE WHEN vec_id%9=0 THEN 'clipShared' ELSE 'documentText' END AS space
- FROM (SELECT *, concat('k/',g//5,'.txt') AS key, CASE WHEN vec_id%4>0 AND g%7>0 THEN (g%3+1)::VARCHAR ELSE 'null' END AS page FROM (SELECT vec_id, (vec_id*7+13*(1+vec_id%12)+5*(vec_id%3))%n AS g FROM embeddings, (SELECT count(*) AS n FROM embeddings))))"""
+ FROM (SELECT *, concat('k/',g//5,'.txt') AS key, CASE WHEN vec_id%4>0 AND g%7>0 THEN (g%3+1)::VARCHAR ELSE 'null' END AS page FROM (SELECT vec_id, coalesce(lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id), min(vec_id) OVER (PARTITION BY label)) AS g FROM embeddings)))"""
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
