@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.text import HAN, han_bigrams, trim_spaces
 
 # The visual glossary, term and gloss.
-GLOSSARY = """
-人 person 男人 man 女人 woman 孩子 child 婴儿 baby 人群 crowd 红色 red 蓝色 blue 绿色 green 黄色 yellow 黑色 black 白色 white
-灰色 gray 棕色 brown 粉色 pink 紫色 purple 橙色 orange 厨房 kitchen 浴室 bathroom 卧室 bedroom 客厅 living 卫生间 toilet 阳台 balcony
-办公室 office 教室 classroom 商店 shop 超市 supermarket 餐厅 restaurant 街道 street 马路 road 人行道 sidewalk 路边 roadside 公园 park
-海滩 beach 沙滩 beach 山上 mountain 河边 river 湖边 lake 海边 sea 机场 airport 跑道 runway 车站 station 房间 room 室内 indoor
-室外 outdoor 墙壁 wall 墙 wall 大门 door 窗户 window 地板 floor 天花板 ceiling 自行车 bicycle 汽车 car 轿车 car 公交车 bus
-火车 train 飞机 airplane 客机 airliner 轮船 ship 小船 boat 船 boat 卡车 truck 摩托车 motorcycle 车 car 披萨 pizza 面包 bread
-蛋糕 cake 苹果 apple 香蕉 banana 米饭 rice 咖啡 coffee 杯子 cup 瓶子 bottle 小狗 dog 小猫 cat 狗 dog 猫 cat 鸟 bird 马 horse
-牛 cow 山羊 goat 羊 sheep 桌子 table 椅子 chair 沙发 sofa 床 bed 书 book 电脑 computer 手机 phone 书包 backpack 帽子 hat 鞋子 shoe
-花朵 flower 树木 tree 树 tree 草地 grass 足球 ball 时钟 clock 台灯 lamp 淋浴 shower 花洒 shower 水槽 sink 镜子 mirror 毛巾 towel
-长椅 bench 水面 water 桶 bucket 楼 building 文档 document 标题 title 页面 page 文字 text 图片 picture 版面 layout 坐着 sitting
-站着 standing 走着 walking 吃着 eating 做饭 cooking 骑着 riding 停着 parked 停在 parked 破损 broken 破的 broken 大型 large 小型 small
-顶部 top 一群 group
-"""
+GLOSSARY = [
+    ("人", "person"), ("男人", "man"), ("女人", "woman"), ("孩子", "child"), ("婴儿", "baby"), ("人群", "crowd"), ("红色", "red"), ("蓝色", "blue"),
+    ("绿色", "green"), ("黄色", "yellow"), ("黑色", "black"), ("白色", "white"), ("灰色", "gray"), ("棕色", "brown"), ("粉色", "pink"), ("紫色", "purple"),
+    ("橙色", "orange"), ("厨房", "kitchen"), ("浴室", "bathroom"), ("卧室", "bedroom"), ("客厅", "living"), ("卫生间", "toilet"), ("阳台", "balcony"), ("办公室", "office"),
+    ("教室", "classroom"), ("商店", "shop"), ("超市", "supermarket"), ("餐厅", "restaurant"), ("街道", "street"), ("马路", "road"), ("人行道", "sidewalk"), ("路边", "roadside"),
+    ("公园", "park"), ("海滩", "beach"), ("沙滩", "beach"), ("山上", "mountain"), ("河边", "river"), ("湖边", "lake"), ("海边", "sea"), ("机场", "airport"),
+    ("跑道", "runway"), ("车站", "station"), ("房间", "room"), ("室内", "indoor"), ("室外", "outdoor"), ("墙壁", "wall"), ("墙", "wall"), ("大门", "door"),
+    ("窗户", "window"), ("地板", "floor"), ("天花板", "ceiling"), ("自行车", "bicycle"), ("汽车", "car"), ("轿车", "car"), ("公交车", "bus"), ("火车", "train"),
+    ("飞机", "airplane"), ("客机", "airliner"), ("轮船", "ship"), ("小船", "boat"), ("船", "boat"), ("卡车", "truck"), ("摩托车", "motorcycle"), ("车", "car"),
+    ("披萨", "pizza"), ("面包", "bread"), ("蛋糕", "cake"), ("苹果", "apple"), ("香蕉", "banana"), ("米饭", "rice"), ("咖啡", "coffee"), ("杯子", "cup"),
+    ("瓶子", "bottle"), ("小狗", "dog"), ("小猫", "cat"), ("狗", "dog"), ("猫", "cat"), ("鸟", "bird"), ("马", "horse"), ("牛", "cow"),
+    ("山羊", "goat"), ("羊", "sheep"), ("桌子", "table"), ("椅子", "chair"), ("沙发", "sofa"), ("床", "bed"), ("书", "book"), ("电脑", "computer"),
+    ("手机", "phone"), ("书包", "backpack"), ("帽子", "hat"), ("鞋子", "shoe"), ("花朵", "flower"), ("树木", "tree"), ("树", "tree"), ("草地", "grass"),
+    ("足球", "ball"), ("时钟", "clock"), ("台灯", "lamp"), ("淋浴", "shower"), ("花洒", "shower"), ("水槽", "sink"), ("镜子", "mirror"), ("毛巾", "towel"),
+    ("长椅", "bench"), ("水面", "water"), ("桶", "bucket"), ("楼", "building"), ("文档", "document"), ("标题", "title"), ("页面", "page"), ("文字", "text"),
+    ("图片", "picture"), ("版面", "layout"), ("坐着", "sitting"), ("站着", "standing"), ("走着", "walking"), ("吃着", "eating"), ("做饭", "cooking"), ("骑着", "riding"),
+    ("停着", "parked"), ("停在", "parked"), ("破损", "broken"), ("破的", "broken"), ("大型", "large"), ("小型", "small"), ("顶部", "top"), ("一群", "group"),
+]
 CHANNELS = ("text", "keyword", "image")
 ARMS = [("A0", ["keyword"], False), ("A1", ["text"], False), ("A2", ["image"], False), ("A3", ["text", "keyword"], False), ("A4", ["text", "keyword", "image"], False), ("A5", ["text", "keyword", "image"], True)]
 FILE_TYPES = {"all": None, "text": [".txt", ".md"], "pdf": [".pdf"], "word": [".docx"], "image": [".jpg", ".jpeg", ".png"]}
@@ -49,17 +53,11 @@ def keyword_plan(queries: DataFrame) -> DataFrame:
     return queries.withColumn("terms", terms).withColumn("path", path)
 
 
-def glossary() -> list[tuple[str, str]]:
-    words = GLOSSARY.split()
-    return list(zip(words[::2], words[1::2], strict=True))
-
-
 def pieces(query: Column) -> Column:
     """array<struct<gloss, text>>: the longest glossary term at each place, else a Latin run of three letters or more."""
-    table = glossary()
-    longest_first = sorted((t for t, _ in table), key=lambda t: (-len(t), t))
+    longest_first = sorted((t for t, _ in GLOSSARY), key=lambda t: (-len(t), t))
     found = F.regexp_extract_all(query, F.lit(f"({'|'.join(longest_first)}|[A-Za-z]+)"), F.lit(1))
-    lookup = F.create_map(*[F.lit(x) for pair in table for x in pair])
+    lookup = F.create_map(*[F.lit(x) for pair in GLOSSARY for x in pair])
     gloss = F.transform(found, lambda p: F.struct(F.try_element_at(lookup, p).isNotNull().alias("gloss"), F.coalesce(F.try_element_at(lookup, p), p).alias("text")))
     return F.filter(gloss, lambda p: p["gloss"] | (F.char_length(p["text"]) >= 3))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_ascii, ngrams
 from ..sources.staged import stored
-from .query import keyword_plan
+from .query import channel_availability, glossary_terms, keyword_plan
 from .vectors import cosine_topk, tie_order
 
 WEIGHTS = {"text": 0.5, "keyword": 0.3, "image": 0.49}
@@ -130,16 +130,22 @@ def expand_neighborhood(results: DataFrame, index: DataFrame) -> DataFrame:
     return results.join(own.select(*keys, "body").dropDuplicates(keys), keys, "left").join(sides, keys, "left").withColumn("snippet", F.concat_ws("\n", "_before", F.nullif("body", F.lit("")), "_after")).drop("_before", "_after", "body")
 
 
+def routed(queries: DataFrame) -> DataFrame:
+    """Queries (query, requested, text_tokens, image_tokens) that can run, with the channels they may use, the glossary's keyword probes and the query for the image tower."""
+    return glossary_terms(channel_availability(queries).where("reason is null"))
+
+
 def hybrid_search(index: DataFrame, postings: DataFrame, queries: DataFrame, top_k: int = 10, recall_k: int = 50, where: Column | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """Per query (query_id, query, text_vec, image_vec): recall by channel, fusion, cut, neighbourhood."""
+    """Per query (query_id, query, text_vec, image_vec; channels and probes may be given): recall by channel, fusion, cut, neighbourhood."""
     recall = max(top_k, recall_k)
+    may = lambda channel: queries.where(F.array_contains("channels", channel)) if "channels" in queries.columns else queries
     lists = []
     for channel, space, column in (("text", "documentText", "text_vec"), ("image", "clipShared", "image_vec")):
         if column in queries.columns:
-            asked = queries.where(F.col(column).isNotNull()).select("query_id", F.lit(space).alias("space"), F.col(column).alias("vec"))
+            asked = may(channel).where(F.col(column).isNotNull()).select("query_id", F.lit(space).alias("space"), F.col(column).alias("vec"))
             hits = cosine_topk(index, asked, recall, where).select("query_id", "row_id", "score", "rank")
             lists.append(hits.join(index.select(*SHOWN), "row_id").select("query_id", *SHOWN, "rank", F.lit(channel).alias("channel")))
-    lists.append(keyword_topk(index, postings, queries, recall, where).select("query_id", *SHOWN, "rank", F.lit("keyword").alias("channel")))
+    lists.append(keyword_topk(index, postings, may("keyword"), recall, where).select("query_id", *SHOWN, "rank", F.lit("keyword").alias("channel")))
     hits = lists[0]
     for more in lists[1:]:
         hits = hits.unionByName(more)

@@ -315,16 +315,29 @@ def _han_chunks(spark, sf_dir):
     return joined.select("document_key", F.col("position").alias("chunk_index"), F.xxhash64("document_key", "position").alias("row_id"), start.alias("start_offset"), F.col("end").alias("end_offset"), F.expr("substr(text, start + char_length(heading) + 5, end - start - char_length(heading) - 5)").alias("body")), sections
 
 
-@registered()
+HAN_SECTIONS = f"""{fx.lines_sql(True)}, part AS (SELECT document_id, chunk_index, replace(body,' ','，') AS b, concat('标题标题',row_id) AS heading FROM lines),
+ p AS (SELECT *, concat(document_id,'.md') AS document_key, (sum(length(heading)+5+length(b)) OVER (PARTITION BY document_id ORDER BY chunk_index))::BIGINT AS e FROM part),
+ u AS (SELECT * FROM p WHERE length(trim(b)) BETWEEN 40 AND 120 AND NOT contains(trim(b),'```') AND NOT regexp_matches(trim(b),'^[|#]') AND regexp_matches(trim(b),'[。；，:：]'))"""
+
+
+@registered(f"WITH {HAN_SECTIONS}, k AS (SELECT *, row_number() OVER (PARTITION BY document_key ORDER BY chunk_index) AS k FROM u) SELECT document_key, chunk_index AS position, heading, concat(document_id,' 里「',heading,'」这一节讲的内容是什么？') AS question, chunk_index, b AS evidence_text, concat(document_key,'#page=null;textUnit=utf16CodeUnit;start=',e-length(b)-1,';end=',e) AS evidence_location FROM k WHERE k<=8")
 def b6_heading_questions(spark, sf_dir):
     chunks, sections = _han_chunks(spark, sf_dir)
-    return bench.heading_questions(sections, chunks)
+    return longs(bench.heading_questions(sections, chunks), "position", "chunk_index")
+
+
+BALANCED = " AND ".join(f"length(x)-length(replace(x,'{a}',''))=length(x)-length(replace(x,'{b}',''))" for a, b in ("()", "（）", "「」"))
+CLAUSES_SQL = f"""{HAN_SECTIONS}, c AS (SELECT document_key, chunk_index, list_filter(list_transform(regexp_split_to_array(trim(b),'[，。；：,;:]'), lambda x: trim(x)), lambda x: length(regexp_replace(x,'[^㐀-䶿一-鿿]','','g')) BETWEEN 8 AND 40 AND {BALANCED} AND (length(x)-length(replace(x,chr(96),'')))%2=0 AND NOT regexp_matches(x,'^[|#*-]')) AS cs FROM u),
+ l AS (SELECT document_key, chunk_index, list_reduce(cs, lambda x, y: CASE WHEN length(y)>length(x) THEN y ELSE x END) AS clause FROM c WHERE len(cs)>0),
+ w AS (SELECT * FROM l WHERE NOT regexp_matches(clause,'(的|和|与|或|在|从|把|被|是)$') AND regexp_matches(clause,'[㐀-䶿一-鿿][㐀-䶿一-鿿]')),
+ once AS (SELECT clause FROM (SELECT DISTINCT clause FROM w) JOIN p ON contains(b,clause) GROUP BY 1 HAVING count(*)=1)
+ SELECT document_key, chunk_index, clause AS question FROM (SELECT *, row_number() OVER (PARTITION BY document_key ORDER BY chunk_index) AS k FROM w JOIN once USING (clause)) WHERE k<=4"""
 
 
-@registered()
+@registered(f"WITH {CLAUSES_SQL}")
 def b7_verbatim_questions(spark, sf_dir):
     chunks, _ = _han_chunks(spark, sf_dir)
-    return bench.verbatim_questions(chunks.where(bench.usable_gold(F.col("body"))), chunks)
+    return longs(bench.verbatim_questions(chunks.where(bench.usable_gold(F.col("body"))), chunks), "chunk_index")
 
 
 PROBES = ("token", "license", "idiot", "theand", "zzz")

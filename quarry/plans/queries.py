@@ -288,12 +288,23 @@ def q2_keyword_plan(spark, sf_dir):
     return query.keyword_plan(_queries(spark, sf_dir, True)).select("query_id", F.size("terms").cast("long").alias("n_terms"), "path")
 
 
-@registered()
+def glossary_sql() -> str:
+    words = ",".join(f"'{w}'" for w, _ in query.GLOSSARY)
+    pairs = ",".join(f"('{w}','{g}')" for w, g in query.GLOSSARY)
+    longest = "|".join(sorted((w for w, _ in query.GLOSSARY), key=lambda w: (-len(w), w)))
+    return f"""WITH g AS (SELECT map(list(w), list(x)) AS m FROM (VALUES {pairs}) v(w,x)), w AS (SELECT [{words}] AS ws),
+ q AS (SELECT doc_id, concat(ws[(doc_id%128+1)::INT],text,ws[(doc_id*7%128+1)::INT]) AS query FROM documents, w),
+ p AS (SELECT doc_id, query, list_filter(list_transform(regexp_extract_all(query,'({longest}|[A-Za-z]+)'), lambda x: {{'gloss': map_contains(m,x), 'text': coalesce(m[x],x)}}), lambda x: x.gloss OR length(x.text)>=3) AS ps FROM q, g),
+ t AS (SELECT doc_id, query, list_transform(list_filter(ps, lambda x: x.gloss), lambda x: x.text) AS gs, list_transform(list_filter(ps, lambda x: NOT x.gloss), lambda x: x.text) AS ls, list_transform(ps, lambda x: x.text) AS xs FROM p)
+ SELECT doc_id, array_to_string(list_filter(gs, lambda x, i: list_position(gs,x)=i),',') AS glosses, len(list_distinct(ls))::BIGINT AS n_latin, len(list_distinct(list_filter(xs, lambda x: length(x)>=3)))::BIGINT AS n_probes, sha256(CASE WHEN len(gs)>0 THEN array_to_string(list_filter(xs, lambda x, i: list_position(xs,x)=i),' ') ELSE query END) AS clip_sha256 FROM t"""
+
+
+@registered(glossary_sql())
 def q3_glossary_terms(spark, sf_dir):
-    words = F.array(*[F.lit(w) for w, _ in query.glossary()])
+    words = F.array(*[F.lit(w) for w, _ in query.GLOSSARY])
     docs = fx.table(spark, sf_dir, "documents")
     mixed = F.concat(F.element_at(words, (F.col("doc_id") % 128 + 1).cast("int")), F.col("text"), F.element_at(words, (F.col("doc_id") * 7 % 128 + 1).cast("int")))
-    return query.glossary_terms(docs.select("doc_id", mixed.alias("query"))).select("doc_id", "glosses", F.size("latin_spans").alias("n_latin"), F.size("probes").alias("n_probes"), F.sha2("clip_query", 256).alias("clip_sha256"))
+    return longs(query.glossary_terms(docs.select("doc_id", mixed.alias("query"))).select("doc_id", F.array_join("glosses", ",").alias("glosses"), F.size("latin_spans").alias("n_latin"), F.size("probes").alias("n_probes"), F.sha2("clip_query", 256).alias("clip_sha256")), "n_latin", "n_probes")
 
 
 @registered("WITH r AS (SELECT item_id, length(text) AS t, length(text)//2 AS i, item_id%4 AS m FROM benchmark) SELECT item_id, CASE WHEN m=0 THEN '' WHEN m=1 THEN 'text' WHEN m=2 THEN CASE WHEN i>77 THEN '' ELSE 'image' END ELSE CASE WHEN i>77 THEN 'text,keyword' ELSE 'text,keyword,image' END END AS channels, CASE WHEN m=0 THEN 'noChannel' WHEN m IN (1,3) AND t>128 THEN 'overBudget' WHEN m=2 AND i>77 THEN 'imageUnavailable' END AS reason FROM r")
@@ -420,12 +431,14 @@ def _hybrid(spark, sf_dir):
     bodies = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.translate(F.lower("text"), fx.LATIN, fx.HAN).alias("_body"))
     rows = fx.chunks(spark, sf_dir).join(bodies, "row_id", "left").withColumn("body", F.coalesce("_body", F.lit(""))).drop("_body")
     asked = rows.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "body", F.when(F.col("space") == "documentText", F.col("vec")).alias("text_vec"), F.when(F.col("space") == "clipShared", F.col("vec")).alias("image_vec"))
-    return rows, asked.withColumn("query", F.regexp_extract("body", f"([{fx.HAN}]{{2,}})", 1)).drop("body")
+    asked = asked.withColumn("query", F.regexp_extract("body", f"([{fx.HAN}]{{2,}})", 1)).drop("body")
+    budget = asked.withColumn("requested", F.array(*map(F.lit, query.CHANNELS))).withColumn("text_tokens", F.char_length("query")).withColumn("image_tokens", F.when(F.col("query_id") % 300 == 0, 100).otherwise(10))  # too long for the image tower
+    return rows, search.routed(budget)
 
 
 HYBRID_SQL = f"""WITH {fx.CHUNKS}, rows AS (SELECT c.* EXCLUDE (body), coalesce(translate(lower(d.text),'{fx.LATIN}','{fx.HAN}'),'') AS body FROM chunks c LEFT JOIN documents d ON d.doc_id=c.row_id),
  lines AS (SELECT * FROM rows), q AS (SELECT row_id AS query_id, regexp_extract(body,'[{fx.HAN}]{{2,}}') AS query, space, vec FROM rows WHERE row_id%100=0), t AS ({BIGRAMS_SQL}), qt AS ({Q_TERMS_SQL}), {BIGRAM_HITS_SQL},
- found AS (SELECT query_id, row_id, score, 'keyword' AS channel FROM bh UNION ALL SELECT query_id, row_id, list_inner_product(r.vec,q.vec), CASE q.space WHEN 'documentText' THEN 'text' ELSE 'image' END FROM rows r JOIN q USING (space)),
+ found AS (SELECT query_id, row_id, score, 'keyword' AS channel FROM bh UNION ALL SELECT query_id, row_id, list_inner_product(r.vec,q.vec), CASE q.space WHEN 'documentText' THEN 'text' ELSE 'image' END FROM rows r JOIN q USING (space) WHERE q.space='documentText' OR q.query_id%300>0),
  recalled AS (SELECT f.*, r.document_id, r.chunk_id, r.relative_path, r.page_number, r.start_offset, row_number() OVER (PARTITION BY query_id, channel ORDER BY {TIES}) AS place FROM found f JOIN rows r USING (row_id)),
  fused AS (SELECT query_id, document_id, chunk_id, any_value(relative_path) AS relative_path, any_value(page_number) AS page_number, any_value(start_offset) AS start_offset, coalesce(0.5/(60+min(place) FILTER (channel='text')),0)+coalesce(0.3/(60+min(place) FILTER (channel='keyword')),0)+coalesce(0.49/(60+min(place) FILTER (channel='image')),0) AS score, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM recalled WHERE place<=50 GROUP BY 1,2,3)
  SELECT query_id, rank, document_id, chunk_id, round(score,6) AS score, channels FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,12) DESC, relative_path, page_number NULLS LAST, start_offset, document_id, chunk_id) AS rank FROM fused) WHERE rank<=10"""
