@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,24 +28,17 @@ def describe_files(files: DataFrame, max_bytes: int = HASH_LIMIT) -> DataFrame:
     return out.withColumn("content_hash", digest).withColumn("id", F.coalesce("content_hash", F.sha2("relative_path", 256)))
 
 
+def _replaced(error: UnicodeDecodeError) -> tuple[str, int]:
+    """One replacement for what maps to nothing: two bytes where a lead byte 0x81-0xFE has one after it, else one."""
+    pair = 0x81 <= error.object[error.start] <= 0xFE and error.start + 1 < len(error.object)
+    return "\ufffd", error.start + 1 + pair
+
+
+codecs.register_error("gbk-pairs", _replaced)
+
+
 def _gbk(data: bytes) -> str:
-    """Two bytes for each lead byte 0x81-0xFE, one replacement for what maps to nothing."""
-    out, i = [], 0
-    while i < len(data):
-        b = data[i]
-        if b < 0x80:
-            out.append(chr(b))
-            i += 1
-        elif 0x81 <= b <= 0xFE and i + 1 < len(data):
-            try:
-                out.append(data[i : i + 2].decode("gbk"))
-            except UnicodeDecodeError:
-                out.append("�")
-            i += 2
-        else:
-            out.append("�")
-            i += 1
-    return "".join(out)
+    return data.decode("gbk", "gbk-pairs")
 
 
 @F.pandas_udf(T.StringType())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,27 @@ def i1_describe_files(spark, sf_dir):
     return ingest.describe_files(fx.files(spark, sf_dir)).select("doc_id", "relative_path", "file_name", "extension", "mime_type", "size_bytes", "content_hash", "id")
 
 
-@registered("SELECT doc_id, text AS body, 'ok' AS outcome, 0::BIGINT AS n_warnings FROM documents")
+@F.pandas_udf("binary")
+def _in_gbk(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else t.encode("gbk"))
+
+
+HAN_TEXT_SQL = f"regexp_replace(translate(lower(text),'{fx.LATIN}','{fx.HAN}'),'[^ -~\n一-鿿]','','g')"
+CUT_BYTES = 1000
+
+
+@registered(f"""WITH d AS (SELECT doc_id, doc_id%5 AS k, text, {HAN_TEXT_SQL} AS han, regexp_replace(text,'[^ -~\n]','','g') AS plain FROM documents)
+ SELECT doc_id, CASE k WHEN 3 THEN han WHEN 4 THEN substr(plain,1,{CUT_BYTES}) ELSE text END AS body, CASE WHEN k=4 AND length(plain)>{CUT_BYTES} THEN 'partial' ELSE 'ok' END AS outcome, CASE WHEN k=3 AND regexp_matches(han,'[一-鿿]') OR k=4 AND length(plain)>{CUT_BYTES} THEN 1 ELSE 0 END::BIGINT AS n_warnings FROM d""")
 def i2_decode_text(spark, sf_dir):
-    return ingest.decode_text(fx.files(spark, sf_dir)).select("doc_id", "body", "outcome", F.size("warnings").cast("long").alias("n_warnings"))
+    """Documents as UTF-8, with a byte-order mark, as UTF-16, as GBK, and cut."""
+    docs, kind = fx.table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 5
+    han = F.regexp_replace(F.translate(F.lower("text"), fx.LATIN, fx.HAN), "[^ -~\n一-鿿]", "")
+    plain = F.encode(F.regexp_replace("text", "[^ -~\n]", ""), "UTF-8")
+    marked = lambda mark, code: F.concat(F.unhex(F.lit(mark)), F.encode("text", code))
+    content = F.when(kind == 0, F.encode("text", "UTF-8")).when(kind == 1, marked("EFBBBF", "UTF-8")).when(kind == 2, marked("FFFE", "UTF-16LE")).when(kind == 3, _in_gbk(F.when(kind == 3, han)))
+    whole = ingest.decode_text(docs.where(kind < 4).select("doc_id", content.alias("content")))
+    cut = ingest.decode_text(docs.where(kind == 4).select("doc_id", plain.alias("content")), CUT_BYTES)
+    return whole.unionByName(cut).select("doc_id", "body", "outcome", F.size("warnings").cast("long").alias("n_warnings"))
 
 
 @registered(f"WITH {fx.FILES} SELECT doc_id, CASE extension WHEN '.txt' THEN 'plain' WHEN '.md' THEN 'markdown' WHEN '.docx' THEN 'word' END AS parser_name, CASE extension WHEN '.txt' THEN '1' WHEN '.md' THEN '2' WHEN '.docx' THEN '3' END AS parser_version, CASE WHEN extension='.pdf' THEN 'unsupportedFormat' END AS failure_kind FROM files")
@@ -92,9 +111,10 @@ def i7_split_xhtml_pages(spark, sf_dir):
     return ingest.split_xhtml_pages(pages, "html").select("page_id", F.col("page_number").cast("long").alias("page_number"), "text")
 
 
-@registered("SELECT doc_id, trim(text)<>'' AS has_text, len(string_split(text,chr(10)))::BIGINT AS page_count, false AS is_image_only, length(text)::BIGINT AS char_count FROM documents")
+@registered("SELECT doc_id, trim(text)<>'' AS has_text, CASE WHEN text='' THEN 0 ELSE len(string_split(text,chr(10))) END::BIGINT AS page_count, doc_id%4=0 AND trim(text)='' AS is_image_only, length(text)::BIGINT AS char_count FROM (SELECT doc_id, CASE WHEN doc_id%6>0 THEN text ELSE '' END AS text FROM documents)")
 def i8_document_stats(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").withColumn("pages", F.split("text", "\n")).withColumn("has_image", F.lit(False))
+    docs = fx.table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 6 > 0, F.col("text")).otherwise(""))
+    docs = docs.withColumn("pages", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))).withColumn("has_image", F.col("doc_id") % 4 == 0)
     return longs(ingest.document_stats(docs).select("doc_id", "has_text", "page_count", "is_image_only", "char_count"), "page_count", "char_count")
 
 
