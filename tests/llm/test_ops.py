@@ -713,3 +713,28 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == [c.split()[0] for c in columns.split(", ")]
         assert set(range(3, 30)) <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_at_the_edges(spark, tmp_path):
+    """Empty input, repeated rows and ids, nulls and clashing columns: every stage keeps the columns, and rows of one id and text share a fate."""
+    rng = random.Random(19)
+    clean = lambda: " ".join("".join(rng.choices("klmnopqrst", k=rng.randint(3, 8))) for _ in range(80))
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [clean() for _ in range(6)]
+    rows = [(i, t, None, "s", len(t)) for i, t in enumerate(texts)] + [(2, texts[2], None, "s", len(texts[2])), (None, clean(), "en", None, None), (3, clean(), "en", "s", 1), (9, None, None, None, None), (10, "", "en", "s", 0)]
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(None, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, columns).withColumns({c: F.lit("x") for c in ("stats", "kept", "_text", "base", "added", "spans", "c0", "_id", "component_id", "coverage")})
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        if name == "packing":
+            packed = stage(spark, docs, str(tmp_path)).collect()
+            assert sum(r["doc_id"] == 2 for r in packed) == 2
+            break
+        assert none.columns == docs.columns
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        ids = [r["doc_id"] for r in out.collect()]
+        assert ids.count(2) == 2 and {0, 1, 3, 4, 5, None} <= set(ids), name
+        docs = out
