@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE_CODES
 from ..operators import chunking, index, ingest, query, search, vectors
 from ..sources import staged
 from . import fixtures as fx
@@ -142,15 +143,52 @@ def c2_resolve_page_numbers(spark, sf_dir):
     return longs(_pages(spark, sf_dir), "ordinal", "page_number")
 
 
-@registered()
+def _cut_pages(spark, sf_dir):
+    """The pages; every fourth whole text with empty lines between some of its lines."""
+    pages = _pages(spark, sf_dir)
+    spread = F.regexp_replace("text", "([a-m][.])\n", "$1\n\n")
+    return pages.withColumn("text", F.when((F.col("document_id").cast("long") % 4 == 0), spread).otherwise(F.col("text")))
+
+
+SPACES_SQL = "||".join(f"chr({c})" for c in SPACE_CODES)
+BIG = f"length(t)>{chunking.CHUNK_CHARS}"
+#: The cascade over pages, step by step: paragraphs or lines, lines of large paragraphs, sentences, windows. Each step cuts `t` (which begins at `pos`) into parts, trimmed.
+CASCADE_SQL = f"""WITH RECURSIVE p AS (SELECT doc_id, CASE WHEN doc_id%3>0 THEN string_split(text,chr(10)) ELSE [text] END AS x FROM documents),
+ pg AS (SELECT doc_id::VARCHAR AS document_id, i-1 AS ordinal, CASE WHEN doc_id%2=0 OR (doc_id%3>0 AND n>1) THEN i END AS page_number, CASE WHEN doc_id%4=0 THEN regexp_replace(t,'([a-m][.])\n',concat('\1',chr(10),chr(10)),'g') ELSE t END AS text FROM (SELECT doc_id, len(x) AS n, unnest(x) AS t, generate_subscripts(x,1) AS i FROM p) WHERE doc_id%3>0 OR trim(t)<>''),
+ sp AS (SELECT {SPACES_SQL} AS sp),
+ a AS (SELECT document_id, ordinal, page_number, text, contains(text,chr(10)||chr(10)) AS para, CASE WHEN contains(text,chr(10)||chr(10)) THEN chr(10)||chr(10) ELSE chr(10) END AS sep FROM pg),
+ a1 AS (SELECT document_id, ordinal, page_number, para, length(sep) AS w, unnest(string_split(text,sep)) AS t, generate_subscripts(string_split(text,sep),1) AS i FROM a),
+ a2 AS (SELECT * EXCLUDE (t, sp), ltrim(t,sp) AS l, length(t)-length(ltrim(t,sp)) AS lead, (sum(length(t)+w) OVER (PARTITION BY document_id, ordinal ORDER BY i))-length(t)-w AS start FROM a1, sp),
+ a3 AS (SELECT document_id, ordinal, page_number, para, i, rtrim(l,sp) AS t, start+lead AS pos FROM a2, sp WHERE l<>''),
+ b1 AS (SELECT document_id, ordinal, page_number, i, pos, unnest(string_split(t,chr(10))) AS t, generate_subscripts(string_split(t,chr(10)),1) AS j FROM a3 WHERE para AND contains(t,chr(10)) AND length(t)+2>{chunking.MAX_TOKENS}),
+ b2 AS (SELECT * EXCLUDE (t, sp), ltrim(t,sp) AS l, length(t)-length(ltrim(t,sp)) AS lead, pos+(sum(length(t)+1) OVER (PARTITION BY document_id, ordinal, i ORDER BY j))-length(t)-1 AS start FROM b1, sp),
+ spans AS (SELECT document_id, ordinal, page_number, t, pos FROM a3 WHERE NOT (para AND contains(t,chr(10)) AND length(t)+2>{chunking.MAX_TOKENS}) UNION ALL SELECT document_id, ordinal, page_number, rtrim(l,sp), start+lead FROM b2, sp WHERE l<>''),
+ c1 AS (SELECT document_id, ordinal, page_number, pos, unnest(ss) AS t, generate_subscripts(ss,1) AS k FROM (SELECT *, regexp_extract_all(t,'[^。！？；.!?;]*[。！？；.!?;]|[^。！？；.!?;]+') AS ss FROM spans WHERE {BIG})),
+ c2 AS (SELECT * EXCLUDE (t, sp), ltrim(t,sp) AS l, length(t)-length(ltrim(t,sp)) AS lead, pos+(sum(length(t)) OVER (PARTITION BY document_id, ordinal, pos ORDER BY k))-length(t) AS start FROM c1, sp),
+ c3 AS (SELECT document_id, ordinal, page_number, pos AS whole, rtrim(l,sp) AS t, start+lead AS pos, count(*) OVER (PARTITION BY document_id, ordinal, pos) AS n FROM c2, sp WHERE l<>''),
+ said AS (SELECT document_id, ordinal, page_number, t, pos FROM spans WHERE NOT {BIG} UNION ALL SELECT document_id, ordinal, page_number, t, pos FROM c3 WHERE n>1 UNION ALL SELECT s.document_id, s.ordinal, s.page_number, s.t, s.pos FROM spans s WHERE {BIG.replace('(t)', '(s.t)')} AND coalesce((SELECT max(n) FROM c3 WHERE c3.document_id=s.document_id AND c3.ordinal=s.ordinal AND c3.whole=s.pos),0)<=1),
+ r AS (SELECT document_id, ordinal, page_number, NULL::VARCHAR AS t, NULL::BIGINT AS pos, t AS rest, pos::BIGINT AS next FROM said WHERE {BIG}
+  UNION ALL SELECT document_id, ordinal, page_number, rtrim(substr(ltrim(rest,sp),1,{chunking.CHUNK_CHARS}),sp), (next+length(rest)-length(ltrim(rest,sp)))::BIGINT, substr(ltrim(rest,sp),{chunking.CHUNK_CHARS}+1), (next+length(rest)-length(ltrim(rest,sp))+{chunking.CHUNK_CHARS})::BIGINT FROM r, sp WHERE ltrim(rest,sp)<>''),
+ chunked AS (SELECT document_id, ordinal, page_number, pos::BIGINT AS start_offset, (pos+length(t))::BIGINT AS end_offset, t AS text FROM (SELECT document_id, ordinal, page_number, t, pos FROM said WHERE NOT {BIG} UNION ALL SELECT document_id, ordinal, page_number, t, pos FROM r WHERE t IS NOT NULL))"""
+
+
+@registered(f"{CASCADE_SQL} SELECT document_id, ordinal::BIGINT AS ordinal, page_number::BIGINT AS page_number, start_offset, end_offset, text, (length(text)+2)::BIGINT AS tokens, '' AS failure FROM chunked")
 def c1_chunk_pages(spark, sf_dir):
-    return chunking.chunk_pages(_pages(spark, sf_dir))
+    return longs(chunking.chunk_pages(_cut_pages(spark, sf_dir)).withColumn("failure", F.coalesce("failure", F.lit(""))), "ordinal", "page_number", "start_offset", "end_offset", "tokens")
 
 
-@registered()
+@registered(f"{CASCADE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY ordinal, start_offset)-1 AS i FROM chunked) SELECT document_id, concat(document_id,'-{chunking.VERSION}-chars-c{chunking.CHUNK_CHARS}-t{chunking.MAX_TOKENS}-o',ordinal,'-p',coalesce(page_number::VARCHAR,'na'),'-i',i) AS chunk_id, i::BIGINT AS chunk_index, start_offset, end_offset FROM k")
 def c3_chunk_ids(spark, sf_dir):
-    chunks = chunking.with_chunk_index(chunking.chunk_pages(_pages(spark, sf_dir))).withColumn("position", F.col("chunk_index"))
-    return chunking.with_chunk_ids(chunks).select("document_id", "chunk_id", "chunk_index", "start_offset", "end_offset")
+    chunks = chunking.with_chunk_index(chunking.chunk_pages(_cut_pages(spark, sf_dir))).withColumn("position", F.col("chunk_index"))
+    return longs(chunking.with_chunk_ids(chunks).select("document_id", "chunk_id", "chunk_index", "start_offset", "end_offset"), "chunk_index", "start_offset", "end_offset")
+
+
+@registered("SELECT document_id, 'overBudget' AS kind FROM (SELECT doc_id::VARCHAR AS document_id, unnest(string_split(text,chr(10))) AS line FROM documents) WHERE contains(line,'@') GROUP BY 1")
+def c5_budget_failures(spark, sf_dir):
+    """With a counter for which a line that holds an at sign never fits."""
+    lines = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).withColumn("page_number", F.lit(None).cast("int"))
+    held = lines.withColumn("text", F.when(F.contains("text", F.lit("@")), "@").otherwise(F.col("text")))
+    return chunking.budget_failures(chunking.chunk_pages(held, counter=lambda t: 1000 if "@" in t else len(t)))
 
 
 @registered(fx.lines_sql().join(["WITH ", " SELECT document_id, page_number::BIGINT AS page_number, chunk_index::BIGINT AS line, (row_number() OVER (PARTITION BY document_id, page_number ORDER BY chunk_index)-1)::BIGINT AS chunk_index FROM lines WHERE trim(body)<>''"]))
