@@ -154,7 +154,7 @@ SPACES_SQL = "||".join(f"chr({c})" for c in SPACE_CODES)
 BIG = f"length(t)>{chunking.CHUNK_CHARS}"
 #: The cascade over pages, step by step: paragraphs or lines, lines of large paragraphs, sentences, windows. Each step cuts `t` (which begins at `pos`) into parts, trimmed.
 CASCADE_SQL = f"""WITH RECURSIVE p AS (SELECT doc_id, CASE WHEN doc_id%3>0 THEN string_split(text,chr(10)) ELSE [text] END AS x FROM documents),
- pg AS (SELECT doc_id::VARCHAR AS document_id, i-1 AS ordinal, CASE WHEN doc_id%2=0 OR (doc_id%3>0 AND n>1) THEN i END AS page_number, CASE WHEN doc_id%4=0 THEN regexp_replace(t,'([a-m][.])\n',concat('\1',chr(10),chr(10)),'g') ELSE t END AS text FROM (SELECT doc_id, len(x) AS n, unnest(x) AS t, generate_subscripts(x,1) AS i FROM p) WHERE doc_id%3>0 OR trim(t)<>''),
+ pg AS (SELECT doc_id::VARCHAR AS document_id, i-1 AS ordinal, CASE WHEN doc_id%2=0 OR (doc_id%3>0 AND n>1) THEN i END AS page_number, CASE WHEN doc_id%4=0 THEN regexp_replace(t,'([a-m][.])\n',concat('\\1',chr(10),chr(10)),'g') ELSE t END AS text FROM (SELECT doc_id, len(x) AS n, unnest(x) AS t, generate_subscripts(x,1) AS i FROM p) WHERE doc_id%3>0 OR trim(t)<>''),
  sp AS (SELECT {SPACES_SQL} AS sp),
  a AS (SELECT document_id, ordinal, page_number, text, contains(text,chr(10)||chr(10)) AS para, CASE WHEN contains(text,chr(10)||chr(10)) THEN chr(10)||chr(10) ELSE chr(10) END AS sep FROM pg),
  a1 AS (SELECT document_id, ordinal, page_number, para, length(sep) AS w, unnest(string_split(text,sep)) AS t, generate_subscripts(string_split(text,sep),1) AS i FROM a),
