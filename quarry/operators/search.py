@@ -40,6 +40,12 @@ def _first_rows(matched: DataFrame, k: int) -> DataFrame:
     return cut.withColumn("score", F.lit(1.0)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*tie_order())))
 
 
+def _held_texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(row_id, _q) for few questions: each body is looked through for each of their distinct texts, which come as one row."""
+    texts = F.broadcast(asked.agg(F.collect_set("_q").alias("_all")))
+    return rows.crossJoin(texts).select("row_id", F.explode(F.filter("_all", lambda q: F.contains(F.col("_b"), q))).alias("_q"))
+
+
 def trigram_search(index: DataFrame, queries: DataFrame, k: int = 50, where: Column | None = None) -> DataFrame:
     """Bodies that hold the query's text (query_id, query; three characters or more), any case; score 1.
 
@@ -49,11 +55,7 @@ def trigram_search(index: DataFrame, queries: DataFrame, k: int = 50, where: Col
     grams = lambda c: F.array_distinct(ngrams(c, 3))
     asked = queries.where(F.char_length("query") >= 3).select("query_id", F.lower("query").alias("_q"))
     if asked.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
-        # Few questions: a body is looked through for each distinct text of theirs, without its trigrams.
-        texts = F.broadcast(asked.groupBy(F.lit(1)).agg(F.collect_set("_q").alias("_all")).select("_all"))
-        held = rows.crossJoin(texts).select("row_id", "_b", F.explode(F.filter("_all", lambda q: F.contains(F.col("_b"), q))).alias("_q")).select("row_id", "_q")
-        matched = held.join(F.broadcast(asked), "_q").drop("_q").join(rows.drop("_b"), "row_id")
-        return _first_rows(matched, k)
+        return _first_rows(_held_texts(rows, asked).join(F.broadcast(asked), "_q").drop("_q").join(rows.drop("_b"), "row_id"), k)
     wanted = asked.select("query_id", F.explode(grams(F.col("_q"))).alias("gram"))
     # Counts of the asked trigrams; those that no question asks for are dropped before anything is shuffled.
     posted = rows.where(F.char_length("_b") >= 3).select("row_id", F.explode(grams(F.col("_b"))).alias("gram")).join(small(wanted.select("gram").distinct()), "gram", "left_semi")
@@ -68,7 +70,12 @@ def like_search(index: DataFrame, queries: DataFrame, k: int = 50, where: Column
     """Bodies that hold a query of one or two characters, A-Z in any case; the first min(k, 50) by row id."""
     rows = (index.where(where) if where is not None else index).select(*SHOWN, fold_ascii("body").alias("_b"))
     asked = queries.where(F.char_length("query").between(1, 2)).select("query_id", fold_ascii("query").alias("_q"))
-    matched = rows.join(small(asked), F.contains("_b", "_q")).drop("_b", "_q")
+    if asked.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        held = _held_texts(rows, asked)
+    else:  # many questions: by the characters and character pairs of the bodies
+        grams = F.array_union(F.array_distinct(ngrams("_b", 1)), F.array_distinct(ngrams("_b", 2)))
+        held = rows.select("row_id", F.explode(grams).alias("_q")).join(small(asked.select("_q").distinct()), "_q", "left_semi")
+    matched = held.join(small(asked), "_q").drop("_q").join(rows.drop("_b"), "row_id")
     return _first_rows(matched, min(k, 50))
 
 

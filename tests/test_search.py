@@ -126,7 +126,10 @@ def test_substrings_of_few_and_many_questions(spark, monkeypatch, few):
     q = spark.createDataFrame([(0, "abc"), (1, "DEF"), (2, "abc def"), (3, "ab"), (4, "zzz"), (5, "abc")], "query_id long, query string")
     found = search.trigram_search(rows, q)
     assert sorted((r["query_id"], r["row_id"]) for r in found.collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (1, 5), (2, 0), (5, 0), (5, 1), (5, 2)]
-    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+    short = search.like_search(rows, spark.createDataFrame([(0, "C"), (1, "ef"), (2, "xy"), (3, "def"), (4, "c ")], "query_id long, query string"))
+    assert sorted((r["query_id"], r["row_id"]) for r in short.collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (1, 5), (4, 0)]
+    for plan in (found, short):
+        assert "CartesianProduct" not in plan._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("few", [10**6, 0])
