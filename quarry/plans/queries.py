@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SPACE_CODES
 from ..operators import chunking, index, ingest, query, search, vectors
@@ -55,7 +56,7 @@ def i1_describe_files(spark, sf_dir):
     return ingest.describe_files(fx.files(spark, sf_dir)).select("doc_id", "relative_path", "file_name", "extension", "mime_type", "size_bytes", "content_hash", "id")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _in_gbk(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.encode("gbk"))
 
