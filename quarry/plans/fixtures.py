@@ -67,7 +67,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten hits for every vector as a question (itself left out) and each of three arms, from stored results of searches: A1 by whole
     vectors, A0 (in the keyword's place) by their first half, A3 the fusion of both."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _found:
+    if key not in _found or not staged.is_there(_found[key]):
         _found[key] = staged.stored(_searched(spark, sf_dir), "hits")
     h = F.col("h")
     doc = F.floor(h / 5).cast("string")

@@ -35,3 +35,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def is_there(df: DataFrame) -> bool:
+    """Whether the files of a stored table still exist."""
+    spark, names = df.sparkSession, df.inputFiles()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(n) for n in names]
+    return bool(paths) and all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
