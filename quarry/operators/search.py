@@ -28,9 +28,9 @@ def _ranked(scored: DataFrame, index: DataFrame, k: int, where: Column | None) -
 
 
 def bigram_search(postings: DataFrame, index: DataFrame, queries: DataFrame, k: int = 50, where: Column | None = None) -> DataFrame:
-    """Score = found distinct terms / distinct terms of the query (query_id, terms). Postings are not shuffled by term while the queries are few."""
+    """Score = found distinct terms / distinct terms of the query (query_id, terms; both sides hold a term once). Postings are not shuffled by term while the queries are few."""
     wanted = queries.where(F.size("terms") > 0).select("query_id", F.size("terms").alias("_n"), F.explode("terms").alias("term"))
-    found = postings.join(small(wanted), "term").groupBy("query_id", F.col("chunk_rowid").alias("row_id")).agg((F.count_distinct("term") / F.first("_n")).alias("score"))
+    found = postings.join(small(wanted), "term").groupBy("query_id", F.col("chunk_rowid").alias("row_id")).agg((F.count("*") / F.first("_n")).alias("score"))
     return _ranked(found, index, k, where)
 
 
