@@ -89,6 +89,15 @@ def test_quality_learns_and_keeps_clean(spark):
     assert quality.judge(rows, labels.limit(0)).where("kept").count() == 180
 
 
+def test_quality_on_held_out_labels(spark):
+    """Learned on two thirds of the given labels; the list rejects the bad and keeps the good documents of the rest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    judged = quality.judge(docs, labels.where("doc_id % 3 > 0")).where("not base_failed").join(labels.where("doc_id % 3 = 0 and quality is not null"), "doc_id")
+    got = {r["quality"]: (r["n"], r["kept"]) for r in judged.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert got[1][0] >= 50 and got[1][1] >= 0.98 * got[1][0]
+    assert got[0][0] >= 5 and got[0][1] <= 0.1 * got[0][0]
+
+
 # --- packing
 
 
