@@ -18,9 +18,22 @@ def test_chance(spark):
 
 
 def test_poisson_binomial(spark):
-    p = F.array(F.lit(0.5), F.lit(0.25))
-    row = spark.range(1).select(*[poisson_binomial_tail(p, F.lit(k)).alias(f"k{k}") for k in (0, 1, 2, 3)], poisson_binomial_tail(F.array().cast("array<double>"), F.lit(1)).alias("e")).first()
-    assert tuple(row) == pytest.approx((1.0, 0.625, 0.125, 0.0, 1.0))
+    trials = spark.createDataFrame([(f"k{k}", p) for k in range(4) for p in (0.5, 0.25)], "arm string, chance double")
+    observed = spark.createDataFrame([(f"k{k}", k) for k in range(4)] + [("e", 1)], "arm string, hits int")
+    got = {r["arm"]: r["p_value"] for r in poisson_binomial_tail(trials, observed).collect()}
+    assert tuple(got[k] for k in ("k0", "k1", "k2", "k3", "e")) == pytest.approx((1.0, 0.625, 0.125, 0.0, 1.0))
+
+
+def test_poisson_binomial_of_many_trials(spark):
+    """Repeated and distinct chances over all groups of the convolution: the same as one trial after another."""
+    chances = [0.1] * 150 + [0.5] * 7 + [i / 400 for i in range(200)] + [0.0, 1.0]
+    exact = [1.0]
+    for p in chances:
+        exact = [(exact[i] if i < len(exact) else 0.0) * (1 - p) + (exact[i - 1] * p if i else 0.0) for i in range(len(exact) + 1)]
+    trials = spark.createDataFrame([("a", p) for p in chances], "arm string, chance double")
+    for hits in (1, 60, 90, 200, len(chances)):
+        got = poisson_binomial_tail(trials, spark.createDataFrame([("a", hits)], "arm string, hits int")).first()["p_value"]
+        assert got == pytest.approx(sum(exact[hits:]), abs=1e-12)
 
 
 def test_shuffle_agrees_with_closed_form(spark):
@@ -45,7 +58,7 @@ def test_locations(spark):
 def test_sections_and_clauses(spark):
     docs = spark.createDataFrame([("m/d.md", "# t\n## A one\nx🙂\n### B two\ny\n## C three\n")], "document_key string, text string")
     got = [(r["level"], r["heading"], r["start"], r["end"]) for r in bench.parse_sections(docs).orderBy("position").collect()]
-    assert got == [(2, "A one", 4, 25), (3, "B two", 14, 25), (2, "C three", 25, 38)]
+    assert got == [(2, "A one", 4, 29), (3, "B two", 17, 29), (2, "C three", 29, 40)]
     row = spark.createDataFrame([("向量检索把每个问题变成向量，然后逐个比较（结果。",), ("这是一段非常完整的中文描述是",)], "b string").select(bench.clause_of(F.col("b")).alias("c")).collect()
     assert [r["c"] for r in row] == ["向量检索把每个问题变成向量", None]
 
