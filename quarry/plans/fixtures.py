@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import search, vectors
 from ..sources import staged
+from ..sources.files import read_table
 
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丞丢两严丧"
 EXTENSION = "CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' ELSE '.docx' END"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,18 @@ EXTENSIONS = (".txt", ".pdf", ".docx", ".jpg", ".jpeg", ".png")
 SYSTEM_DIRECTORIES = ("$recycle.bin", "system volume information")
 
 
+SPREAD_BYTES = 4 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One of more than SPREAD_BYTES that Spark cannot split for all cores (few files of one row group) is dealt out first; a table
+    of many splits, the usual one, is read as it lies."""
+    df = spark.read.parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size > SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
 def scan_files(spark: SparkSession, root: str, extensions: Iterable[str] = EXTENSIONS, max_depth: int = 32, with_content: bool = True) -> DataFrame:
     """Files below root (path, relative_path, size_bytes, modified_at, content): allowed extensions, no hidden or temporary names, at most max_depth directories down."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
