@@ -7,13 +7,14 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources.files import read_table
 from quarry.sources.staged import stored  # noqa: F401  the operators take it from here
 
 MASK = (1 << 64) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
