@@ -34,6 +34,34 @@ REPEATS = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text,''),'{W
  SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws)-coalesce(n,0))::BIGINT AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
+FREQUENT_LINES = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text,''),chr(10)) AS ls, row_number() OVER () AS r FROM documents),
+ l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls,1) AS p FROM d),
+ k AS (SELECT *, translate(trim(line,' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key)>=40 GROUP BY 1 HAVING count(DISTINCT doc_id)>=5)
+ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(doc_id<last,false)) AS n_dropped,
+ sha256(coalesce(string_agg(line,chr(10) ORDER BY p) FILTER (NOT coalesce(doc_id<last,false)),'')) AS kept_sha256 FROM k LEFT JOIN f USING (key) GROUP BY r"""
+
+def _spelling() -> str:
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    near = "SELECT a.word AS word, b.word AS near, b.n AS near_n FROM {0} AND a.word<>b.word"
+    return f"""WITH RECURSIVE runs AS (SELECT doc_id, {LOWER.replace("text,", "t,")} AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text,''),'[A-Za-zÀ-ÿ]+')) AS t FROM documents) GROUP BY 1,2),
+ bytes AS (SELECT *, flatten(list_transform(string_split(doc_id||':'||run,''), lambda c: CASE WHEN unicode(c)<128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT,unicode(c)-64] END)) AS b FROM runs WHERE length(run)>=5),
+ hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT,b), lambda c, x: xor(c>>8,{table}[(xor(c,x)&255)+1])),4294967295) AS h FROM bytes),
+ typed AS (SELECT CASE WHEN h%97=0 THEN substr(run,1,h%length(run))||substr(run,h%length(run)+2) ELSE run END AS word, n FROM hashed),
+ v AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word)>=5 GROUP BY 1 HAVING sum(n)>=3),
+ cut AS (SELECT word, n, i, substr(word,1,i)||substr(word,i+2) AS less FROM (SELECT word, n, unnest(range(0,length(word))) AS i FROM v)),
+ pairs AS (SELECT DISTINCT * FROM ({near.format("cut a JOIN cut b ON a.less=b.less AND a.i=b.i")} UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.less=b.word UNION ALL SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.less=b.word)),
+ best AS (SELECT word, count(*) AS n_near, max(near_n) AS form_n FROM pairs GROUP BY 1),
+ forms AS (SELECT v.word, v.n, coalesce(n_near,0) AS n_near, CASE WHEN best.form_n>=2*v.n THEN best.form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+ f AS (SELECT forms.*, form FROM forms LEFT JOIN (SELECT word, near_n AS form_n, min(near) AS form FROM pairs GROUP BY 1,2) USING (word, form_n)),
+ up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, up.next, f.form FROM up JOIN f ON f.word=up.next)
+ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN up ON up.word=f.word AND next IS NULL"""
+
+
 def _pattern(line: str) -> str:
     """The regular expression of a pattern rule, character by character."""
     body = line.removeprefix("@@").lower()
@@ -82,4 +110,6 @@ ORACLES: dict[str, str] = {
     "op6_chat_formatting": CHAT,
     "op8_substring_dedup": REPEATS,
     "op9_url_filters": _urls(),
+    "op11_spelling_variants": _spelling(),
+    "op12_line_dedup": FREQUENT_LINES,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, licences, neardup, packing, pii, quality, substrings, urls
+from . import chat, decontaminate, html, licences, lines, neardup, packing, pii, quality, runs, spelling, substrings, urls
 from .common import table
 
 
@@ -51,10 +51,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    ops = (op1_quality_rules, op2_best_fit_packing, op3_html_extraction, op4_license_scans, op5_minhash_near_dedup, op6_chat_formatting, op7_benchmark_decontamination, op8_substring_dedup, op9_url_filters, op10_pii)
+    ops = (op1_quality_rules, op2_best_fit_packing, op3_html_extraction, op4_license_scans, op5_minhash_near_dedup, op6_chat_formatting, op7_benchmark_decontamination, op8_substring_dedup, op9_url_filters, op10_pii, op11_spelling_variants, op12_line_dedup, op13_periodic_runs)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
