@@ -82,7 +82,7 @@ def remove_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     """(doc_id, n_lines, n_dropped, kept) of every row of docs; kept is the lines that stay, joined by a line feed."""
     bitmaps = stored(keep_bitmaps(docs, least_chars, least_docs), "bitmaps").select("doc_id", "form", "n_dropped", dense("kept").alias("words"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("form", F.xxhash64("text"))
-    joined = texts.join(bitmaps, ["doc_id", "form"], "left")
+    joined = texts.join(bitmaps.hint("merge"), ["doc_id", "form"], "left")  # one way at every size: bitmaps grow with the table, and a hot text is split
     left = F.expr(f"array_join(filter(split(text, '\\n', -1), (x, i) -> shiftright(coalesce(get(words, int(i div {WORD})), -1L), i % {WORD}) % 2 <> 0), '\\n')")
     return joined.select("doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("words").isNull(), F.col("text")).otherwise(left).alias("kept"))
 
