@@ -101,12 +101,14 @@ def test_variants_of_very_long_words(spark):
 @pytest.mark.parametrize("symbols", [1, 2, 5])
 def test_reduced_neighbourhood_is_full_and_distinct(symbols):
     rng = random.Random(symbols)
-    key = lambda s: int(spelling.Reduced(np.array(s, np.int64), symbols).key()[0]) if s else None
+    key = lambda s: int(spelling.Reduced(np.array([s], np.int64), symbols).keys()[0]) if s else None
     for n in range(1, 9):
-        word = [rng.randrange(symbols) for _ in range(n)]
-        made = np.concatenate(list(spelling.Reduced(np.array(word, np.int64), symbols).neighbours())).tolist()
-        want = {tuple(word)} | {tuple(word[:i] + word[i + 1 :]) for i in range(n)} | {(*word[:i], c, *word[i + d :]) for d in (0, 1) for i in range(n + 1 - d) for c in range(symbols)}
-        assert len(made) == len(set(made)) and set(made) == {key(list(w)) for w in want if w}
+        words = [[rng.randrange(symbols) for _ in range(n)] for _ in range(3)]
+        owner, made = (np.concatenate(x) for x in zip(*spelling.Reduced(np.array(words, np.int64), symbols).neighbours(), strict=True))
+        for k, word in enumerate(words):
+            want = {tuple(word)} | {tuple(word[:i] + word[i + 1 :]) for i in range(n)} | {(*word[:i], c, *word[i + d :]) for d in (0, 1) for i in range(n + 1 - d) for c in range(symbols)}
+            keys = made[owner == k].tolist()
+            assert len(keys) == len(set(keys)) and set(keys) == {key(list(w)) for w in want if w}
 
 
 def test_pairs_are_met_by_key_only(spark):
