@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import chance_of_hit, wilson
 from ..functions.text import HAN, char_bigrams, jaccard, utf16_length
 from .evaluate import null_test
+from .intervals import overlap_join
 
 # Limits, marks and wordings of the benchmark.
 MAX_QUESTION_CHARS = 110
@@ -62,9 +63,12 @@ def parse_sections(documents: DataFrame) -> DataFrame:
                     seen, at = seen + units(at, m.start()), m.start()
                     found.append((len(m.group(1)), m.group(2), seen))
                 total = seen + units(at, len(text))
-                for i, (level, heading, start) in enumerate(found):
-                    end = next((s for l, _, s in found[i + 1 :] if l <= level), total)
-                    rows.append((key, i, level, heading, start, end))
+                ends, open_ = [total] * len(found), []  # a heading closes all open ones of its level and below
+                for i, (level, _, start) in enumerate(found):
+                    while open_ and found[open_[-1]][0] >= level:
+                        ends[open_.pop()] = start
+                    open_.append(i)
+                rows += [(key, i, level, heading, start, end) for i, ((level, heading, start), end) in enumerate(zip(found, ends, strict=True))]
             yield pd.DataFrame(rows, columns=["document_key", "position", "level", "heading", "start", "end"]).astype({c: "int32" for c in ("position", "level", "start", "end")})
 
     return documents.select("document_key", "text").mapInPandas(run, "document_key string, position int, level int, heading string, start int, end int")
@@ -85,7 +89,7 @@ def heading_questions(sections: DataFrame, chunks: DataFrame, per_doc: int = 8,
     """One labelled question per unique heading whose section holds usable chunks; gold is the middle one. At most per_doc per document, in order."""
     eligible = sections.join(heading_uniqueness(sections).where("eligible").select("heading"), "heading").where(F.char_length("heading").between(4, 40) & F.col("heading").rlike(f"[{HAN}]"))
     usable = chunks.where(usable_gold(F.col("body"))).select("document_key", "chunk_index", "start_offset", "end_offset", "body")
-    inside = eligible.join(usable, "document_key").where((F.col("start_offset") >= F.col("start")) & (F.col("end_offset") <= F.col("end")))
+    inside = overlap_join(usable, eligible, ["document_key"], ("start_offset", "end_offset"), ("start", "end")).where((F.col("start_offset") >= F.col("start")) & (F.col("end_offset") <= F.col("end")))
     by = Window.partitionBy("document_key", "position")
     middle = inside.withColumn("_r", F.row_number().over(by.orderBy("start_offset")) - 1).withColumn("_n", F.count("*").over(by)).where(F.col("_r") == F.floor(F.col("_n") / 2))
     title = F.regexp_extract("document_key", r"([^/]+?)(?:\.[^./]*)?$", 1)
@@ -112,14 +116,14 @@ def clause_of(body: Column) -> Column:
 def verbatim_questions(gold: DataFrame, chunks: DataFrame, per_doc: int = 8) -> DataFrame:
     """Clauses of gold chunks that occur in exactly one chunk; at most max(1, per_doc // 2) per document.
 
-    A clause meets only the chunks that hold its first two-character term.
+    A clause meets only the chunks that hold its first two-character term. Terms go through the join with the row's number alone; bodies are fetched for the rows that are left.
     """
     clauses = gold.withColumn("clause", clause_of(F.col("body"))).where("clause is not null").withColumn("_term", F.substring(F.regexp_extract("clause", f"([{HAN}]{{2}})", 1), 1, 2))
     from ..functions.text import han_bigrams
 
-    posted = chunks.select("row_id", "body", F.explode(han_bigrams("body")).alias("_term"))
+    posted = chunks.select("row_id", F.explode(han_bigrams("body")).alias("_term"))
     distinct = clauses.select("clause", "_term").distinct()
-    counts = distinct.join(posted, "_term").where(F.contains("body", "clause")).groupBy("clause").agg(F.count_distinct("row_id").alias("_c")).where("_c = 1").select("clause")
+    counts = distinct.join(posted, "_term").select("clause", "row_id").join(chunks.select("row_id", "body"), "row_id").where(F.contains("body", "clause")).groupBy("clause").agg(F.count_distinct("row_id").alias("_c")).where("_c = 1").select("clause")
     return clauses.join(counts, "clause").withColumn("_k", F.row_number().over(Window.partitionBy("document_key").orderBy("chunk_index"))).where(F.col("_k") <= max(1, per_doc // 2)).select("document_key", "chunk_index", F.col("clause").alias("question"))
 
 
@@ -199,7 +203,8 @@ def section_chance(bounds: DataFrame, index: DataFrame, body_ranks: DataFrame, c
     """Per arm: questions, hits, mean chance that a uniform draw of the text pool starts inside the section, and P(X >= hits)."""
     text = index.where("space = 'documentText'")
     pool = text.agg(F.count("*").alias("pool"))
-    inside = bounds.where("resolved").join(text.select("document_key", "start_offset"), "document_key").where((F.col("start_offset") > F.col("s_start")) & (F.col("start_offset") < F.col("s_end"))).groupBy("question_id").agg(F.count("*").alias("relevant"))
+    starts = text.select("document_key", F.col("start_offset"), (F.col("start_offset") + 1).alias("_next"))
+    inside = overlap_join(starts, bounds.where("resolved"), ["document_key"], ("start_offset", "_next"), ("s_start", "s_end")).where(F.col("start_offset") > F.col("s_start")).groupBy("question_id").agg(F.count("*").alias("relevant"))
     chances = bounds.where("resolved").select("question_id").join(inside, "question_id", "left").crossJoin(F.broadcast(pool)).withColumn("chance", chance_of_hit(F.col("pool"), F.coalesce("relevant", F.lit(0)), cut))
     rows = body_ranks.join(chances, "question_id").withColumn("hit", ((F.col("body_rank") > 0) & (F.col("body_rank") <= cut)).cast("int"))
     return null_test(rows)

@@ -95,7 +95,7 @@ def cascade(text: str, chars: int = CHUNK_CHARS, tokens: int = MAX_TOKENS, count
 
 
 def chunk_pages(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, max_tokens: int = MAX_TOKENS, counter: Callable[[str], int] = count_chars) -> DataFrame:
-    """Chunks of pages (document_id, ordinal, page_number, text); a page over the budget gives one row with failure overBudget."""
+    """Chunks of pages (document_id, ordinal, page_number, text); a page over the budget gives one row with failure overBudget, one on which the counter fails one with unknown."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -105,8 +105,8 @@ def chunk_pages(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, max_tokens: in
                 text = text or ""
                 try:
                     spans = cascade(text, chunk_chars, max_tokens, counter)
-                except OverBudget:
-                    rows.append((doc, ordinal, page, None, None, None, None, "overBudget"))
+                except Exception as error:  # the counter may be anyone's; one page must not stop the others
+                    rows.append((doc, ordinal, page, None, None, None, None, "overBudget" if isinstance(error, OverBudget) else "unknown"))
                     continue
                 wide = [i for i, c in enumerate(text) if ord(c) > 0xFFFF]
                 before = lambda i: i + sum(1 for w in wide if w < i)  # noqa: B023, E731

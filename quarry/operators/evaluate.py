@@ -26,6 +26,15 @@ def doc_matches(key: Column, file_name: Column | None, target: Column) -> Column
     return F.coalesce((target == k) | F.endswith(target, F.concat(F.lit("/"), k)) | F.endswith(target, F.concat(F.lit("/"), name)), F.lit(False))
 
 
+def names_of(key: Column, file_name: Column) -> Column:
+    """The names by which a target can end if it names the document: a join on the target's last part finds all that doc_matches does."""
+    return F.array_distinct(F.array_compact(F.array(F.element_at(F.split(slashes(key), "/"), -1), file_name)))
+
+
+def last_part(target: Column) -> Column:
+    return F.element_at(F.split(target, "/"), -1)
+
+
 def targets_of(labels: DataFrame) -> Column:
     many = F.coalesce("relevant_document_ids", F.array().cast("array<string>"))
     return F.when(F.size(many) > 0, many).otherwise(F.array_compact(F.array("relevant_document_id")))
@@ -48,11 +57,10 @@ def retrieval_metrics(hits: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def latency_summary(probe: DataFrame) -> DataFrame:
-    """Medians per arm of probe rows (arm, position, encode_ms, store_ms, fuse_ms); the first row's encoding counts only where it is alone."""
-    by = Window.partitionBy("arm")
-    rows = probe.withColumn("_r", F.row_number().over(by.orderBy("position"))).withColumn("_n", F.count("*").over(by))
+    """Medians per arm of probe rows (arm, position, encode_ms, store_ms, fuse_ms); the first row's encoding counts only where it is alone. Positions of an arm differ."""
+    rows = probe.join(probe.groupBy("arm").agg(F.min("position").alias("_first"), F.count("*").alias("_n")), "arm")
     median = lambda c: F.percentile(c, F.lit(0.5))
-    warm = F.when((F.col("_r") > 1) | (F.col("_n") == 1), F.col("encode_ms"))
+    warm = F.when((F.col("position") > F.col("_first")) | (F.col("_n") == 1), F.col("encode_ms"))
     return rows.groupBy("arm").agg(F.count("*").alias("n"), median(warm).alias("encode_p50"), median(F.col("store_ms")).alias("store_p50"), median(F.col("fuse_ms")).alias("fuse_p50"))
 
 
@@ -85,7 +93,8 @@ def gold_chunk(locations: DataFrame, index: DataFrame) -> DataFrame:
     """The text chunk that is a label's first span: (question_id, gold_chunk_index, gold_page)."""
     first = locations.where("position = 0 and kind = 'span'").select("question_id", "doc", "span_start", "span_end")
     chunks = index.where("space = 'documentText'").select("row_id", "document_key", "file_name", "chunk_index", "page_number", F.col("start_offset").alias("span_start"), F.col("end_offset").alias("span_end"))
-    matched = first.join(chunks, ["span_start", "span_end"]).where(doc_matches(F.col("document_key"), F.col("file_name"), F.col("doc")))
+    named = chunks.withColumn("_name", F.explode(names_of(F.col("document_key"), F.col("file_name"))))
+    matched = first.withColumn("_name", last_part(F.col("doc"))).join(named, ["_name", "span_start", "span_end"]).where(doc_matches(F.col("document_key"), F.col("file_name"), F.col("doc")))
     return matched.groupBy("question_id").agg(F.min_by(F.struct(F.col("chunk_index").alias("gold_chunk_index"), F.col("page_number").alias("gold_page")), "row_id").alias("g")).select("question_id", "g.*")
 
 
@@ -140,8 +149,8 @@ def chance_analytic(labels: DataFrame, index: DataFrame, cut: int = 5) -> DataFr
     """(question_id, pool, relevant, chance) for labels (question_id, space, targets): a uniform draw of `cut` chunks of the space."""
     documents = index.groupBy("space", "document_key", "file_name").agg(F.count("*").alias("n"))
     pools = documents.groupBy("space").agg(F.sum("n").alias("pool"))
-    asked = labels.select("question_id", "space", F.explode("targets").alias("target")).withColumn("_name", F.element_at(F.split("target", "/"), -1))
-    keyed = documents.withColumn("_name", F.coalesce("file_name", F.element_at(F.split("document_key", "/"), -1)))
+    asked = labels.select("question_id", "space", F.explode("targets").alias("target")).withColumn("_name", last_part(F.col("target")))
+    keyed = documents.withColumn("_name", F.explode(names_of(F.col("document_key"), F.col("file_name"))))
     relevant = asked.join(keyed, ["space", "_name"]).where(doc_matches(F.col("document_key"), F.col("file_name"), F.col("target"))).select("question_id", "document_key", "n").distinct().groupBy("question_id").agg(F.sum("n").alias("relevant"))
     out = labels.select("question_id", "space").join(F.broadcast(pools), "space", "left").join(relevant, "question_id", "left").select("question_id", F.coalesce("pool", F.lit(0)).alias("pool"), F.coalesce("relevant", F.lit(0)).alias("relevant"))
     return out.withColumn("chance", chance_of_hit(F.col("pool"), F.col("relevant"), cut))

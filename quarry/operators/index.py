@@ -105,7 +105,7 @@ def index_progress(outcomes: DataFrame, ranges: int = 256) -> DataFrame:
     sums = rows.groupBy("run_id", "_range").agg(*[F.sum(k).alias(f"_{k}") for k in flags])
     before = sums.select(F.col("run_id").alias("_run"), F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_{k}").over(of), F.lit(0)).alias(f"_{k}") for k in flags])
     within = Window.partitionBy("run_id", "_range").orderBy("relative_path").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(F.broadcast(before), F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_at")))
+    joined = rows.join(before, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_at")))
     return joined.select("run_id", "relative_path", *[(F.col(f"_{k}") + F.sum(k).over(within)).alias(k) for k in flags])
 
 

@@ -76,10 +76,9 @@ def s3_vector_round_trip(spark, sf_dir):
 
 @registered(f"WITH {fx.CHUNKS} SELECT row_id, document_id, space, body, content_hash FROM chunks")
 def s4_write_and_read_index(spark, sf_dir):
-    rows = fx.chunks(spark, sf_dir).withColumn("bucket", store.bucket_of("document_id"))
     path = folder(spark, "index")
-    generations = index.generations_from_batch(rows.withColumn("dim", F.size("vec"))).where("not conflict").drop("conflict").withColumn("bucket", store.bucket_of("document_id"))
-    store.write_index(spark, path, rows, index.build_postings(rows, "bucket"), generations)
+    rows = fx.chunks(spark, sf_dir)
+    store.write_index(spark, path, rows, index.generations_from_batch(rows.withColumn("dim", F.size("vec"))).where("not conflict").drop("conflict"))
     return store.read_index(spark, path)["chunks"].select("row_id", "document_id", "space", "body", "content_hash")
 
 

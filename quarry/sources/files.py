@@ -14,16 +14,15 @@ EXTENSIONS = (".txt", ".pdf", ".docx", ".jpg", ".jpeg", ".png")
 SYSTEM_DIRECTORIES = ("$recycle.bin", "system volume information")
 
 
-SPREAD_BYTES = 4 << 20
+SPREAD_BYTES, SPREAD_MOST, FEW_FILES = 4 << 20, 256 << 20, 4
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. One of more than SPREAD_BYTES that Spark cannot split for all cores (few files of one row group) is dealt out first; a table
-    of many splits, the usual one, is read as it lies."""
+    """A Parquet table, read as it lies. Only one of SPREAD_BYTES to SPREAD_MOST in at most FEW_FILES files, which may be of one row group each, is dealt out to all cores first."""
     df = spark.read.parquet(path)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size > SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+    small = SPREAD_BYTES < size <= SPREAD_MOST and len(df.inputFiles()) <= FEW_FILES
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
 def scan_files(spark: SparkSession, root: str, extensions: Iterable[str] = EXTENSIONS, max_depth: int = 32, with_content: bool = True) -> DataFrame:
