@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -666,6 +667,36 @@ def test_base_spans(spark):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_texts_of_very_many_matches(spark):
+    """Time grows with the matches of a text, not with their square; positions stay exact over the segments, and nothing leaves the JVM."""
+    took = []
+    for n in (5_000, 20_000):
+        text = " ".join(f"u{i}@m.org" if i % 3 else f"10.0.{i % 300}.7, +1 555 {i:07d};" for i in range(n)) + "🙂 é"
+        docs = spark.createDataFrame([(1, text)], DOCS)
+        start = time.perf_counter()
+        row = pii.find_pii(docs).first()
+        took.append(time.perf_counter() - start)
+        assert row["base_sha256"] == hashlib.sha256(brute_base(text).encode()).hexdigest() and row["n_email"] == n - -(-n // 3)
+    assert took[1] < 8 * took[0] + 10
+    cleaned = pii.redact(docs)
+    assert cleaned.first()["text"].count("[EMAIL]") == row["n_email"] and cleaned.first()["text"].endswith("🙂 é")
+    assert not re.search("Python|Arrow", cleaned._jdf.queryExecution().toString())
+
+
+def test_segments_cut_no_match(spark):
+    """Every segment ends where no pattern goes on; together they are the text."""
+    rng = random.Random(12)
+    pieces = ["4111 1111 1111 1111", "+1 (555) 010-2030", "10.0.0.1", "a.b@c.de", "x@y", "word", ", ", "; ", " ", "\n", "é ", "(", ") ", "- ", "k=0123456789abcdef0 "]
+    text = "".join(rng.choices(pieces, k=4000))
+    parts = pii.segmented(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "7" * 9000)], DOCS)).select("doc_id", "_parts").collect()
+    assert ["".join(p["text"] for p in r["_parts"]) for r in parts] == [text, "", "", "7" * 9000] and len(parts[0]["_parts"]) > 5
+    ends = {p["at"] + len(p["text"]) for p in parts[0]["_parts"]}
+    for pattern in [*BASE.values(), r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}", r"[A-Za-z0-9_+/=-]{16,}", r"[^\x20\x09-\x0D\"'<>(),;:@]+@[^\x20\x09-\x0D\"'<>(),;:@]+"]:
+        assert not any(m.start() < e < m.end() for m in re.finditer(pattern, text, re.A) for e in ends if m.start() < e < m.end())
+    for p, q in zip(parts[0]["_parts"], parts[0]["_parts"][1:], strict=False):
+        assert q["before"] == text[: q["at"]][-16:] and p["after"] == q["text"][0]
+
+
 def test_learned_spans_and_redaction(spark):
     rng = random.Random(6)
     rows = []
