@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b); component is the smallest id that can be reached.
 
     Each round hangs every node's larger neighbours, then its smaller ones, under its smallest neighbour; links shrink to
-    stars in a number of rounds that grows with the logarithm of the longest path. Nothing is collected.
+    stars in a number of rounds that grows with the logarithm of the longest path. It ends when a round changes nothing. Nothing is collected.
     """
     now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     now_state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -26,6 +26,5 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         after = stored(small, "links")
         state, now = now_state(after), after
         if state == before:
-            break
+            return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
         before = state
-    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))

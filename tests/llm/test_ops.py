@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarry.llm.graph import components
 from quarry.llm import chat, decontaminate, html, licences, neardup, oracles, packing, pii, quality, substrings, urls
 
 DOCS = "doc_id long, text string"
@@ -396,6 +397,15 @@ def test_near_copies_of_one_large_group(spark):
     assert got == brute_components(rows, 2)
 
 
+def test_components_of_long_paths(spark):
+    """Rounds go on until nothing changes: a path of 3000 links in mixed order, a star and a cycle."""
+    rng = random.Random(8)
+    names = rng.sample(range(10_000, 90_000), 3001)
+    links = list(zip(names, names[1:], strict=False)) + [(5, i) for i in range(6, 40)] + [(i, 100 + (i - 99) % 50) for i in range(100, 150)]
+    found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert {found[n] for n in names} == {min(names)} and {found[i] for i in range(5, 40)} == {5} and {found[i] for i in range(100, 150)} == {100}
+
+
 def test_near_copies_edges(spark):
     rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None), (3, None), (4, "a b c")], DOCS).withColumn("component_id", F.lit("x"))
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_copies(rows, 2).orderBy("doc_id").collect()]
