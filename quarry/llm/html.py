@@ -3,9 +3,9 @@
 A page becomes a tree of its block elements (inline elements only pass their text on). Every paragraph gives
 points for its length and commas to its parent, half of them to its grandparent, discounted by the share of
 its text inside links. The container with the most points wins. Its nearest article or main, or the whole page where it
-has none, gives the text: all that lies beside the container, except what is mostly links.
-Elements that are never article text (scripts, menus, forms and the like, by element name) are left out at every
-step. So are adverts, sidebars, notices and the like by class, id and role, if a name says nothing else (`ad`,
+has none, gives the text: all that lies beside the container, except what is mostly links. Where other articles weigh much as well, what holds them all gives it.
+Elements that are never article text (scripts, menus, controls and the like, by element name) are left out at every
+step; forms too, but for one around most of the page. So are adverts, sidebars, notices and the like by class, id and role, if a name says nothing else (`ad`,
 `side-bar`); one that merely holds such a word (`ad-free`, `market-share`) lowers the score, and is left out only if it is
 mostly links or next to empty. A subtree with most of the page's paragraph points stays, unless it holds reader comments
 or the page has another article or main.
@@ -18,26 +18,31 @@ that is left; repeated rows give repeated results; an empty table gives no rows;
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z|[^<]+|<""", re.S)
+# Names are taken whole and never given back; a tag with an odd quote ends at the next ">". What opens no tag is text.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</[^a-zA-Z>][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "noembed", "object"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "head", "dialog", "menu", "fieldset"} | RAW
-BLOCKS = {"html", "body", "div", "p", "article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "hr", "center", "caption"} | (DROPPED - RAW)
+DROPPED = {"nav", "header", "footer", "aside", "button", "select", "head", "dialog", "menu"} | RAW
+FORMS = {"form", "fieldset"}
+BLOCKS = {"html", "body", "div", "p", "article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "hr", "center", "caption"} | FORMS | (DROPPED - RAW)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"hr"}
 CLOSED_BY_BLOCK = {"p"}
 UNLIKELY = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "comment-list", "commentlist", "respond", "replies", "cookie", "cookies", "consent", "gdpr", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "alert", "popup", "modal", "promo", "promoted", "related", "share", "sharing", "sidebar", "side", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "pagination", "complementary", "contentinfo", "search", "skip"}
 FILLERS = {"box", "bar", "block", "wrap", "wrapper", "container", "section", "area", "list", "item", "items", "inner", "outer", "top", "bottom", "left", "right", "content", "body", "links", "posts", "slot", "unit", "zone", "label", "form", "site", "page", "main", "global", "primary", "secondary", "overlay", "text"}
 COMMENTS = {"comment", "comments", "commentlist", "respond", "replies", "disqus"}
+PLACES = {"side", "search", "header", "footer", "masthead", "menu", "nav", "navbar", "navigation", "sidebar", "toolbar", "widget", "banner", "skip"}  # of a paragraph these say how it looks
 LIKELY = {"article", "content", "main", "post", "entry", "story", "text"}
 
 
+ARTICLE_SHARE = 0.25
 NEVER, COMMENT, STRONG, WEAK, NO = 4, 3, 2, 1, 0  # how surely an element is no article text
 
 
@@ -63,26 +68,31 @@ def _look(tag: str, attributes: str) -> tuple[int, float]:
     if tag in DROPPED:
         return NEVER, 0.0
     if not attributes.strip() or tag in HEADINGS:
-        return NO, bonus
+        return STRONG if tag in FORMS else NO, bonus
     cut = NO
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "main"):
             continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return NEVER, 0.0
         if name in ("class", "id", "role"):
-            cut = max([cut, *map(_named, value.split())])
+            cut = max([cut, *(min(_named(x), WEAK) if tag == "p" and x in PLACES else _named(x) for x in value.split())])
             if LIKELY & {x for n in value.split() for x in re.split(r"[-_]+", n)}:
                 bonus += 10.0
-    return cut, bonus - 10.0 * (cut == WEAK)
+    if tag == "article" and cut == WEAK:
+        cut = NO
+    return max(cut, STRONG) if tag in FORMS else cut, bonus - 10.0 * (cut == WEAK)
 
 
 def parse(html: str) -> Node:
     """The tree of block elements; text kids are (text, is link) pairs."""
     root = Node("#root", None)
     at, link, pos, n = root, 0, 0, len(html)
+    last, open_ = html.rfind(">"), Counter()  # how many elements of a name are open: a stray closing tag costs nothing
     while pos < n:
+        if pos > last and html[pos] == "<" and re.match("[a-zA-Z/!?]", html[pos + 1 : pos + 2]) and not html.startswith("<!--", pos):
+            break  # an unfinished tag
         m = TOKEN.match(html, pos)
         pos = m.end()
         closing, tag, attributes = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
@@ -104,18 +114,20 @@ def parse(html: str) -> Node:
         elif tag in BLOCKS:
             link = 0
             if closing:
-                node = at
-                while node.parent is not None and node.tag != tag:
-                    node = node.parent
-                if node.parent is not None:
-                    at = node.parent
+                while open_[tag]:
+                    open_[at.tag] -= 1
+                    at, closed = at.parent, at.tag
+                    if closed == tag:
+                        break
                 continue
             if at.tag in CLOSED_BY_BLOCK or tag in ("li", "dt", "dd", "tr", "td", "th") and at.tag == tag:
+                open_[at.tag] -= 1
                 at = at.parent
             node = Node(tag, at, *_look(tag, attributes))
             at.kids.append(node)
             if tag not in VOID:
                 at = node
+                open_[tag] += 1
     return root
 
 
@@ -146,7 +158,7 @@ def measure(root: Node) -> list[Node]:
         for node in reversed(nodes):
             sums = [node.gain, node.chars, node.linked, node.tag in ("article", "main")]
             for k in node.kids:
-                if isinstance(k, Node) and k.cut != NEVER:
+                if isinstance(k, Node) and k.cut < COMMENT:
                     sums = [a + b for a, b in zip(sums, under[k], strict=True)]
             under[node] = sums
         all_points, _, _, all_articles = under[root]
@@ -163,8 +175,8 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def score(root: Node) -> Node | None:
-    """Points of all containers; the best one."""
+def score(root: Node) -> tuple[Node | None, list[Node]]:
+    """(the best container by points, all nodes that are not dropped, parents first)."""
     nodes = [node for node in measure(root) if not node.dropped]
     for node in nodes:
         if node.gain:
@@ -183,7 +195,27 @@ def score(root: Node) -> Node | None:
             node.points = (node.points + node.bonus) * (1 - min(1.0, node.linked / max(1, node.chars)))
             if best is None or node.points > best.points:
                 best = node
-    return best
+    return best, nodes
+
+
+def article_of(best: Node, nodes: list[Node]) -> list[Node]:
+    """The way from the container up to the element whose text is wanted: its article or main, or the page; where other articles have at least ARTICLE_SHARE of
+    its article's paragraph points, as the parts of a divided story have, up to what holds them all."""
+    up = [best]
+    while up[-1].parent is not None and up[-1].tag not in ("article", "main"):
+        up.append(up[-1].parent)
+    if up[-1].tag == "article":
+        weight, held = Counter(), Counter()
+        for node in reversed(nodes):
+            weight[node] += node.gain
+            weight[node.parent] += weight[node]
+        least = ARTICLE_SHARE * weight[up[-1]]
+        for node in reversed(nodes):
+            held[node] += node.tag == "article" and weight[node] >= least
+            held[node.parent] += held[node]
+        while held[up[-1]] < held[nodes[0]] and up[-1].parent is not None:
+            up.append(up[-1].parent)
+    return up
 
 
 def _blocks(up: list[Node]) -> list[str]:
@@ -200,13 +232,15 @@ def _blocks(up: list[Node]) -> list[str]:
         run.clear()
 
     todo = [(top, iter(top.kids), [])]
+    before = None
     while todo:
         here, kids, run = todo[-1]
         for kid in kids:
             if isinstance(kid, Node):
                 put(here, run)
+                titled, before = before is not None and before.parent is kid.parent and before.tag in HEADINGS and not UNLIKELY & set(re.findall("[a-z]+", _own(before).lower())), kid
                 links = kid.links >= 3 and kid.linked > 0.66 * max(1, kid.chars) and kid.tag in ("ul", "ol", "div", "table", "section", "dl") or here in above and kid.tag not in HEADINGS and kid.linked > 0.5 * kid.chars
-                if not kid.dropped and (kid in way or not links):
+                if not kid.dropped and (kid in way or titled and here not in above or not links):  # links under a heading of the article are its own
                     todo.append((kid, iter(kid.kids), []))
                     break
             else:
@@ -220,11 +254,8 @@ def _blocks(up: list[Node]) -> list[str]:
 def main_text(html: str) -> str:
     """The page's article: blocks joined by an empty line."""
     root = parse(html)
-    best = score(root)
-    up = [root] if best is None else [best]
-    while up[-1].parent is not None and up[-1].tag not in ("article", "main"):
-        up.append(up[-1].parent)
-    out = _blocks(up)
+    best, nodes = score(root)
+    out = _blocks([root] if best is None else article_of(best, nodes))
     return "\n\n".join(x for x in (" ".join(t.split()) for t in out) if x)
 
 

@@ -235,6 +235,41 @@ def test_html_of_the_given_pages(spark):
         assert r["n_chars"] == len(r["text"]) and not any("".join(re.sub("<[^>]*>", "", x).split()) and re.sub("<[^>]*>", "", x).strip() in r["text"].split("\n\n") for x in re.findall(r'(?s)<div class="ad">(.*?)</div>', page))
 
 
+PROSE = "A sentence of the story, long enough to count, with commas, and more words. " * 3
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<body><form id="aspnetForm"><div class="content"><p>{PROSE}</p><p>{PROSE}</p></div><input><button>go</button></form></body>', f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+    (f"<body><form><fieldset><div><p>{PROSE}</p></div></fieldset></form></body>", PROSE.strip()),
+    (f"<main><article><p>{PROSE}</p></article><article><p>Second, {PROSE}</p></article></main>", f"{PROSE.strip()}\n\nSecond, {PROSE.strip()}"),
+    (f'<article><p>{PROSE}</p><h2>Sources</h2><ul><li><a href="1">one</a></li><li><a href="2">two</a></li><li><a href="3">three</a></li></ul></article>', f"{PROSE.strip()}\n\nSources\n\none\n\ntwo\n\nthree"),
+    (f'<article><p>{PROSE}</p><p class="side">an aside of the author</p><p class="search">how to look it up</p><p class="advert">Buy!</p></article>', f"{PROSE.strip()}\n\nan aside of the author\n\nhow to look it up"),
+    (f'<main><p>{PROSE}</p><article class="comment"><p>{PROSE} said a reader</p></article></main>', PROSE.strip()),
+    (f'<article><p>{PROSE}</p><form><label>Mail</label><input><p>Sign up</p></form></article>', PROSE.strip()),
+])
+def test_html_keeps_whole_articles(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<p>" + '<a"' * 1_600_000, "<div>" * 300_000 + "x</p>" * 900_000, "<p>x" + "</ " * 1_600_000 + ">", "<a '" * 1_200_000 + ">y", "<!x" * 1_600_000, "<" * 3_000_000, "<section>" * 200_000 + "<li>x" * 400_000 + "</section>" * 300_000,
+], ids=["quotes", "stray", "bogus", "odd quotes", "declarations", "angles", "deep"])
+def test_html_of_bad_markup_is_read_in_linear_time(page):
+    start = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - start < 30
+
+
+def test_html_keeps_every_word_of_plain_paragraphs():
+    """Pages of paragraphs, headings and lists and nothing else, against a plain stripper of tags."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdeé,.", k=rng.randint(1, 9)))
+    for _ in range(200):
+        blocks = [(rng.choice(["p", "p", "p", "h2", "blockquote", "li"]), " ".join(word() for _ in range(rng.randint(1, 60)))) for _ in range(rng.randint(1, 12))]
+        page = "<html><body>" + "".join(f"<{t}>{x}</{t}>" for t, x in blocks) + "</body></html>"
+        assert html.main_text(page) == "\n\n".join(" ".join(re.sub("<[^>]*>", " ", x).split()) for _, x in blocks if x.split())
+
+
 def test_html_of_a_very_long_page():
     page = "<article>" + "<p>word, word <b>bold</b> &amp; more</p>" * 40_000 + "</article>"
     assert html.main_text(page).count("\n\n") == 39_999
