@@ -173,7 +173,7 @@ def chance_shuffle(hits: DataFrame, cut: int = 5, draws: int | None = None) -> D
             wins += any(marks[:cut])
         return pd.DataFrame([(key[0], key[1], observed, wins / draws, wins / draws if observed else 1.0)], columns=["question_id", "arm", "observed", "chance", "p_value"])
 
-    return hits.select("question_id", "arm", "rank", "matched").groupBy("question_id", "arm").applyInPandas(run, "question_id string, arm string, observed int, chance double, p_value double")
+    return hits.select("question_id", "arm", "rank", "matched").groupBy("question_id", "arm").applyInPandas(run, f"question_id {hits.schema['question_id'].dataType.simpleString()}, arm string, observed int, chance double, p_value double")
 
 
 def null_test(chances: DataFrame) -> DataFrame:

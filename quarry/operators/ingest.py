@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,10 +99,18 @@ def classify_outcome(ingest: DataFrame) -> DataFrame:
     return ingest.withColumn("status", status).withColumn("indexable", status.isin("ok", "partial"))
 
 
+def _counts() -> list[Column]:
+    return [F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "partial", "skipped", "failed")]]
+
+
 def ingestion_report(ingest: DataFrame) -> DataFrame:
     """One row: counts by status, and whether the run is clean."""
-    count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return ingest.agg(F.count("*").alias("total"), count("ok"), count("partial"), count("skipped"), count("failed")).withColumn("is_clean", F.col("failed") == 0)
+    return ingest.agg(*_counts()).withColumn("is_clean", F.col("failed") == 0)
+
+
+def observed_ingest(ingest: DataFrame, report: Observation) -> DataFrame:
+    """The same rows; once they are written, report.get has the counts of ingestion_report. They come with the write: no second pass."""
+    return ingest.observe(report, *_counts())
 
 
 @F.pandas_udf(T.StringType())

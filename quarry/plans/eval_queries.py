@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
 from ..operators import bench, evaluate, index, ingest
+from ..operators.intervals import overlap_join
 from . import fixtures as fx
 from .queries import BIGRAMS_SQL, longs, registered, rounded, wilson_sql
 
@@ -73,6 +74,14 @@ def e7_span_overlap(spark, sf_dir):
     return longs(rows.where(meets & evaluate.doc_matches(F.col("document_key"), F.col("file_name"), F.col("doc"))).select("question_id", "arm", "rank"), "rank")
 
 
+@registered(f"WITH {fx.CHUNKS}, {fx.QUESTIONS} SELECT question_id, row_id FROM questions JOIN chunks ON target=document_key WHERE kind='span' AND start_offset<span_end+15 AND span_start-15<end_offset")
+def e7_overlap_join(spark, sf_dir):
+    """The chunks of a question's document that its span meets, by at most 15 units more on each side: spans meet in bins of positions."""
+    spans = _locations(spark, sf_dir).where("kind = 'span'").select("question_id", F.col("doc").alias("document_key"), (F.col("span_start") - 15).alias("low"), (F.col("span_end") + 15).alias("high"))
+    rows = fx.chunks(spark, sf_dir).select("row_id", "document_key", "start_offset", "end_offset")
+    return overlap_join(rows, spans, ["document_key"], ("start_offset", "end_offset"), ("low", "high"), width=16).select("question_id", "row_id")
+
+
 GOLD_SQL = "gold AS (SELECT question_id, arg_min(chunk_index,row_id)::BIGINT AS gold_chunk_index, arg_min(coalesce(page_number,-1),row_id)::BIGINT AS gp FROM questions q JOIN chunks c ON c.space='documentText' AND q.kind='span' AND c.start_offset=q.span_start AND c.end_offset=q.span_end AND c.document_key=q.target GROUP BY 1)"
 
 
@@ -165,6 +174,16 @@ def e15_chance_shuffle(spark, sf_dir):
     return longs(rounded(evaluate.chance_shuffle(marked).select("question_id", "arm", "observed", "chance"), "chance"), "observed")
 
 
+@registered(f"WITH {fx.HITS}, {fx.QUESTIONS} SELECT question_id, arm, (count(*) FILTER (target=document_key OR ends_with(target,'/'||document_key) OR ends_with(target,'/'||file_name))>0)::BIGINT AS observed, true AS near FROM hits JOIN questions USING (question_id) GROUP BY 1,2")
+def e15_chance_drawn(spark, sf_dir):
+    """The null by 2000 seeded shuffles of each list: within nine standard deviations of the closed form."""
+    rows = fx.hits(spark, sf_dir).join(fx.questions(spark, sf_dir).select("question_id", "target"), "question_id")
+    marked = rows.withColumn("matched", evaluate.doc_matches(F.col("document_key"), F.col("file_name"), F.col("target")))
+    exact = evaluate.chance_shuffle(marked).select("question_id", "arm", F.col("chance").alias("exact"))
+    drawn = evaluate.chance_shuffle(marked, draws=2000).join(exact, ["question_id", "arm"])
+    return drawn.select("question_id", "arm", F.col("observed").cast("long").alias("observed"), (F.abs(F.col("chance") - F.col("exact")) <= 0.1).alias("near"))
+
+
 TAIL_SQL = f"""WITH RECURSIVE {fx.HITS}, {fx.CHUNKS}, {fx.QUESTIONS}, {CLASS_SQL}, {CHANCE_SQL}, per AS (SELECT arm, count(*) AS n, (count(*) FILTER (class IN ('hit','hit_via_neighbor')))::INT AS hits, avg(chance) AS mean_chance, list(chance) AS ps FROM scored JOIN chances USING (question_id) GROUP BY 1),
  r AS (SELECT arm, n, 0::BIGINT AS k, [1.0::DOUBLE] AS d, ps FROM per UNION ALL SELECT arm, n, k+1, list_transform(range(1,len(d)+2), lambda i: coalesce(d[i],0)*(1-ps[k+1])+CASE WHEN i>1 THEN d[i-1]*ps[k+1] ELSE 0 END), ps FROM r WHERE k<n)
  SELECT arm, per.n, hits, round(mean_chance,6) AS mean_chance, round(CASE WHEN hits<=0 THEN 1 ELSE list_sum(d[hits+1:]) END,6) AS p_value FROM per JOIN r USING (arm) WHERE k=per.n"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE_CODES
-from ..operators import chunking, index, ingest, query, search, vectors
+from ..operators import chunking, index, ingest, query, search, sql, vectors
 from ..sources import staged
 from . import fixtures as fx
 
@@ -107,6 +107,14 @@ def i6_ingestion_report(spark, sf_dir):
     return ingest.ingestion_report(ingest.classify_outcome(_ingested(spark, sf_dir)))
 
 
+@registered(SQL["i6_ingestion_report"])
+def i6_observed_report(spark, sf_dir):
+    """The same counts, seen while the rows are written."""
+    report = Observation()
+    staged.stored(ingest.observed_ingest(ingest.classify_outcome(_ingested(spark, sf_dir)), report), "ingested")
+    return spark.createDataFrame([report.get], "total long, ok long, partial long, skipped long, failed long").withColumn("is_clean", F.col("failed") == 0)
+
+
 @registered("WITH p AS (SELECT page_id, unnest(CASE WHEN len(x)>1 THEN x[2:] ELSE x END) AS part, generate_subscripts(CASE WHEN len(x)>1 THEN x[2:] ELSE x END,1) AS page_number FROM (SELECT page_id, string_split(coalesce(html,''),'<p>') AS x FROM pages)) SELECT page_id, page_number::BIGINT AS page_number, replace(replace(replace(replace(trim(regexp_replace(regexp_replace(part,'<br\\s*/?>|</p\\s*>',chr(10),'gi'),'<[^>]*>','','g'),' '||chr(10)),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&amp;','&') AS text FROM p")
 def i7_split_xhtml_pages(spark, sf_dir):
     pages = fx.table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<p>"), F.lit('<div class="page">')))
@@ -178,6 +186,14 @@ def c1_chunk_pages(spark, sf_dir):
     return longs(chunking.chunk_pages(_cut_pages(spark, sf_dir)).withColumn("failure", F.coalesce("failure", F.lit(""))), "ordinal", "page_number", "start_offset", "end_offset", "tokens")
 
 
+@registered(f"{CASCADE_SQL} SELECT document_id, ordinal::BIGINT AS ordinal, start_offset, end_offset, text, (length(text)+2)::BIGINT AS tokens FROM chunked")
+def c1_chunk_text_in_sql(spark, sf_dir):
+    """The same chunks by the table function, joined laterally."""
+    sql.register(spark)
+    query = "SELECT document_id, bigint(ordinal) AS ordinal, bigint(c.start_offset) AS start_offset, bigint(c.end_offset) AS end_offset, c.chunk AS text, bigint(c.tokens) AS tokens FROM {pages} p, LATERAL chunk_text(p.text, {chars}, {tokens}) c WHERE c.failure IS NULL"
+    return spark.sql(query, pages=_cut_pages(spark, sf_dir), chars=chunking.CHUNK_CHARS, tokens=chunking.MAX_TOKENS)
+
+
 @registered(f"{CASCADE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY ordinal, start_offset)-1 AS i FROM chunked) SELECT document_id, concat(document_id,'-{chunking.VERSION}-chars-c{chunking.CHUNK_CHARS}-t{chunking.MAX_TOKENS}-o',ordinal,'-p',coalesce(page_number::VARCHAR,'na'),'-i',i) AS chunk_id, i::BIGINT AS chunk_index, start_offset, end_offset FROM k")
 def c3_chunk_ids(spark, sf_dir):
     chunks = chunking.with_chunk_index(chunking.chunk_pages(_cut_pages(spark, sf_dir))).withColumn("position", F.col("chunk_index"))

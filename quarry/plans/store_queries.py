@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import index, vectors
-from ..sources import files, records, staged, store
+from ..sources import datasource, files, records, staged, store
 from ..streaming import incremental
 from . import fixtures as fx
 from .queries import registered, rounded
@@ -139,3 +139,78 @@ def m12_incremental_index_stream(spark, sf_dir):
         put(batch)
         incremental.incremental_index_stream(spark, arriving, root, progress).awaitTermination()
     return store.read_index(spark, root)["chunks"].select("document_id", "relative_path").distinct()
+
+
+def _gunzipped():
+    """A parser of compressed text that takes texts of an even length only: the others are its corrupt files."""
+
+    def parse(content: bytes) -> str:
+        import gzip
+
+        text = gzip.decompress(content).decode().rstrip("\n")
+        if len(text) % 2:
+            raise ValueError("odd length")
+        return text
+
+    return incremental.Options(parsers={".gz": incremental.Parser("gunzip", "1", parse)})
+
+
+@registered("""WITH f AS (SELECT item_id, text, trim(text)<>'' AND (item_id%2=0 OR length(text)%2=0) AS sound FROM benchmark)
+ SELECT item_id, CASE WHEN sound THEN 'indexed' WHEN trim(text)='' THEN 'noChunks' ELSE 'corruptedInput' END AS status FROM f UNION ALL SELECT -1, concat(count(*) FILTER (sound), ' reused, ', count(*) FILTER (NOT sound), ' failed') FROM f""")
+def m12_index_directory(spark, sf_dir):
+    """A file for each benchmark item, every other one compressed; a stream indexes them, then a run over the folder finds what is unchanged."""
+    path, root, items = folder(spark, "files"), folder(spark, "index"), fx.table(spark, sf_dir, "benchmark")
+    put = lambda rest, **how: items.where(f"item_id % 2 = {rest}").select("item_id", F.col("text").alias("value")).write.mode("append").options(**how).partitionBy("item_id").text(path)
+    put(0)
+    put(1, compression="gzip")
+    options = _gunzipped()
+    incremental.index_files_stream(spark, path, root, folder(spark, "progress"), options).awaitTermination()
+    again = incremental.index_directory(spark, path, root, options)
+    tables = store.read_index(spark, root)
+    item = F.regexp_extract("relative_path", r"item_id=(\d+)/", 1).cast("long").alias("item_id")
+    found = tables["keys"].select(F.col("document_key").alias("relative_path"), F.lit("indexed").alias("status")).unionByName(tables["failures"].select("relative_path", F.col("failure_kind").alias("status")))
+    return found.select(item, "status").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("item_id"), F.lit(f"{again['reused']} reused, {again['failed']} failed").alias("status")))
+
+
+@registered(f"WITH {fx.CHUNKS} SELECT row_id, document_id, body FROM chunks WHERE row_id//5%2=0")
+def m3_clear_index(spark, sf_dir):
+    """The whole index, cleared, then written again with half of the documents."""
+    rows, root = fx.chunks(spark, sf_dir).withColumn("dim", F.size("vec")), folder(spark, "index")
+    store.write_index(spark, root, rows)
+    store.clear_index(spark, root)
+    left = store.read_index(spark, root)
+    store.write_index(spark, root, rows.where("row_id div 5 % 2 = 0"))
+    return store.read_index(spark, root)["chunks"].select("row_id", "document_id", "body").unionByName(left["chunks"].select("row_id", "document_id", "body"))
+
+
+@registered(f"WITH {fx.CHUNKS} SELECT row_id, document_id, body FROM chunks UNION ALL SELECT -3, 'conflict', 'version 3'")
+def s4_racing_writers(spark, sf_dir):
+    """Two writers start from one version and write different buckets: both land. A third one, of buckets that have changed since, is told so."""
+    rows, root = fx.chunks(spark, sf_dir).withColumn("bucket", store.bucket_of("document_id")), folder(spark, "index")
+    base = store.write_tables(spark, root, None, {"chunks": (rows.where("bucket = 0"), [0])})
+    low, high = range(1, store.BUCKETS // 2), range(store.BUCKETS // 2, store.BUCKETS)
+    for part in (low, high):
+        store.write_tables(spark, root, base, {"chunks": (rows.where(F.col("bucket").between(part[0], part[-1])), part)})
+    try:
+        told = store.write_tables(spark, root, base, {"chunks": (rows.limit(0), low)}).number
+    except store.Conflict:
+        told = "conflict"
+    done = spark.range(1).select((-F.lit(store.current_version(spark, root)).cast("long")).alias("row_id"), F.lit(str(told)).alias("document_id"), F.lit(f"version {store.current_version(spark, root)}").alias("body"))
+    return store.read_index(spark, root)["chunks"].select("row_id", "document_id", "body").unionByName(done)
+
+
+@registered(f"WITH {fx.CHUNKS} SELECT row_id, relative_path FROM chunks WHERE starts_with(relative_path,'p1/')")
+def m10_path_ranges(spark, sf_dir):
+    """The chunks below one folder, from the files of the index whose paths meet it."""
+    root = folder(spark, "index")
+    store.write_index(spark, root, fx.chunks(spark, sf_dir).withColumn("dim", F.size("vec")))
+    return store.read_below(spark, root, "p1").select("row_id", "relative_path")
+
+
+@registered(f"WITH {fx.CHUNKS} SELECT row_id, document_id, body FROM chunks WHERE document_id IN ('d3','d17')")
+def s4_index_source(spark, sf_dir):
+    """Two documents through the data source of the index: it reads their buckets."""
+    root = folder(spark, "index")
+    store.write_index(spark, root, fx.chunks(spark, sf_dir).withColumn("dim", F.size("vec")))
+    datasource.register(spark)
+    return spark.read.format("quarry_index").load(root).where("document_id in ('d3', 'd17')").select("row_id", "document_id", "body")

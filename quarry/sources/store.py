@@ -25,7 +25,7 @@ from ..operators import index
 BY_DOCUMENT, BY_PATH = ("chunks", "postings", "generations"), ("keys", "failures")
 TABLES = (*BY_DOCUMENT, *BY_PATH)
 BUCKETS = 64
-POINTERS_KEPT = 32
+POINTERS_KEPT, FILE_ROWS = 32, 1_000_000
 FAILURES = "relative_path string, failure_kind string, error_message string, content_hash string, modified_at timestamp"
 
 
@@ -35,7 +35,8 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Version:
-    """What a pointer says: for each `table/bucket` the folder that holds it, the tables' schemas, the report of the run, and the last batch of each stream."""
+    """What a pointer says: for each `table/bucket` the folder that holds it, of chunks also the files with their least and largest path, the tables' schemas, the report of
+    the run, and the last batch of each stream."""
 
     number: int = 0
     buckets: int = BUCKETS
@@ -43,6 +44,7 @@ class Version:
     schemas: dict[str, str] = field(default_factory=dict)
     report: dict[str, int] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
+    files: dict[str, list[list[str]]] = field(default_factory=dict)
 
 
 def bucket_of(key: str | Column, buckets: int = BUCKETS) -> Column:
@@ -119,7 +121,7 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
         fs.delete(made, False)
 
 
-def commit(spark: SparkSession, root: str, base: Version | None, replaced: set[str], new: dict[str, str], schemas: dict[str, str], report: dict[str, int] | None = None, batches: dict[str, int] | None = None) -> Version:
+def commit(spark: SparkSession, root: str, base: Version | None, replaced: set[str], new: dict[str, str], schemas: dict[str, str], report: dict[str, int] | None = None, batches: dict[str, int] | None = None, files: dict[str, list[list[str]]] | None = None) -> Version:
     """Commit the folders of `new`, which take the place of the buckets `replaced` of base; later commits that left these alone are kept, others are a Conflict."""
     base = base or Version()
     while True:
@@ -127,7 +129,7 @@ def commit(spark: SparkSession, root: str, base: Version | None, replaced: set[s
         if any(now.held.get(k) != base.held.get(k) for k in replaced):
             raise Conflict(f"buckets changed between versions {base.number} and {now.number}")
         held = {k: v for k, v in now.held.items() if k not in replaced} | new
-        made = Version(now.number + 1, now.buckets, held, now.schemas | schemas, report or {}, now.batches | (batches or {}))
+        made = Version(now.number + 1, now.buckets, held, now.schemas | schemas, report or {}, now.batches | (batches or {}), {k: f for k, f in now.files.items() if k not in replaced} | (files or {}))
         if put_if_absent(spark, _pointer(root, made.number), json.dumps(asdict(made))):
             for number in _pointers(spark, root)[POINTERS_KEPT:]:
                 fs, path = _filesystem(spark, _pointer(root, number))
@@ -137,9 +139,9 @@ def commit(spark: SparkSession, root: str, base: Version | None, replaced: set[s
 
 def write_tables(spark: SparkSession, root: str, base: Version | None, tables: dict[str, tuple[DataFrame, Iterable[int] | None]], report: dict[str, int] | None = None, batches: dict[str, int] | None = None) -> Version:
     """Write buckets of tables and commit them. Each table has a `bucket` column and comes with the numbers of the buckets that are written anew, with all
-    their rows; None: all buckets. Rows are in order of path within a bucket, so statistics of row groups serve path filters."""
+    their rows; None: all buckets. Within a bucket rows are in order of path, in files of at most FILE_ROWS, whose ranges of paths the pointer keeps."""
     mine = uuid.uuid4().hex
-    replaced, new, schemas = set(), {}, {}
+    replaced, new, schemas, ranges = set(), {}, {}, {}
     for name, (df, touched) in tables.items():
         touched = set(range(BUCKETS) if touched is None else touched)
         if not touched:
@@ -148,9 +150,22 @@ def write_tables(spark: SparkSession, root: str, base: Version | None, tables: d
         schemas[name] = df.drop("bucket").schema.json()
         path = f"{root}/data/{mine}/{name}"
         order = [c for c in ("relative_path", "document_key") if c in df.columns][:1]
-        df.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+        df.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(path)
         new |= {f"{name}/{n.removeprefix('bucket=')}": mine for n in _names(spark, path) if n.startswith("bucket=")}
-    return commit(spark, root, base, replaced, new, schemas, report, batches)
+        if name == "chunks" and "relative_path" in df.columns:
+            ranges = _path_ranges(spark, path)
+    return commit(spark, root, base, replaced, new, schemas, report, batches, ranges)
+
+
+def _path_ranges(spark: SparkSession, path: str) -> dict[str, list[list[str]]]:
+    """Of each bucket of chunks its files (name, least path, largest path): one row for each file that was written."""
+    if not _names(spark, path):
+        return {}
+    rows = spark.read.schema("relative_path string, bucket int").parquet(path).groupBy("bucket", F.col("_metadata.file_name").alias("file")).agg(F.min("relative_path").alias("low"), F.max("relative_path").alias("high"))
+    found: dict[str, list[list[str]]] = {}
+    for r in rows.collect():
+        found.setdefault(f"chunks/{r['bucket']}", []).append([r["file"], r["low"], r["high"]])
+    return found
 
 
 def write_index(spark: SparkSession, root: str, chunks: DataFrame, generations: DataFrame | None = None) -> Version:
@@ -187,6 +202,22 @@ def read_documents(spark: SparkSession, root: str, document_ids: list[str]) -> D
     return read_tables(spark, root, now, {"chunks": buckets_in(ids, "document_id")})["chunks"].join(F.broadcast(ids), "document_id", "left_semi")
 
 
+def read_below(spark: SparkSession, root: str, path_prefix: str) -> DataFrame:
+    """The chunks whose path is path_prefix or lies below it, from the files whose range of paths meets it."""
+    now, prefix = latest(spark, root) or Version(), path_prefix.replace("\\", "/").rstrip("/")
+    first, beyond = prefix, prefix + "0"  # the character after the slash
+    paths = []
+    for key, folder in sorted(now.held.items()):
+        name, bucket = key.split("/")
+        if name == "chunks":
+            place = f"{root}/data/{folder}/{name}/bucket={bucket}"
+            of = now.files.get(key)
+            paths += [place] if of is None else [f"{place}/{file}" for file, low, high in of if low is None or high >= first and low < beyond]
+    schema = StructType.fromJson(json.loads(now.schemas["chunks"])) if "chunks" in now.schemas else StructType()
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return rows.where(index.storage_filter(path_prefix=path_prefix)) if schema.names else rows
+
+
 def buckets_in(rows: DataFrame, key: str) -> list[int]:
     """The buckets of a column's values: at most BUCKETS numbers."""
     return sorted(r[0] for r in rows.select(bucket_of(key)).distinct().collect())

@@ -54,3 +54,23 @@ def test_version_and_ids(spark):
     assert c.chunker_version() == "w3-cascade-1" and c.chunker_version(8, 16) == "w3-cascade-1-c8-t16"
     rows = spark.createDataFrame([("d", 0, None, 0, "t")], "document_id string, ordinal int, page_number int, position int, text string")
     assert c.with_chunk_ids(rows).first()["chunk_id"] == "d-w3-cascade-1-chars-c120-t128-o0-pna-i0"
+
+
+def test_chunks_and_formulas_in_sql(spark):
+    """The table function and the formulas give what the operators give."""
+    from pyspark.sql import functions as F
+
+    from quarry.functions.stats import wilson
+    from quarry.operators import sql
+
+    sql.register(spark)
+    pages = spark.createDataFrame([("a", 0, None, "甲\n乙\n\n丙"), ("b", 0, 2, "ab🙂cd. ef🙂"), ("c", 0, None, ""), ("d", 0, None, None)], "document_id string, ordinal int, page_number int, text string")
+    got = spark.sql("SELECT document_id, c.start_offset, c.end_offset, c.chunk, c.tokens FROM {pages} p, LATERAL chunk_text(p.text, 3, 7) c", pages=pages)
+    want = c.chunk_pages(pages, 3, 7).select("document_id", "start_offset", "end_offset", "text", "tokens")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3
+    assert [r["failure"] for r in spark.sql("SELECT failure FROM chunk_text('abc', 5, 1)").collect()] == ["overBudget"]
+    pairs = spark.createDataFrame([(5, 10), (9, 10), (0, 0), (0, 4)], "s long, n long")
+    ci = wilson(F.col("s"), F.col("n"))
+    for r in pairs.select(F.expr("wilson_low(s, n)").alias("a"), F.expr("wilson_high(s, n)").alias("b"), ci["low"].alias("c"), ci["high"].alias("d")).collect():
+        assert (r["a"], r["b"]) == pytest.approx((r["c"], r["d"]), abs=1e-12)
+    assert spark.sql("SELECT rrf('text', 2) + rrf('keyword', 1) AS x").first()["x"] == pytest.approx(0.5 / 62 + 0.3 / 61)

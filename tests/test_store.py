@@ -191,3 +191,32 @@ def test_clear_and_rebuild(spark, tmp_path):
     store.write_index(spark, root, rows(spark, ("d3", "k3")))
     assert [r["document_id"] for r in store.read_index(spark, root)["chunks"].collect()] == ["d3"]
     assert store.vacuum(spark, root, keep=1, min_age_s=-1) > 0 and store.read_index(spark, root)["chunks"].count() == 1
+
+
+def test_the_data_source_reads_the_buckets_of_its_filter(spark, tmp_path):
+    from quarry.sources import datasource
+
+    root = str(tmp_path / "index")
+    names = [f"d{i}" for i in range(60)] + ["é", ""]
+    store.write_index(spark, root, rows(spark, *[(n, f"k{n}") for n in names]))
+    buckets = {r["d"]: r["b"] for r in spark.createDataFrame([(n,) for n in names], "d string").withColumn("b", store.bucket_of("d")).collect()}
+    assert {n: datasource.spark_bucket(n, store.BUCKETS) for n in names} == buckets
+    datasource.register(spark)
+    load = lambda **options: spark.read.format("quarry_index").options(**options).load(root)
+    assert sorted(r["document_id"] for r in load().collect()) == sorted(names)
+    one = load().where("document_id = 'd7'")
+    assert [r["body"] for r in one.collect()] == ["body d7"] and one.rdd.getNumPartitions() == 1
+    assert [r["document_id"] for r in load(table="keys").where("document_key in ('kd3', 'kd4')").orderBy("document_id").collect()] == ["d3", "d4"]
+    assert load().where("document_id = 'd7' and document_id = 'd8'").count() == 0 and load(table="failures").count() == 0
+
+
+def test_a_path_filter_reads_the_files_that_meet_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FILE_ROWS", 5)
+    root = str(tmp_path / "index")
+    table = spark.range(400).select(F.concat(F.lit("d"), F.col("id") % 3).alias("document_id"), F.concat(F.lit("k"), "id").alias("document_key"), F.col("id").alias("row_id"), F.lit("b").alias("body"), F.format_string("folder%02d/%03d.txt", F.floor(F.col("id") / 10), F.col("id")).alias("relative_path"))
+    table = table.select("*", *[F.lit("x").alias(c) for c in ("model_id", "content_hash", "parser_name", "parser_version", "chunker_version")], F.lit(0).alias("dim"))
+    store.write_index(spark, root, table)
+    found = store.read_below(spark, root, "folder07/")
+    assert sorted(r["row_id"] for r in found.collect()) == list(range(70, 80))
+    assert 1 <= len(found.inputFiles()) <= 6 < len(store.read_index(spark, root)["chunks"].inputFiles())
+    assert store.read_below(spark, root, "folder07/073.txt").count() == 1 and store.read_below(spark, root, "none").count() == 0
