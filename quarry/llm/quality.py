@@ -168,7 +168,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, **opt
     """Learn from the `sample_rows` labelled documents of smallest id hash; the driver gets their statistics only."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     voted = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    share = max(1, labels.count() // (4 * sample_rows))  # keeps what the limit looks at bounded
+    voted = voted.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # labels of absent documents take no place in the sample
+    share = max(1, voted.count() // (4 * sample_rows))  # keeps what the limit looks at bounded
     chosen = voted.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()
     verdict = {r["doc_id"]: r["quality"] for r in chosen}
     if len(set(verdict.values())) < 2:

@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, and on nulls, empty tables, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -91,6 +92,12 @@ def test_quality_learns_and_keeps_clean(spark):
     assert quality.judge(rows, labels.limit(0)).where("kept").count() == 180
 
 
+def test_labels_of_absent_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" + "###" * (i % 2) for j in range(80))) for i in range(100)], DOCS)
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(100)] + [(i, 1, 0) for i in range(1000, 3000)], "doc_id long, quality int, toxic int")
+    assert len(quality.fit_rules(docs, labels, sample_rows=100)) > 0
+
+
 def test_quality_on_held_out_labels(spark):
     """Learned on two thirds of the given labels; the list rejects the bad and keeps the good documents of the rest."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
@@ -142,6 +149,19 @@ def test_packing(spark, docs, tokenizer, capacity):
     assert len(by_bin) <= -(-total // capacity) + 1 + (capacity == 16)
 
 
+def test_fullest_bin_against_all_combinations():
+    """The longest length left, and of all combinations of the others that fit beside it one of the largest sum."""
+    rng = random.Random(31)
+    for _ in range(300):
+        capacity = rng.randint(4, 40)
+        held = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        counts = {k: held.count(k) for k in set(held)}
+        got = packing.fullest(counts, capacity)
+        rest = sorted(held)[:-1]
+        best = max(s for n in range(len(rest) + 1) for c in itertools.combinations(rest, n) if (s := sum(c)) <= capacity - max(held))
+        assert sum(k * n for k, n in got.items()) == max(held) + best and all(n <= counts[k] for k, n in got.items()) and max(held) in got
+
+
 def test_token_bytes_agree_on_odd_texts(tokenizer):
     import public_tokenizers as P
 
