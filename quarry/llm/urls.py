@@ -87,10 +87,13 @@ def rule_table(spark, sites=SITE_RULES, patterns: DataFrame | None = None) -> Da
     return all_rules.select(F.xxhash64("kind", "host", "path", "regex", "verdict").alias("rule_id"), "*").dropDuplicates(["rule_id"])
 
 
-def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """Add `token`, the rule's rarest over all urls (ties: the first by name); null if it has none."""
+def index_rules(rules: DataFrame, urls: DataFrame, few: bool) -> DataFrame:
+    """Add `token`, the rule's rarest over all urls (ties: the first by name); null if it has none. Tokens of few rules are broadcast, others dealt, after the urls' tokens are counted."""
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
-    counts = urls.select(F.explode(url_tokens(F.col("url"))).alias("token")).join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    found = urls.select(F.explode(url_tokens(F.col("url"))).alias("token"))
+    if few:
+        found = found.join(F.broadcast(wanted), "token", "left_semi")
+    counts = found.groupBy("token").agg(F.count("*").alias("n"))
     each = rules.select("rule_id", F.explode("tokens").alias("token")).join(counts, "token", "left")
     rarest = each.groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
     return rules.join(rarest, "rule_id", "left")
@@ -98,11 +101,11 @@ def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
 
 def judge_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """host, path, rule and verdict of each distinct url that some rule fits."""
-    indexed = index_rules(rules, urls)
-    n_rules = rules.count()
+    few = rules.count() <= BROADCAST_RULES
+    indexed = index_rules(rules, urls, few)
     # Rules without a token are tried on all URLs: their key is dealt in salts, so no task gets all URLs.
     salted = indexed.withColumn("token", F.coalesce("token", F.lit(""))).withColumn("salt", F.explode(F.when(F.col("token") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    ready = F.broadcast(salted) if n_rules <= BROADCAST_RULES else salted
+    ready = F.broadcast(salted) if few else salted
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     tokens = urls.select("url", host.alias("u_host"), path.alias("u_path"), F.explode(F.array_union(url_tokens(F.col("url")), F.array(F.lit("")))).alias("url_token"))
     dealt = tokens.withColumn("url_salt", F.when(F.col("url_token") == "", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).otherwise(0))
