@@ -397,9 +397,9 @@ def q5_expand_arms(spark, sf_dir):
 TOPK_SQL = f"topk AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {TIES}) AS rank FROM (SELECT q.row_id AS query_id, c.row_id, c.relative_path, c.page_number, c.start_offset, list_inner_product(c.vec,q.vec) AS score FROM chunks c JOIN chunks q ON c.space=q.space WHERE q.row_id%100=0))"
 
 
-def _topk(spark, sf_dir, k: int, where=None):
+def _topk(spark, sf_dir, k: int, where=None, every: int = 100):
     rows = fx.chunks(spark, sf_dir)
-    asked = rows.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "space", "vec")  # every hundredth row asks, of all rows
+    asked = rows.where(f"row_id % {every} = 0").select(F.col("row_id").alias("query_id"), "space", "vec")  # every hundredth row asks, of all rows
     return vectors.cosine_topk(rows, asked, k, where)
 
 
@@ -408,6 +408,12 @@ def r1_cosine_topk(spark, sf_dir):
     return longs(_topk(spark, sf_dir, 10).select("query_id", "row_id", F.round("score", 5).alias("score"), "rank"), "rank")
 
 
+@registered(f"WITH {fx.CHUNKS}, {TOPK_SQL.replace(' WHERE q.row_id%100=0', '')} SELECT query_id, row_id, round(score,5) AS score, rank FROM topk WHERE rank<=10")
+def r1_cosine_topk_all(spark, sf_dir):
+    """Every vector asks."""
+    return longs(_topk(spark, sf_dir, 10, every=1).select("query_id", "row_id", F.round("score", 5).alias("score"), "rank"), "rank")
+
+
 FILTER_SQL = "extension='.txt' AND modality='text' AND modified_at>TIMESTAMP '2024-01-03'"
 
 
@@ -501,11 +507,11 @@ def r8_expand_neighborhood(spark, sf_dir):
     return search.expand_neighborhood(found, rows).select("query_id", "row_id", "snippet")
 
 
-def _hybrid(spark, sf_dir):
+def _hybrid(spark, sf_dir, every: int = 100):
     """Vectors with the whole texts of the documents of the same number as bodies; every hundredth row asks."""
     bodies = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.translate(F.lower("text"), fx.LATIN, fx.HAN).alias("_body"))
     rows = fx.chunks(spark, sf_dir).join(bodies, "row_id", "left").withColumn("body", F.coalesce("_body", F.lit(""))).drop("_body")
-    asked = rows.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "body", F.when(F.col("space") == "documentText", F.col("vec")).alias("text_vec"), F.when(F.col("space") == "clipShared", F.col("vec")).alias("image_vec"))
+    asked = rows.where(f"row_id % {every} = 0").select(F.col("row_id").alias("query_id"), "body", F.when(F.col("space") == "documentText", F.col("vec")).alias("text_vec"), F.when(F.col("space") == "clipShared", F.col("vec")).alias("image_vec"))
     asked = asked.withColumn("query", F.regexp_extract("body", f"([{fx.HAN}]{{2,}})", 1)).drop("body")
     budget = asked.withColumn("requested", F.array(*map(F.lit, query.CHANNELS))).withColumn("text_tokens", F.char_length("query")).withColumn("image_tokens", F.when(F.col("query_id") % 300 == 0, 100).otherwise(10))  # too long for the image tower
     return rows, search.routed(budget)
@@ -520,8 +526,8 @@ HYBRID_SQL = f"""WITH {fx.CHUNKS}, rows AS (SELECT c.* EXCLUDE (body), coalesce(
 
 
 @registered(HYBRID_SQL)
-def r9_hybrid_search(spark, sf_dir):
-    rows, asked = (staged.stored(df, "hybrid") for df in _hybrid(spark, sf_dir))
+def r9_hybrid_search(spark, sf_dir, every: int = 100):
+    rows, asked = (staged.stored(df, "hybrid") for df in _hybrid(spark, sf_dir, every))
     return search.hybrid_search(rows, staged.stored(index.build_postings(rows), "postings"), asked).select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"))
 
 
