@@ -9,7 +9,7 @@ from .common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in links (a, b); component is the smallest id that can be reached.
+    """(id, component) of the ids in links (a, b), but for each component's smallest; component is the smallest id that can be reached.
 
     Each round hangs every node's larger neighbours, then its smaller ones, under its smallest neighbour; links shrink to
     stars in a number of rounds that grows with the logarithm of the longest path. It ends when a round changes nothing. Nothing is collected.
