@@ -312,8 +312,8 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: flo
     # First each class with its least candidate only: that joins most groups, and leaves few pairs to confirm between them.
     pairs = stored(level.where("a <> b").select("a", "b").distinct(), "pairs")
     first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    ids = lambda p: stored(p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct(), "ids")
-    links = confirm(first, full_sets(ids(first), docs, k), threshold).unionByName(same_document(signed, classes))
+    ids = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id")))
+    links = confirm(first, full_sets(stored(ids(first), "ids"), docs, k), threshold).unionByName(same_document(signed, classes))
     comps = stored(components(links), "components")
     rest = stored(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
     members = level.where("a is null").select("node", F.col("b").alias("id"), "s0", "s1").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -345,8 +345,7 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: flo
             met = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         confirmed = confirm(stored(found.unionByName(met).distinct() if work else found, "found"), sets, threshold)
         if not confirmed.isEmpty():
-            links = links.unionByName(confirmed)
-            comps = stored(components(links), "components")
+            comps = stored(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed)), "components")
 
     of_class = classes.select("h1", "h2", "n_shingles", "id").join(comps, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"))
     named = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")

@@ -437,6 +437,30 @@ def test_near_copies_of_deep_walks_and_large_nodes(spark, monkeypatch, work):
     assert got == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize("depth", [None, 4])
+def test_recall_of_planted_pairs_near_the_threshold(spark, monkeypatch, depth):
+    """Pairs of similarity 0.80 to 0.85 that nothing else joins, at the depth of their number and at that of four million classes."""
+    rng = random.Random(23)
+    rows, pairs = [], []
+    shingles = lambda w: set(zip(w, w[1:], strict=False))
+    while len(pairs) < 2000:
+        n = rng.randint(40, 200)
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = [f"w{rng.randrange(10**6)}" if rng.random() < 0.05 else x for x in a]
+        both, either = len(shingles(a) & shingles(b)), len(shingles(a) | shingles(b))
+        if 80 * either <= 100 * both <= 85 * either:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    if depth:
+        trees = math.ceil(math.log(1e-6) / math.log(1 - neardup.meet_probability(0.8, depth)))
+        monkeypatch.setattr(neardup, "plan_trees", lambda n, threshold, recall: (depth, trees))
+    of = {r["doc_id"]: r["component_id"] for r in neardup.near_copies(spark.createDataFrame(rows, DOCS), 2).collect()}
+    recall = sum(of[a] == of[b] for a, b in pairs) / len(pairs)
+    print(f"recall {recall:.4f} of {len(pairs)} pairs")
+    assert recall >= 0.99
+    assert all(of[i] in (i, i - i % 2) for i in of)
+
+
 def test_texts_of_one_document_are_one(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     rows = spark.createDataFrame([(5, a), (5, b), (2, a), (7, b + " more"), (9, "other words"), (5, None)], DOCS)
