@@ -601,6 +601,51 @@ def test_tiling_against_brute_force(monkeypatch):
             assert got == ([(7, len(a), covered, covered / len(a), len(want), max(t[2] for t in want))] if covered >= 0.6 * len(a) else [])
 
 
+@pytest.mark.parametrize("bits", [8, 26])
+def test_seed_join_against_brute_force(spark, monkeypatch, bits):
+    """Items and documents over few words, with passages that most share, short and repeated items: found as by tiling every document with every item."""
+    monkeypatch.setattr(decontaminate, "GATE_BITS", bits)
+    monkeypatch.setattr(decontaminate, "GROUP", 3)
+    rng = random.Random(77)
+    common = [f"c{i}" for i in range(9)]
+    some = lambda n: [rng.choice("abcdefghijkl") for _ in range(n)]
+    items = [(i, (common if i % 3 == 0 else []) + some(rng.randint(1, 14))) for i in range(24)]
+    items += items[:3]
+    docs = []
+    for i in range(40):
+        words_in = some(rng.randint(0, 10)) + (common if i % 2 else [])
+        for _, w in rng.sample(items, rng.randint(0, 6)):
+            cut = rng.randint(0, len(w))
+            words_in += w[cut:] + some(2) + w[:cut] if rng.random() < 0.5 else w
+        docs.append((i // 2, " ".join(words_in)))
+    docs += docs[:2]
+    want = []
+    for doc_id, text in docs:
+        for item_id, w in items:
+            tiles = brute_tiles(w, text.split(), min(5, len(w)))
+            covered = sum(t[2] for t in tiles)
+            if covered and covered >= 0.6 * len(w):
+                want.append((doc_id, item_id, len(w), covered, covered / len(w), len(tiles), max(t[2] for t in tiles)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.find_contamination(*frame).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    hit = {(doc_id, text) for doc_id, text in docs if any(decontaminate.Items([(1, " ".join(w).encode())], 5).found(decontaminate.word_hashes(text.encode()), 0.6) for _, w in items)}
+    assert sorted(tuple(r) for r in decontaminate.drop_contaminated(*frame).collect()) == sorted(x for x in docs if x not in hit)
+
+
+def test_frequent_seeds_meet_nothing(spark):
+    """A passage that all items and documents share brings no item and document together unless it is most of the item."""
+    shared = " ".join(f"s{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"{shared} d{i}") for i in range(300)] + [(999, shared + " " + " ".join(f"own7-{j}" for j in range(30)))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, shared + " " + " ".join(f"own{i}-{j}" for j in range(30))) for i in range(50)], "item_id long, text string")
+    seeds = decontaminate.item_seeds(items.selectExpr("item_id as item", "text as item_text"), 5)
+    gate = decontaminate.gate_of(seeds)
+    held = decontaminate.document_seeds(decontaminate.shared_words(docs, gate, [5]).withColumn("row", F.monotonically_increasing_id()), gate, [5])
+    rare = decontaminate.rare_seeds(seeds.join(held.groupBy("seed").agg(F.count("*").alias("n")), "seed"), 0.6)
+    assert held.join(rare, "seed").select("row", "item").distinct().count() == 1
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(docs, items).collect()] == [(999, 7)]
+
+
 def test_very_long_texts_of_one_word():
     items = decontaminate.Items([(1, b"same " * 2000), (2, b"same other " * 900)], 5)
     assert items.found(decontaminate.word_hashes(b"same " * 1_000_000), 0.6) == [(1, 2000, 2000, 1.0, 1, 2000)]
