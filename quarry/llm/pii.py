@@ -5,12 +5,14 @@ generators then propose further spans, overlapping ones too; boosted trees score
 context, and the best-scored spans that reach a calibrated threshold and overlap nothing chosen before join as
 kinds `number`, `secret` and `handle`.
 
-The trees learn on a bounded sample (`sample_rows` candidates, from about ten times as many documents chosen by hash),
+The trees learn from all candidates of all distinct texts (a text of many rows counts once), a third of the texts held out,
 from features of format and context that say nothing of the labels' sources. A candidate counts as personal if a checked
 base span covers it, if it stands behind a naming word (`NAMED`, which no feature tells), or if its format (generator,
-length, kinds of characters) is one of which a share of AGREEING are named and none passed or failed a check. The trees are written out as one Spark
-expression, so scoring runs inside the query. Each kind has its own threshold: the lowest at which precision, on
-candidates of held-out documents that no base span overlaps, is at least `precision`; a kind without one adds no span.
+length, kinds of characters) is one of which a share of AGREEING are named and none passed a check. Candidates that are alike are
+counted; each level of a tree is one grouping of these counts by feature and value, and the driver gets the splits only. Gradients are summed as
+whole numbers of 1 / UNIT, so the trees do not depend on how the rows lie. The trees are written out as one Spark
+expression, so scoring runs inside the query. Each kind has its own threshold: the lowest score at which precision, on all
+candidates of held-out texts that no base span overlaps, is at least `precision`; a kind without one adds no span.
 `held_out` reports precision and recall by kind.
 
 Texts are worked on in segments of about SEGMENT characters, cut where no pattern can match across (behind a character or a blank that none of them takes there), so work grows
@@ -23,10 +25,9 @@ columns stay out, and `redact` changes text (and n_chars, if there is one) only.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -51,6 +52,7 @@ NAMED = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|ssn|iban|
 AGREEING = 0.3
 SPAN = "struct<kind:string,s:int,e:int>"
 SEGMENT, BLOCK = 2000, 256
+UNIT, BUCKETS = float(1 << 26), 64  # parts of a gradient, and buckets of scores a unit
 CUT = rf"(?s).{{{SEGMENT}}}.*?(?:[\x09-\x0D,;\"'<>:]|(?<=[^\x20().0-9-])\x20)|(?s).+"  # no match holds these characters, nor a blank behind one that is not of a number
 FEATURES = ("length", "digits", "letters", "uppers", "hexes", "separators", "groups", "mixes", "distinct", "quoted", "assigned", "glued", "generator")
 
@@ -178,132 +180,146 @@ class Boosted:
         self.rounds, self.rate, self.base, self.trees = rounds, rate, 0.0, []
 
     @staticmethod
-    def _split(x, g, h, rows):
-        best, total_g, total_h = (1e-6, None, None), g[rows].sum(), h[rows].sum()
-        for j in range(x.shape[1]):
-            order = rows[np.argsort(x[rows, j], kind="stable")]
-            cuts = np.flatnonzero(x[order[1:], j] != x[order[:-1], j])
-            if len(cuts):
-                lg, lh = np.cumsum(g[order])[cuts], np.cumsum(h[order])[cuts]
-                gain = lg**2 / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - total_g**2 / (total_h + 1)
-                k = int(np.argmax(gain))
-                if gain[k] > best[0]:
-                    best = (gain[k], j, float((x[order[cuts[k]], j] + x[order[cuts[k] + 1], j]) / 2))
-        return best[1], best[2]
-
-    def _tree(self, x, g, h, rows, depth):
-        j, cut = self._split(x, g, h, rows) if depth else (None, None)
-        if j is None:
-            return float(self.rate * g[rows].sum() / (h[rows].sum() + 1))
-        left = x[rows, j] < cut
-        return (j, cut, self._tree(x, g, h, rows[left], depth - 1), self._tree(x, g, h, rows[~left], depth - 1))
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.base = float(np.log(share / (1 - share)))
-        f = np.full(len(x), self.base)
+    def _splits(rows: DataFrame, side: Column) -> dict[int, dict]:
+        """The best split of each side's rows, with the sums left of it and in all: of equal gains that of the first feature, then of the least value."""
+        each = rows.select(side.alias("side"), "g", "h", F.posexplode(F.array(*FEATURES)).alias("j", "v"))
+        sums = each.groupBy("side", "j", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        of = Window.partitionBy("side", "j")
+        up_to = of.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        totals = {f"{name}{x}": F.sum(x).over(w) / UNIT for name, w in (("left_", up_to), ("all_", of)) for x in ("g", "h")}
+        cuts = sums.withColumns(totals | {"next": F.lead("v").over(of.orderBy("v"))})
+        term = lambda g, h: g * g / (h + 1)
+        lg, lh, g, h = (F.col(x) for x in ("left_g", "left_h", "all_g", "all_h"))
+        gain = F.when(F.col("next").isNotNull(), term(lg, lh) + term(g - lg, h - lh) - term(g, h)).otherwise(0.0)
+        ranked = F.struct(gain.alias("gain"), (-F.col("v")).alias("_v"), ((F.col("v") + F.col("next")) / 2).alias("cut"), lg, lh, g, h)
+        best = {}
+        for r in sorted(cuts.groupBy("side", "j").agg(F.max(ranked).alias("best")).collect(), key=lambda r: r["j"]):
+            if r["side"] not in best or r["best"]["gain"] > best[r["side"]]["gain"]:
+                best[r["side"]] = r["best"].asDict() | {"j": r["j"]}
+        return best
+
+    def _leaf(self, g: float, h: float) -> float:
+        return self.rate * g / (h + 1)
+
+    def _tree(self, rows: DataFrame):
+        root = self._splits(rows, F.lit(0))[0]
+        if root["gain"] <= 1e-6:
+            return self._leaf(root["all_g"], root["all_h"])
+        sides = self._splits(rows, F.when(F.col(FEATURES[root["j"]]) < root["cut"], 0).otherwise(1))
+
+        def grown(b):
+            if b["gain"] <= 1e-6:
+                return self._leaf(b["all_g"], b["all_h"])
+            return (b["j"], b["cut"], self._leaf(b["left_g"], b["left_h"]), self._leaf(b["all_g"] - b["left_g"], b["all_h"] - b["left_h"]))
+
+        return (root["j"], root["cut"], grown(sides[0]), grown(sides[1]))
+
+    def fit(self, rows: DataFrame) -> Boosted:
+        """Learn from all rows: FEATURES, y (0 or 1), and n, the number of candidates like that."""
+        share = rows.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).first()[0]
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        self.base = math.log(share / (1 - share))
+        features = {name: F.col(name) for name in FEATURES}
+        f = F.lit(self.base)
+        whole = lambda x: F.round(x * UNIT).cast("long") * F.col("n")
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-f))
-            tree = self._tree(x, y - p, p * (1 - p), np.arange(len(x)), 2)
-            self.trees.append(tree)
-            f += self._apply(tree, x)
+            p = 1 / (1 + F.exp(-F.col("f")))
+            self.trees.append(self._tree(rows.withColumn("f", f).select(*FEATURES, whole(F.col("y") - p).alias("g"), whole(p * (1 - p)).alias("h"))))
+            f = f + self._of(self.trees[-1], features)
         return self
 
-    def _apply(self, tree, x):
-        if not isinstance(tree, tuple):
-            return np.full(len(x), tree)
-        j, cut, a, b = tree
-        return np.where(x[:, j] < cut, self._apply(a, x), self._apply(b, x))
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.base + sum(self._apply(t, x) for t in self.trees)
-
-    def column(self, candidate: Column) -> Column:
-        def of(tree):
-            return F.lit(tree) if not isinstance(tree, tuple) else F.when(candidate[FEATURES[tree[0]]] < tree[1], of(tree[2])).otherwise(of(tree[3]))
+    def _of(self, tree, candidate) -> Column:
+        return F.lit(tree) if not isinstance(tree, tuple) else F.when(candidate[FEATURES[tree[0]]] < tree[1], self._of(tree[2], candidate)).otherwise(self._of(tree[3], candidate))
 
+    def column(self, candidate: Column | dict[str, Column]) -> Column:
         out = F.lit(self.base)
         for tree in self.trees:
-            out = out + of(tree)
+            out = out + self._of(tree, candidate)
         return out
 
 
-def weak_labels(rows: list) -> np.ndarray:
-    """Whether each sampled candidate counts as personal: by its own sources, or because of at least three others of its format a share of
+FORMAT = ("generator", "length", "separators", "has_digits", "has_letters", "has_uppers", "all_hex")
+
+
+def weak_labels(counts: DataFrame) -> DataFrame:
+    """Add y, whether candidates count as personal: by their own sources, or because of at least three others of their format a share of
     AGREEING is named. A format that checked spans have gets nothing from agreement: its other candidates failed the check."""
-    sure, named = (np.array([bool(r["named"] or r["inside"] and both) for r in rows]) for both in (True, False))
-    formats = [(r["generator"], r["length"], r["digits"] > 0, r["letters"] > 0, r["uppers"] > 0, r["hexes"] == r["length"], r["separators"]) for r in rows]
-    times, agreed = Counter(formats), Counter(f for f, n in zip(formats, named.tolist(), strict=True) if n)
-    checked = {f for f, r in zip(formats, rows, strict=True) if r["inside"]}
-    return sure | np.array([f not in checked and times[f] > 3 and agreed[f] - n >= AGREEING * (times[f] - 1) for f, n in zip(formats, named.tolist(), strict=True)], bool)
+    shaped = counts.withColumns({f"has_{c}": F.col(c) > 0 for c in ("digits", "letters", "uppers")} | {"all_hex": F.col("hexes") == F.col("length")})
+    formats = shaped.groupBy(*FORMAT).agg(F.sum("n").alias("times"), F.sum(F.when(F.col("named"), F.col("n")).otherwise(0)).alias("agreed"), F.max("inside").alias("checked"))
+    agreeing = ~F.col("checked") & (F.col("times") > 3) & (F.col("agreed") - F.col("named").cast("long") >= AGREEING * (F.col("times") - 1))
+    return shaped.join(formats, list(FORMAT)).select(*counts.columns, (F.col("named") | F.col("inside") | agreeing).cast("int").alias("y"))
 
 
-def held_out(docs: DataFrame, sample_rows: int = 4000, precision: float = 0.9) -> dict[str, dict[str, float]]:
-    """For each added kind that has a threshold: precision, recall and number of held-out candidates at it."""
-    learned = fit(sample(docs, sample_rows), precision)
-    return learned[2] if learned else {}
+def described(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """docs with `_hash` of the text and `_parts`, segments of the fields to keep and their candidates; stored, so the regular expressions run once. The
+    text itself stays only if it is one of these fields."""
+    found = with_candidates(with_base(docs))
+    parts = F.transform("_parts", lambda p: with_fields(p, *keep, "candidates"))
+    return stored(found.select(*[c for c in docs.columns if c != "text" or c in keep], F.xxhash64("_text").alias("_hash"), parts.alias("_parts")), "described")
 
 
-def sample(docs: DataFrame, sample_rows: int) -> list:
-    """The sample_rows candidates of smallest hash in a sample of documents. The candidates are stored first: the regular expressions run once."""
-    described = with_candidates(with_base(sampled(docs, sample_rows)))
-    parts = described.select(F.xxhash64("_text").alias("t"), "_parts").select("t", F.explode("_parts").alias("p"))
-    each = stored(parts.select("t", F.col("p.at").alias("at"), F.explode("p.candidates").alias("c")), "candidates")
-    rows = each.orderBy(F.xxhash64("t", F.col("at") + F.col("c.s"), F.col("at") + F.col("c.e")), F.col("at") + F.col("c.s"), "c.e", "c.kind").limit(sample_rows)
-    return rows.select(*[f"c.{n}" for n in FEATURES], "c.inside", "c.named", "c.over", "c.kind", F.pmod("t", F.lit(3)).alias("part")).collect()
+def counted(found: DataFrame) -> DataFrame:
+    """How many candidates of all distinct texts are alike: FEATURES, kind, inside, named, over, part of the texts, and n."""
+    parts = found.select("_hash", F.explode("_parts").alias("p")).select("_hash", F.col("p.at").alias("at"), F.explode("p.candidates").alias("c"))
+    what = [*FEATURES, "kind", "inside", "named", "over"]
+    distinct = parts.select("_hash", (F.col("at") + F.col("c.s")).alias("s"), (F.col("at") + F.col("c.e")).alias("e"), *[f"c.{x}" for x in what]).distinct()
+    return distinct.groupBy(*what, F.pmod("_hash", F.lit(3)).alias("part")).agg(F.count("*").alias("n"))
 
 
-def fit(rows: list, precision: float = 0.9) -> tuple[Boosted, dict[str, float], dict] | None:
-    """(trees, threshold by kind, held-out figures by kind) learned on a sample; None: nothing to add."""
-    if len(rows) < 60:
-        return None
-    x, y = np.array([[r[n] for n in FEATURES] for r in rows]), weak_labels(rows).astype(float)
-    part, over, kinds = (np.array([r[n] for r in rows]) for n in ("part", "over", "kind"))
-    if len(set(y[part > 0])) < 2:
-        return None
-    model, thresholds, figures = Boosted().fit(x[part > 0], y[part > 0]), {}, {}
-    for kind in ADDED:
-        held = np.flatnonzero((part == 0) & ~over & (kinds == kind))
-        if len(held) < 5:
-            continue
-        scores, truth = model.scores(x[held]), y[held]
-        order = np.argsort(-scores, kind="stable")
-        good = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-        last = np.r_[scores[order][1:] != scores[order][:-1], True]
-        enough = np.flatnonzero((good >= precision) & last)
-        if len(enough):
-            k = enough[-1]
-            thresholds[kind] = float(scores[order][k])
-            figures[kind] = {"precision": float(good[k]), "recall": float(truth[order][: k + 1].sum() / truth.sum()), "candidates": len(held)}
-    return (model, thresholds, figures) if thresholds else None
+def held_out(docs: DataFrame, precision: float = 0.9) -> dict[str, dict[str, float]]:
+    """For each added kind that has a threshold: precision, recall and number of held-out candidates at it."""
+    learned = fit(counted(described(docs, ("at",))), precision)
+    return learned[2] if learned else {}
 
 
-def sampled(docs: DataFrame, sample_rows: int) -> DataFrame:
-    """About ten distinct texts for each candidate wanted, by their hash: what the fit reads stays bounded, and a text of many rows counts once."""
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    few = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // (10 * sample_rows)))) == 0)
-    return few.groupBy(F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text"))
+def limits(scored: DataFrame, precision: float) -> list[Row]:
+    """For each kind the lowest score down to which precision is reached, with counts (n, true) down to it and in all, from kind, score, n and y. Counts run
+    within buckets of scores, shifted by those of the buckets above."""
+    by = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("true")).withColumn("bucket", F.floor(F.col("score") * BUCKETS))
+    above = Window.partitionBy("kind").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = by.groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("true").alias("true"))
+    shifts = buckets.select("kind", "bucket", *[F.coalesce(F.sum(x).over(above), F.lit(0)).alias(f"{x}_above") for x in ("n", "true")])
+    inside = Window.partitionBy("kind", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = by.join(shifts, ["kind", "bucket"]).select("kind", "score", *[(F.col(f"{x}_above") + F.sum(x).over(inside)).alias(x) for x in ("n", "true")])
+    good = F.when(F.col("true") / F.col("n") >= precision, F.struct("score", "n", "true"))
+    return down.groupBy("kind").agg(F.min(good).alias("least"), F.max("n").alias("n"), F.max("true").alias("true")).collect()
+
+
+def fit(counts: DataFrame, precision: float = 0.9) -> tuple[Boosted, dict[str, float], dict] | None:
+    """(trees, threshold by kind, held-out figures by kind) learned from all candidates, as counted; None: nothing to add."""
+    labelled = stored(weak_labels(stored(counts, "candidates")), "labelled")
+    taught = labelled.where("part > 0").groupBy(*FEATURES, "y").agg(F.sum("n").alias("n"))
+    if (labelled.agg(F.sum("n")).first()[0] or 0) < 60 or taught.select("y").distinct().count() < 2:
+        return None
+    model, thresholds, figures = Boosted().fit(stored(taught, "taught")), {}, {}
+    held = labelled.where((F.col("part") == 0) & ~F.col("over")).select("kind", model.column({name: F.col(name) for name in FEATURES}).alias("score"), "n", "y")
+    for r in limits(held, precision):
+        if r["n"] >= 5 and r["least"]:
+            least = r["least"]
+            thresholds[r["kind"]] = least["score"]
+            figures[r["kind"]] = {"precision": least["true"] / least["n"], "recall": least["true"] / r["true"], "candidates": r["n"]}
+    return (model, thresholds, figures) if thresholds else None
 
 
-def with_spans(docs: DataFrame, sample_rows: int = 4000, precision: float = 0.9) -> DataFrame:
-    """docs with `_text` and `_parts`: segments (at, text, base, added); added are the method's spans, by kind and start."""
-    described = with_candidates(with_base(docs))
-    learned = fit(sample(docs, sample_rows), precision)
+def with_spans(docs: DataFrame, precision: float = 0.9, keep: tuple[str, ...] = ("at", "text", "base")) -> DataFrame:
+    """docs with `_parts`: segments (those of keep, and added); added are the method's spans, by kind and start."""
+    found = described(docs, keep)
+    learned = fit(counted(found), precision)
     if learned is None:
-        return described.withColumn("_parts", F.transform("_parts", lambda p: with_fields(p, "at", "text", "base", added=F.array().cast(f"array<{SPAN}>"))))
+        return found.withColumn("_parts", F.transform("_parts", lambda p: with_fields(p, *keep, added=F.array().cast(f"array<{SPAN}>"))))
     model, thresholds, _ = learned
-    limits = F.create_map(*[F.lit(x) for kind, least in thresholds.items() for x in (kind, -least)])
+    least = F.create_map(*[F.lit(x) for kind, score in thresholds.items() for x in (kind, -score)])
 
     def ranked(part):
         scored = F.transform(F.filter(part["candidates"], lambda c: ~c["over"]), lambda c: F.struct((-model.column(c)).alias("rank"), c["s"].alias("s"), (-c["e"]).alias("_e"), c["e"].alias("e"), c["kind"].alias("kind")))
-        return F.array_sort(F.filter(scored, lambda c: c["rank"] <= limits[c["kind"]]))
+        return F.array_sort(F.filter(scored, lambda c: c["rank"] <= least[c["kind"]]))
 
     def chosen(part):
         return F.aggregate(part["ranked"], F.array().cast(f"array<{SPAN}>"), lambda acc, c: F.when(F.exists(acc, lambda a: (a["s"] < c["e"]) & (a["e"] > c["s"])), acc).otherwise(F.concat(acc, F.array(F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))))))
 
-    described = described.withColumn("_parts", F.transform("_parts", lambda p: with_fields(p, "at", "text", "base", ranked=ranked(p))))
-    described = described.withColumn("_parts", F.transform("_parts", lambda p: with_fields(p, "at", "text", "base", chosen=chosen(p))))
-    return described.withColumn("_parts", F.transform("_parts", lambda p: with_fields(p, "at", "text", "base", added=F.array_sort(p["chosen"]))))
+    found = found.withColumn("_parts", F.transform("_parts", lambda p: with_fields(p, *keep, ranked=ranked(p))))
+    found = found.withColumn("_parts", F.transform("_parts", lambda p: with_fields(p, *keep, chosen=chosen(p))))
+    return found.withColumn("_parts", F.transform("_parts", lambda p: with_fields(p, *keep, added=F.array_sort(p["chosen"]))))
 
 
 def of_kind(spans: str, kind: str) -> Column:
@@ -314,22 +330,22 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def find_pii(docs: DataFrame) -> DataFrame:
     """One row per document: counts of base spans, their digest, and all spans."""
-    found = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sample_rows)
-    counted = found.select("doc_id", in_text("base").alias("base"), in_text("added").alias("added"))
-    listed = lambda spans, kinds: F.concat(*[of_kind(spans, kind) for kind in kinds])
-    return counted.select(
+    found = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), keep=("at", "base"))
+    spans = found.select("doc_id", in_text("base").alias("base"), in_text("added").alias("added"))
+    listed = lambda name, kinds: F.concat(*[of_kind(name, kind) for kind in kinds])
+    return spans.select(
         "doc_id", *[F.size(of_kind("base", kind)).cast("long").alias(f"n_{kind}") for kind in KINDS],
         F.sha2(spans_text(listed("base", KINDS)), 256).alias("base_sha256"), spans_text(F.concat(listed("base", KINDS), listed("added", ADDED))).alias("spans"),
     )
 
 
-def redact(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; texts without a span stay as they are."""
     names = docs.columns
     inner = docs.select(*[F.col(c).alias(c if c == "text" else f"c{i}") for i, c in enumerate(names)])
-    spanned = with_spans(inner, sample_rows)
+    spanned = with_spans(inner)
 
     def cleaned(part):
         ordered = F.array_sort(F.transform(F.concat(part["base"], part["added"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))

@@ -7,7 +7,9 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -866,6 +868,93 @@ def test_unnamed_secrets_are_found_by_format(spark):
     assert {"secret", "number"} <= set(figures) and all(f["precision"] >= 0.9 and f["recall"] >= 0.8 for f in figures.values())
 
 
+def test_spans_are_learned_from_all_candidates(spark):
+    """Each candidate of a distinct text counts, however many there are, and repeated rows count once."""
+    n = 9000
+    key = F.concat(F.lit("k"), F.translate(F.sha1(F.col("id").cast("string")), "01234", "ghijk"))
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("my token = "), key)).otherwise(F.concat(F.lit("see abcdefghijklmnopqrst-"), F.col("id").cast("string"), F.lit(" for more")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    counts = pii.counted(pii.described(docs.union(docs), ("at",)))
+    assert counts.agg(F.sum("n")).first()[0] == n
+    held = docs.where(F.pmod(F.xxhash64("text"), F.lit(3)) == 0).count()
+    figures = pii.held_out(docs)
+    assert figures["secret"] == {"precision": 1.0, "recall": 1.0, "candidates": held} and held > 2500
+    found = pii.find_pii(docs).groupBy((F.col("doc_id") % 2).alias("odd"), (F.col("spans") != "").alias("spans")).count().collect()
+    assert {(r["odd"], r["spans"]): r["count"] for r in found} == {(0, True): n // 2, (1, False): n // 2}
+
+
+def brute_trees(x, y, rounds):
+    """Scores of greedy boosting row by row; gradients in whole units, as sums of these are exact."""
+    whole = lambda a: np.floor(a * pii.UNIT + 0.5)
+    share, term = y.mean(), lambda g, h: g * g / (h + 1)
+    f = np.full(len(x), np.log(share / (1 - share)))
+
+    def grown(rows, g, h, depth):
+        best, (tg, th) = (1e-6, None), (g[rows].sum() / pii.UNIT, h[rows].sum() / pii.UNIT)
+        for j in range(x.shape[1]) if depth else ():
+            values = np.unique(x[rows, j])
+            for cut in (values[1:] + values[:-1]) / 2:
+                left = rows[x[rows, j] < cut]
+                lg, lh = g[left].sum() / pii.UNIT, h[left].sum() / pii.UNIT
+                gain = term(lg, lh) + term(tg - lg, th - lh) - term(tg, th)
+                if gain > best[0]:
+                    best = (gain, (j, cut))
+        if best[1] is None:
+            f[rows] += 0.3 * tg / (th + 1)
+        else:
+            low = x[rows, best[1][0]] < best[1][1]
+            grown(rows[low], g, h, depth - 1)
+            grown(rows[~low], g, h, depth - 1)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-f))
+        grown(np.arange(len(x)), whole(y - p), whole(p * (1 - p)), 2)
+    return f
+
+
+def test_trees_against_brute_force(spark):
+    """Counted and grouped by Spark, the trees are those of a search over all rows and cuts, however the rows lie."""
+    rng = random.Random(3)
+    rows = [[float(rng.randint(0, 6)) for _ in pii.FEATURES] for _ in range(150)]
+    rows = [[*r, int(r[0] > 3 and r[4] < 5 or rng.random() < 0.15), rng.randint(1, 4)] for r in rows]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pii.FEATURES) + ", y int, n long")
+    model = pii.Boosted(rounds=5).fit(table)
+    assert model.trees == pii.Boosted(rounds=5).fit(table.repartition(7, "digits")).trees
+    got = table.select(*table.columns, model.column({c: F.col(c) for c in pii.FEATURES}).alias("f")).collect()
+    every = [r for r in got for _ in range(r["n"])]
+    want = brute_trees(np.array([r[: len(pii.FEATURES)] for r in every]), np.array([r["y"] for r in every], float), 5)
+    assert np.abs(np.array([r["f"] for r in every]) - want).max() < 1e-6
+    same = spark.createDataFrame([[1.0] * len(pii.FEATURES) + [y, 50] for y in (0, 1)], table.schema)
+    assert not any(isinstance(t, tuple) for t in pii.Boosted(rounds=2).fit(same).trees)
+
+
+def test_labels_and_limits_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [[float(rng.randint(0, 2)) for _ in pii.FEATURES] + [rng.choice(pii.ADDED), rng.random() < 0.05, rng.random() < 0.3, False, rng.randint(0, 2), rng.randint(1, 3)] for _ in range(400)]
+    rows = [[*([2.0] * 6 if i < 200 else r[:6]), *r[6:]] for i, r in enumerate(rows)]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pii.FEATURES) + ", kind string, inside boolean, named boolean, over boolean, part long, n long")
+    shape = lambda r: (r["generator"], r["length"], r["digits"] > 0, r["letters"] > 0, r["uppers"] > 0, r["hexes"] == r["length"], r["separators"])
+    given, times, agreed, checked = table.collect(), Counter(), Counter(), set()
+    for r in given:
+        times[shape(r)] += r["n"]
+        agreed[shape(r)] += r["n"] * r["named"]
+        checked |= {shape(r)} if r["inside"] else set()
+    want = Counter(
+        (*r, int(r["named"] or r["inside"] or shape(r) not in checked and times[shape(r)] > 3 and agreed[shape(r)] - r["named"] >= pii.AGREEING * (times[shape(r)] - 1))) for r in given
+    )
+    got = pii.weak_labels(table)
+    assert Counter(tuple(r) for r in got.collect()) == want and any(k[-1] and not k[-6] and not k[-5] for k in want)
+    scores = [(rng.choice(pii.ADDED[:2]), rng.randint(-40, 40) / 160, rng.randint(1, 3), int(rng.random() < 0.5)) for _ in range(300)]
+    scores = [(k, s, n, y if s < 0.05 else 1) for k, s, n, y in scores] + [("handle", 1.0, 9, 0)]
+    found = {r["kind"]: r for r in pii.limits(spark.createDataFrame(scores, "kind string, score double, n long, y int"), 0.8)}
+    for kind in pii.ADDED:
+        mine = [x for x in scores if x[0] == kind]
+        down = {s: (sum(n for _, t, n, _ in mine if t >= s), sum(n * y for _, t, n, y in mine if t >= s)) for _, s, _, _ in mine}
+        good = [s for s, (n, true) in down.items() if true / n >= 0.8]
+        assert (found[kind]["n"], found[kind]["true"]) == down[min(down)]
+        assert (tuple(found[kind]["least"]) if good else found[kind]["least"]) == ((min(good), *down[min(good)]) if good else None)
+
+
 def test_ties_in_score(spark, monkeypatch):
     """Overlapping candidates of one score: the earlier, then the longer span stays."""
     monkeypatch.setattr(pii.Boosted, "column", lambda self, candidate: F.lit(1.0))
