@@ -1,7 +1,8 @@
 """Products of vector sets, block by block: rows are packed into blocks, and every block of queries meets every block of rows once.
 
 Nothing passes through the driver. Blocks of rows are packed where the rows are; blocks of queries are a small table that
-is broadcast while it is small, and otherwise dealt to SLOTS groups of row blocks by an equi-join.
+is broadcast while it is small. Otherwise groups of query blocks meet slices of the rows as a Cartesian product of their partitions:
+each side is shuffled once and read again for every partition of the other, never copied, and a task holds one group of query blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, BROADCAST_QUERIES, SLOTS = 1024, 20_000, 256
+BLOCK_ROWS, BROADCAST_QUERIES, GROUP_BLOCKS = 1024, 20_000, 64
+
+Pairs = Iterator[tuple[tuple[str, int], dict[str, pa.Array], dict[str, pa.Array]]]
 
 
 def fields(struct: pa.Array) -> dict[str, pa.Array]:
@@ -26,10 +29,9 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-def packed(rows: DataFrame, slots: int) -> DataFrame:
-    """(space, slot, rows): blocks of at most BLOCK_ROWS rows of one space; the slot comes from the block's first id (the first column after space)."""
+def packed(rows: DataFrame) -> DataFrame:
+    """(space, rows): blocks of at most BLOCK_ROWS rows of one space."""
     columns = [c for c in rows.columns if c != "space"]
-    names = ["space", "first", "rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,26 +41,38 @@ def packed(rows: DataFrame, slots: int) -> DataFrame:
                 for a in range(0, len(of), BLOCK_ROWS):
                     part = of.slice(a, BLOCK_ROWS).to_struct_array()
                     block = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.concat_arrays([part]))
-                    yield pa.RecordBatch.from_arrays([pa.array([space], pa.string()), part.field(0).slice(0, 1).cast(pa.int64()), block], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([space], pa.string()), block], ["space", "rows"])
 
     kinds = ",".join(f"{n}:{k}" for n, k in rows.dtypes if n != "space")
-    out = rows.select("space", *columns).mapInArrow(run, f"space string, first long, rows array<struct<{kinds}>>")
-    return out.select("space", F.pmod(F.xxhash64("first"), F.lit(slots)).cast("int").alias("slot"), "rows")
+    return rows.select("space", *columns).mapInArrow(run, f"space string, rows array<struct<{kinds}>>")
+
+
+def each(score: Callable[[dict, dict], pa.RecordBatch]) -> Callable[[Pairs], Iterator[pa.RecordBatch]]:
+    """The work of products() that looks at one pair of blocks at a time."""
+    return lambda pairs: (score(rows, asked) for _, rows, asked in pairs)
 
 
-def products(rows: DataFrame, queries: DataFrame, score: Callable[[dict, dict], pa.RecordBatch], schema: str) -> DataFrame:
-    """score(rows, queries) of every pair of blocks of one space; both are dictionaries of Arrow columns. rows and queries have a `space` column and an id first after it."""
+def products(rows: DataFrame, queries: DataFrame, work: Callable[[Pairs], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What work makes of the pairs of blocks of one space that a task sees: (name of the query block, rows, queries), the latter dictionaries of Arrow
+    columns. rows and queries have a `space` column and an id first after it."""
     n = queries.count()
-    few = n <= BROADCAST_QUERIES
-    slots, blocks = 1 if few else SLOTS, max(1, -(-n // BLOCK_ROWS))
+    blocks = max(1, -(-n // BLOCK_ROWS))
     columns = [c for c in queries.columns if c != "space"]
-    asked = queries.groupBy("space", F.pmod(F.xxhash64(columns[0]), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(*columns)).alias("asked"))
-    asked = asked.select("space", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "asked")
-    pairs = packed(rows, slots).join(F.broadcast(asked) if few else asked, ["space", "slot"]).select("rows", "asked")
+    asked = queries.groupBy("space", F.pmod(F.xxhash64(columns[0]), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*columns)).alias("asked"))
+    if n <= BROADCAST_QUERIES:
+        pairs = packed(rows).join(F.broadcast(asked), "space")
+    else:
+        groups = -(-blocks // GROUP_BLOCKS)
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        slices = max(-(-rows.count() // (GROUP_BLOCKS * BLOCK_ROWS)), -(-2 * cores // groups))  # two tasks a core at least
+        pairs = packed(rows.repartition(slices)).join(asked.repartition(groups).hint("shuffle_replicate_nl"), "space")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                yield score(fields(batch.column(0)[i].values), fields(batch.column(1)[i].values))
+        def unpacked() -> Pairs:
+            for batch in batches:
+                for i in range(len(batch)):
+                    yield (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), fields(batch.column(2)[i].values), fields(batch.column(3)[i].values)
+
+        yield from work(unpacked())
 
-    return pairs.mapInArrow(run, schema)
+    return pairs.select("space", "block", "rows", "asked").mapInArrow(run, schema)

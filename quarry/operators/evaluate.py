@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import chance_of_hit, poisson_binomial_tail, wilson
 from ..functions.text import HAN, slashes
-from .blocks import matrix, products
+from .blocks import each, matrix, products
 from .query import ARMS
 
 TEXT_MODALITIES = ("text", "table", "code")
@@ -255,7 +255,7 @@ def _gold_ranks(queries: DataFrame, pool: DataFrame) -> DataFrame:
         wins = ((s > target) & ~near | near & (at < gold)) & (at != gold) & (at != skip)
         return pa.RecordBatch.from_arrays([asked["query"], pa.array(wins.sum(axis=0))], ["query", "above"])
 
-    return products(rows, asked, score, "query long, above long").groupBy("query").agg((F.sum("above") + 1).alias("rank"))
+    return products(rows, asked, each(score), "query long, above long").groupBy("query").agg((F.sum("above") + 1).alias("rank"))
 
 
 def rank_summary(ranks: DataFrame, chance_pool: int) -> DataFrame:
