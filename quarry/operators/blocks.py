@@ -52,6 +52,79 @@ def each(score: Callable[[dict, dict], pa.RecordBatch]) -> Callable[[Pairs], Ite
     return lambda pairs: (score(rows, asked) for _, rows, asked in pairs)
 
 
+class Best:
+    """The best k rows for each query of one block (ids) in tie order, of all rows seen so far; what can no longer be among them is left out at once."""
+
+    def __init__(self, ids: pa.Array, k: int):
+        self.ids, self.k, self.most = ids, k, k * len(ids)
+        self.floor, self.parts, self.waiting = np.full(len(ids), np.finfo(float).min), [], 0  # floor: the score of the k-th so far
+
+    def above(self, scores: np.ndarray, slack: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Row and query of the scores (rows by queries, -inf for none) that can be among the best."""
+        floor = self.floor
+        if len(scores) > self.k and (floor == np.finfo(float).min).any():
+            floor = np.maximum(floor, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        return np.nonzero(scores >= np.maximum(floor - slack, np.finfo(float).min))
+
+    def take(self, rows: dict[str, pa.Array], at: np.ndarray, of: np.ndarray, s: np.ndarray) -> None:
+        at, of, s = at[keep := s >= self.floor[of]], of[keep], s[keep]
+        if len(at) > 4 * self.most:  # many equal scores: cut within the block first
+            page = rows["page_number"].cast(pa.float64()).fill_null(np.inf).to_numpy(zero_copy_only=False)
+            place = np.empty(len(page), np.int64)
+            place[np.lexsort((rows["row_id"].to_numpy(), rows["start_offset"].to_numpy(), page, np.array(rows["relative_path"].to_pylist())))] = np.arange(len(page))
+            order = np.lexsort((place[at], -s, of))
+            order = order[_places(of[order]) < self.k]
+            at, of, s = at[order], of[order], s[order]
+        if len(at):
+            taken = pa.array(at)
+            self.parts.append(pa.table({"of": pa.array(of), "score": pa.array(s)} | {c: v.take(taken) for c, v in rows.items()}))
+            self.waiting += len(at)
+            if self.waiting > self.most:
+                self.cut()
+
+    def cut(self) -> pa.Table:
+        found = pa.concat_tables(self.parts)
+        of, s = found["of"].to_numpy(), found["score"].to_numpy()
+        order = np.lexsort((-s, of))
+        last = order[_places(of[order]) == self.k - 1]
+        self.floor[of[last]] = s[last]
+        found = found.filter(pa.array(s >= self.floor[of]))
+        if (np.bincount(found["of"].to_numpy(), minlength=1) > self.k).any():  # equal scores at the cut
+            found = found.sort_by([(c, "descending" if c == "score" else "ascending") for c in ("of", "score", "relative_path", "page_number", "start_offset", "row_id")])  # nulls come last
+            found = found.filter(pa.array(_places(found["of"].to_numpy()) < self.k))
+        self.parts, self.waiting = [found], 0
+        return found
+
+    def batches(self) -> list[pa.RecordBatch]:
+        """(query_id, the columns of the rows, score)"""
+        if not self.parts:
+            return []
+        found = self.cut()
+        shown = [c for c in found.column_names if c not in ("of", "score")]
+        return pa.table([self.ids.take(found["of"].combine_chunks()), *(found[c] for c in [*shown, "score"])], ["query_id", *shown, "score"]).combine_chunks().to_batches()
+
+
+def _places(ordered: np.ndarray) -> np.ndarray:
+    """For each element of a sorted array, how many equal ones stand before it."""
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+    return np.arange(len(ordered)) - np.repeat(first, np.diff(np.r_[first, len(ordered)]))
+
+
+def best(of: Callable[[dict], Best]) -> Callable[[Pairs], Iterator[pa.RecordBatch]]:
+    """The work of products() that keeps the best rows of a task for each query; of(queries) makes the keeper of a block, with a method see(rows)."""
+
+    def work(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        keepers: dict[tuple[str, int], Best] = {}
+        for block, rows, asked in pairs:
+            if block not in keepers:
+                keepers[block] = of(asked)
+            keepers[block].see(rows)
+        for keeper in keepers.values():
+            yield from keeper.batches()
+
+    return work
+
+
 def products(rows: DataFrame, queries: DataFrame, work: Callable[[Pairs], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """What work makes of the pairs of blocks of one space that a task sees: (name of the query block, rows, queries), the latter dictionaries of Arrow
     columns. rows and queries have a `space` column and an id first after it."""

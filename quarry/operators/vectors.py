@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import all_finite, doubles, dot, norm
-from .blocks import Pairs, each, matrix, products
+from .blocks import Best, best, each, matrix, products
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -105,63 +103,21 @@ def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.trunc(x * 10**digits + np.copysign(0.5, x)) / 10**digits
 
 
-FOUND = ["row_id", "relative_path", "page_number", "start_offset"]
-
-
-class _Best:
-    """The best k rows for each query of one block, of all rows seen so far; what no longer can be among them is left out at once."""
+class _Nearest(Best):
+    """Best rows by the product of vectors."""
 
     def __init__(self, asked: dict[str, pa.Array], k: int, digits: int | None):
-        self.ids, self.vecs, self.k, self.digits = asked["query_id"], matrix(asked["vec"]), k, digits
+        super().__init__(asked["query_id"], k)
+        self.vecs, self.digits = matrix(asked["vec"]), digits
         self.slack = 4 * np.finfo(float).eps * self.vecs.shape[1] * np.linalg.norm(self.vecs, axis=1)  # of a product in a block, times the row's norm
-        self.floor, self.parts, self.waiting = np.full(len(self.ids), -np.inf), [], 0  # floor: the score of the k-th so far
 
     def see(self, rows: dict[str, pa.Array]) -> None:
-        r = matrix(rows["vec"])
-        scores, floor = r @ self.vecs.T, self.floor
-        if len(scores) > self.k and np.isneginf(floor).any():
-            floor = np.maximum(floor, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
-        at, of = np.nonzero(scores >= floor - np.linalg.norm(r, axis=1).max() * self.slack - (0 if self.digits is None else 1.001 * 10.0**-self.digits))
-        s = self._exact(r, at, of)
-        at, of, s = at[keep := s >= self.floor[of]], of[keep], s[keep]
-        if len(at) > 4 * self.k * len(self.ids):  # many equal scores: cut within the block first
-            page = rows["page_number"].cast(pa.float64()).fill_null(np.inf).to_numpy(zero_copy_only=False)
-            place = np.empty(len(scores), np.int64)
-            place[np.lexsort((rows["row_id"].to_numpy(), rows["start_offset"].to_numpy(), page, np.array(rows["relative_path"].to_pylist())))] = np.arange(len(scores))
-            order = np.lexsort((place[at], -s, of))
-            order = order[_places(of[order]) < self.k]
-            at, of, s = at[order], of[order], s[order]
-        if len(at):
-            taken = pa.array(at)
-            self.parts.append(pa.table([pa.array(of), pa.array(s), *(rows[c].take(taken) for c in FOUND)], ["of", "score", *FOUND]))
-            self.waiting += len(at)
-            if self.waiting > self.k * len(self.ids):
-                self.cut()
-
-    def _exact(self, r: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Pair by pair, so that equal vectors have equal scores wherever they lie in a block."""
-        parts = [np.einsum("ij,ij->i", r[at[a : a + 65536]], self.vecs[of[a : a + 65536]]) for a in range(0, len(at), 65536)]
-        s = np.concatenate(parts) if parts else np.zeros(0)
-        return s if self.digits is None else _rounded(s, self.digits)
-
-    def cut(self) -> pa.Table:
-        found = pa.concat_tables(self.parts)
-        of, s = found["of"].to_numpy(), found["score"].to_numpy()
-        order = np.lexsort((-s, of))
-        last = order[_places(of[order]) == self.k - 1]
-        self.floor[of[last]] = s[last]
-        found = found.filter(pa.array(s >= self.floor[of]))
-        if len(found) > self.k * len(self.ids) or (np.bincount(found["of"].to_numpy(), minlength=1) > self.k).any():  # equal scores at the cut
-            found = found.sort_by([("of", "ascending"), ("score", "descending"), *((c, "ascending") for c in FOUND[1:]), ("row_id", "ascending")])  # nulls come last
-            found = found.filter(pa.array(_places(found["of"].to_numpy()) < self.k))
-        self.parts, self.waiting = [found], 0
-        return found
-
-
-def _places(sorted_: np.ndarray) -> np.ndarray:
-    """For each element of a sorted array, how many equal ones stand before it."""
-    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
-    return np.arange(len(sorted_)) - np.repeat(first, np.diff(np.r_[first, len(sorted_)]))
+        r = matrix(rows.pop("vec"))
+        slack = np.linalg.norm(r, axis=1).max() * self.slack + (0 if self.digits is None else 1.001 * 10.0**-self.digits)
+        at, of = self.above(r @ self.vecs.T, slack)
+        # Pair by pair, so that equal vectors have equal scores wherever they lie in a block.
+        s = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", r[at[a : a + 65536]], self.vecs[of[a : a + 65536]]) for a in range(0, len(at), 65536))])
+        self.take(rows, at, of, s if self.digits is None else _rounded(s, self.digits))
 
 
 def cosine_topk(index: DataFrame, queries: DataFrame, k: int = 50, where: Column | None = None, digits: int | None = None) -> DataFrame:
@@ -170,21 +126,9 @@ def cosine_topk(index: DataFrame, queries: DataFrame, k: int = 50, where: Column
     Blocks of queries meet blocks of rows as matrix products. A task hands on its k best per query by the full order, so
     ties at the cut are settled exactly; the ranks are then taken over all tasks.
     """
-    rows = (index.where(where) if where is not None else index).select("space", *FOUND, "vec")
-
-    def work(pairs: Pairs) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[str, int], _Best] = {}
-        for block, part, asked in pairs:
-            if block not in best:
-                best[block] = _Best(asked, k, digits)
-            best[block].see(part)
-        for b in best.values():
-            if b.parts:
-                found = b.cut()
-                yield from pa.table([b.ids.take(found["of"].combine_chunks()), *(found[c] for c in [*FOUND, "score"])], ["query_id", *FOUND, "score"]).combine_chunks().to_batches()
-
+    rows = (index.where(where) if where is not None else index).select("space", "row_id", "relative_path", "page_number", "start_offset", "vec")
     asked = queries.select("space", F.col("query_id").cast("long").alias("query_id"), "vec")
-    out = products(rows, asked, work, "query_id long, row_id long, relative_path string, page_number int, start_offset long, score double")
+    out = products(rows, asked, best(lambda asked: _Nearest(asked, k, digits)), "query_id long, row_id long, relative_path string, page_number int, start_offset long, score double")
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*tie_order())))
     return ranked.where(F.col("rank") <= k)
 

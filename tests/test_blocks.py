@@ -58,3 +58,29 @@ def test_hits_of_vectors_with_many_copies(spark, tmp_path):
         s = part @ part.T
         order = sorted((i for i in range(300) if i % 11 and i != q), key=lambda i: (-round(s[i % 6, q % 6], 6), i))[:10]
         assert [found[k + 1] for k in range(10)] == order
+
+
+@pytest.mark.parametrize("given", [False, True])
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_bigrams_by_brute_force(spark, monkeypatch, few, given):
+    """Terms of bodies or given postings, broadcast or dealt, a filter before the cut, equal scores at the cut: a task hands on k rows a query at most."""
+    from quarry.operators import index, query, search
+
+    monkeypatch.setattr(blocks, "BROADCAST_QUERIES", few)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 9)
+    made = []
+    monkeypatch.setattr(search, "products", lambda *a: made.append(blocks.products(*a)) or made[-1])
+    rng = np.random.default_rng(8)
+    bodies = ["".join(rng.choice(list("一丁七万 a"), size=rng.integers(0, 14))) for _ in range(120)]
+    rows = [(i, f"d{i}", f"c{i}", f"p{i % 3}", None if i % 4 == 0 else i % 5, i % 2, b) for i, b in enumerate(bodies)]
+    table = spark.createDataFrame(rows, "row_id long, document_id string, chunk_id string, relative_path string, page_number int, start_offset int, body string").repartition(3)
+    asked = spark.createDataFrame(list(enumerate(["一丁七万", "万七丁一丁", "a", "丁丁", "七一 万万一"])), "query_id long, query string")
+    found = search.bigram_search(index.build_postings(table) if given else None, table, query.keyword_plan(asked), 4, F.col("start_offset") == 1)
+    got = {(r["query_id"], r["row_id"], round(r["score"], 9), r["rank"]) for r in found.collect()}
+    pairs = lambda t: {x + y for x, y in zip(t, t[1:]) if not {x, y} & set(" a")}
+    want = set()
+    for q, text in enumerate(["一丁七万", "万七丁一丁", "a", "丁丁", "七一 万万一"]):
+        scored = [(-len(pairs(text) & pairs(b)) / len(pairs(text)), path, page is None, page or 0, off, i) for i, _, _, path, page, off, b in rows if off == 1 and pairs(text) & pairs(b)]
+        want |= {(q, s[-1], round(-s[0], 9), k + 1) for k, s in enumerate(sorted(scored)[:4])}
+    assert got == want
+    assert made[0].count() <= 4 * 5 * (made[0].rdd.getNumPartitions() if few else 8)
