@@ -167,8 +167,8 @@ def chance_shuffle(hits: DataFrame, cut: int = 5, draws: int | None = None) -> D
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         rng = random.Random(zlib.crc32(f"{key[0]}|{key[1]}".encode()))
         marks = group.sort_values("rank")["matched"].tolist()
-        observed, wins = int(any(marks)), 0
-        for _ in range(draws):
+        observed, wins = int(any(marks)), draws if any(marks) and (all(marks) or len(marks) <= cut) else 0
+        for _ in range(draws if observed and not wins else 0):  # else every draw says the same
             rng.shuffle(marks)
             wins += any(marks[:cut])
         return pd.DataFrame([(key[0], key[1], observed, wins / draws, wins / draws if observed else 1.0)], columns=["question_id", "arm", "observed", "chance", "p_value"])

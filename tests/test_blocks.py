@@ -84,3 +84,23 @@ def test_bigrams_by_brute_force(spark, monkeypatch, few, given):
         want |= {(q, s[-1], round(-s[0], 9), k + 1) for k, s in enumerate(sorted(scored)[:4])}
     assert got == want
     assert made[0].count() <= 4 * 5 * (made[0].rdd.getNumPartitions() if few else 8)
+
+
+def test_lists_without_a_match_are_not_drawn(spark, monkeypatch):
+    """A thousand lists of no match take no draws; lists with one have those of the seeded generator, one after another."""
+    import random
+    import time
+    import zlib
+
+    from quarry.operators import evaluate
+
+    hits = spark.range(4000).select((F.col("id") % 400).alias("question_id"), F.lit("A1").alias("arm"), F.floor(F.col("id") / 400).cast("int").alias("rank"), ((F.col("id") % 400 == 7) & (F.col("id") < 800) | (F.col("id") % 400 == 9)).alias("matched"))
+    began = time.time()
+    got = {r["question_id"]: r for r in evaluate.chance_shuffle(hits, draws=20_000).collect()}
+    assert time.time() - began < 30
+    rng, marks, wins = random.Random(zlib.crc32(b"7|A1")), [True, True] + [False] * 8, 0
+    for _ in range(20_000):
+        rng.shuffle(marks)
+        wins += any(marks[:5])
+    assert got[7]["chance"] == wins / 20_000 and (got[9]["chance"], got[9]["observed"]) == (1.0, 1)
+    assert {r["chance"] for q, r in got.items() if q not in (7, 9)} == {0.0} and len(got) == 400
